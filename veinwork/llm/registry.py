@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import OP1_SQL, op1_pareto_mix
 from .quality import op8_quality_rules
 from .sharding import op5_hash_ring
 
 QUERIES = {
+    "op1_pareto_mix": op1_pareto_mix,
     "op5_hash_ring": op5_hash_ring,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pareto_mix": OP1_SQL,
+}
