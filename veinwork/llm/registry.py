@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op3_partenum_join
 from .mixing import OP1_SQL, op1_pareto_mix
 from .quality import op8_quality_rules
 from .secrets import op4_credential_links
@@ -9,6 +10,7 @@ from .sharding import op5_hash_ring
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_partenum_join": op3_partenum_join,
     "op4_credential_links": op4_credential_links,
     "op5_hash_ring": op5_hash_ring,
     "op8_quality_rules": op8_quality_rules,
