@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op2_spaced_seeds
 from .jaccard import op3_partenum_join
 from .mixing import OP1_SQL, op1_pareto_mix
 from .quality import op8_quality_rules
@@ -10,6 +11,7 @@ from .sharding import op5_hash_ring
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_partenum_join": op3_partenum_join,
     "op4_credential_links": op4_credential_links,
     "op5_hash_ring": op5_hash_ring,
