@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become words (A-Z lower-cased, punctuation around them dropped). A mask looks at WEIGHT of SPAN words and
+Texts become words (lower-cased, punctuation around them dropped). A mask looks at WEIGHT of SPAN words and
 ignores the rest, so a hit survives substitutions at ignored positions; every position is ignored by one of the fixed
 MASKS, so a span with one substituted word, or several in the same third, still has a hit. The benchmark's hashes are joined with those of every
 position of every document; each hit names an item and a diagonal, along which the item's whole length is compared.
@@ -37,7 +37,7 @@ MASKS = (
 )
 MIN_RUN, MIN_SHARE, SHORTEST = 12, 0.75, 6
 BLOCK_WORDS = 1_000_000
-_EDGE = b"\"'`.,;:!?()[]{}<>*_#|~-"
+_EDGE = "\"'`.,;:!?()[]{}<>*_#|~-\u2013\u2014\u2018\u2019\u201c\u201d\u00ab\u00bb\u2026\u00a1\u00bf"
 _MULT = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 FOUND = "doc_id bigint, item_id bigint, doc_word bigint, run_words bigint, equal_words bigint, item_words bigint"
@@ -46,14 +46,14 @@ FOUND = "doc_id bigint, item_id bigint, doc_word bigint, run_words bigint, equal
 class Cores(Words):
     """Hashes of words without punctuation around them; 0 for what has nothing else."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         core = word.strip(_EDGE)
-        h = super().__missing__(core) if core else 0
+        h = super().__missing__(core.encode()) if core else 0
         self[word] = h
         return h
 
 
-def tokens(text: bytes, cores: Cores) -> np.ndarray:
+def tokens(text: str, cores: Cores) -> np.ndarray:
     w = text.lower().split()
     ids = np.fromiter(map(cores.__getitem__, w), np.uint64, len(w))
     return ids[ids != 0]
@@ -73,7 +73,7 @@ def seeds(ids: np.ndarray, mask: int) -> np.ndarray:
 class Index:
     """A block of benchmark items: sorted hashes with item and place, and the items' words."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, str]]):
         cores, hashes, where = Cores(), [], []
         self.item_ids, self.words = [i for i, _ in items], [tokens(t, cores) for _, t in items]
         self.short: dict[int, list[int]] = {}
@@ -142,18 +142,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """FOUND: a row for each document and item with a contaminated stretch, the longest."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     blocks = -(-total // block_words)
     out = spark.createDataFrame([], FOUND)
     for b in range(blocks):
         chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text.encode()) for r in chosen.collect())))
+        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in chosen.collect())))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             cores = Cores()
             for batch in batches:
-                rows = [(d, *o) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for o in index.value.overlaps(tokens(t.as_buffer().to_pybytes(), cores))]
+                rows = [(d, *o) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for o in index.value.overlaps(tokens(t.as_py(), cores))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
