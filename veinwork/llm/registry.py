@@ -8,6 +8,7 @@ from .mixing import OP1_SQL, op1_pareto_mix
 from .quality import op8_quality_rules
 from .secrets import op4_credential_links
 from .sharding import op5_hash_ring
+from .toxicity import op9_noisy_channel
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_credential_links": op4_credential_links,
     "op5_hash_ring": op5_hash_ring,
     "op8_quality_rules": op8_quality_rules,
+    "op9_noisy_channel": op9_noisy_channel,
 }
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
