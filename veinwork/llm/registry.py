@@ -9,6 +9,7 @@ from .quality import op8_quality_rules
 from .secrets import op4_credential_links
 from .sharding import op5_hash_ring
 from .toxicity import op9_noisy_channel
+from .warc import OP7_SQL, op7_capture_index
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
@@ -16,9 +17,11 @@ QUERIES = {
     "op3_partenum_join": op3_partenum_join,
     "op4_credential_links": op4_credential_links,
     "op5_hash_ring": op5_hash_ring,
+    "op7_capture_index": op7_capture_index,
     "op8_quality_rules": op8_quality_rules,
     "op9_noisy_channel": op9_noisy_channel,
 }
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
+    "op7_capture_index": OP7_SQL,
 }
