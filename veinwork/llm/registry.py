@@ -5,7 +5,9 @@ from __future__ import annotations
 from .decontam import op2_spaced_seeds
 from .jaccard import op3_partenum_join
 from .mixing import OP1_SQL, op1_pareto_mix
+from .pii import op6_feistel_pseudonyms
 from .quality import op8_quality_rules
+from .rollups import op10_token_rollups
 from .secrets import op4_credential_links
 from .sharding import op5_hash_ring
 from .toxicity import op9_noisy_channel
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_partenum_join": op3_partenum_join,
     "op4_credential_links": op4_credential_links,
     "op5_hash_ring": op5_hash_ring,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_capture_index": op7_capture_index,
     "op8_quality_rules": op8_quality_rules,
     "op9_noisy_channel": op9_noisy_channel,
+    "op10_token_rollups": op10_token_rollups,
 }
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
