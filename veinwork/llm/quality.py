@@ -150,15 +150,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns. Texts aren't shuffled: the metrics of labelled
-    documents give the cutoffs, a table of one row per stratum, and a second pass over docs applies them."""
+    """The rows of docs that judge() keeps, with their own columns. Measured documents are settled as a table (a filter
+    on the metrics themselves would be pushed into them and take them apart); the cutoffs have a row per stratum."""
     cols = docs.columns
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("__vw_text"))
-    labelled = slim.join(_labels(labels, "doc_id", "quality").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    good = with_metrics(labelled, "__vw_text").select("stratum", "__vw_metrics.*").where(~base_failed(None))
+    measured = staged(with_metrics(docs, text_col), "measured")
+    slim = measured.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), "__vw_metrics.*").where(~base_failed(None))
+    good = slim.join(_labels(labels, "doc_id", "quality").where("quality = 1"), "doc_id", "left_semi")
     cuts = staged(select_cutoffs(good, "stratum").withColumnRenamed("stratum", "__cut_stratum"), "cutoffs")
-    measured = with_metrics(docs, text_col).where(~base_failed())
-    judged = measured.join(cuts, F.col(stratum_col).eqNullSafe(F.col("__cut_stratum")), "left").where(~rejected(rule_values()))
+    judged = measured.where(~base_failed()).join(cuts, F.col(stratum_col).eqNullSafe(F.col("__cut_stratum")), "left").where(~rejected(rule_values()))
     return judged.select(*(F.col(f"`{c}`") for c in cols))
 
 
