@@ -10,9 +10,9 @@ and the next one.
 
 1. One pass over the texts makes signatures; those of equal sets (copies) leave a task once. They are packed by
    partition, shuffled once and sorted there; equal signatures make a bucket.
-2. Every bucket's smallest set is paired with its others (linear, however large a group of copies). Counts in 64
-   hashed bins bound the difference from below and drop most false pairs; the rest is verified on the sets.
-   Links make components.
+2. Every bucket's hubs, the sets in most buckets (of two components, once there are components), are paired with its
+   others: linear, however large a group of copies. Counts in BINS hashed bins bound the difference from below and drop
+   most false pairs; the rest is verified on the sets. Links make components; ROUNDS times.
 3. Buckets that still hold several components get their remaining pairs across components, in blocks of
    BLOCK sets, under the same bound; survivors are verified. Pairs within a component can't change the result.
 
@@ -40,10 +40,11 @@ from .common import read_table, staged
 from .components import components
 
 WORDS, NUM, DEN = 4, 85, 100
-BINS, BLOCK = 64, 2000
+BINS, BLOCK, ROUNDS = 256, 2000, 3
 #: Candidate texts up to this many are marked by a broadcast of their keys, beyond it by a shuffle join.
 BROADCAST_KEYS = 1_000_000
 _A, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_POWERS = np.array([_A, 1, 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,7 +78,8 @@ def shingles(text: bytes, words: Words, size: int = WORDS) -> np.ndarray:
 
 def set_key(s: np.ndarray) -> int:
     """A 64-bit key of a set, signed."""
-    return int(mix(np.array([s.sum(dtype=np.uint64) + np.bitwise_xor.reduce(mix(s + _A), initial=np.uint64(0)) * _A + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    parts = np.array([s.sum(dtype=np.uint64), (s * s).sum(dtype=np.uint64), len(s)], np.uint64) * _POWERS
+    return int(mix(parts.sum(keepdims=True)).view(np.int64)[0])
 
 
 def bands(longest: int) -> list[tuple[int, int]]:
@@ -131,7 +133,7 @@ class Signer:
             if len(self.bands) <= i:
                 self.bands = bands(4 * self.bands[-1][1])
             n1, n2, k2, need = scheme(*self.bands[i])
-            code = mix((np.arange(n1 * 3, dtype=np.uint64) + np.uint64(1)) * _A + np.uint64(i) * _M1)
+            code = mix((np.arange(n1 * 3, dtype=np.uint64) + np.uint64(1)) * _A + np.array([i], np.uint64) * _M1)
             self.plans[i] = (n1, n2, need, _edges(n1 * n2), code)
         return self.plans[i]
 
@@ -139,7 +141,7 @@ class Signer:
         """s: a set in order. Its signatures, none for sets of up to 5 features."""
         if len(s) < 6:
             return np.empty(0, np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + _M2), dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)])
         out, own = [], self.band(len(s))
         for i in (own, own + 1):
             n1, n2, need, edges, code = self.plan(i)
@@ -158,7 +160,8 @@ class Signer:
 
 
 def _histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16).tobytes()
+    """Counts in bins by the low bits; held at 255, which only lowers the bound."""
+    return np.minimum(np.bincount(s.astype(np.uint8), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 FOUND = "part int, doc_id bigint, text_key bigint, n bigint, node bigint, hist binary, nodes binary, sigs binary"
@@ -211,7 +214,7 @@ def _batch(*columns: list) -> pa.RecordBatch:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents pass through; the packed signatures of the partition become bucket members: part -1, node, n: the
-    bucket's key, text_key: its smallest node. A bucket is named by its members, so it leaves once."""
+    bucket's key. A bucket is named by its members, so it leaves once."""
     sigs, nodes = [], []
     for b in batches:
         packed = b.column(7).is_valid().to_numpy(zero_copy_only=False)
@@ -242,7 +245,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = member[lo : lo + 200_000]
             owner = np.repeat(np.arange(len(r)), count[r])[lo : lo + 200_000]
             none = pa.nulls(len(m), pa.binary())
-            cols = [pa.array(np.full(len(m), -1, np.int32)), pa.nulls(len(m), pa.int64()), pa.array(node[start[r]][owner]), pa.array(key[r].view(np.int64)[owner]), pa.array(node[m]), none, none, none]
+            cols = [pa.array(np.full(len(m), -1, np.int32)), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.int64()), pa.array(key[r].view(np.int64)[owner]), pa.array(node[m]), none, none, none]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -260,12 +263,28 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                ha, hb = (np.frombuffer(b"".join(f[c]), np.uint16).reshape(-1, BINS).astype(np.int32) for c in ("ha", "hb"))
+                ha, hb = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("ha", "hb"))
                 yield f.loc[_close(f.na.to_numpy(), f.nb.to_numpy(), np.abs(ha - hb).sum(1)), ["a", "b"]]
 
     return sized.mapInPandas(run, "a bigint, b bigint")
 
 
+def _open(sized: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members, with their components, of the buckets of three sets or more that hold several components."""
+    told = sized.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    several = told.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    return staged(told.join(several, "bucket", "left_semi"), "jaccard-open")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b): in each bucket the best set, outside the best one's component if there are several, with all others outside its own."""
+    first = members.groupBy("bucket").agg(F.max(F.struct("rank", "comp")).alias("best"))
+    rest = members.join(first, "bucket").where("comp <> best.comp").groupBy("bucket").agg(F.max(F.struct("rank", "comp")).alias("second"))
+    pick = first.join(rest, "bucket", "left").select("bucket", F.explode(F.array_compact(F.array("best", "second"))).alias("hub"))
+    pairs = members.join(pick, "bucket").where("comp <> hub.comp").select("node", F.col("hub.rank.node").alias("hub"))
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _across(dirty: DataFrame) -> DataFrame:
     """dirty: (bucket, node, comp, n, hist, blocks). Pairs across components of a bucket that sizes and bins allow."""
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -274,7 +293,7 @@ def _across(dirty: DataFrame) -> DataFrame:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         lo, hi = f.lo.iloc[0], f.hi.iloc[0]
-        h = np.frombuffer(b"".join(f["hist"]), np.uint16).reshape(-1, BINS).astype(np.int32)
+        h = np.frombuffer(b"".join(f["hist"]), np.uint8).reshape(-1, BINS).astype(np.int16)
         node, comp, n, own = f.node.to_numpy(), f.comp.to_numpy(), f.n.to_numpy(), f.own.to_numpy()
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         out = []
@@ -292,7 +311,7 @@ def _across(dirty: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, features) of the wanted nodes, from one document of each."""
-    keys = nodes.join(wanted, "node", "left_semi").select("at.*").distinct()
+    keys = nodes.join(wanted, "node", "left_semi").select("at.doc_id", "at.text_key").distinct()
     keys = staged(keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "jaccard-keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
@@ -336,21 +355,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
     found = staged(docs.mapInArrow(_sign(parts), FOUND).repartition(parts, "part").mapInArrow(_buckets, FOUND), "jaccard")
     rows = found.where("part >= 0").select("doc_id", "text_key", "n", "node", "hist")
-    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-nodes")
-    members = found.where("part = -1").select(F.col("n").alias("bucket"), "node", F.col("text_key").alias("rep")).distinct()
-    members = staged(members, "jaccard-members")
-
-    star = members.where("rep <> node").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-    links = _verified(docs, nodes, _possible(star, nodes))
-    comps = components(links)
-
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 2")
-    told = members.join(sizes, "bucket").join(comps, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("comp"))
-    mixed = told.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    dirty = told.join(mixed, "bucket", "left_semi").join(nodes.select("node", "n", "hist"), "node")
-    more = _across(dirty.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))).join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(docs, nodes, more))
-    comps = components(links)
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-nodes")
+    members = staged(found.where("part = -1").select(F.col("n").alias("bucket"), "node").distinct(), "jaccard-members")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    sized = members.join(sizes, "bucket")
+    # the set in the largest and most buckets is the least changed copy of a group
+    score = sized.groupBy("node").agg(F.sum("size").alias("score"))
+    sized = staged(sized.join(score, "node").select("bucket", "node", "size", F.struct("score", "node").alias("rank")), "jaccard-sized")
+
+    links, tested, comps = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "node bigint, root bigint")
+    for turn in range(ROUNDS):
+        star = staged(_stars(_open(sized, comps) if turn else sized.withColumn("comp", F.col("node"))), "jaccard-stars")
+        new = star.join(tested, ["a", "b"], "left_anti") if turn else star
+        links = links.unionByName(_verified(docs, nodes, _possible(new, nodes)))
+        tested, comps = tested.unionByName(star).distinct(), components(links)
+    dirty = _open(sized, comps).join(nodes.select("node", "n", "hist"), "node").drop("rank")
+    more = _across(dirty.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))).join(tested, ["a", "b"], "left_anti")
+    comps = components(links.unionByName(_verified(docs, nodes, more)))
 
     # one row per set: its component, named by the smallest doc_id of all its sets
     named = nodes.select("node", F.col("at.doc_id").alias("least_id")).join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
