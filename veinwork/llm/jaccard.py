@@ -57,7 +57,7 @@ class Words(dict):
     """Hashes of words, remembered within a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -198,7 +198,7 @@ def _sign(parts: int):
                     size += len(sig)
             none = [None] * len(ids)
             yield _batch([k % parts for k in node], ids, keys, n, node, hist, none, none)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield packed()
                 held, size = ([], []), 0
         if size:
