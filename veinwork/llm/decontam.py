@@ -133,8 +133,9 @@ def stretch(same: np.ndarray, least: int) -> tuple[int, int, int]:
     best = (0, 0, 0)
     for s in at:
         e = int(np.searchsorted(-top, -balance[s] + 1e-9, "right")) - 1
+        e = int(at[np.searchsorted(at, e) - 1]) + 1
         if e - s >= least and e - s > best[0]:
-            best = (e - s, int(same[s:e].sum()), int(s))
+            best = (int(e - s), int(same[s:e].sum()), int(s))
     return best
 
 
