@@ -68,3 +68,9 @@ def complete_once(expected: DataFrame, tested: DataFrame, key: str) -> DataFrame
 def isolated(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
     """Groups that several folds share."""
     return df.groupBy(group).agg(F.countDistinct(fold).alias("folds")).where("folds > 1")
+
+
+def assert_complete(expected: DataFrame, tested: DataFrame, key: str) -> None:
+    from .joins import assert_empty
+
+    assert_empty(complete_once(expected, tested, key), f"rows of {key} not tested exactly once")

@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL, by name."""
 
-from . import aggregates, columns, decisions, joins, raster
+from . import aggregates, columns, decisions, joins, modelling, raster
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "decisions", "joins", "raster"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "decisions", "joins", "modelling", "raster"]
