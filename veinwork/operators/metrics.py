@@ -58,9 +58,9 @@ def ranking(df: DataFrame, keys: list[str], y: str = "y", score: str = "score",
     d = by_score(df, keys, y, score, weight)
     wins = F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)
     gain = F.when(F.col("pos") > 0, F.col("pos") * (F.col("pos_above") + F.col("pos")) / (F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")))
-    out = d.groupBy(*keys).agg(F.sum(wins).alias("w"), F.sum(gain).alias("g"), F.max("pos_all").alias("p"), F.max("neg_all").alias("q"))
-    both = (F.col("p") > 0) & (F.col("q") > 0)
-    return out.select(*keys, F.when(both, F.col("w") / (F.col("p") * F.col("q"))).alias("auc"), F.when(both, F.col("g") / F.col("p")).alias("ap"))
+    out = d.groupBy(*keys).agg(F.sum(wins).alias("__w"), F.sum(gain).alias("__g"), F.max("pos_all").alias("__p"), F.max("neg_all").alias("__q"))
+    both = (F.col("__p") > 0) & (F.col("__q") > 0)
+    return out.select(*keys, F.when(both, F.col("__w") / (F.col("__p") * F.col("__q"))).alias("auc"), F.when(both, F.col("__g") / F.col("__p")).alias("ap"))
 
 
 def reliability(df: DataFrame, keys: list[str], bins: int = 10, y: str = "y", score: str = "score") -> DataFrame:
@@ -95,4 +95,4 @@ def operating_threshold(df: DataFrame, keys: list[str], y: str = "y", score: str
     recall, spec = F.col("tp") / F.col("pos_all"), 1 - F.col("fp") / F.col("neg_all")
     f1 = 2 * F.col("tp") / (F.col("pos_all") + F.col("tp") + F.col("fp"))
     key = F.struct(F.round((recall + spec) / 2, 12).alias("balanced_accuracy"), F.round(f1, 12).alias("f1"), F.round(recall, 12).alias("recall"), F.round(-F.abs(F.col("threshold") - 0.5), 12).alias("near"), (-F.col("threshold")).alias("low"))
-    return c.groupBy(*keys).agg(F.max(key).alias("k")).select(*keys, (-F.col("k.low")).alias("threshold"), "k.balanced_accuracy", "k.f1", "k.recall")
+    return c.groupBy(*keys).agg(F.max(key).alias("k")).where("k is not null").select(*keys, (-F.col("k.low")).alias("threshold"), "k.balanced_accuracy", "k.f1", "k.recall")

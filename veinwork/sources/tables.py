@@ -36,9 +36,9 @@ def missing_core(columns: list[str]) -> list[str]:
 
 
 def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) by file: UTF-8 where all bytes are, else cp1252."""
+    """(path, encoding) by file: UTF-8 where all bytes are, else ISO-8859-1, the one-byte charset that Spark reads."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.when(F.call_function("is_valid_utf8", F.col("content").cast("string")), "UTF-8").otherwise("windows-1252").alias("encoding"))
+    return files.select("path", F.when(F.call_function("is_valid_utf8", F.col("content").cast("string")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def read_exports(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
