@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL, by name."""
 
-from . import aggregates, columns, decisions, joins, modelling, raster
+from . import aggregates, columns, decisions, joins, modelling, raster, studies
 from .registry import ORACLES, QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "decisions", "joins", "modelling", "oracles", "raster"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "decisions", "joins", "modelling", "oracles", "raster", "studies"]
