@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op2_spaced_seeds
 from .jaccard import op3_partenum_join
 from .mixing import OP1_SQL, op1_pareto_mix
+from .oracles import OP3_SQL, OP8_SQL
 from .pii import op6_feistel_pseudonyms
 from .quality import op8_quality_rules
 from .rollups import op10_token_rollups
@@ -27,5 +28,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
+    "op3_partenum_join": OP3_SQL,
     "op7_capture_index": OP7_SQL,
+    "op8_quality_rules": OP8_SQL,
 }
