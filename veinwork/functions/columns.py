@@ -56,7 +56,7 @@ def first_number(*columns: Column | str) -> Column:
 
 
 def clean_text(x: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.translate(_c(x), " ", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(_c(x), "\u00a0", " "), r"\s+", " "))
 
 
 def material_code(x: Column | str) -> Column:

@@ -18,7 +18,7 @@ ALIASES = {
 
 
 def header_key(name: str) -> str:
-    return re.sub(r"[\s_\-]", "", name.replace(" ", " ")).upper()
+    return re.sub(r"[\s_\-]", "", name.replace("\u00a0", " ")).upper()
 
 
 def column_map(columns: list[str]) -> dict[str, str]:
