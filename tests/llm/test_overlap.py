@@ -94,6 +94,46 @@ def test_similar_sets_share_a_signature(size):
             assert len(s) == same == len(t) or set(signer.signatures(s).tolist()) & set(signer.signatures(t).tolist())
 
 
+def brute_at(rows, length, num):
+    """Sets of ids linked, by shingles of length words and a similarity of num / 100."""
+    sets = [(i, frozenset(tuple(w[k : k + length]) for k in range(max(1, len(w) - length + 1)))) for i, w in ((i, t.split()) for i, t in rows)]
+    link = {i: {i} for i, _ in sets}
+    for i, x in sets:
+        for j, y in sets:
+            if link[i] is not link[j] and 100 * len(x & y) >= num * len(x | y):
+                both = link[i] | link[j]
+                for k in both:
+                    link[k] = both
+    return {i: min(g) for i, g in link.items()}
+
+
+def test_other_shingles_and_thresholds(table):
+    base = words(31, 50).split()
+    rows = [(i, edited(words(2000 + i // 4, [8, 24, 50, 120][i // 4 % 4]), i % 4, i)) for i in range(64)]
+    rows += [(100, " ".join(base)), (101, " ".join([*base[:20], "zzz", *base[21:]])), (102, " ".join([*base, *words(32, 11).split()]))]
+    d = table([(i, t, "en", "s") for i, t in rows])
+    got = {}
+    for length, num in ((4, 85), (5, 80)):
+        got[num] = {r.doc_id: r.component_id for r in jaccard.groups(d, words=length, num=num).collect()}
+        assert got[num] == brute_at(rows, length, num)
+    assert got[85][101] == 101 and got[80][101] == got[80][102] == 100
+    assert {r.doc_id for r in jaccard.one_of_each(d, words=5, num=80).collect()} == set(got[80].values())
+
+
+@pytest.mark.parametrize("size", [4, 5, 6, 9, 13, 30, 100, 400])
+def test_similar_sets_share_a_signature_at_four_fifths(size):
+    r = np.random.default_rng(size)
+    signer = jaccard.Signer(80, 100)
+    for _ in range(60):
+        s = np.unique(r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, size, dtype=np.uint64))
+        for drop in range(1, size):
+            t = np.unique(np.concatenate([s[drop // 2 :] if drop else s, r.integers(0, 2**63, drop - drop // 2, dtype=np.uint64)]))
+            same = len(np.intersect1d(s, t))
+            if 100 * same < 80 * (len(s) + len(t) - same):
+                break
+            assert set(signer.signatures(s).tolist()) & set(signer.signatures(t).tolist())
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(path).collect()}

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds the hashes of its distinct 4-word shingles. Sets fall into size bands so narrow that sets
-of Jaccard similarity >= 0.85 are in the same or neighbouring bands, and then differ in at most k features, k fixed
+A document's set holds the hashes of its distinct shingles (op3: of 4 words). Sets fall into size bands so narrow that
+sets similar enough (op3: Jaccard similarity >= 0.85) are in the same or neighbouring bands, and then differ in at most k features, k fixed
 for a band. The feature domain is cut by hash into n1 groups of n2 parts; a signature is the content of n2 - k2
 parts of one group, for every such subset. Two sets with at most k differences have a group with at most k2 of
 them, so they share a signature. A set whose own content leaves too many groups thin (an empty subset could then
@@ -18,8 +18,8 @@ and the next one.
 
 So no link between different sets is lost and none is made without verification.
 
-Cases: null or blank text has an empty set, linked with nothing; shorter than four words, the whole sequence is one
-shingle; sets of up to 6 shingles link only when equal; repeated rows and ids are documents like any other (a
+Cases: null or blank text has an empty set, linked with nothing; shorter than a shingle, the whole sequence is one
+shingle; sets of fewer than num / (den - num) shingles (op3: up to 5) link only when equal; repeated rows and ids are documents like any other (a
 component's id is its smallest non-null doc_id); an empty table gives no rows; extra columns are ignored.
 Sets count as equal when size and 64-bit hash agree.
 """
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import read_table, staged
 from .components import components
 
+#: op3's shingle length and least similarity, NUM / DEN; groups() and one_of_each() take others.
 WORDS, NUM, DEN = 4, 85, 100
 BINS, BLOCK, ROUNDS = 256, 2000, 3
 #: Candidate texts up to this many are marked by a broadcast of their keys, beyond it by a shuffle join.
@@ -82,21 +83,26 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(parts.sum(keepdims=True)).view(np.int64)[0])
 
 
-def bands(longest: int) -> list[tuple[int, int]]:
-    out, lo = [], 6
+def smallest(num: int = NUM, den: int = DEN) -> int:
+    """The least size at which two different sets can be linked."""
+    return -(-num // (den - num))
+
+
+def bands(longest: int, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    out, lo = [], smallest(num, den)
     while lo <= longest:
-        hi = lo * DEN // NUM
+        hi = lo * den // num
         out.append((lo, hi))
         lo = hi + 1
     return out
 
 
-def scheme(lo: int, hi: int) -> tuple[int, int, int, int]:
+def scheme(lo: int, hi: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int, int]:
     """(n1, n2, k2, need) of a band: need good groups make a set safe. n1 leaves so few sets unsafe as 1 in 10^4, or as can be."""
-    k = 2 * hi * (DEN - NUM) // (DEN + NUM)
+    k = 2 * hi * (den - num) // (den + num)
     k2, n2 = 1, (3 if k < 24 else 2)
     need, best = k // (k2 + 1) + 1, None
-    least = max(1, lo * NUM // DEN)  # the smallest sets that emit for this band come from the one below
+    least = max(1, lo * num // den)  # the smallest sets that emit for this band come from the one below
     for n1 in range(need, 2 * need + 3):
         empty = math.exp(-least / (n1 * n2))
         bad = 1 - ((1 - empty) ** 2 if n2 == 2 else (1 - empty) ** 3 + 3 * empty * (1 - empty) ** 2)
@@ -119,27 +125,28 @@ def _edges(parts: int) -> np.ndarray:
 
 
 class Signer:
-    def __init__(self) -> None:
+    def __init__(self, num: int = NUM, den: int = DEN) -> None:
+        self.num, self.den, self.least = num, den, smallest(num, den)
         self.bands: list[tuple[int, int]] = []
         self.plans: dict[int, tuple] = {}
 
     def band(self, n: int) -> int:
         if not self.bands or self.bands[-1][1] < n:
-            self.bands = bands(2 * n)
+            self.bands = bands(2 * n, self.num, self.den)
         return int(np.searchsorted([hi for _, hi in self.bands], n))
 
     def plan(self, i: int) -> tuple:
         if i not in self.plans:
             if len(self.bands) <= i:
-                self.bands = bands(4 * self.bands[-1][1])
-            n1, n2, k2, need = scheme(*self.bands[i])
+                self.bands = bands(4 * self.bands[-1][1], self.num, self.den)
+            n1, n2, k2, need = scheme(*self.bands[i], self.num, self.den)
             code = mix((np.arange(n1 * 3, dtype=np.uint64) + np.uint64(1)) * _A + np.array([i], np.uint64) * _M1)
             self.plans[i] = (n1, n2, need, _edges(n1 * n2), code)
         return self.plans[i]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """s: a set in order. Its signatures, none for sets of up to 5 features."""
-        if len(s) < 6:
+        """s: a set in order. Its signatures, none for sets that only equal ones are linked with."""
+        if len(s) < self.least:
             return np.empty(0, np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)])
         out, own = [], self.band(len(s))
@@ -167,9 +174,9 @@ def _histogram(s: np.ndarray) -> bytes:
 FOUND = "part int, doc_id bigint, text_key bigint, n bigint, node bigint, hist binary, nodes binary, sigs binary"
 
 
-def _sign(parts: int):
+def _sign(parts: int, length: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, signer, seen = Words(), Signer(), set()
+        words, signer, seen = Words(), Signer(num, den), set()
         held: tuple[list, list] = ([], [])
         size = 0
 
@@ -186,7 +193,7 @@ def _sign(parts: int):
         for b in batches:
             ids, keys, n, node, hist = b.column(0).to_pylist(), b.column(2).to_pylist(), [], [], []
             for text in b.column(1):
-                s = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"", words)
+                s = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"", words, length)
                 n.append(len(s))
                 node.append(key := set_key(s))
                 hist.append(_histogram(s))
@@ -249,22 +256,22 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
-def _close(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Can sets of these sizes that differ in apart features or more be linked? 185 * apart <= 15 * (n_a + n_b)."""
-    return (DEN + NUM) * apart <= (DEN - NUM) * (n_a + n_b)
+def _close(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Can sets of these sizes that differ in apart features or more be linked? For op3: 185 * apart <= 15 * (n_a + n_b)."""
+    return (den + num) * apart <= (den - num) * (n_a + n_b)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) whose sizes and bins allow a link."""
     one = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("hist").alias("h" + x))
     # the size bound alone, before the bins are looked at
-    sized = pairs.join(one("a"), "a").join(one("b"), "b").where(((DEN + NUM) * F.abs(F.col("na") - F.col("nb"))) <= (DEN - NUM) * (F.col("na") + F.col("nb")))
+    sized = pairs.join(one("a"), "a").join(one("b"), "b").where(((den + num) * F.abs(F.col("na") - F.col("nb"))) <= (den - num) * (F.col("na") + F.col("nb")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 ha, hb = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("ha", "hb"))
-                yield f.loc[_close(f.na.to_numpy(), f.nb.to_numpy(), np.abs(ha - hb).sum(1)), ["a", "b"]]
+                yield f.loc[_close(f.na.to_numpy(), f.nb.to_numpy(), np.abs(ha - hb).sum(1), num, den), ["a", "b"]]
 
     return sized.mapInPandas(run, "a bigint, b bigint")
 
@@ -285,7 +292,7 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _across(dirty: DataFrame) -> DataFrame:
+def _across(dirty: DataFrame, num: int, den: int) -> DataFrame:
     """dirty: (bucket, node, comp, n, hist, blocks). Pairs across components of a bucket that sizes and bins allow."""
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = dirty.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -299,9 +306,9 @@ def _across(dirty: DataFrame) -> DataFrame:
         out = []
         for i in left:
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if lo == hi else True)]
-            j = j[_close(n[i], n[j], np.abs(n[i] - n[j]))]
+            j = j[_close(n[i], n[j], np.abs(n[i] - n[j]), num, den)]
             if len(j):
-                j = j[_close(n[i], n[j], np.abs(h[j] - h[i]).sum(1))]
+                j = j[_close(n[i], n[j], np.abs(h[j] - h[i]).sum(1), num, den)]
                 out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
         p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
@@ -309,7 +316,7 @@ def _across(dirty: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(node, features) of the wanted nodes, from one document of each."""
     keys = nodes.join(wanted, "node", "left_semi").select("at.doc_id", "at.text_key").distinct()
     keys = staged(keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "jaccard-keys")
@@ -320,17 +327,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(0)]
+            sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words, length) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "features"])
 
     return staged(chosen.mapInArrow(run, "node bigint, features binary").dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, length: int, num: int, den: int) -> DataFrame:
     """The (a, b) of pairs that are links."""
     pairs = staged(pairs, "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes, ends)
+    sets = _sets(docs, nodes, ends, length)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,20 +347,20 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             for x, y in zip(t["fa"], t["fb"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(DEN * same >= NUM * (len(x) + len(y) - same))
+                ok.append(den * same >= num * (len(x) + len(y) - same))
             t = t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
             yield from t.to_batches()
 
     return staged(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for every row of docs."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for every row of docs; links take a similarity of num / den or more of shingles of so many words."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
-    found = staged(docs.mapInArrow(_sign(parts), FOUND).repartition(parts, "part").mapInArrow(_buckets, FOUND), "jaccard")
+    found = staged(docs.mapInArrow(_sign(parts, words, num, den), FOUND).repartition(parts, "part").mapInArrow(_buckets, FOUND), "jaccard")
     rows = found.where("part >= 0").select("doc_id", "text_key", "n", "node", "hist")
     nodes = staged(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-nodes")
     members = staged(found.where("part = -1").select(F.col("n").alias("bucket"), "node").distinct(), "jaccard-members")
@@ -367,11 +374,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for turn in range(ROUNDS):
         star = staged(_stars(_open(sized, comps) if turn else sized.withColumn("comp", F.col("node"))), "jaccard-stars")
         new = star.join(tested, ["a", "b"], "left_anti") if turn else star
-        links = links.unionByName(_verified(docs, nodes, _possible(new, nodes)))
+        links = links.unionByName(_verified(docs, nodes, _possible(new, nodes, num, den), words, num, den))
         tested, comps = tested.unionByName(star).distinct(), components(links)
     dirty = _open(sized, comps).join(nodes.select("node", "n", "hist"), "node").drop("rank")
-    more = _across(dirty.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))).join(tested, ["a", "b"], "left_anti")
-    comps = components(links.unionByName(_verified(docs, nodes, more)))
+    more = _across(dirty.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), num, den).join(tested, ["a", "b"], "left_anti")
+    comps = components(links.unionByName(_verified(docs, nodes, more, words, num, den)))
 
     # one row per set: its component, named by the smallest doc_id of all its sets
     named = nodes.select("node", F.col("at.doc_id").alias("least_id")).join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -381,9 +388,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of repeated rows of one id, one stays."""
-    out = staged(groups(docs, id_col, text_col), "jaccard-groups")
+    out = staged(groups(docs, id_col, text_col, words, num, den), "jaccard-groups")
     drop = out.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     kept = docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
     if out.groupBy("doc_id").count().where("count > 1").limit(1).count():
