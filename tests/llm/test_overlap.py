@@ -120,6 +120,14 @@ def test_other_shingles_and_thresholds(table):
     assert {r.doc_id for r in jaccard.one_of_each(d, words=5, num=80).collect()} == set(got[80].values())
 
 
+def test_rows_without_ids_and_with_shared_ids(table):
+    a, b, c, e = (words(600 + k, 40) for k in range(4))
+    rows = [(3, a), (7, b), (7, a), (8, c), (8, e), (None, words(700, 40)), (None, words(701, 40)), (None, a), (None, words(702, 40)), (None, words(702, 40)), (9, ""), (9, ""), (None, " "), (None, " ")]
+    want = [(3, a), (7, b), (8, c), (8, e), (None, words(700, 40)), (None, words(701, 40)), (None, words(702, 40)), (9, ""), (None, " "), (None, " ")]
+    got = jaccard.one_of_each(table([(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("size", [4, 5, 6, 9, 13, 30, 100, 400])
 def test_similar_sets_share_a_signature_at_four_fifths(size):
     r = np.random.default_rng(size)

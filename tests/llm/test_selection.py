@@ -65,6 +65,21 @@ def test_mixed_rows_repeat_as_planned(docs):
     assert out.columns == docs.columns and out.count() == plan
 
 
+def test_equal_ids_are_drawn_no_more_than_their_share(table):
+    # one source of weight 1, one of weight 2: no stratum's draw is a whole number of its rows
+    text = lambda i: "w " * 9 + (f"w{i}" if i % 2 else "same")
+    d = table([(None if i % 3 else i % 7, text(i), "en", f"s{i % 2}") for i in range(1200)])
+    out = rows_of(mixing.plan(d))
+    assert len(out) == 1200
+    taken, mixed = Counter(), Counter()
+    for r in out:
+        taken[r["source"]] += r["taken"]
+    for r in mixing.mixed(d).collect():
+        mixed[r.source] += 10
+    target = {r["source"]: r["target"] for r in out}
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target) and mixed == taken
+
+
 def test_quality_metrics_and_base(docs):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     by = defaultdict(list)

@@ -20,7 +20,7 @@ So no link between different sets is lost and none is made without verification.
 
 Cases: null or blank text has an empty set, linked with nothing; shorter than a shingle, the whole sequence is one
 shingle; sets of fewer than num / (den - num) shingles (op3: up to 5) link only when equal; repeated rows and ids are documents like any other (a
-component's id is its smallest non-null doc_id); an empty table gives no rows; extra columns are ignored.
+component's id is its smallest non-null doc_id; one_of_each() judges rows by id and text); an empty table gives no rows; extra columns are ignored.
 Sets count as equal when size and 64-bit hash agree.
 """
 
@@ -354,8 +354,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, length: int,
     return staged(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for every row of docs; links take a similarity of num / den or more of shingles of so many words."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_key, n and at (none, doc_id, text_key) for every row of docs: the first row of its component by id, nulls last, and text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -380,21 +380,41 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     more = _across(dirty.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), num, den).join(tested, ["a", "b"], "left_anti")
     comps = components(links.unionByName(_verified(docs, nodes, more, words, num, den)))
 
-    # one row per set: its component, named by the smallest doc_id of all its sets
-    named = nodes.select("node", F.col("at.doc_id").alias("least_id")).join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(roots, "root").select("node", "component_id")
-    out = rows.join(of_set, "node")
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # one row per set: its component's first row
+    named = nodes.select("node", "at").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = named.groupBy("root").agg(F.min("at").alias("at"))
+    return rows.join(named.select("node", "root").join(roots, "root").select("node", "at"), "node").select("doc_id", "text_key", "n", "at")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for every row of docs; links take a similarity of num / den or more of shingles of so many words."""
+    out = _grouped(docs, id_col, text_col, words, num, den)
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("at.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of docs whose id (null like any other) and text are among those of rows (how: left_semi), or are not (left_anti)."""
+    rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    if rows.count() <= BROADCAST_KEYS:
+        rows = F.broadcast(rows)
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(rows, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (key == F.col("__key")), how)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of repeated rows of one id, one stays."""
-    out = staged(groups(docs, id_col, text_col, words, num, den), "jaccard-groups")
-    drop = out.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
-    if out.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
+    """docs with one row of each component, the first by doc_id (nulls last) and text; of repeated rows (equal id and text), one stays.
+    Rows are told apart by id and text, so rows that share an id, or have none, are judged each by its own text. Of texts
+    without words only repeated rows go."""
+    out = staged(_grouped(docs, id_col, text_col, words, num, den), "jaccard-groups")
+    first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_key") == F.col("at.text_key"))
+    kept = _of(docs, staged(out.where((F.col("n") > 0) & ~first).select("doc_id", "text_key").distinct(), "jaccard-drop"), id_col, text_col, "left_anti")
+    stays = out.where((F.col("n") > 0) & first | (F.col("n") == 0) & F.col("doc_id").isNotNull())
+    repeated = staged(stays.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "jaccard-repeated")
+    if repeated.limit(1).count():
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+        many = _of(kept, repeated, id_col, text_col, "left_semi").select(whole, F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"))
+        one = many.groupBy("__id", "__key").agg(F.first("__row").alias("__row")).select("__row.*")
+        kept = _of(kept, repeated, id_col, text_col, "left_anti").unionByName(one)
     return kept
 
 

@@ -8,10 +8,11 @@ octave wide or less, so that a fixed number of documents is a nearly fixed numbe
 down, n is the nearest whole number for the band's expected words plus what the bands before it missed.
 
 A stratum's n-th smallest rank is found from counts of about sqrt(N) bins and the rows of one bin, so no group
-is ranked in one task. All sums are of whole numbers (fractions count in 2^-20), so reruns agree.
+is ranked in one task. Equal ranks (equal or null ids) are broken by a hash of the whole row, found alike; rows that
+are equal in all columns are counted and not told apart. All sums are of whole numbers (fractions count in 2^-20), so reruns agree.
 
 Cases: null text has no words; a document without words is never taken; null source is a source of its own, last
-in order; null ids share one draw, and so do repeated ids of a stratum; an empty table gives no rows; extra columns
+in order; null ids share one random number, and so do repeated ids, but no stratum takes more rows than it draws; an empty table gives no rows; extra columns
 are ignored by plan() and kept by mixed().
 """
 
@@ -94,14 +95,35 @@ def _cuts(rows: DataFrame) -> DataFrame:
     bins = binned.groupBy("sid", "band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("take").alias("take"))
     bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
     edge = bins.where("before < take and take <= before + c").select("sid", "band", "bin", (F.col("take") - F.col("before")).alias("nth"))
-    in_bin = Window.partitionBy("sid", "band", "bin").orderBy("rank")
-    at = binned.select("sid", "band", "bin", "rank").join(edge, ["sid", "band", "bin"]).withColumn("r", F.row_number().over(in_bin))
-    return staged(at.where("r = nth").select("sid", "band", F.col("rank").alias("cut")), "mix-cuts")
+    cuts = staged(_nth(binned.join(edge, ["sid", "band", "bin"]), "rank").select("sid", "band", F.col("at").alias("cut"), "left", "ties"), "mix-ranks")
+    # the rows at the cut, where not all are drawn, again by bins, of their hashes
+    tied = part.join(cuts.where("left < ties"), ["sid", "band"]).where("rank = cut")
+    tied = tied.withColumn("bin", F.floor((F.col("tie") / float(1 << 64) + 0.5) * F.ceil(F.sqrt("ties"))).cast("int"))
+    bins = tied.groupBy("sid", "band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("left").alias("left"))
+    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    edge = bins.where("before < left and left <= before + c").select("sid", "band", "bin", (F.col("left") - F.col("before")).alias("nth"))
+    ends = _nth(tied.select("sid", "band", "bin", "tie").join(edge, ["sid", "band", "bin"]), "tie")
+    ends = ends.select("sid", "band", F.col("at").alias("cut_tie"), F.col("left").alias("equal_left"), F.col("ties").alias("equal_rows"))
+    return staged(cuts.select("sid", "band", "cut").join(ends, ["sid", "band"], "left"), "mix-cuts")
+
+
+def _nth(rows: DataFrame, value: str) -> DataFrame:
+    """rows: (sid, band, bin, nth, value). at: each bin's nth smallest value; ties: the rows that have it; left: how many of them are among the first nth."""
+    counts = rows.groupBy("sid", "band", "bin", value).agg(F.count(F.lit(1)).alias("ties"), F.first("nth").alias("nth"))
+    ahead = Window.partitionBy("sid", "band", "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("ties").over(ahead), F.lit(0)))
+    return counts.where("before < nth and nth <= before + ties").select("sid", "band", F.col(value).alias("at"), (F.col("nth") - F.col("before")).alias("left"), "ties")
+
+
+def row_hash(columns: list[tuple[str, str]], column=lambda c: F.col(f"`{c}`")) -> Column:
+    """A hash of all columns, given as (name, type); which are null counts, too."""
+    parts = [F.to_json(F.struct(column(c))) if "map<" in kind else column(c) for c, kind in columns]
+    return F.xxhash64(*parts, F.concat(*(column(c).isNull().cast("string") for c, _ in columns)))
 
 
 def _measure(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("weight"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("weight"), row_hash(docs.dtypes).alias("tie"))
 
 
 def _sources(slim: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -112,10 +134,20 @@ def _sources(slim: DataFrame, weights: tuple[int, ...]) -> DataFrame:
 
 
 def _copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    cuts = cuts.select(F.col("sid").alias("__sid"), F.col("band").alias("__band"), "cut")
-    drawn = F.coalesce((F.col("rank") <= F.col("cut")).cast("long"), F.lit(0))
+    settled = cuts.where("equal_left < equal_rows").limit(1).count() == 0
+    cuts = cuts.select(F.col("sid").alias("__sid"), F.col("band").alias("__band"), "cut", "cut_tie", "equal_left", "equal_rows")
     joined = rows.join(cuts, (F.col("sid") == F.col("__sid")) & (F.col("band") == F.col("__band")), "left")
-    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + drawn).otherwise(0).cast("long"))
+    before = (F.col("rank") < F.col("cut")) | (F.col("rank") == F.col("cut")) & (F.col("cut_tie").isNull() | (F.col("tie") <= F.col("cut_tie")))
+    copies = lambda drawn: F.when(F.col("size") > 0, F.col("whole") + drawn).otherwise(0).cast("long")
+    drawn = joined.withColumn("copies", copies(F.coalesce(before.cast("long"), F.lit(0))))
+    if settled:
+        return drawn
+    # equal rows of which some are drawn: one of each stratum's stands for all
+    split = F.coalesce((F.col("rank") == F.col("cut")) & (F.col("tie") == F.col("cut_tie")) & (F.col("equal_left") < F.col("equal_rows")), F.lit(False))
+    one = joined.where(split).groupBy("__sid", "__band").agg(F.first(F.struct(*joined.columns)).alias("__one")).select("__one.*")
+    each = one.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("equal_rows").cast("int"))))
+    each = each.withColumn("copies", copies((F.col("__i") <= F.col("equal_left")).cast("long"))).drop("__i")
+    return drawn.where(~split).unionByName(each)
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -136,7 +168,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cuts = _cuts(_expect(measured))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     row = lambda c: F.col("__row").getField(c)
-    whole = whole.select("__row", row(source_col).alias("source"), word_count(row(text_col)).alias("size"), F.lit(1.0).alias("weight"), uniform(row(id_col)).alias("u"))
+    whole = whole.select("__row", row(source_col).alias("source"), word_count(row(text_col)).alias("size"), F.lit(1.0).alias("weight"), uniform(row(id_col)).alias("u"), row_hash(docs.dtypes, row).alias("tie"))
     out = _copies(_expect(whole.join(sources, F.col("source").eqNullSafe(F.col("__source")))), cuts).where("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("__row.*")
 
