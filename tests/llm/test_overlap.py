@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -175,6 +176,31 @@ def test_passages_are_found_through_substitutions(spark, table, docs, no_docs):
     assert decontam.overlaps(no_docs, bench).count() == 0 and decontam.overlaps(docs, bench.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("size", range(12, 24))
+def test_masks_cover_every_accepted_window(size):
+    places = np.array(list(combinations(range(size), size // 4)), np.int64)
+    same = (1 << size) - 1 - (np.int64(1) << places).sum(1)
+    hit = np.zeros(len(same), bool)
+    for mask in decontam.MASKS:
+        bits = sum(1 << p for p in mask)
+        for at in range(size - mask[-1]):
+            hit |= (same >> at) & bits == bits
+    assert hit.all()
+
+
+def test_all_substitutions_that_the_rule_accepts_are_found():
+    item, cores = words(4711, 15), decontam.Cores()
+    index, w, accepted = decontam.Index([(1, item)]), item.split(), Counter()
+    for n in range(5):
+        for places in combinations(range(15), n):
+            text = ["before", *(f"q{k}" if k in places else x for k, x in enumerate(w)), "behind"]
+            want = decontam.stretch(np.array([k not in places for k in range(15)]), 12)
+            accepted[n] += want[0] > 0
+            found = list(index.overlaps(decontam.tokens(" ".join(text), cores)))
+            assert found == ([(1, 1 + want[2], want[0], want[1], 15)] if want[0] else []), places
+    assert accepted[1] == 15 and accepted[2] == 105 and accepted[3] == 455 and accepted[4] > 0
+
+
 def test_longest_stretch():
     same = np.array([0] * 5 + [1] * 6 + [0] + [1] * 6 + [0] * 20 + [1] * 3, bool)
     assert decontam.stretch(same, 12) == (13, 12, 5)
