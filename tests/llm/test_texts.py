@@ -75,6 +75,28 @@ def test_pseudonyms_keep_formats_and_links(table, no_docs, docs):
     assert pii.pseudonymize(no_docs, b"k").count() == 0 and pii.pseudonymize(docs, b"k").count() == docs.count()
 
 
+def test_values_beside_other_digits_and_capitals():
+    names = pii.Pseudonyms(KEY.encode())
+    alone = lambda v: names.text(v)[0]
+    card, iban, phone = "4111 1111 1111 1111", "DE89370400440532013000", "+49 30 1234567"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"{card} 123": card, "12 5500005555555559": "5500005555555559", f"12 34 {card} 7": card, f"{iban} EUR": iban, f"{spaced} EUR": spaced, f"AB12 CDEF {iban} X": iban,
+        "555-123-4567 4112": "555-123-4567",
+    }
+    for text, v in cases.items():
+        assert v in text and alone(v) != v
+        assert names.text(text)[0] == text.replace(v, alone(v)), text
+    out, n = names.text(f"{phone} 12 34 56 78 90")
+    assert n["phone"] == 1 and phone not in out and out.startswith("+49 ")
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert digits(alone(phone)) == digits(alone("+49301234567")) and alone(phone).startswith("+49 ")
+    assert digits(alone("+1 212 555 0100")) == digits(alone("+12125550100"))
+    assert names.text("+353 1 234 5678")[0].startswith("+353 ")
+    two = f"{card} 123 {iban} EUR 12 5500005555555559"
+    assert not any(v in names.text(two)[0] for v in (card, iban, "5500005555555559"))
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 1000, 73049])
 def test_permutation_is_one(size):
     p, q = pii.Permutation(b"k"), pii.Permutation(b"k", inverse=True)

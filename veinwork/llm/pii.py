@@ -6,7 +6,7 @@ equal pseudonyms in every document, and a pseudonym validates as its original di
 * card: 13 to 19 digits, single spaces or hyphens between, that pass Luhn's check; separators stay, so does the check.
 * ssn: ddd-dd-dddd in the issued ranges.
 * iban: a valid check number; country stays, letters and digits keep their kinds, the check number is made anew.
-* phone: a leading + and 8 to 15 digits, or ddd-ddd-dddd style groups; country code and separators stay.
+* phone: a leading + and 8 to 15 digits, or ddd-ddd-dddd style groups; country code (from a fixed table) and separators stay.
 * ip: four octets; date: a real day as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or dd/mm/yyyy (mm/dd/yyyy where only that is a day),
   permuted among all days of 1900 to 2099 (other years stay untouched).
 * email: letters and digits of the local part keep their kinds and places; the domain stays.
@@ -15,6 +15,10 @@ The permutation is a balanced Feistel network of ROUNDS rounds with a keyed hash
 covers the format, walked until it lands inside the format again (about twice on average); the kind of value
 is its tweak. It can be undone with the key (restore=True).
 
+Cards, IBANs and phones may stand beside other digits or capitals: cards in a usual layout are looked for first, then the
+longest valid run of whole tokens is taken. Such a value keeps its pseudonym, but restore reads amiss where that and
+its neighbours happen to check as a longer value (a tenth of cards that a group of 1 to 3 digits follows, a hundredth of IBANs).
+
 Cases: null text stays null; empty texts, texts without values and values that fail validation stay as they are; null ids and
 repeated rows are rows like any other; an empty table gives no rows; extra columns are ignored.
 """
@@ -35,15 +39,23 @@ from .common import read_table
 ROUNDS = 10
 KINDS = ("email", "ip", "date", "iban", "card", "phone", "ssn")
 _MAY = re.compile(r"@|[0-9][0-9\-./ ()]{5,}[0-9]|[A-Z]{2}[0-9]{2}[A-Z0-9]")
-_FIND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
-    r"|(?P<date>(?<![0-9])(?:[0-9]{4}([-/])[0-9]{2}\4[0-9]{2}|[0-9]{2}([./])[0-9]{2}\5[0-9]{4})(?![0-9]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
-    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]))"
-)
+_PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9])(?:[0-9]{4}(?P<y>[-/])[0-9]{2}(?P=y)[0-9]{2}|[0-9]{2}(?P<d>[./])[0-9]{2}(?P=d)[0-9]{4})(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+}
+_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+_EACH = {k: re.compile(p) for k, p in _PATTERNS.items()}
+_TOKEN = re.compile("[A-Za-z0-9]+")
+#: How cards are written: in one token, or in groups of 4 (and a rest), or of 4, 6 and 4 or 5.
+_LAYOUT = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{4,5})(?![0-9])")
+_LAYOUT_16 = re.compile(r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
+#: Country codes of one and two digits; all others have three.
+_CODES = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -134,7 +146,8 @@ def _phone(p: Permutation, v: str) -> str | None:
     d = re.sub(r"[^0-9]", "", v)
     if not 8 <= len(d) <= 15:
         return None
-    keep = len(re.match(r"\+([0-9]{1,3}?)(?=[ .-]|$)|", v)[1] or "") or (1 if v[0] == "+" else 0)
+    code = _CODES.match(d)
+    keep = 0 if v[0] != "+" else len(code[0]) if code else 3
     return refill(v, d[:keep] + _number(p, "phone" + d[:keep], d[keep:]))
 
 
@@ -194,15 +207,49 @@ class Pseudonyms:
         if not _MAY.search(text):
             return text, n
 
-        def swap(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = self.value(kind, m[0])
-            if new is None:
-                return m[0]
+        out, at = [], 0
+        for a, b, kind, new in self.found(text, 0, len(text)):
+            out += [text[at:a], new]
+            at = b
             n[kind] += 1
-            return new
-
-        return _FIND.sub(swap, text), n
+        return "".join([*out, text[at:]]), n
+
+    def found(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, str, str]]:
+        """(start, end, kind, pseudonym) of the values between lo and hi, in order."""
+        while m := _FIND.search(text, lo, hi):
+            kind, (a, b) = m.lastgroup, m.span()
+            new = self.value(kind, m[0]) if kind != "card" else None
+            hit = (a, b, kind, new) if new is not None else self.inside(text, kind, a, b, hi)
+            if hit is None:  # nothing starts with this token
+                lo = _TOKEN.search(text, a).end()
+                continue
+            if hit[0] > a:
+                yield from self.found(text, a, hit[0])
+            yield hit
+            lo = hit[1]
+
+    def inside(self, text: str, kind: str, a: int, b: int, hi: int) -> tuple[int, int, str, str] | None:
+        """The value within text[a:b], which looks like one of the kind with more digits or capitals beside it: a card in a usual
+        layout, then the longest valid run of whole tokens, then another kind's value at the same place."""
+        if kind not in ("card", "iban", "phone"):
+            return self.other(text, kind, a, hi)
+        tokens = [(t.start(), t.end()) for t in _TOKEN.finditer(text, a, b)]
+        if kind == "card":
+            for t, _ in tokens:
+                for layout in (_LAYOUT, _LAYOUT_16):
+                    if (m := layout.match(text, t, hi)) and (new := self.value(kind, m[0])) is not None:
+                        return t, m.end(), kind, new
+        starts = [a] if kind == "phone" else [t for t, _ in tokens]
+        for x, y in sorted(((x, y) for x in starts for _, y in tokens if y > x), key=lambda s: (s[0] - s[1], s[0])):
+            if (m := _EACH[kind].match(text, x, y)) and m.end() == y and (new := self.value(kind, m[0])) is not None:
+                return x, y, kind, new
+        return self.other(text, kind, a, hi)
+
+    def other(self, text: str, kind: str, a: int, hi: int) -> tuple[int, int, str, str] | None:
+        for k in _PATTERNS:
+            if k != kind and (m := _EACH[k].match(text, a, hi)) and (new := self.value(k, m[0])) is not None:
+                return a, m.end(), k, new
+        return None
 
 
 OUT = "text string, " + ", ".join(f"n_{k} bigint" for k in KINDS)
