@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,23 @@ def test_toxicity_finds_hidden_words(table, no_docs, spark):
     assert nothing[0] == nothing[1] == 0.5
 
 
+def test_restorer_reads_heavy_leet_edges_long_runs_and_joined_words():
+    words = "the lamp stood near the door and an idiot said moron or shit to a dumbass then stupid clown ass".split()
+    four = toxicity.count_grams(Counter({w: 50 for w in words})).reshape([toxicity.ALPHABET] * 4)
+    three, two, one = four.sum(0), four.sum((0, 1)), four.sum((0, 1, 2))
+    p = (one + 1) / (one.sum() + toxicity.ALPHABET)
+    for counts in (two, three, four):
+        p = (counts + toxicity.ALPHABET * p) / (counts.sum(-1, keepdims=True) + toxicity.ALPHABET)
+    restorer = toxicity.Restorer(-np.log(p).astype(np.float32))
+    cases = {
+        "1d107": "idiot", "5h17": "shit", "dumba$$": "dumbass", "a$$,": "ass", "(lown": "clown", "st" + "u" * 24 + "pid": "stupid", "idiot/moron": "idiot", "door,moron": "moron",
+        "lamp-moron": "moron", "door\u2014idiot": "idiot", "the/1d10t": "idiot", "m-o-r-o-n": "moron", "1 d 1 0 7": "idiot", "x" * 30: "x" * 30, "x" * 30 + "/moron": "moron",
+    }
+    for raw, want in cases.items():
+        assert want in restorer.words(f"near {raw} door"), (raw, restorer.words(raw))
+    assert restorer.words("the lamp, the door.") == {"the", "lamp", "door"}
+
+
 def test_rollups_add_revise_delete_and_repeat(spark, tmp_path):
     store = rollups.Store(spark, f"file://{tmp_path}/store")
     rows = "op string, doc_id bigint, source string, lang string, tokenizer string, tokens bigint"

@@ -43,11 +43,14 @@ LEET = {
 }
 READ_COST, RUN_COST, PAIR_COST, GAP_COST, OTHER_COST = 0.5, 0.3, 3.0, 1.0, 4.0
 LETTER_CREDIT = 2.0  # about a letter's cost under the model, so that dropping one is no gain in itself
-LONGEST = 24  # longer tokens are keys, hashes and addresses, not words
+LONGEST = 24  # tokens of more units (a run is one) are keys, hashes and addresses, not words, and are only looked up as they stand
 _TRAIL, _LEAD = ".,;:!?\"'`()[]{}<>*_#%&$|~-@/\\=", ".,;:?\"'`()[]{}<>*_#%&~-/\\="
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_FIRM_TRAIL, _FIRM_LEAD = ("".join(c for c in x if c not in LEET) for x in (_TRAIL, _LEAD))
 _LEETY = re.compile("[" + re.escape("".join(LEET)) + "]")
 _SPLIT = re.compile(r"(?<=.)[.\-_*~](?=.)")
+_JOINED = re.compile(r"(?:[^\w\s" + re.escape("".join(LEET)) + r"]|_)+")
+_REPEAT = re.compile(r"(.)\1+")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _CODES = bytes(1 + i - 97 if 97 <= i <= 122 else 27 for i in range(256))
 
@@ -127,11 +130,11 @@ def lattice(token: str) -> list[list[tuple[str, float, bool]]]:
 
 
 def decode(token: str, model: np.ndarray) -> list[str]:
-    """The words of the cheapest path through the token's lattice; at most 60 histories are kept a step."""
+    """The words of the cheapest path through the token's lattice: Viterbi's, one best history for each state of three letters."""
     paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
     for unit in lattice(token):
         new: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for h, (cost, text) in sorted(paths.items(), key=lambda x: (x[1][0], x[0]))[:60]:
+        for h, (cost, text) in paths.items():
             for letters, more, gap in unit:
                 for edge in (False, True) if gap and text else (False,):
                     a, b, c = h
@@ -157,14 +160,28 @@ class Restorer:
         self.model, self.known = model, {}
 
     def token(self, raw: str) -> tuple[str, ...]:
+        """The words of a token, read whole and, if punctuation joins words in it, each by itself."""
+        parts = [x for x in _JOINED.split(raw) if x]
+        out = self.read(raw)
+        if len(parts) > 1 and any(len(x) > 2 for x in parts):
+            out += tuple(w for x in parts for w in self.read(x))
+        return tuple(dict.fromkeys(out))
+
+    def read(self, raw: str) -> tuple[str, ...]:
         core = raw.rstrip(_TRAIL).lstrip(_LEAD)
-        if len(core) > LONGEST or not core:
-            return ()
-        plain = core.lstrip("$@!|")
-        letters = sum(map(str.isalpha, core))
-        parts = _SPLIT.split(core)
-        suspect = letters and (_RUN.search(core) or (letters * 3 >= len(core) and _LEETY.search(core)) or (len(parts) >= 3 and all(len(x) <= 2 for x in parts)))
-        return (plain, *decode(core, self.model)) if suspect else (plain,)
+        out = (core.lstrip("$@!|"),)
+        # leet characters at the edges are letters or punctuation: read with and without
+        for form in dict.fromkeys(x.lstrip(lead) for x in (raw.rstrip(_TRAIL), raw.rstrip(_FIRM_TRAIL)) for lead in (_LEAD, _FIRM_LEAD)):
+            parts = _SPLIT.split(form)
+            spaced = len(parts) >= 3 and all(len(x) <= 2 for x in parts)
+            if not any(map(str.isalpha, form)) or not (spaced or _RUN.search(form) or _LEETY.search(form)):
+                continue
+            if spaced:  # in windows, as spaced out texts
+                for at in range(0, len(parts), LONGEST):
+                    out += tuple(decode("-".join(parts[max(0, at - LONGEST // 2) : at + LONGEST]), self.model))
+            elif len(_REPEAT.sub(r"\1", form)) <= LONGEST:
+                out += tuple(decode(form, self.model))
+        return out
 
     def words(self, text: str) -> set[str]:
         text, out = text.lower(), set()
@@ -181,7 +198,8 @@ class Restorer:
             run = m[0]
             for at in range(0, len(run), 2 * LONGEST):
                 piece = run[max(0, at - LONGEST) // 2 * 2 : at + 2 * LONGEST].strip()
-                if sum(map(str.isalpha, piece)) >= 2:
+                letters = sum(map(str.isalpha, piece))
+                if letters >= 2 or letters and _LEETY.search(piece):
                     if piece not in known:
                         known[piece] = tuple(decode(piece, self.model))
                     out.update(known[piece])
