@@ -148,3 +148,9 @@ def test_streaming_ingest_resumes(spark, tmp_path):
         up(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), 0)
     assert spark.read.parquet(str(tmp_path / "up")).count() == 2
     assert F is not None
+
+
+def test_radius_meets_over_the_date_line(spark):
+    left = spark.createDataFrame([(1, 55.0, -180.0), (2, 45.0, -180.0)], "a int, lat double, lon double")
+    right = spark.createDataFrame([(1, 55.0, 179.962), (2, 45.0, 179.963)], "b int, r_lat double, r_lon double")
+    assert sorted((r.a, r.b) for r in joins.radius_pairs(left, right, 3.0).collect()) == [(1, 1), (2, 2)]

@@ -58,8 +58,8 @@ def shared_values(left: DataFrame, right: DataFrame, column: str, into: str) ->
     return left.join(known, F.col(column) == F.col("__v"), "left").withColumn(into, F.coalesce("__hit", F.lit(False))).drop("__v", "__hit")
 
 
-def _grid(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:
-    return F.floor((lat + 90) / degrees).cast("int"), F.floor((lon + 180) / degrees).cast("int")
+def _grid(lat: Column, lon: Column, degrees: float, columns: int) -> tuple[Column, Column]:
+    return F.floor((lat + 90) / degrees).cast("int"), F.floor((lon + 180) / (360 / columns)).cast("int")
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", degrees: float | None = None) -> DataFrame:
@@ -67,8 +67,9 @@ def radius_pairs(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
     cells around its own, as many in longitude as its latitude asks for, around the date line too. Column names of the two
     sides must differ; rows without coordinates meet nothing."""
     d = degrees or max(0.01, min(45.0, km / KM_PER_DEGREE))
-    columns, reach = int(math.ceil(360 / d)), math.ceil(km / KM_PER_DEGREE / d)
-    la, lo = _grid(F.col(lat), F.col(lon), d)
+    # whole columns around the earth, all of one width of at least d, so that none is narrower at the date line
+    columns, reach = int(math.floor(360 / d)), math.ceil(km / KM_PER_DEGREE / d)
+    la, lo = _grid(F.col(lat), F.col(lon), d, columns)
     # at the farthest latitude within reach a degree of longitude is shortest
     farthest = F.least(F.lit(89.9), F.abs(F.col(lat)) + km / KM_PER_DEGREE)
     wide = F.when(F.abs(F.col(lat)) + km / KM_PER_DEGREE >= 85, F.lit(columns // 2 + 1)).otherwise(F.ceil(km / (KM_PER_DEGREE * F.cos(F.radians(farthest)) * d)).cast("int"))
@@ -76,7 +77,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
     cells = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("__a", F.explode(F.sequence(la - reach, la + reach)))
     steps = F.array_distinct(F.transform(F.sequence(lo - wide, lo + wide), lambda x: F.pmod(x, F.lit(columns))))
     cells = cells.withColumn("__o", F.explode(steps))
-    ra, ro = _grid(F.col(right_lat), F.col(right_lon), d)
+    ra, ro = _grid(F.col(right_lat), F.col(right_lon), d, columns)
     at = right.where(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).withColumn("__a", ra).withColumn("__o", F.pmod(ro, F.lit(columns)))
     joined = cells.join(at, ["__a", "__o"]).drop("__a", "__o")
     return joined.withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))).where(F.col("distance_km") <= km)
