@@ -166,9 +166,8 @@ def test_passages_are_found_through_substitutions(spark, table, docs, no_docs):
     rows += [(300 + k, words(300 + k, 200), "en", "s") for k in range(20)] + [(400, None, "en", "s"), (401, "", "en", "s"), (None, items[6][1], "en", "s")]
     want.add((None, 6))
     d = table(rows)
-    for block in (10**6, 60):
-        got = decontam.overlaps(d, bench, block_words=block).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want
+    got = decontam.overlaps(d, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
     one = next(r for r in got if r.doc_id == 200)
     assert one.run_words == one.item_words and one.equal_words == one.item_words - 2
     left = decontam.clean(d, bench)
@@ -188,17 +187,61 @@ def test_masks_cover_every_accepted_window(size):
     assert hit.all()
 
 
-def test_all_substitutions_that_the_rule_accepts_are_found():
-    item, cores = words(4711, 15), decontam.Cores()
-    index, w, accepted = decontam.Index([(1, item)]), item.split(), Counter()
-    for n in range(5):
-        for places in combinations(range(15), n):
-            text = ["before", *(f"q{k}" if k in places else x for k, x in enumerate(w)), "behind"]
-            want = decontam.stretch(np.array([k not in places for k in range(15)]), 12)
-            accepted[n] += want[0] > 0
-            found = list(index.overlaps(decontam.tokens(" ".join(text), cores)))
-            assert found == ([(1, 1 + want[2], want[0], want[1], 15)] if want[0] else []), places
-    assert accepted[1] == 15 and accepted[2] == 105 and accepted[3] == 455 and accepted[4] > 0
+@pytest.mark.parametrize("size", range(6, 12))
+def test_masks_of_short_items_cover_what_is_accepted(size):
+    masks = decontam.masks_for(size)
+    for places in combinations(range(size), size // 4):
+        assert any(not set(mask) & set(places) for _, _, mask in masks)
+
+
+def best_overlap(doc, item):
+    """What the rule finds of item in doc (lists of words), by trying every stretch of every diagonal: words, equal ones, place."""
+    n, best = len(item), None
+    for d in range(-n + 1, len(doc)):
+        same = [0 <= d + k < len(doc) and doc[d + k] == item[k] for k in range(n)]
+        found = [(n, sum(same), -d)] if n >= 6 and 0 <= d <= len(doc) - n and 4 * sum(same) >= 3 * n else []
+        ends = [k for k in range(n) if same[k]] if not found else []
+        found += [(e - s + 1, sum(same[s : e + 1]), -d - s) for s in ends for e in ends if e - s >= 11 and 4 * sum(same[s : e + 1]) >= 3 * (e - s + 1)]
+        best = max([x for x in (best, *found) if x], default=None)
+    return best and (best[0], best[1], -best[2])
+
+
+def changed(item, places):
+    return [f"q{k}" if k in places else x for k, x in enumerate(item)]
+
+
+def test_all_substitutions_that_the_rule_accepts_are_found(spark, table):
+    item = words(4711, 15).split()
+    docs = {k: ["before", *changed(item, p), "behind"] for k, p in enumerate(p for n in range(5) for p in combinations(range(15), n))}
+    bench = spark.createDataFrame([(1, " ".join(item), "e")], ITEMS)
+    got = {r.doc_id: (r.run_words, r.equal_words, r.doc_word) for r in decontam.overlaps(table([(k, " ".join(w), "en", "s") for k, w in docs.items()]), bench).collect()}
+    want = {k: x for k, w in docs.items() if (x := best_overlap(w, item))}
+    assert got == want and len(want) > 1 + 15 + 105 + 455 - 20
+
+
+def test_substitutions_in_items_of_all_lengths(spark, table):
+    """All is found that trying every stretch finds: 1 to 3 substitutions anywhere, in items of 6 to 60 words."""
+    r = random.Random(5)
+    items = [words(8000 + k, n).split() for k, n in enumerate(range(6, 61))]
+    docs = [words(100 + k, 20).split() + changed(item, r.sample(range(len(item)), min(len(item) // 4, subs))) + words(300 + k, 20).split() for k, item in enumerate(items) for subs in (1, 2, 3)]
+    bench = spark.createDataFrame([(k, " ".join(x), "e") for k, x in enumerate(items)], ITEMS)
+    got = {(x.doc_id, x.item_id): (x.run_words, x.equal_words, x.doc_word) for x in decontam.overlaps(table([(k, " ".join(w), "en", "s") for k, w in enumerate(docs)]), bench).collect()}
+    for k, doc in enumerate(docs):
+        assert got.pop((k, k // 3)) == best_overlap(doc, items[k // 3]) is not None
+    assert all(best_overlap(docs[k], items[i]) == x for (k, i), x in got.items())
+
+
+def test_null_and_repeated_items_and_repeated_words(spark, table):
+    import time
+
+    a, b = words(61, 20), words(62, 20)
+    bench = spark.createDataFrame([(None, a, "e"), (1, b, "e"), (1, b, "e"), (None, None, None), (2, "na " * 1000, "e"), (3, "na ba " * 500, "e")], ITEMS)
+    rows = [(1, a, "en", "s"), (None, f"x {b} y", "en", "s"), (2, f"{a} z", "en", "s"), (2, f"{b} z", "en", "s"), (3, "na " * 5000, "en", "s"), (1, a, "en", "s"), (4, "na na na na na na", "en", "s")]
+    began = time.time()
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in decontam.overlaps(table(rows), bench).collect())
+    assert got == [("1", "None"), ("2", "1"), ("2", "None"), ("3", "2"), ("None", "1")]
+    assert time.time() - began < 30
+    assert sorted(str(r.doc_id) for r in decontam.clean(table(rows), bench).collect()) == ["4"]
 
 
 def test_longest_stretch():

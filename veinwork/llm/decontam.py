@@ -1,24 +1,32 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become words (lower-cased, punctuation around them dropped). A mask looks at some words of a span
-and ignores the rest, so a hit survives substitutions at ignored positions. The fixed MASKS cover the rule below: each way
-to substitute a quarter of 12 to 23 words leaves some mask whole at some place (the tests enumerate all), and a longer
-stretch is cut into parts of 12 to 23 words, one of which has no larger share of substitutions. The benchmark's hashes are joined with those of every
-position of every document; each hit names an item and a diagonal, along which the item's whole length is compared.
-A stretch of the diagonal with at least MIN_RUN words (or the whole item, if shorter, from SHORTEST words on) of
-which MIN_SHARE are equal is contamination.
-
-The benchmark is a query set: its hashes go to the executors as sorted arrays in blocks of at most BLOCK_WORDS words
-(some 40 MB), one pass over the documents for each block, however large it is; documents are never shuffled. Items
-shorter than SPAN words are matched without seeds, as whole sequences from SHORTEST words on.
-
-Cases: null or blank texts match nothing; repeated rows are found alike; null ids are rows like any other; repeated
-items count as items of their own, by item_id; an empty table on either side finds nothing; extra columns are ignored.
+Texts become words (lower-cased, punctuation around them dropped). A mask looks at some words of a span and ignores the
+rest, so a hit survives substitutions at ignored positions. What counts as contamination, along a diagonal of a document
+and an item: a stretch of MIN_RUN words or more, equal at both ends, of which MIN_SHARE are equal; or the whole item, from
+SHORTEST words on, of which MIN_SHARE are equal. The fixed MASKS cover this for items of SPAN words or more: each way to
+substitute a quarter of 12 to 23 words leaves some mask whole at some place (the tests enumerate all), and a longer stretch is
+cut into parts of 12 to 23 words, one of which has no larger share of substitutions. Shorter items have masks for their
+length: it is cut into two parts more than may be substituted, and every two parts make a mask.
+
+1. Items become seeds, (hash, item, places). A bitmap of the hashes' top bits, at most 2 ** MOST_BITS of them, goes to all tasks.
+2. One pass over the documents hashes every position under every mask; those that the bitmap lets through leave as
+   (document, hash, places) and are joined with the seeds. A hit names an item and a diagonal.
+3. Documents with hits are read again; the words around each group of neighbouring diagonals are joined with the
+   item's words and compared along every diagonal.
+
+Texts are shuffled only if the documents with hits are too many for Spark to broadcast their keys. A hash that many documents
+share is a skewed key of the join with the seeds, which adaptive execution splits.
+
+Cases: null or blank texts match nothing; rows of equal id and text are found once; null ids are rows like any other, of
+documents and of items; items of equal id and text count once, of fewer than SHORTEST words never (they occur everywhere);
+an empty table on either side finds nothing; extra columns are ignored by overlaps() and kept by clean().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +45,10 @@ MASKS = (
     (0, 1, 5, 7, 10),
 )
 MIN_RUN, MIN_SHARE, SHORTEST = 12, 0.75, 6
-BLOCK_WORDS = 1_000_000
-_EDGE = "\"'`.,;:!?()[]{}<>*_#|~-\u2013\u2014\u2018\u2019\u201c\u201d\u00ab\u00bb\u2026\u00a1\u00bf"
+MOST_BITS = 27
+#: Words hashed at once, and comparisons made at once, in a task.
+AT_ONCE = 400_000
+_EDGE = "\"'`.,;:!?()[]{}<>*_#|~-–—‘’“”«»…¡¿"
 _MULT = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 FOUND = "doc_id bigint, item_id bigint, doc_word bigint, run_words bigint, equal_words bigint, item_words bigint"
@@ -60,113 +70,216 @@ def tokens(text: str, cores: Cores) -> np.ndarray:
     return ids[ids != 0]
 
 
-def seeds(ids: np.ndarray, mask: int) -> np.ndarray:
+def masks_for(n: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(number, span, looked-at positions) of the masks of an item of n words."""
+    if n >= SPAN:
+        return [(m, mask[-1] + 1, mask) for m, mask in enumerate(MASKS)]
+    if n < SHORTEST:
+        return []
+    cut = math.floor(n * (1 - MIN_SHARE)) + 2
+    parts = [range(n * i // cut, n * (i + 1) // cut) for i in range(cut)]
+    return [(100 * n + j, n, (*a, *b)) for j, (a, b) in enumerate(combinations(parts, 2))]
+
+
+def seeds(ids: np.ndarray, number: int, span: int, mask: tuple[int, ...]) -> np.ndarray:
     """The mask's hash at every position that has its whole span."""
-    n = len(ids) - MASKS[mask][-1]
+    n = len(ids) - span + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, np.uint64(mask + 1), np.uint64)
-    for j, p in enumerate(MASKS[mask]):
+    h = np.full(n, np.uint64(number + 1), np.uint64)
+    for j, p in enumerate(mask):
         h += ids[p : p + n] * _MULT[j]
     return mix(h)
 
 
-class Index:
-    """A block of benchmark items: sorted hashes with item and place, and the items' words."""
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+ITEMS, SEEDS, HITS = "item bigint, n int, words binary", "hash bigint, item bigint, n int, at binary", "key bigint, hash bigint, pos binary"
+DIAGONALS, CUTS = "key bigint, item bigint, n int, diagonals binary", "key bigint, doc_id bigint, item bigint, base bigint, near binary, diagonals binary"
+
+
+def _runs(h: np.ndarray, *others: np.ndarray) -> Iterator[tuple]:
+    """Each distinct value of h with the slices of the others that belong to it."""
+    order = np.argsort(h, kind="stable")
+    h, others = h[order], [x[order] for x in others]
+    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist() if len(h) else []
+    for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
+        yield h[a], *(x[a:b] for x in others)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cores = Cores()
+    for b in batches:
+        words = [tokens(t.as_py(), cores) for t in b.column(1)]
+        yield _batch([b.column(0), [len(w) for w in words], [w.tobytes() for w in words]], ITEMS)
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for item, n, words in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            w, rows = np.frombuffer(words, np.uint64), []
+            for number, span, mask in masks_for(n):
+                h = seeds(w, number, span, mask)
+                rows += [(int(x.view(np.int64)), item, n, at.astype(np.int32).tobytes()) for x, at in _runs(h, np.arange(len(h)))]
+            yield _batch(list(zip(*rows, strict=True)) or [[]] * 4, SEEDS)
+
 
-    def __init__(self, items: list[tuple[int, str]]):
-        cores, hashes, where = Cores(), [], []
-        self.item_ids, self.words = [i for i, _ in items], [tokens(t, cores) for _, t in items]
-        self.short: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            if len(w) < SPAN:
+def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of the hashes' top bits, in bytes."""
+    top = F.shiftrightunsigned("hash", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), top.bitwiseAND(F.lit(63)).cast("int"))
+    got = rows.groupBy(F.shiftright(top, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** (bits - 6)
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _hits(masks: list, bitmap, bits: int):
+    shift, low, eight = np.uint64(64 - bits), np.uint64(7), np.uint64(3)
+
+    def found(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        n = np.array([len(w) for _, w in held])
+        ids = np.concatenate([w for _, w in held])
+        owner = np.repeat(np.arange(len(held)), n)
+        start = np.cumsum(n) - n
+        left = (start + n)[owner] - np.arange(len(ids))
+        keys = np.array([k for k, _ in held], np.int64)
+        rows: tuple[list, list, list] = ([], [], [])
+        for number, span, mask in masks:
+            h = seeds(ids, number, span, mask)
+            top = h >> shift
+            pos = np.flatnonzero((bitmap.value[top >> eight] >> (top & low).astype(np.uint8)) & 1 & (left[: len(h)] >= span))
+            for o, p, x in _runs(owner[pos], pos - start[owner[pos]], h[pos]):
+                for value, where in _runs(x, p):
+                    rows[0].append(int(keys[o]))
+                    rows[1].append(int(value.view(np.int64)))
+                    rows[2].append(where.astype(np.int32).tobytes())
+        return _batch(list(rows), HITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cores, held, size = Cores(), [], 0
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = tokens(text.as_py(), cores)
                 if len(w) >= SHORTEST:
-                    self.short.setdefault(int(w[0]), []).append(k)
-                continue
-            for m in range(len(MASKS)):
-                h = seeds(w, m)
-                hashes.append(h)
-                where.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
-        h, at = (np.concatenate(x) if x else np.empty(s, d) for x, s, d in ((hashes, 0, np.uint64), (where, (0, 2), np.int64)))
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.at = h[order], at[order].astype(np.int32)
-        # a bitmap of the top bits turns away nearly all positions before the search
-        bits = max(16, min(26, int(np.log2(len(h) + 1)) + 6))
-        self.shift = np.uint64(64 - bits)
-        self.bitmap = np.zeros(1 << bits, bool)
-        self.bitmap[self.hashes >> self.shift] = True
-
-    def hits(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal): the item's first word would be the document's word diagonal."""
-        out: set[tuple[int, int]] = set()
-        for m in range(len(MASKS)):
-            h = seeds(ids, m)
-            pos = np.flatnonzero(self.bitmap[h >> self.shift]) if len(h) else ()
-            if len(pos):
-                lo, hi = np.searchsorted(self.hashes, h[pos], "left"), np.searchsorted(self.hashes, h[pos], "right")
-                for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    out.update((k, p - at) for k, at in self.at[a:b].tolist())
-        if self.short:
-            for p in np.flatnonzero(np.isin(ids, np.fromiter(self.short, np.uint64, len(self.short)))).tolist():
-                out.update((k, p) for k in self.short[int(ids[p])])
-        return out
-
-    def overlaps(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """item, document word, words of the longest contaminated stretch, equal words there, the item's words."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for k, d in self.hits(ids):
-            w = self.words[k]
-            lo, hi = max(0, -d), min(len(w), len(ids) - d)
-            run, equal, at = stretch(w[lo:hi] == ids[lo + d : hi + d], min(MIN_RUN, len(w)))
-            if run and (run, equal, -d - lo - at) > best.get(k, (0, 0, 0)):
-                best[k] = (run, equal, -(d + lo + at))
-        for k, (run, equal, at) in best.items():
-            yield self.item_ids[k], -at, run, equal, len(self.words[k])
+                    held.append((key, w))
+                    size += len(w)
+                if size > AT_ONCE:
+                    yield found(held)
+                    held, size = [], 0
+        if held:
+            yield found(held)
+
+    return run
+
+
+def _diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From places in the document and in the item: a diagonal is where in the document the item's first word would be."""
+    for b in batches:
+        out = []
+        for p, a in zip(b.column(3), b.column(4), strict=True):
+            p, a = np.frombuffer(p.as_buffer(), np.int32).astype(np.int64), np.frombuffer(a.as_buffer(), np.int32)
+            some = [np.unique(np.subtract.outer(p[i : i + AT_ONCE // len(a) + 1], a)) for i in range(0, len(p), AT_ONCE // len(a) + 1)]
+            out.append((some[0] if len(some) == 1 else np.unique(np.concatenate(some))).tobytes())
+        yield _batch([b.column(0), b.column(1), b.column(2), out], DIAGONALS)
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words around each group of neighbouring diagonals of a document and an item."""
+    cores = Cores()
+    for b in batches:
+        for key, doc, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            w, rows = tokens(text.as_py(), cores), []
+            by: dict[int, list] = {}
+            for h in hits:
+                by.setdefault(h["item"], [h["n"]]).append(np.frombuffer(h["diagonals"], np.int64))
+            for item, (n, *some) in by.items():
+                d = np.unique(np.concatenate(some))
+                for group in np.split(d, np.flatnonzero(np.diff(d) > n) + 1):
+                    lo, hi = max(0, int(group[0])), int(group[-1]) + n
+                    rows.append((key, doc, item, lo, w[lo:hi].tobytes(), group.tobytes()))
+            yield _batch(list(zip(*rows, strict=True)) or [[]] * 6, CUTS)
 
 
 def stretch(same: np.ndarray, least: int) -> tuple[int, int, int]:
     """(length, equal words, start) of the longest stretch of at least `least` words of which MIN_SHARE are equal,
-    both ends equal; zeros if there is none."""
+    both ends equal (of equally long ones that with most equal words, then the first); zeros if there is none."""
     at = np.flatnonzero(same)
     if len(at) < MIN_SHARE * least:
         return 0, 0, 0
     # over prefix sums of (equal - share), the farthest end not below each start
     balance = np.concatenate([[0.0], np.cumsum(same - MIN_SHARE)])
     top = np.maximum.accumulate(balance[::-1])[::-1]
-    best = (0, 0, 0)
-    for s in at:
-        e = int(np.searchsorted(-top, -balance[s] + 1e-9, "right")) - 1
-        e = int(at[np.searchsorted(at, e) - 1]) + 1
-        if e - s >= least and e - s > best[0]:
-            best = (int(e - s), int(same[s:e].sum()), int(s))
-    return best
+    end = np.searchsorted(-top, -balance[at] + 1e-9, "right") - 1
+    end = at[np.searchsorted(at, end) - 1] + 1
+    count = np.concatenate([[0], np.cumsum(same)])
+    equal = count[end] - count[at]
+    best = int(np.lexsort((-at, equal, end - at))[-1])
+    s, e = int(at[best]), int(end[best])
+    return (e - s, int(equal[best]), s) if e - s >= least else (0, 0, 0)
+
+
+def contaminated(same: np.ndarray, inside: bool) -> tuple[int, int, int]:
+    """(length, equal words, start) of what counts along a diagonal, zeros if nothing does. inside: the document holds the whole diagonal."""
+    n = len(same)
+    if inside and (equal := int(same.sum())) >= MIN_SHARE * n:
+        return n, equal, 0
+    return stretch(same, MIN_RUN)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """FOUND: a row for each document and item with a contaminated stretch, the longest."""
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From words of a document from word base on, diagonals and an item's words: FOUND with key and item."""
+    for b in batches:
+        rows = []
+        for key, doc, item, base, near, diagonals, item_id, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            near, diagonals, w = (np.frombuffer(x, k) for x, k in ((near, np.uint64), (diagonals, np.int64), (words, np.uint64)))
+            n, best = len(w), (0, 0, 0)
+            for i in range(0, len(diagonals), AT_ONCE // n + 1):
+                d = diagonals[i : i + AT_ONCE // n + 1]
+                at = (d - base)[:, None] + np.arange(n)
+                held = (at >= 0) & (at < len(near))
+                same = held & (near[np.clip(at, 0, len(near) - 1)] == w)
+                for j in np.flatnonzero(same.sum(1) >= MIN_SHARE * min(MIN_RUN, n)):
+                    run, equal, start = contaminated(same[j], bool(held[j].all()))
+                    if run:
+                        best = max(best, (run, equal, -int(d[j] + start)))
+            if best[0]:
+                rows.append((key, item, doc, item_id, -best[2], best[0], best[1], n))
+        yield _batch(list(zip(*rows, strict=True)) or [[]] * 8, "key bigint, item bigint, " + FOUND)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """FOUND: a row for each document and item with contamination, the longest stretch of it."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
-    blocks = -(-total // block_words)
-    out = spark.createDataFrame([], FOUND)
-    for b in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in chosen.collect())))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            cores = Cores()
-            for batch in batches:
-                rows = [(d, *o) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for o in index.value.overlaps(tokens(t.as_py(), cores))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
-
-        out = out.unionByName(docs.mapInArrow(run, FOUND))
-    return out
+    keyed = lambda df, i, t: df.select(F.col(i).cast("bigint").alias("id"), F.coalesce(F.col(t), F.lit("")).alias("text")).select(F.xxhash64(F.col("id").isNull(), "id", "text").alias("key"), "id", "text")
+    named = keyed(benchmark, item_col, item_text).dropDuplicates(["key"])
+    texts = named.select("key", "text").mapInArrow(_item_words, ITEMS).where(F.col("n") >= SHORTEST)
+    items = staged(texts.join(named.select(F.col("key").alias("item"), F.col("id").alias("item_id")), "item"), "decontam-items")
+    marks = staged(items.select("item", "n", "words").mapInArrow(_item_seeds, SEEDS), "decontam-seeds")
+    if not (n := marks.count()):
+        return spark.createDataFrame([], FOUND)
+    lengths = [r.n for r in items.select(F.least("n", F.lit(SPAN)).alias("n")).distinct().collect()]  # at most SPAN
+    bits = max(16, min(MOST_BITS, n.bit_length() + 6))
+    bitmap = spark.sparkContext.broadcast(_bitmap(marks, bits))
+
+    rows = keyed(docs, id_col, text_col)
+    hits = rows.select("key", "text").mapInArrow(_hits([m for k in sorted(lengths) for m in masks_for(k)], bitmap, bits), HITS)
+    met = hits.join(marks, "hash").select("key", "item", "n", "pos", "at").mapInArrow(_diagonals, DIAGONALS)
+    met = staged(met.groupBy("key").agg(F.collect_list(F.struct("item", "n", "diagonals")).alias("hits")), "decontam-hits")
+    cuts = rows.join(met, "key").select("key", F.col("id").alias("doc_id"), "text", "hits").mapInArrow(_cuts, CUTS)
+    both = cuts.join(items, "item").select("key", "doc_id", "item", "base", "near", "diagonals", "item_id", "words")
+    found = both.mapInArrow(_verified, "key bigint, item bigint, " + FOUND)
+    best = F.max(F.struct("run_words", "equal_words", (-F.col("doc_word")).alias("first"))).alias("best")
+    one = found.groupBy("key", "item").agg(best, *(F.first(c).alias(c) for c in ("doc_id", "item_id", "item_words")))
+    return one.select("doc_id", "item_id", (-F.col("best.first")).alias("doc_word"), "best.run_words", "best.equal_words", "item_words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without a contaminated stretch, with their own columns."""
+    """The rows of docs without contamination, with their own columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("__vw_key", F.xxhash64(F.col(id_col), text))
     hit = overlaps(keyed.select("__vw_key", F.col(text_col).alias("__vw_text")), benchmark, "__vw_key", "__vw_text")
