@@ -6,6 +6,8 @@ import random
 import pytest
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, shard string, kept string, node string, n bigint, slot double"
+CLASH = ["base", "lo", "hi", "bin", "pos", "row", "rank", "at", "n_good", "cut_symbols", "stratum", "__id", "__key", "__drop", "__row", "__copy", "text_key", "hits", "item", "target", "copies", "sid", "band"]
+DOC += "".join(f", {c} string" for c in CLASH)
 EXTRA = ("x", "y", "z", "w", 7, 0.5)
 
 
@@ -15,7 +17,7 @@ def words(seed, n):
 
 
 def make(spark, rows):
-    full = [(i, t, lang, src, None if t is None else len(t), *EXTRA[:1], *EXTRA[1:4], EXTRA[4], EXTRA[5]) for i, t, lang, src in rows]
+    full = [(i, t, lang, src, None if t is None else len(t), *EXTRA[:1], *EXTRA[1:4], EXTRA[4], EXTRA[5], *CLASH) for i, t, lang, src in rows]
     return spark.createDataFrame(full, DOC).repartition(3)
 
 

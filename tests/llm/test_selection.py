@@ -4,7 +4,9 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from veinwork.llm import mixing, quality, sharding
@@ -109,12 +111,13 @@ def test_repeated_windows(spark, table):
 
 
 def test_binomial_tail_is_exact(spark):
-    cases = [(0, 10, 0.1), (3, 50, 0.2), (7, 1000, 0.01), (0, 461, 0.0125), (40, 5000, 0.0125)]
+    cases = [(0, 10, 0.1), (3, 50, 0.2), (7, 1000, 0.01), (0, 461, 0.0125), (40, 5000, 0.0125), (9600, 1_000_000, 0.01), (30000, 200_000, 0.16)]
     d = spark.createDataFrame([(x, n) for x, n, _ in cases], "x bigint, n bigint")
     for x, n, a in cases:
         got = d.where((F.col("x") == x) & (F.col("n") == n)).select(quality.binomial_tail(F.col("x"), F.col("n"), a)).first()[0]
-        want = sum(math.comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(x + 1)) if x < n * a else 1.0
-        assert math.isclose(got, want, rel_tol=1e-8)
+        terms = (math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(a) + (n - i) * math.log1p(-a)) for i in range(x + 1))
+        want = math.fsum(terms) if x < n * a else 1.0
+        assert math.isclose(got, want, rel_tol=1e-7)
 
 
 def test_cutoffs_need_labels_and_bound_false_rejection(spark, docs, no_docs):
@@ -147,6 +150,79 @@ def test_shards_are_even_and_gapless(docs, no_docs):
     assert spread.count() == len(src) and {"shard", "slot"} <= set(spread.columns)
 
 
+def walk(counts, prefs, shards):
+    """Rows of each slot and shard: a slot's rows fill their own shard in ring order; then what overflows walks on clockwise."""
+    total = sum(counts.values())
+    left = {s: total // shards + (s < total % shards) for s in range(shards)}
+    out, over = Counter(), []
+    for slot in sorted(counts):
+        own = min(counts[slot], left[prefs[slot][0]])
+        out[slot, prefs[slot][0]] += own
+        left[prefs[slot][0]] -= own
+        over.append((slot, counts[slot] - own))
+    for slot, n in over:
+        for s in prefs[slot]:
+            take = min(n, left[s])
+            out[slot, s] += take
+            left[s], n = left[s] - take, n - take
+    return +out
+
+
+def test_rows_go_where_a_walk_of_the_ring_takes_them(spark, table, monkeypatch):
+    rows = [(i, f"t{i}", "en", "s") for i in range(700)] + [(9, "same", "en", "s")] * 800 + [(None, None, "en", "s")] * 40
+    d = table(rows)
+    nodes = sorted((r.at, r.shard) for r in spark.range(24 * sharding.VNODES).select((F.col("id") % 24).cast("int").alias("shard"), sharding.ring_slot(sharding.ring_position(F.lit("vnode"), (F.col("id") % 24).cast("int"), F.floor(F.col("id") / 24))).alias("at")).collect())
+    prefs = {}
+    for slot in range(sharding.RING_SLOTS):
+        behind = [s for at, s in nodes if at >= slot] + [s for at, s in nodes if at < slot]
+        prefs[slot] = list(dict.fromkeys(behind))
+    for hot in (5000, 30):
+        monkeypatch.setattr(sharding, "HOT_ROWS", hot)
+        pos = sharding.ring_slot(sharding.ring_position(F.col("doc_id"), F.col("text_crc32"))).alias("at")
+        out = sharding.assign(d).select("*", pos).collect()
+        assert Counter((r.at, r.shard) for r in out) == walk(Counter(r.at for r in out), prefs, 24)
+        by = defaultdict(list)
+        for r in out:
+            by[r.shard].append(r.slot)
+        assert len(out) == len(rows) and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_stages_keep_columns_with_any_name(docs):
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.keep_good(docs, labels).columns == mixing.mixed(docs).columns == docs.columns
+    assert sharding.spread(docs).columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert sharding.spread(docs).where("base = 'base' and lo = 'lo'").count() == docs.count()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the driver's tables")
+def test_learned_cutoffs_match_brute_force(spark):
+    """At this size strata have labels enough for cutoffs to be learned."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.judge(docs, labels).collect()
+    worst = {}
+    for r in labels.where("doc_id is not null and quality is not null").collect():
+        worst[r.doc_id] = min(worst.get(r.doc_id, 1), r.quality)
+    value = {"symbols": lambda r: r.n_symbols / max(r.word_chars, 1), "dup_lines": lambda r: r.n_dup_lines / max(r.n_lines, 1), "repeats": lambda r: r.n_repeat_words / max(r.n_words, 1), "word_length": lambda r: r.word_chars / max(r.n_words, 1)}
+    good = defaultdict(list)
+    for r in rows:
+        if worst.get(r.doc_id) == 1 and not r.base_failed:
+            good[r.stratum].append(r)
+    cuts = {}
+    for stratum, some in good.items():
+        for rule, steps in quality.CUTOFFS.items():
+            n, a = len(some), quality.ALPHA / 4
+            for c in steps:
+                x = sum(value[rule](r) > c for r in some)
+                if sum(math.comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(x + 1)) > quality.DELTA / (4 * len(good)):
+                    break
+                cuts[stratum, rule] = c
+    assert cuts
+    for r in rows:
+        assert r.kept == (not r.base_failed and not any(value[rule](r) > cuts.get((r.stratum, rule), math.inf) for rule in value))
+    assert any(not r.base_failed and not r.kept for r in rows)
+
+
 def test_most_rows_stay_when_a_shard_is_added(table):
     d = table([(i, f"t{i}", "en", "s") for i in range(5000)])
     a, b = ({r.doc_id: r.shard for r in sharding.assign(d, shards=n).collect()} for n in (24, 25))

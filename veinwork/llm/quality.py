@@ -33,8 +33,6 @@ CUTOFFS = {
 }
 ALPHA, DELTA = 0.04, 0.05
 MIN_WORDS = 50
-#: Terms of the tail summed one by one; a geometric bound, never below the true rest, covers further ones.
-TAIL_TERMS = 5000
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -104,10 +102,10 @@ def binomial_tail(x: Column, n: Column, a: float) -> Column:
         term = acc["term"] * (x - i + 1).cast("double") / (n - x + i).cast("double") * odds
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    upto = F.least(x, F.lit(TAIL_TERMS)).cast("long")
+    # below the mean the j-th term down is at most exp(-j * (j - 1) / (2 * n * a)) of the first: what 10 * sqrt(n) terms leave out is under 1e-20 of it
+    upto = F.least(x, F.ceil(F.sqrt(n) * 10) + 1).cast("long")
     steps = F.when(upto > 0, F.sequence(F.lit(1).cast("long"), F.greatest(upto, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    ratio = F.greatest(x - TAIL_TERMS, F.lit(0)).cast("double") / (n - x + TAIL_TERMS + 1).cast("double") * odds
-    tail = F.aggregate(steps, start, add, lambda acc: acc["sum"] + F.when(x > TAIL_TERMS, acc["term"] * ratio / (1 - ratio)).otherwise(0.0))
+    tail = F.when(x < n * a, F.aggregate(steps, start, add, lambda acc: acc["sum"])).otherwise(1.0)
     return F.when((n <= 0) | (x >= n * a), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(ln_pmf) * tail))
 
 
@@ -152,13 +150,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns. Measured documents are settled as a table (a filter
     on the metrics themselves would be pushed into them and take them apart); the cutoffs have a row per stratum."""
-    cols = docs.columns
-    measured = staged(with_metrics(docs, text_col), "measured")
-    slim = measured.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), "__vw_metrics.*").where(~base_failed(None))
+    row = lambda c: F.col("row").getField(c)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    measured = staged(with_metrics(whole.withColumn("text", row(text_col)), "text").drop("text"), "measured")
+    slim = measured.select(row(id_col).alias("doc_id"), row(stratum_col).alias("stratum"), "__vw_metrics.*").where(~base_failed(None))
     good = slim.join(_labels(labels, "doc_id", "quality").where("quality = 1"), "doc_id", "left_semi")
-    cuts = staged(select_cutoffs(good, "stratum").withColumnRenamed("stratum", "__cut_stratum"), "cutoffs")
-    judged = measured.where(~base_failed()).join(cuts, F.col(stratum_col).eqNullSafe(F.col("__cut_stratum")), "left").where(~rejected(rule_values()))
-    return judged.select(*(F.col(f"`{c}`") for c in cols))
+    cuts = staged(select_cutoffs(good, "stratum").withColumnRenamed("stratum", "cut_stratum"), "cutoffs")
+    judged = measured.where(~base_failed()).join(cuts, row(stratum_col).eqNullSafe(F.col("cut_stratum")), "left").where(~rejected(rule_values()))
+    return judged.select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

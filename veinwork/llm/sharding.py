@@ -8,7 +8,7 @@ bins, rows are numbered within a bin, and bins get offsets. All that is broadcas
 twice the shards rows, whatever the input's size.
 
 Cases: null text has size 8 and crc 0; null or repeated ids are rows like any other (equal rows are
-interchangeable); an empty table gives no rows; extra columns are ignored by assign() and kept by spread().
+interchangeable, however many); an empty table gives no rows; extra columns are ignored by assign() and kept by spread().
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ SHARDS = 24
 #: A power of two; the slot is the top bits of the ring position.
 RING_SLOTS = 4096
 VNODES = 64
+#: More rows than this at one ring position (equal id and checksum) are numbered by file part, not in one task.
+HOT_ROWS = 5000
 _BITS = RING_SLOTS.bit_length() - 1
 
 
@@ -85,41 +87,55 @@ def _segments(slots: DataFrame, shards: int) -> DataFrame:
     return kept.unionByName(moved).withColumn("base", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(placed), F.lit(0)))
 
 
-def place(rows: DataFrame, pos: str, shards: int = SHARDS) -> DataFrame:
-    """Add shard and slot (its place there, gapless from 0) to rows that have a ring position. rows is read twice."""
+def place(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """rows: (row, pos), pos the ring position. row, shard and slot (its place there, gapless from 0). rows is read twice."""
     spark = rows.sparkSession
-    at = rows.withColumn("__slot", ring_slot(F.col(pos)))
     n = rows.count()
     bins = max(1, round((n / RING_SLOTS) ** 0.5))
     width = max(1, (1 << (62 - _BITS)) // bins)
-    at = at.withColumn("__bin", F.floor(F.pmod(F.col(pos), F.lit(1 << (62 - _BITS))) / F.lit(width)).cast("int"))
-    counts = at.groupBy("__slot", "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = Window.partitionBy("__slot").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
-    slots = ring(spark, shards).join(counts.groupBy(F.col("__slot").alias("slot")).agg(F.sum("__n").alias("n")), "slot", "left").fillna(0, ["n"])
-    segments = staged(_segments(slots, shards), "segments").withColumnRenamed("slot", "__seg_slot")
-    in_bin = Window.partitionBy("__slot", "__bin").orderBy(pos)
-    ranked = at.withColumn("__rank", F.row_number().over(in_bin) - 1).join(offsets, ["__slot", "__bin"]).withColumn("__rank", F.col("__rank") + F.col("__off"))
+    at = rows.select("row", "pos", ring_slot(F.col("pos")).alias("at"), F.floor(F.pmod(F.col("pos"), F.lit(1 << (62 - _BITS))) / F.lit(width)).cast("int").alias("bin"))
+    counts = at.groupBy("at", "bin").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("at").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("off", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    slots = ring(spark, shards).join(counts.groupBy(F.col("at").alias("slot")).agg(F.sum("n").alias("n")), "slot", "left").fillna(0, ["n"])
+    segments = staged(_segments(slots, shards).withColumnRenamed("slot", "seg_slot"), "segments")
+    # positions that very many rows share are looked for in crowded bins alone; their rows are numbered by file part
+    crowded = staged(counts.where(F.col("n") > HOT_ROWS + 4 * n / RING_SLOTS / bins), "crowded")
+    hot = None
+    if crowded.limit(1).count():
+        hot = staged(at.join(crowded.select("at", "bin"), ["at", "bin"]).groupBy("pos").count().where(F.col("count") > HOT_ROWS).select("pos"), "hot")
+    in_bin = Window.partitionBy("at", "bin").orderBy("pos")
+    cold = at if hot is None else at.join(hot, "pos", "left_anti")
+    ranked = cold.withColumn("rank", F.row_number().over(in_bin) - 1).join(offsets.select("at", "bin", "off"), ["at", "bin"]).select("row", "at", (F.col("rank") + F.col("off")).alias("rank"))
+    if hot is not None:
+        many = staged(at.join(hot, "pos").select("row", "pos", "at", "bin", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "hot-rows")
+        shares = many.groupBy("at", "bin", "pos", "part").agg(F.count(F.lit(1)).alias("m"))
+        total = shares.groupBy("at", "bin").agg(F.sum("m").alias("hot"))
+        before = Window.partitionBy("at", "bin").orderBy("pos", "part").rowsBetween(Window.unboundedPreceding, -1)
+        # behind the bin's other rows
+        starts = shares.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(offsets, ["at", "bin"]).join(total, ["at", "bin"])
+        starts = starts.select("pos", "part", (F.col("off") + F.col("n") - F.col("hot") + F.col("before")).alias("start"))
+        one = Window.partitionBy("pos", "part").orderBy("place")
+        ranked = ranked.unionByName(many.withColumn("rank", F.row_number().over(one) - 1).join(starts, ["pos", "part"]).select("row", "at", (F.col("rank") + F.col("start")).alias("rank")))
     # at most RING_SLOTS + 2 * shards rows
-    found = ranked.join(F.broadcast(segments), (F.col("__slot") == F.col("__seg_slot")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
-    return found.withColumn("slot", F.col("base") + F.col("__rank") - F.col("lo")).drop("__slot", "__bin", "__rank", "__off", "__seg_slot", "lo", "hi", "base")
+    found = ranked.join(F.broadcast(segments), (F.col("at") == F.col("seg_slot")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    return found.select("row", "shard", (F.col("base") + F.col("rank") - F.col("lo")).cast("long").alias("slot"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    slim = staged(slim.withColumn("__pos", ring_position(F.col("doc_id"), F.col("text_crc32"))), "sharding")
-    return place(slim, "__pos", shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    slim = staged(slim.select(F.struct("doc_id", "size", "text_crc32").alias("row"), ring_position(F.col("doc_id"), F.col("text_crc32")).alias("pos")), "sharding")
+    return place(slim, shards).select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """docs with shard and slot added (an own column of that name is replaced). The placement is settled on ids and
     checksums; texts are moved once, to number the rows of a bin."""
     pos = ring_position(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return place(docs.drop("shard", "slot").withColumn("__pos", pos), "__pos", shards).drop("__pos")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return place(docs.select(F.struct(*kept).alias("row"), pos.alias("pos")), shards).select("row.*", "shard", "slot")
 
 
 def op5_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
