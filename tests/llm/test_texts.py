@@ -34,6 +34,38 @@ def test_secrets_match_brute_force(table):
         assert r.n_assign == want.count("assign") and r.n_access == want.count("access") and r.n_hex == want.count("hex")
 
 
+def test_texts_of_very_many_matches(table):
+    text = "é token=abcdef0 " * 4000 + f"user=ab {HEX} " * 3000
+    r = secrets.scan(table([(1, text, "en", "s")])).first()
+    assert r.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest() and r.n_assign == 4000 and r.n_hex == 3000
+
+
+IDENT, BLOB, ENDPOINT = re.compile(secrets.IDENT, re.A), re.compile(secrets.BLOB), re.compile(secrets.ENDPOINT)
+
+
+def all_spans(t, scope=secrets.SCOPE):
+    """Base spans, and weak ones whose complement is near, by trying all pairs."""
+    base = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base_spans(t).split(",") if x)]
+    weak = [(m.start(), 3, m.end()) for m in IDENT.finditer(t) if len(m[1]) >= 3]
+    weak += [(m.start(), 4, m.end()) for m in BLOB.finditer(t) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(t)]
+    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    role = lambda x: secrets.ROLE[secrets.KINDS[x[1]]]
+    near = lambda w, r: any(p is not w and role(p) == r and (w[0] - p[2] <= scope if p[:2] < w[:2] else p[0] - w[2] <= scope) for p in base + weak)
+    needs = {3: ["secret"], 4: ["identifier"], 5: ["identifier", "secret"]}
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + [w for w in weak if all(near(w, r) for r in needs[w[1]])]))
+
+
+def test_linked_spans_match_brute_force(table):
+    import random
+
+    r = random.Random(11)
+    pieces = ["user: alice", "login=bob", "Zx9Kq2LmNvB4Ty7PwRsD1fGhJkCa8UeQ", "https://db.example.org/x", "password: hunter22", "AKIA" + "B" * 16, HEX, "client_id=abc-1", "é" * 50, "plain words " * 9, "word " * 25]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(12))) for _ in range(200)]
+    got = {x.doc_id: x.spans for x in secrets.scan(table([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: all_spans(t) for i, t in enumerate(texts)}
+
+
 def test_weak_parts_need_their_complement(table):
     blob, far = "Zx9Kq2LmNvB4Ty7PwRsD1fGhJkCa8UeQ", "word " * 100
     d = table(
@@ -99,6 +131,17 @@ def test_values_beside_other_digits_and_capitals():
     assert not any(v in names.text(two)[0] for v in (card, iban, "5500005555555559"))
 
 
+def test_one_value_in_several_layouts_keeps_its_link():
+    names = pii.Pseudonyms(KEY.encode())
+    day = lambda t, order: tuple(int(re.split("[-/.]", names.text(t)[0])[order.index(k)]) for k in "ymd")
+    assert day("2024-03-25", "ymd") == day("25.03.2024", "dmy") == day("25/03/2024", "dmy") == day("03/25/2024", "mdy") == day("2024/03/25", "ymd") != (2024, 3, 25)
+    assert day("2024-03-05", "ymd") == day("05.03.2024", "dmy") == day("05/03/2024", "dmy")
+    assert names.text("John.Doe@x.org")[0].lower() == names.text("john.doe@x.org")[0] and names.text("John.Doe@x.org")[0][0].isupper()
+    long = "".join(chr(97 + i % 26) for i in range(900))
+    one, two = (names.text(f"{a}{long}@x.org")[0].split("@")[0] for a in "ab")
+    assert sum(x == y for x, y in zip(one, two, strict=True)) < 120 and pii.Pseudonyms(KEY.encode(), True).text(one + "@x.org")[0] == "a" + long + "@x.org"
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 1000, 73049])
 def test_permutation_is_one(size):
     p, q = pii.Permutation(b"k"), pii.Permutation(b"k", inverse=True)

@@ -8,8 +8,8 @@ equal pseudonyms in every document, and a pseudonym validates as its original di
 * iban: a valid check number; country stays, letters and digits keep their kinds, the check number is made anew.
 * phone: a leading + and 8 to 15 digits, or ddd-ddd-dddd style groups; country code (from a fixed table) and separators stay.
 * ip: four octets; date: a real day as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or dd/mm/yyyy (mm/dd/yyyy where only that is a day),
-  permuted among all days of 1900 to 2099 (other years stay untouched).
-* email: letters and digits of the local part keep their kinds and places; the domain stays.
+  permuted among the days of 1900 to 2099, those up to the 12th of a month and later ones apart, alike in all layouts (other years stay untouched).
+* email: letters and digits of the local part keep their kinds and places, capitals theirs; the domain stays.
 
 The permutation is a balanced Feistel network of ROUNDS rounds with a keyed hash over the smallest even number of bits that
 covers the format, walked until it lands inside the format again (about twice on average); the kind of value
@@ -65,6 +65,13 @@ class Permutation:
     def __init__(self, key: bytes, inverse: bool = False):
         self.key, self.inverse = key, inverse
 
+    def hashed(self, data: bytes, width: int) -> int:
+        """A keyed hash of any width, in blocks of up to 64 bytes."""
+        out = hashlib.blake2b(data, key=self.key, digest_size=min(64, width)).digest()
+        for block in range(1, -(-width // 64)):
+            out += hashlib.blake2b(data, key=self.key, salt=block.to_bytes(8, "big")).digest()
+        return int.from_bytes(out[:width], "big")
+
     def __call__(self, kind: str, x: int, size: int) -> int:
         half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
         mask, seed, width = (1 << half) - 1, f"{kind}|{size}|".encode(), (half + 7) // 8
@@ -72,11 +79,9 @@ class Permutation:
             a, b = x >> half, x & mask
             for r in range(ROUNDS):
                 if self.inverse:
-                    h = hashlib.blake2b(seed + bytes([ROUNDS - 1 - r]) + a.to_bytes(width, "big"), key=self.key, digest_size=min(64, width + 8))
-                    a, b = b ^ (int.from_bytes(h.digest(), "big") & mask), a
+                    a, b = b ^ (self.hashed(seed + bytes([ROUNDS - 1 - r]) + a.to_bytes(width, "big"), width + 8) & mask), a
                 else:
-                    h = hashlib.blake2b(seed + bytes([r]) + b.to_bytes(width, "big"), key=self.key, digest_size=min(64, width + 8))
-                    a, b = b, a ^ (int.from_bytes(h.digest(), "big") & mask)
+                    a, b = b, a ^ (self.hashed(seed + bytes([r]) + b.to_bytes(width, "big"), width + 8) & mask)
             x = a << half | b
             if x < size:
                 return x
@@ -173,8 +178,8 @@ def _date(p: Permutation, v: str) -> str | None:
         while True:
             day = p("date", day, size)
             new = datetime.date.fromordinal(day + _DAY0)
-            # month first is only read where it can't be day first, so the pseudonym must read alike
-            if order != "mdy" or new.day > 12:
+            # month first is only read where it can't be day first, so in every layout days up to 12 and later ones are permuted apart
+            if (new.day > 12) == (d > 12):
                 break
         parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         sep = v[4] if year_first else v[2]
@@ -185,7 +190,11 @@ def _date(p: Permutation, v: str) -> str | None:
 def _email(p: Permutation, v: str) -> str | None:
     local, _, domain = v.rpartition("@")
     chars = re.sub(r"[^A-Za-z0-9]", "", local)
-    return f"{refill(local, _mixed(p, 'email', chars))}@{domain}" if chars else None
+    if not chars:
+        return None
+    # capitals stay in their places and don't matter otherwise, so addresses that differ in them alone stay linked
+    new = _mixed(p, "email", chars.lower())
+    return f"{refill(local, ''.join(x.upper() if c.isupper() else x for c, x in zip(chars, new, strict=True)))}@{domain}"
 
 
 _MAKE: dict[str, Callable[[Permutation, str], str | None]] = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn}

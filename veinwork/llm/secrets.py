@@ -43,18 +43,25 @@ def _spans(df: DataFrame, into: str, kind: str, pattern: str, may: Column, valid
     hits, vals, gaps = F.col(p + "hits"), F.col(p + "vals"), F.col(p + "gaps")
     df = df.withColumn(p + "hits", F.when(may, F.regexp_extract_all(text, pat, F.lit(0))))
     df = df.withColumn(p + "vals", F.when(F.size(hits) > 0, F.regexp_extract_all(text, pat, F.lit(group))) if group else hits)
-    # lengths of what precedes each match, and of the match
+    # lengths of what precedes each match; zipped, as an array named inside a lambda would be made again for every element
     df = df.withColumn(p + "gaps", F.when(F.size(hits) > 0, F.transform(F.split(text, pattern), lambda x: F.length(x))))
-    part = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), F.length(h).alias("n"), (valid(F.get(vals, i)) if valid else F.lit(True)).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    zipped = F.filter(F.arrays_zip(p + "hits", *([p + "vals"] if group else []), p + "gaps"), lambda x: x[p + "hits"].isNotNull())
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).alias("at"), none.alias("block"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
 
     def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        span = F.array(F.struct(s.alias("s"), F.lit(k).alias("k"), (s + x["n"]).alias("e"))).cast(SPAN)
-        return F.struct((s + x["n"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        s = acc["at"] + x[p + "gaps"]
+        e = s + F.length(x[p + "hits"])
+        span = F.array(F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"))).cast(SPAN)
+        block = F.concat(acc["block"], span)
+        if valid:
+            block = F.when(valid(x[p + ("vals" if group else "hits")]), block).otherwise(acc["block"])
+        # arrays grow by copying, so full blocks are set aside
+        full = F.size(acc["block"]) >= 256
+        return F.struct(e.alias("at"), F.when(full, F.slice(block, 257, 1)).otherwise(block).alias("block"), F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"))
 
-    found = F.when(F.size(hits) > 0, F.aggregate(part, start, step, lambda a: a["out"]))
-    return df.withColumn(into, F.coalesce(found, F.array().cast(SPAN))).drop(p + "hits", p + "vals", p + "gaps")
+    found = F.when(F.size(hits) > 0, F.aggregate(zipped, start, step, lambda a: F.flatten(F.concat(a["blocks"], F.array(a["block"])))))
+    return df.withColumn(into, F.coalesce(found, none)).drop(p + "hits", p + "vals", p + "gaps")
 
 
 def written(spans: Column) -> Column:
@@ -98,7 +105,9 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for every row of docs."""
     found = staged(parts(docs, id_col, text_col), "secrets")
-    out = found.join(linked(found, scope), "key", "left")
+    # only texts with weak parts have a key; the others take no part in the join
+    out = found.where("key is not null").join(linked(found, scope), "key", "left")
+    out = out.unionByName(found.where("key is null").withColumn("linked", F.lit(None).cast(SPAN)))
     extra = F.coalesce("linked", F.array().cast(SPAN))
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", extra)).alias("spans"), F.size(extra).cast("long").alias("n_linked")
