@@ -220,8 +220,9 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://www.Example.org:80/a?b=1#c", big), (2, "https://sub.example.org/", big), (3, "http://example.org/a?b=1", big), (4, None, None), (5, "http://e.com/\r\nx", ""), (6, "http://z.net/q", "small"), (7, "http://z.net/q", "small"), (8, "http://z.net/q", other), (8, "http://z.net/q", other), (None, "http://n.org/", other)]
     pages = spark.createDataFrame([(*r, "c", "f") for r in rows], PAGES).repartition(3)
     folder = f"file://{tmp_path}/warc"
-    directory = warc.index(warc.write(warc.decide(pages), folder), folder, block_lines=2)
-    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in warc.read_all(directory).collect())
+    indexed = warc.index(warc.write(warc.decide(pages), folder), folder, block_lines=2)
+    keys = pages.select(warc.url_key(F.col("url")).alias("url_key")).distinct()
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in warc.captures(keys, indexed).collect())
     want = []
     for i, _, h in rows:
         data = (h or "").encode()
@@ -230,8 +231,18 @@ def test_archives_round_trip(spark, tmp_path):
         want.append((str(i), len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", last if revisit else None, True))
     assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
     asked = spark.createDataFrame([("http://example.org/a?b=1",), ("http://z.net/q",), ("http://absent.org/",)], "url string")
-    for share in (1000, 1):
-        hits = sorted((r.url, r.page_id) for r in warc.lookup(asked, directory, rows_at_once=share).collect())
-        assert hits == [("http://example.org/a?b=1", 1), ("http://example.org/a?b=1", 3), ("http://z.net/q", 6), ("http://z.net/q", 7), ("http://z.net/q", 8), ("http://z.net/q", 8)]
+    hits = sorted((r.url, r.page_id) for r in warc.lookup(asked, indexed).collect())
+    assert hits == [("http://example.org/a?b=1", 1), ("http://example.org/a?b=1", 3), ("http://z.net/q", 6), ("http://z.net/q", 7), ("http://z.net/q", 8), ("http://z.net/q", 8)]
     empty = warc.index(warc.write(warc.decide(pages.where("1 = 0")), folder), folder)
-    assert warc.read_all(empty).count() == 0
+    assert warc.captures(keys, empty).count() == 0
+
+
+def test_lookups_match_a_scan(spark, tmp_path):
+    """Every key of many captures, several to a block and to a key, against all captures of that key; absent keys find nothing."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 13}.org/{i * i % 97}", f"page {i}", "c", "f") for i in range(2000)], PAGES).repartition(5)
+    indexed = warc.index(warc.write(warc.decide(pages), f"file://{tmp_path}/w"), f"file://{tmp_path}/w", block_lines=7)
+    asked = pages.select("url").union(spark.createDataFrame([("http://h1.org/999",), ("http://zz.org/",), (None,)], "url string"))
+    got = sorted((r.url, r.page_id, r.intact) for r in warc.lookup(asked, indexed).collect())
+    assert got == sorted((f"http://h{i % 13}.org/{i * i % 97}", i, True) for i in range(2000))
+    raw = [r.file for r in indexed.collect()]
+    assert len(raw) == len(set(raw)) and sum(r.lines for r in indexed.collect()) == 2000

@@ -2,9 +2,11 @@
 
 write() makes a record of every page: a response, or a revisit where the payload equals that of another page (of equal
 payloads of REVISIT_BYTES or more, the largest page_id is the response). Every task streams its records, each
-a gzip member, into files of its own. index() sorts the captures by reversed-host URL key, packs them into compressed
-blocks of BLOCK_LINES lines and returns the sparse directory, a row per block. lookup() finds URLs by binary search in
-the directory, then in a block, then by one range read of the archive. read_all() walks index and archives the same way.
+a gzip member, into files of its own. index() sorts the captures by reversed-host URL key and packs them into compressed
+blocks of BLOCK_LINES lines, followed by the file's sparse directory, a line per block; it returns a row per file, as many as
+there are partitions. captures() finds keys by binary search among the files (the only table that is broadcast), in a file's
+directory and in a block; a range read of the archive then brings the record. Wanted keys are sorted by file,
+so that a task reads a directory and a block once for all its keys. lookup() does this for URLs.
 
 Files are opened by URI through pyarrow.fs, so any file system that it knows will do. A file is named by task and
 attempt, and only files of attempts that reported back are in the tables, so lost executors leave no trace in results.
@@ -20,6 +22,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,11 +36,10 @@ from .common import read_table, scratch_path, staged
 REVISIT_BYTES = 1000
 FILE_BYTES = 256 << 20
 BLOCK_LINES = 500
-DIRECTORY_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 CAPTURE = "page_id bigint, url string, url_key string, digest string, record_type string, file string, offset bigint, length bigint"
-DIRECTORY = "first_key string, last_key string, lines bigint, file string, offset bigint, length bigint"
+INDEX = "first_key string, last_key string, lines bigint, blocks bigint, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, intact boolean"
 
 
@@ -62,13 +64,14 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     return joined.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "payload", "digest", other.alias("refers_to"))
 
 
-def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
+def record(page_id, url: str, payload: bytes, digest: str, refers_to, place: str) -> bytes:
+    """place: where the record stands, from which its own id is made; page ids, which may repeat, have fields of their own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"WARC-Date: {DATE}", f"Page-ID: {'' if page_id is None else page_id}"]
     head += [f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -80,10 +83,9 @@ def parse(raw: bytes) -> tuple:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    number = lambda x: int(x[10:-1]) if len(x) > 11 else None  # noqa: E731  <urn:page:7>
     digest, kind = fields["WARC-Payload-Digest"][5:], fields["WARC-Type"]
     intact = kind == "revisit" or (len(payload) == size and hashlib.sha1(payload).hexdigest() == digest)
-    return number(fields["WARC-Record-ID"]), size, digest, kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None, intact and rest[len(block) :] == b"\r\n\r\n"
+    return int(fields["Page-ID"]) if fields["Page-ID"] else None, size, digest, kind, int(fields["Refers-To-Page-ID"]) if kind == "revisit" else None, intact and rest[len(block) :] == b"\r\n\r\n"
 
 
 class Out:
@@ -121,7 +123,7 @@ def write(decided: DataFrame, folder: str) -> DataFrame:
                     if out:
                         out.stream.close()
                     out, n = Out(folder, "archive", n, ".warc.gz"), n + 1
-                at, size = out.add(gzip.compress(record(page, url, data, digest, refers), 5, mtime=0))
+                at, size = out.add(gzip.compress(record(page, url, data, digest, refers, f"{out.name}#{out.at}"), 5, mtime=0))
                 rows.append((page, url, key, digest, "response" if refers is None else "revisit", out.name, at, size))
             yield _batch(rows, CAPTURE)
         if out:
@@ -131,36 +133,35 @@ def write(decided: DataFrame, folder: str) -> DataFrame:
 
 
 def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the index under folder; DIRECTORY rows, settled as a table."""
+    """Write the index under folder; INDEX rows, one per file, settled as a table."""
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = F.to_json(F.struct("url_key", "url", "page_id", "digest", "record_type", "file", "offset", "length"))
     # equal keys, as of a URL captured over and over, are spread by file and place
     ordered = captures.repartitionByRange(parts, "url_key", "file", "offset").sortWithinPartitions("url_key", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, keys, lines = None, [], []
+        out, keys, lines, directory = None, [], [], []
 
-        def block() -> tuple:
+        def block() -> None:
             at, size = out.add(gzip.compress("\n".join(lines).encode(), 6, mtime=0))
-            return keys[0], keys[-1], len(lines), out.name, at, size
+            directory.append((keys[0], keys[-1], at, size, len(lines)))
 
         for b in batches:
-            rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out = out or Out(folder, "index", 0, ".cdx.gz")
                 keys.append(key)
                 lines.append(text)
                 if len(lines) == block_lines:
-                    rows.append(block())
+                    block()
                     keys, lines = [], []
-            if rows:
-                yield _batch(rows, DIRECTORY)
         if lines:
-            yield _batch([block()], DIRECTORY)
+            block()
         if out:
+            at, size = out.add(gzip.compress("\n".join(map(json.dumps, directory)).encode(), 6, mtime=0))
             out.stream.close()
+            yield _batch([(directory[0][0], directory[-1][1], sum(d[4] for d in directory), len(directory), out.name, at, size)], INDEX)
 
-    return staged(ordered.select("url_key", line.alias("line")).mapInArrow(run, DIRECTORY), "warc-directory")
+    return staged(ordered.select("url_key", line.alias("line")).mapInArrow(run, INDEX), "warc-index")
 
 
 class Files:
@@ -178,63 +179,73 @@ class Files:
         self.file.seek(offset)
         return gzip.decompress(self.file.read(length))
 
+    def lines(self, name: str, offset: int, length: int) -> list:
+        return [json.loads(x) for x in self.read(name, offset, length).decode().split("\n")]
+
+
+WANTED, PLACE = "url_key string, index_file string, index_at bigint, index_size bigint", "url_key string, url string, file string, offset bigint, length bigint"
+
 
-def read_all(directory: DataFrame) -> DataFrame:
-    """RECORD rows of every capture of the index: range reads of all blocks, then of all records, file by file."""
-    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = "file string, offset bigint, length bigint"
+def captures(keys: DataFrame, indexed: DataFrame) -> DataFrame:
+    """keys: (url_key), distinct. url_key, url and the RECORD columns of each capture under these keys. indexed: from index()."""
+    spark = keys.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a row per index file, as many as index() had partitions; by last key, which is their order by first key, too
+    files = spark.sparkContext.broadcast(sorted(tuple(r) for r in indexed.select("last_key", "first_key", "file", "offset", "length").collect()))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Files()
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [f[0] for f in files.value]
         for b in batches:
-            for name, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows = [json.loads(x) for x in files.read(name, at, size).decode().split("\n")]
-                yield _batch([(r["file"], r["offset"], r["length"]) for r in rows], place)
+            rows = []
+            for key in b.column(0).to_pylist():
+                at = bisect.bisect_left(last, key)
+                while at < len(last) and files.value[at][1] <= key:
+                    rows.append((key, *files.value[at][2:]))
+                    at += 1
+            yield _batch(rows, WANTED)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, named, last, directory, held, keys = Files(), "", [], [], None, []
+        for b in batches:
+            rows = []
+            for key, name, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != named:
+                    named, held, directory = name, None, index.lines(name, offset, length)
+                    last = [d[1] for d in directory]
+                at = bisect.bisect_left(last, key)
+                while at < len(last) and directory[at][0] <= key:
+                    if held != at:
+                        block = index.lines(name, *directory[at][2:4])
+                        held, keys = at, [x["url_key"] for x in block]
+                    found = block[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+                    rows += [(key, x.get("url"), x["file"], x["offset"], x["length"]) for x in found]
+                    at += 1
+            yield _batch(rows, PLACE)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Files()
+        archives = Files()
         for b in batches:
-            yield _batch([parse(files.read(*x)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)], RECORD)
+            key, url, *at = (c.to_pylist() for c in b.columns)
+            yield _batch([(k, u, *parse(archives.read(*x))) for k, u, x in zip(key, url, zip(*at, strict=True), strict=True)], "url_key string, url string, " + RECORD)
 
-    places = directory.select("file", "offset", "length").repartition(parts, "file", "offset").mapInArrow(blocks, place)
-    return places.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, RECORD)
+    wanted = keys.select("url_key").mapInArrow(holders, WANTED).repartitionByRange(parts, "index_file", "url_key").sortWithinPartitions("index_file", "url_key")
+    found = wanted.mapInArrow(places, PLACE).repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
+    return found.mapInArrow(records, "url_key string, url string, " + RECORD)
 
 
-def lookup(urls: DataFrame, directory: DataFrame, url_col: str = "url", rows_at_once: int = DIRECTORY_ROWS) -> DataFrame:
-    """url and the RECORD columns of each capture of a wanted URL, by binary search in the directory, in the block and by a
-    range read of the record. The directory has a row per BLOCK_LINES captures; it goes to the executors in shares of
-    about rows_at_once rows, one pass over the wanted URLs each."""
-    spark = urls.sparkSession
+def lookup(urls: DataFrame, indexed: DataFrame, url_col: str = "url") -> DataFrame:
+    """url and the RECORD columns of each capture of a wanted URL (of one with the same key)."""
     wanted = urls.select(F.col(url_col).alias("url")).distinct().withColumn("url_key", url_key(F.col("url")))
-    shares = max(1, -(-directory.count() // rows_at_once))
-    out = spark.createDataFrame([], "url string, " + RECORD)
-    for s in range(shares):
-        mine = directory.where(F.pmod(F.xxhash64("file", "offset"), F.lit(shares)) == s).orderBy("first_key", "last_key", "file", "offset")
-        blocks = spark.sparkContext.broadcast([tuple(r) for r in mine.select("first_key", "last_key", "file", "offset", "length").collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
-            index, archives = Files(), Files()
-            last = [x[1] for x in blocks.value]
-            for b in batches:
-                rows = []
-                for url, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    at = bisect.bisect_left(last, key)
-                    while at < len(last) and blocks.value[at][0] <= key:
-                        lines = [json.loads(x) for x in index.read(*blocks.value[at][2:]).decode().split("\n")]
-                        keys = [x["url_key"] for x in lines]
-                        for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                            rows.append((url, *parse(archives.read(x["file"], x["offset"], x["length"]))))
-                        at += 1
-                yield _batch(rows, "url string, " + RECORD)
-
-        out = out.unionByName(wanted.mapInArrow(run, "url string, " + RECORD))
-    return out
+    found = captures(wanted.select("url_key").distinct(), indexed)
+    return wanted.join(found.drop("url"), "url_key").drop("url_key")
 
 
 def op7_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are archived; then every URL that pages have is looked up, so each record comes back through the index."""
     folder = scratch_path(spark, "warc")
-    captures = write(decide(read_table(spark, sf_dir, "pages")), folder)
-    return read_all(index(captures, folder))
+    pages = read_table(spark, sf_dir, "pages")
+    indexed = index(write(decide(pages), folder), folder)
+    return captures(pages.select(url_key(F.col("url")).alias("url_key")).distinct(), indexed).drop("url_key", "url")
 
 
 OP7_SQL = """
