@@ -39,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/veinwork-{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application, which may be deleted as a whole when it has ended."""
+    return f"{shared_dir(spark)}/veinwork-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -49,6 +50,22 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df (a settled table of short rows) with the hint to broadcast it, if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_shared(rows: DataFrame, shared: DataFrame, on: list[str]) -> DataFrame:
+    """rows (inner) joined with shared, a settled table with a row per key and n, the number of rows that have it. Keys that a
+    partition's share of all rows or more have can't be more than there are partitions: these are broadcast, the others joined as usual."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most = shared.agg(F.sum("n"), F.max("n")).first()
+    if not total or most * parts < total:
+        return rows.join(shared, on)
+    often = F.col("n") * parts >= total
+    return rows.join(F.broadcast(shared.where(often)), on).unionByName(rows.join(F.broadcast(shared.where(often).select(on)), on, "left_anti").join(shared.where(~often), on))
+
+
 def word_array(text: Column) -> Column:
     """Words of a non-null text, in order; no words give an empty array."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, word_count
+from .common import read_table, small, staged, word_count
 
 MAX_COPIES = 3
 SEED = "mix-1"
@@ -89,17 +89,19 @@ def _cuts(rows: DataFrame) -> DataFrame:
     strata = staged(draw_sizes(strata).withColumn("odds", F.col("p_sum") / (F.col("n") * UNIT - F.col("p_sum"))), "mix-strata")
     # rank times the stratum's mean odds is about odds of a uniform number, so these bins hold about sqrt(n) rows
     spread = F.col("rank") * F.col("odds")
-    binned = part.join(strata.select("sid", "band", "n", "take", "odds").where("take > 0"), ["sid", "band"])
+    binned = part.join(strata.select("sid", "band", "n", "take", "odds").where("take > 0").transform(small), ["sid", "band"])
     binned = binned.withColumn("bin", F.floor(spread / (1.0 + spread) * F.ceil(F.sqrt("n"))).cast("int"))
     ahead = Window.partitionBy("sid", "band").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy("sid", "band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("take").alias("take"))
+    # settled before the window, or the counting itself would be dealt by stratum
+    bins = staged(binned.groupBy("sid", "band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("take").alias("take")), "mix-bins")
     bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
     edge = bins.where("before < take and take <= before + c").select("sid", "band", "bin", (F.col("take") - F.col("before")).alias("nth"))
+    edge = small(staged(edge, "mix-edge"))  # a row per stratum at most
     cuts = staged(_nth(binned.join(edge, ["sid", "band", "bin"]), "rank").select("sid", "band", F.col("at").alias("cut"), "left", "ties"), "mix-ranks")
     # the rows at the cut, where not all are drawn, again by bins, of their hashes
-    tied = part.join(cuts.where("left < ties"), ["sid", "band"]).where("rank = cut")
+    tied = part.join(small(cuts.where("left < ties")), ["sid", "band"]).where("rank = cut")
     tied = tied.withColumn("bin", F.floor((F.col("tie") / float(1 << 64) + 0.5) * F.ceil(F.sqrt("ties"))).cast("int"))
-    bins = tied.groupBy("sid", "band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("left").alias("left"))
+    bins = staged(tied.groupBy("sid", "band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("left").alias("left")), "mix-ties")
     bins = bins.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
     edge = bins.where("before < left and left <= before + c").select("sid", "band", "bin", (F.col("left") - F.col("before")).alias("nth"))
     ends = _nth(tied.select("sid", "band", "bin", "tie").join(edge, ["sid", "band", "bin"]), "tie")
@@ -136,7 +138,7 @@ def _sources(slim: DataFrame, weights: tuple[int, ...]) -> DataFrame:
 def _copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     settled = cuts.where("equal_left < equal_rows").limit(1).count() == 0
     cuts = cuts.select(F.col("sid").alias("__sid"), F.col("band").alias("__band"), "cut", "cut_tie", "equal_left", "equal_rows")
-    joined = rows.join(cuts, (F.col("sid") == F.col("__sid")) & (F.col("band") == F.col("__band")), "left")
+    joined = rows.join(small(cuts), (F.col("sid") == F.col("__sid")) & (F.col("band") == F.col("__band")), "left")
     before = (F.col("rank") < F.col("cut")) | (F.col("rank") == F.col("cut")) & (F.col("cut_tie").isNull() | (F.col("tie") <= F.col("cut_tie")))
     copies = lambda drawn: F.when(F.col("size") > 0, F.col("whole") + drawn).otherwise(0).cast("long")
     drawn = joined.withColumn("copies", copies(F.coalesce(before.cast("long"), F.lit(0))))
