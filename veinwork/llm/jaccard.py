@@ -42,6 +42,8 @@ from .components import components
 #: op3's shingle length and least similarity, NUM / DEN; groups() and one_of_each() take others.
 WORDS, NUM, DEN = 4, 85, 100
 BINS, BLOCK, ROUNDS = 256, 2000, 3
+#: Bytes of text to a partition of signatures, which take about as many.
+PART_BYTES = 48 << 20
 #: Candidate texts up to this many are marked by a broadcast of their keys, beyond it by a shuffle join.
 BROADCAST_KEYS = 1_000_000
 _A, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -178,7 +180,7 @@ def _sign(parts: int, length: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer, seen = Words(), Signer(num, den), set()
         held: tuple[list, list] = ([], [])
-        size = 0
+        size = turn = 0
 
         def packed() -> pa.RecordBatch:
             sig, node = np.concatenate(held[0]), np.concatenate(held[1])
@@ -198,13 +200,17 @@ def _sign(parts: int, length: int, num: int, den: int):
                 node.append(key := set_key(s))
                 hist.append(_histogram(s))
                 if key not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
                     seen.add(key)
                     sig = signer.signatures(s)
                     held[0].append(sig)
                     held[1].append(np.full(len(sig), key, np.int64))
                     size += len(sig)
             none = [None] * len(ids)
-            yield _batch([k % parts for k in node], ids, keys, n, node, hist, none, none)
+            # documents are dealt in turn, from another partition on in every task; only signatures must meet
+            turn = (turn or words[str(ids).encode()]) + len(ids)
+            yield _batch([(turn + i) % parts for i in range(len(ids))], ids, keys, n, node, hist, none, none)
             if size > 1_000_000:
                 yield packed()
                 held, size = ([], []), 0
@@ -319,10 +325,10 @@ def _across(dirty: DataFrame, num: int, den: int) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(node, features) of the wanted nodes, from one document of each."""
     keys = nodes.join(wanted, "node", "left_semi").select("at.doc_id", "at.text_key").distinct()
-    keys = staged(keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "jaccard-keys")
+    keys = staged(keys.select(F.col("doc_id").alias("__vw_id"), F.col("text_key").alias("__vw_key")), "jaccard-keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    chosen = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi").select("text")
+    chosen = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__vw_id")) & (F.col("text_key") == F.col("__vw_key")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -357,10 +363,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, length: int,
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
     """doc_id, text_key, n and at (none, doc_id, text_key) for every row of docs: the first row of its component by id, nulls last, and text."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # a task that sorts signatures holds a partition of them, so their number follows the input
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
-    found = staged(docs.mapInArrow(_sign(parts, words, num, den), FOUND).repartition(parts, "part").mapInArrow(_buckets, FOUND), "jaccard")
+    found = staged(docs.mapInArrow(_sign(parts, words, num, den), FOUND).repartitionById(parts, F.col("part")).mapInArrow(_buckets, FOUND), "jaccard")
     rows = found.where("part >= 0").select("doc_id", "text_key", "n", "node", "hist")
     nodes = staged(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-nodes")
     members = staged(found.where("part = -1").select(F.col("n").alias("bucket"), "node").distinct(), "jaccard-members")
@@ -394,11 +402,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def _of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """The rows of docs whose id (null like any other) and text are among those of rows (how: left_semi), or are not (left_anti)."""
-    rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    rows = rows.select(F.col("doc_id").alias("__vw_id"), F.col("text_key").alias("__vw_key"))
     if rows.count() <= BROADCAST_KEYS:
         rows = F.broadcast(rows)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(rows, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (key == F.col("__key")), how)
+    return docs.join(rows, F.col(id_col).cast("bigint").eqNullSafe(F.col("__vw_id")) & (key == F.col("__vw_key")), how)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -411,9 +419,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = out.where((F.col("n") > 0) & first | (F.col("n") == 0) & F.col("doc_id").isNotNull())
     repeated = staged(stays.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "jaccard-repeated")
     if repeated.limit(1).count():
-        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-        many = _of(kept, repeated, id_col, text_col, "left_semi").select(whole, F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"))
-        one = many.groupBy("__id", "__key").agg(F.first("__row").alias("__row")).select("__row.*")
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__vw_row")
+        many = _of(kept, repeated, id_col, text_col, "left_semi").select(whole, F.col(id_col).alias("__vw_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__vw_key"))
+        one = many.groupBy("__vw_id", "__vw_key").agg(F.first("__vw_row").alias("__vw_row")).select("__vw_row.*")
         kept = _of(kept, repeated, id_col, text_col, "left_anti").unionByName(one)
     return kept
 
