@@ -199,12 +199,57 @@ def test_rollups_add_revise_delete_and_repeat(spark, tmp_path):
     assert store.apply("b", second) and not store.apply("b", second)
     assert totals() == {("s", "en", "t1"): (2, 6), ("q", "en", "t1"): (1, 12), ("s", "en", "t2"): (1, 7)}
     # a batch that broke off before its marker counts nothing and is written anew
-    make(("put", 5, "s", "en", "t1", 100)).select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("docs"), "tokens").write.parquet(f"file://{tmp_path}/store/ledger/c")
+    make(("put", 5, "s", "en", "t1", 100)).select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("docs"), "tokens", F.lit(3).alias("bucket")).write.partitionBy("bucket").parquet(f"file://{tmp_path}/store/ledger/c")
     assert totals()[("s", "en", "t1")] == (2, 6)
     assert store.apply("c", make(("delete", 2, "s", "en", "t1", 0))) and store.apply("d", make().where("1 = 0"))
     assert totals()[("s", "en", "t1")] == (1, 1) and store.current().where("doc_id = 2").count() == 1
+    before = totals()
+    store.compact("e")
+    assert totals() == before and not store.apply("b", second) and totals() == before
+    assert store.apply("f", make(("delete", 1, None, None, "t1", 0))) and totals() == {k: v for k, v in before.items() if k != ("q", "en", "t1")}
 
 
+def test_random_batches_match_a_plain_table(spark, tmp_path):
+    import random
+
+    r, plain, store = random.Random(3), {}, rollups.Store(spark, f"file://{tmp_path}/store")
+    for batch in range(5):
+        changes = {(i, t): ("delete" if r.random() < 0.3 else "put", i, r.choice("ab"), r.choice(["en", None]), t, r.randrange(50)) for i, t in ((r.randrange(40), r.choice(["t1", "t2"])) for _ in range(30))}
+        store.apply(f"b-{batch}", spark.createDataFrame(list(changes.values()), "op string, doc_id bigint, source string, lang string, tokenizer string, tokens bigint"))
+        for key, (op, _, source, lang, t, n) in changes.items():
+            plain.pop(key, None)
+            if op == "put":
+                plain[key] = (source, lang, t, n)
+        if batch == 2:
+            store.compact("sum")
+        want = Counter()
+        for source, lang, t, n in plain.values():
+            want[source, lang, t, "docs"] += 1
+            want[source, lang, t, "tokens"] += n
+        got = {(x.source, x.lang, x.tokenizer, k): x[k] for x in store.totals().collect() for k in ("docs", "tokens")}
+        assert +want == {k: v for k, v in got.items() if v}
+
+
+def test_the_rollup_query_matches_a_recount(spark, tmp_path):
+    text = lambda i: ["one two  three", "Some\ttext here", "plain words", None, ""][i % 5] + f" {i % 20}" if i % 5 != 3 else None
+    rows = [(i, text(i), f"s{i % 2}", "en" if i % 3 else None) for i in range(60)] + [(None, "plain words 2", "s0", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    encode, first, want = rollups.encoding(rollups.TOKENIZERS, rollups.VOCABULARY).encode_ordinary, {}, Counter()
+    for i, t, *_ in rows:
+        if t is not None and i is not None:
+            first[t] = min(i, first.get(t, i))
+    for i, t, source, lang in rows:
+        if t is None or i is None or first[t] == i:
+            # a null id stays as it was put: once as written, once cleaned
+            forms = [t] if i is None else []
+            cleaned = re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ")
+            forms += [cleaned] if i is not None or cleaned != t else []
+            for x in forms:
+                want[source, lang, "docs"] += 1
+                want[source, lang, "tokens"] += len(encode(x))
+    got = {(x.source, x.lang, k): x[k] for x in rollups.op10_token_rollups(spark, str(tmp_path)).collect() for k in ("docs", "tokens")}
+    assert got == dict(+want)
+
 def test_token_counts(docs, no_docs):
     encode = rollups.encoding(rollups.TOKENIZERS, rollups.VOCABULARY).encode_ordinary
     want = sorted((str(r.doc_id), len(encode(r.text)) if r.text else 0) for r in docs.collect())
