@@ -123,10 +123,10 @@ def test_pixels_fill_and_texture(spark):
 
 def test_exports_are_harmonised(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("SAMPLE NAME,LI(PPM),LONGITUDE,LATITUDE\nañ,5,1,2\n".encode())
-    (tmp_path / "b.csv").write_bytes("Sample,LI,LONGITUDE MIN,LATITUDE MIN,SIO2(WT%)\nbñ,6,3,4,55\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("Sample,LI,LONGITUDE MIN,LATITUDE MIN,SIO2(WT%)\nbñ €,6,3,4,55\n".encode("cp1252"))
     (tmp_path / "c.csv").write_bytes(b"x,y\n1,2\n")
     d = tables.read_exports(spark, f"file://{tmp_path}/*.csv")
-    assert {(r.sample_name, r.Li_icpms) for r in d.collect()} == {("añ", "5"), ("bñ", "6")} and "SiO2" in d.columns
+    assert {(r.sample_name, r.Li_icpms) for r in d.collect()} == {("añ", "5"), ("bñ €", "6")} and "SiO2" in d.columns
     assert tables.missing_core(["x"]) == ["Li_icpms", "Longitude", "Latitude"]
     files = tables.manifest(spark, f"file://{tmp_path}/*.csv").select("path", "sha256")
     assert files.count() == 3 and tables.set_digest(files).first().digest == tables.set_digest(files.repartition(3)).first().digest
@@ -143,10 +143,12 @@ def test_streaming_ingest_resumes(spark, tmp_path):
     (src / "2.csv").write_text("id,v\n2,8\n")
     go()
     assert sorted((r.id, float(r.v)) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 2.0), (2, 8.0)]
-    up = ingest.upsert(str(tmp_path / "up"), ["id"])
+    up, at = ingest.upsert(str(tmp_path / "up"), ["id"], "v"), str(tmp_path / "up")
     for _ in range(2):
-        up(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), 0)
-    assert spark.read.parquet(str(tmp_path / "up")).count() == 2
+        up(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, v string"), 0)
+    assert ingest.upserted(spark, at).count() == 3
+    up(spark.createDataFrame([(1, "z"), (None, "d"), (3, "y"), (2, "a")], "id int, v string"), 1)
+    assert {(r.id, r.v) for r in ingest.upserted(spark, at).collect()} == {(1, "z"), (2, "b"), (3, "y"), (None, "d")}
     assert F is not None
 
 

@@ -39,6 +39,24 @@ VIEWS: dict[str, str] = {
             concat('C:', chr(92), 'Data', chr(92), p_brand, '/', cast(p_partkey as varchar(20)), '.NPY') as path,
             case p_partkey % 3 when 0 then concat('S2A_2024', case when p_partkey % 2 = 0 then '0229' else '0231' end, 'T101_x') when 1 then '2023-05-17T10:00' else 'none' end as scene
         from part""",
+    "export": """
+        select cast(p_partkey as varchar(20)) as id, cast(p_partkey % 4 as varchar(10)) as file_no, concat('N\u00e9 ', p_brand) as sample_name,
+            case p_partkey % 5 when 0 then 'WR' when 1 then '/ wr [2]' when 2 then 'Volcanic Glass' when 3 then 'Whole Rock' else p_type end as material,
+            case when p_partkey % 6 = 0 then 'n.d.' else cast(p_size as varchar(20)) end as li,
+            case when p_partkey % 11 = 0 then null else cast(p_partkey % 400 - 200 as varchar(20)) end as lon_min, case when p_partkey % 2 = 0 then null else cast(p_partkey % 400 - 198 as varchar(20)) end as lon_max,
+            cast(p_partkey % 100 - 50 as varchar(20)) as lat_min, cast(p_partkey % 100 - 49 as varchar(20)) as lat_max,
+            case when p_partkey % 7 = 0 then 'x' else cast(45 + p_partkey % 30 as varchar(20)) end as SiO2,
+            case when p_partkey % 3 = 0 then 'x' else cast(p_partkey % 11 as varchar(20)) end as TiO2,
+            case when p_partkey % 5 = 0 then 'x' else cast(10 + p_partkey % 9 as varchar(20)) end as Al2O3,
+            case when p_partkey % 2 = 0 then 'x' else cast(1 + p_partkey % 8 as varchar(20)) end as Fe2O3,
+            case when p_partkey % 3 = 0 then 'x' else cast(p_partkey % 4 as varchar(20)) end as MnO,
+            case when p_partkey % 11 = 0 then 'x' else cast(p_partkey % 9 as varchar(20)) end as MgO,
+            case when p_partkey % 4 = 0 then 'x' else cast(1 + p_partkey % 7 as varchar(20)) end as CaO,
+            case when p_partkey % 13 = 0 then 'x' else cast(2 + p_partkey % 5 as varchar(20)) end as Na2O,
+            case when p_partkey % 5 = 0 then 'x' else cast(1 + p_partkey % 6 as varchar(20)) end as K2O,
+            case when p_partkey % 2 = 0 then 'x' else cast(p_partkey % 3 as varchar(20)) end as P2O5,
+            case when p_partkey % 5 = 0 then null else cast(1 + p_partkey % 12 as varchar(20)) end as FeOT, case when p_partkey % 3 = 0 then cast(p_partkey % 90 as varchar(20)) end as Rb
+        from part""",
     "oof": """
         select event_id as sample_id, cast(event_id * 7919 % 10007 as double) / 10007e0 as fine, (event_id % 11) / 10e0 as coarse,
             case when value >= 100e0 or event_id * 7919 % 10007 > 8000 then 1 else 0 end as y, value as li,
@@ -59,7 +77,7 @@ VIEWS: dict[str, str] = {
         from orders join customer on o_custkey = c_custkey""",
 }
 
-TABLES = {"geo": ["events"], "oxides": ["part"], "raw": ["part"], "oof": ["events"], "reg": ["lineitem"], "pixels": ["embeddings"], "scen": ["events"], "paired": ["orders", "customer"]}
+TABLES = {"geo": ["events"], "oxides": ["part"], "raw": ["part"], "export": ["part"], "oof": ["events"], "reg": ["lineitem"], "pixels": ["embeddings"], "scen": ["events"], "paired": ["orders", "customer"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
