@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL, by name."""
 
-from . import aggregates, columns, decisions, ingest, joins, modelling, raster, studies
+from . import aggregates, columns, decisions, evidence, ingest, joins, modelling, raster, studies
 from .registry import ORACLES, QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "decisions", "ingest", "joins", "modelling", "oracles", "raster", "studies"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "decisions", "evidence", "ingest", "joins", "modelling", "oracles", "raster", "studies"]

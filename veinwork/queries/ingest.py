@@ -38,11 +38,16 @@ _FE = f"coalesce({_NUM('FeOT')} * 1.111348e0, {_NUM('Fe2O3')})"
 _OX = [_FE if x == "Fe2O3" else _NUM(x) for x in c.OXIDES]
 _PRESENT = " + ".join(f"(({x}) is not null)::int" for x in [*_OX, _NUM("Rb")])
 CODE = r"case when upper(trim(material)) = 'WHOLE ROCK' then 'WR' when upper(trim(material)) = 'VOLCANIC GLASS' then 'GL' else nullif(regexp_extract(upper(trim(material)), '^(?:/\s*)?(WR|GL)(?:\s*\[(\d+)\])?$', 1), '') end"
-_V = f"""v as (select *, {CODE} as code, {_NUM('li')} as li_n, case when file_no = '2' then {_NUM('lon_min')} else ({_NUM('lon_min')} + coalesce({_NUM('lon_max')}, {_NUM('lon_min')})) / 2 end as lon,
-    case when file_no = '2' then {_NUM('lat_min')} else ({_NUM('lat_min')} + coalesce({_NUM('lat_max')}, {_NUM('lat_min')})) / 2 end as lat, {' + '.join(_OX)} as total, {_PRESENT} as n from export where file_no <> '3'),
+def _verdicts(points: str, skipped: str) -> str:
+    """CTEs v and h: every row with its verdict. points: the file with single coordinates; skipped: the one without a target."""
+    mid = lambda x: f"case when file_no = '{points}' then {_NUM(x + '_min')} else ({_NUM(x + '_min')} + coalesce({_NUM(x + '_max')}, {_NUM(x + '_min')})) / 2 end as {x}"
+    return f"""v as (select *, {CODE} as code, {_NUM('li')} as li_n, {mid('lon')}, {mid('lat')}, {' + '.join(_OX)} as total, {_PRESENT} as n from export where file_no <> '{skipped}'),
     h as (select *, case when code is distinct from 'WR' then 'material' when li_n is null or lon is null or lat is null then 'missing_core' when lon not between -180 and 180 or lat not between -90 and 90 then 'bad_coordinates' when n < 6 then 'too_few_predictors' end as reject from v)"""
 
 
+_V = _verdicts("2", "3")
+
+
 def rows(export: DataFrame) -> DataFrame:
     return g.harmonised(exports(export), "EXPORT", minimum_predictors=6, feot_equivalent=True)
 
@@ -75,11 +80,11 @@ def b10(export):
     return g.kept(rows(export)).select("id", "file_no", F.col("Li_icpms").alias("li"), F.col("Longitude").alias("lon"), F.col("Latitude").alias("lat"), F.col("oxide_sum").alias("total"), F.col("iron_provenance").alias("iron"), "source_dataset")
 
 
-_BASE = "b as (select cast(sample_id as varchar) as id, li, lon, lat from oxides where li is not null and sample_id % 3 = 0)"
+_BASE = "b as (select cast(sample_id as varchar) as id, li, lon, lat from oxides where li is not null)"
 
 
 def _base(oxides):
-    return oxides.where("li is not null and sample_id % 3 = 0").select(F.col("sample_id").cast("string").alias("id"), "li", "lon", "lat")
+    return oxides.where("li is not null").select(F.col("sample_id").cast("string").alias("id"), "li", "lon", "lat")
 
 
 @query("a05_merge_sources", "oxides export", f"with {_V}, {_BASE}, u as (select id, 'base' as origin from b union all select id, 'external' from h where reject is null) select count(*) filter (origin = 'base') as base_rows, count(*) filter (origin = 'external') as external_rows, count(*) as combined_rows, count(distinct id) as unique_rows, count(*) - count(distinct id) as duplicates from u")
@@ -178,18 +183,18 @@ def a14(raw):
     return t.scenes(raw.sparkSession, at, multi_line=False).withColumnRenamed("offset", "offset_value")
 
 
-@query("a15_match_files", "oxides raw", r"select sample_id, source, path from oxides join raw on regexp_replace(regexp_extract(replace(path, chr(92), '/'), '([^/]*)$', 1), '\.[^.]*$', '') = cast(sample_id as varchar) where sample_id % 2 = 0")
+@query("a15_match_files", "oxides raw", r"select sample_id, source, path from oxides join raw on regexp_replace(regexp_extract(replace(path, chr(92), '/'), '([^/]*)$', 1), '\.[^.]*$', '') = case when li is null then 'none' || sample_id else cast(sample_id as varchar) end")
 def a15(oxides, raw):
-    return t.match_files(oxides.where("sample_id % 2 = 0").withColumn("key", F.col("sample_id").cast("string")), raw, "key").select("sample_id", "source", "path")
+    return t.match_files(oxides.withColumn("key", F.concat(F.when(F.col("li").isNull(), "none").otherwise(""), F.col("sample_id").cast("string"))), raw, "key").select("sample_id", "source", "path")
 
 
-@query("a16_evidence_pool", "oxides", """with p as (select sample_id as id, material, li, 'table' as origin from oxides where sample_id % 3 <> 0 union all select sample_id, material, li, 'feature' from oxides where sample_id % 2 = 0), o as (select id, count(distinct origin) as k from p group by 1)
+@query("a16_evidence_pool", "oxides", """with p as (select sample_id as id, material, li, 'table' as origin from oxides where source <> 'Brand#11' union all select sample_id, material, li, 'feature' from oxides where source < 'Brand#3'), o as (select id, count(distinct origin) as k from p group by 1)
     select material, case when k > 1 then 'duplicate' when li is null then 'no_value' else 'admitted' end as admission, count(*) as n, sum(li) as total from p join o using (id) group by 1, 2""")
 def a16(oxides):
     at = folder(oxides.sparkSession, "evidence")
     one = F.struct(F.struct(F.col("sample_id").alias("id"), "material", "li").alias("attributes"))
-    oxides.where("sample_id % 2 = 0").groupBy((F.col("sample_id") % 97).alias("sheet")).agg(F.collect_list(one).alias("features")).write.json(f"{at}/features")
-    oxides.where("sample_id % 3 <> 0").select(F.col("sample_id").alias("id"), "material", "li").write.csv(f"{at}/table", header=True)
+    oxides.where("source < 'Brand#3'").groupBy((F.col("sample_id") % 97).alias("sheet")).agg(F.collect_list(one).alias("features")).write.json(f"{at}/features")
+    oxides.where("source <> 'Brand#11'").select(F.col("sample_id").alias("id"), "material", "li").write.csv(f"{at}/table", header=True)
     spark = oxides.sparkSession
     features = spark.read.schema("features array<struct<attributes: struct<id: bigint, material: string, li: double>>>").json(f"{at}/features")
     table = spark.read.csv(f"{at}/table", header=True, schema="id bigint, material string, li double")
@@ -247,15 +252,15 @@ def b42(paired):
     return paired.select("case_id", F.concat(F.format_string("Case %d: %s score", "case_id", level), F.when(F.col("low_q90").isNull(), ", no interval").otherwise(", interval given"), F.lit(".")).alias("narrative"))
 
 
-@query("s01_s02_stream_ingest", "export", f"with {_V} select file_no, count(*) as n, sum(li_n) as li from h where reject is null and file_no in ('0', '1') group by 1")
+@query("s01_s02_stream_ingest", "export", f"with {_verdicts('', '')} select file_no, count(*) as n, sum(li_n) as li from h where reject is null group by 1")
 def s01(export):
-    """Two files arrive one after the other; the second run goes on where the first stopped."""
+    """Files arrive in two lots; the second run goes on where the first stopped."""
     spark = export.sparkSession
     at = folder(spark, "stream")
     schema = "id string, file_no string, material string, Li_icpms string, Longitude_min string, Longitude_max string, Latitude_min string, Latitude_max string, FeOT string, Rb_icpms string, " + ", ".join(f"{x} string" for x in c.OXIDES)
     named = export.select("id", "file_no", "material", F.col("li").alias("Li_icpms"), F.col("lon_min").alias("Longitude_min"), F.col("lon_max").alias("Longitude_max"), F.col("lat_min").alias("Latitude_min"), F.col("lat_max").alias("Latitude_max"), "FeOT", F.col("Rb").alias("Rb_icpms"), *c.OXIDES)
-    for k in ("0", "1"):
-        named.where(f"file_no = '{k}'").write.csv(f"{at}/in", header=True, mode="append")
+    for lot in ("file_no < '2'", "file_no >= '2'"):
+        named.where(lot).write.csv(f"{at}/in", header=True, mode="append")
         chain = lambda df: g.kept(g.harmonised(df, "EXPORT", minimum_predictors=6, feot_equivalent=True)).select("id", "file_no", "Li_icpms")
         stream.ingest(spark, f"{at}/in", schema, chain, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.sum("Li_icpms").alias("li"))

@@ -25,13 +25,6 @@ def e10(raw):
     return raw.groupBy(c.eligibility("verification", "dataset").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rock").isNull()).alias("without_rock"))
 
 
-@query("e31_direction_summary", "scen", "with b as (select region, avg(score) as b from scen where campaign = 'view' group by region) select region, season, count(score) as n, avg(score - b) as shift, avg(abs(score - b)) as abs_shift from scen join b using (region) where campaign <> 'view' group by 1, 2")
-def e31(scen):
-    base = scen.where("campaign = 'view'").groupBy("region").agg(F.avg("score").alias("b"))
-    s = scen.where("campaign <> 'view'").join(base, "region").withColumn("d", F.col("score") - F.col("b"))
-    return s.groupBy("region", "season").agg(F.count("score").alias("n"), F.avg("d").alias("shift"), F.avg(F.abs("d")).alias("abs_shift"))
-
-
 @query("e36_batch_summary", "scen", "select count(*) as n, count(score) as scored, avg(score) as mean, count(*) filter (score >= 0.7e0) as high from scen")
 def e36(scen):
     return scen.agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"), F.avg("score").alias("mean"), F.count_if(F.col("score") >= 0.7).alias("high"))
@@ -63,19 +56,6 @@ def e49(oof):
     return train.join(test, "fold").withColumn("gap", F.col("train") - F.col("test")).withColumn("overfit", F.col("gap") > 0.1)
 
 
-@query("e50_distance_strata", "geo", "with s as (select 'all' as subset, li from geo union all select 'far', li from geo where abs(lat + 23.5e0) * 111.195e0 >= 500 union all select 'near', li from geo where abs(lat + 23.5e0) * 111.195e0 < 500) select subset, count(*) as n, avg(li) as mean from s group by 1")
-def e50(geo):
-    km = F.abs(F.col("lat") + 23.5) * 111.195
-    return a.strata(geo, {"all": F.lit(True), "far": km >= 500, "near": km < 500}).groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.avg("li").alias("mean"))
-
-
-@query("f18_same_day_alternatives", "scen", "with l as (select id, region, season, year from scen where score is null), b as (select region, season, year, max(score) as best from scen group by 1, 2, 3) select l.id, b.best, case when b.best is null then 'none' when b.best >= 0.9e0 then 'replace' else 'keep' end as decision from l left join b using (region, season, year)")
-def f18(scen):
-    low = scen.where("score is null").select("id", "region", "season", "year")
-    best = scen.groupBy("region", "season", "year").agg(F.max("score").alias("best"))
-    return low.join(best, ["region", "season", "year"], "left").select("id", "best", F.when(F.col("best").isNull(), "none").when(F.col("best") >= 0.9, "replace").otherwise("keep").alias("decision"))
-
-
 @query("g05_anchored_folds", "oof", "with o as (select distinct cell, fold from oof where cohort = 'click'), n as (select distinct cell from oof where cell not in (select cell from o)) select cell, min(fold)::int as fold from o group by cell union all select cell, ((row_number() over (order by cell) - 1) % 5)::int from n")
 def g05(oof):
     old = oof.where("cohort = 'click'").groupBy("cell").agg(F.min("fold").alias("fold"))
@@ -181,13 +161,6 @@ def n02(oxides):
     return reduce(DataFrame.unionByName, frames).groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("n15_decision_probe", "oof", "with t as (select fold, quantile_cont(coarse, 0.75) as t from oof group by fold) select fold, any_value(t) as threshold, count(*) filter (coarse >= t) as taken, count(*) filter (coarse >= t and y = 1) as hits from oof join t using (fold) group by fold")
-def n15(oof):
-    t = oof.groupBy("fold").agg(F.percentile("coarse", F.lit(0.75)).alias("threshold"))
-    take = F.col("coarse") >= F.col("threshold")
-    return oof.join(t, "fold").groupBy("fold", "threshold").agg(F.count_if(take).alias("taken"), F.count_if(take & (F.col("y") == 1)).alias("hits"))
-
-
 @query("n20_matrix_verification", "oxides", "select count(*) as rows, max(abs(CaO - (1 + sample_id % 7))) as worst, count(*) filter (CaO is null) as missing from oxides")
 def n20(oxides):
     other = oxides.select("sample_id", (1.0 + F.col("sample_id") % 7).alias("other"))
