@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +100,120 @@ def f_statistics(df: DataFrame, label: str, numeric: list[str]) -> DataFrame:
     t = g.groupBy("feature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("s")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
     between = (F.col("sq") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("k") - 1)
     return t.select("feature", F.when((F.col("k") > 1) & (F.col("within") > 0), between / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
+
+
+#: Declared parameter grids by algorithm: small, fixed, searched whole.
+GRIDS = {
+    "linear": {"regParam": [0.0, 0.01, 0.1]},
+    "logistic": {"regParam": [0.0, 0.01, 0.1]},
+    "random_forest": {"numTrees": [20, 50], "maxDepth": [5, 8]},
+    "boosted_trees": {"maxIter": [10, 20], "maxDepth": [3, 5]},
+}
+
+
+def candidates(task: str, label: str, stages: list, algorithms: list[str], seed: int = 7) -> dict[str, list]:
+    """name -> pipeline stages, for every point of the algorithms' grids."""
+    out = {}
+    for name in algorithms:
+        base, builder = estimators(task, label, seed)[name], ParamGridBuilder()
+        for param, values in GRIDS[name].items():
+            builder = builder.addGrid(base.getParam(param), values)
+        for point in builder.build():
+            said = ",".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda x: x[0].name))
+            out[f"{name}({said})"] = [*stages, base.copy(point)]
+    return out
+
+
+def linear_on(features: list[str], label: str) -> list:
+    """Stages of an ordinary least squares model of a few complete numbers."""
+    return [VectorAssembler(inputCols=features, outputCol="features"), LinearRegression(labelCol=label, regParam=0.0, solver="normal")]
+
+
+def _loss(scored: DataFrame, label: str, task: str) -> float:
+    """Root mean squared error, or one less the ROC AUC: less is better."""
+    if task == "regression":
+        return scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2))).first()[0]
+    auc = metrics.ranking(scored.withColumn("score", vector_to_array("probability")[1]), [], label).first()
+    return 1 - auc.auc if auc and auc.auc is not None else 1.0
+
+
+def nested_cv(df: DataFrame, key: str, label: str, choices: dict[str, list], folds: int, task: str = "regression", fold: str = "fold") -> DataFrame:
+    """key, fold, y, score, chosen: every fold is scored by the candidate that was best, on average, in folds of its training rows
+    alone, fitted again on all of them. The fold column holds groups together, inside as outside."""
+    parts = []
+    for k in range(folds):
+        train, losses = df.where(F.col(fold) != k).cache(), {}
+        for name, stages in choices.items():
+            each = [_loss(Pipeline(stages=stages).fit(train.where(F.col(fold) != i)).transform(train.where(F.col(fold) == i)), label, task) for i in range(folds) if i != k]
+            losses[name] = sum(each) / len(each)
+        best = min(losses, key=lambda name: (losses[name], name))
+        scored = Pipeline(stages=choices[best]).fit(train).transform(df.where(F.col(fold) == k))
+        score = vector_to_array("probability")[1] if task == "classification" else F.col("prediction")
+        parts.append(scored.select(key, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), score.alias("score"), F.lit(best).alias("chosen")))
+        train.unpersist()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gated_competition(df: DataFrame, key: str, label: str, algorithms: dict[str, dict[str, list]], folds: int, least_gain: float = 0.05) -> DataFrame:
+    """algorithm, rmse, gain over the training mean, place and passes: nested out-of-fold scores of each algorithm, ranked; a winner that
+    gains less than least_gain isn't one."""
+    from veinwork.operators.folds import baseline
+
+    mean = baseline(df, label, folds).agg(F.sqrt(F.avg((F.col("pred") - F.col(label)) ** 2)).alias("base"))
+    out = [nested_cv(df, key, label, choices, folds).agg(F.sqrt(F.avg((F.col("score") - F.col("y")) ** 2)).alias("rmse")).withColumn("algorithm", F.lit(name)) for name, choices in algorithms.items()]
+    rows = reduce(DataFrame.unionByName, out).join(F.broadcast(mean), how="inner").withColumn("gain", 1 - F.col("rmse") / F.col("base")).drop("base")
+    from veinwork.operators.windows import leaderboard as rank
+
+    return rank(rows, [F.asc("rmse"), "algorithm"], F.col("rmse").isNotNull()).withColumnRenamed("rank", "place").withColumn("passes", (F.col("place") == 1) & (F.col("gain") >= least_gain))
+
+
+def learning_curve(df: DataFrame, key: str, label: str, stages: list, folds: int, group: str, fractions: tuple[float, ...], seed: str) -> DataFrame:
+    """fraction, fold, n_train, rmse: models of nested random subsets of groups, each tested on its whole fold."""
+    from veinwork.operators.folds import group_subset
+
+    out = []
+    for share in fractions:
+        subset = group_subset(df, group, share, seed).cache()
+        for k in range(folds):
+            train = subset.where(F.col("fold") != k)
+            scored = Pipeline(stages=stages).fit(train).transform(df.where(F.col("fold") == k))
+            one = scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2)).alias("rmse"))
+            out.append(one.join(train.agg(F.count(F.lit(1)).alias("n_train")), how="inner").select(F.lit(share).alias("fraction"), F.lit(k).alias("fold"), "n_train", "rmse"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def batch_score(model: PipelineModel, df: DataFrame, key: str, q90: float, bounds: DataFrame, features: list[str], most_outside: float = 0.5) -> DataFrame:
+    """key, prediction, low_q90, high_q90, outside, status: the model's interval is its out-of-fold residuals' 90th percentile either
+    way; a row with too many features absent or outside the training profile is abstained from."""
+    from veinwork.operators.aggregates import applicability
+
+    told = applicability(model.transform(df), bounds, features)
+    ok = F.col("outside") <= most_outside
+    say = lambda x: F.when(ok, x)
+    return told.select(key, say(F.col("prediction")).alias("prediction"), say(F.col("prediction") - q90).alias("low_q90"), say(F.col("prediction") + q90).alias("high_q90"), "outside", F.when(ok, "scored").otherwise("abstained").alias("status"))
+
+
+def integrated(first: DataFrame, second: DataFrame, key: str, high_first: float, high_second: float) -> DataFrame:
+    """One row: cases that both models scored, the correlation of their scores with its strength, and how often they agree on high ones.
+    first and second: (key, score), a row per case."""
+    from veinwork.functions.columns import concordance, strength
+    from veinwork.operators.joins import one_to_one
+
+    both = one_to_one(first.select(key, F.col("score").alias("a")), second.select(key, F.col("score").alias("b")), [key]).where("a is not null and b is not null")
+    label = concordance(F.col("a") >= high_first, F.col("b") >= high_second)
+    names = ("both_high", "first_high_only", "second_high_only", "both_low")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"), *(F.count_if(label == x).alias(x) for x in names)).withColumn("strength", strength(F.col("r")))
+
+
+def volume_comparison(df: DataFrame, key: str, label: str, variants: dict, stages: list, folds: int) -> DataFrame:
+    """variant, fold, n_train, n_test, mae: each variant trains on its own rows of the other folds; all are tested on the rows that every
+    variant has. variants: name -> condition."""
+    common = reduce(lambda a, b: a & b, variants.values())
+    out = []
+    for name, ok in variants.items():
+        for k in range(folds):
+            train = df.where(ok & (F.col("fold") != k))
+            scored = Pipeline(stages=stages).fit(train).transform(df.where(common & (F.col("fold") == k)))
+            one = scored.agg(F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae"))
+            out.append(one.join(train.agg(F.count(F.lit(1)).alias("n_train")), how="inner").select(F.lit(name).alias("variant"), F.lit(k).alias("fold"), "n_train", "n_test", "mae"))
+    return reduce(DataFrame.unionByName, out)
