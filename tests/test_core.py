@@ -66,7 +66,7 @@ def test_radius_and_nearest_match_brute_force(spark, km):
     want = {(i, j) for i, a, o in left if a is not None for j, b, p in right if haversine((a, o), (b, p)) <= km}
     assert {(x.id, x.rid) for x in joins.radius_pairs(L, R, km).collect()} == want
     best = {i: min((haversine((a, o), (b, p)), j) for j, b, p in right) for i, a, o in left if a is not None}
-    got = {x.id: (x.distance_km, x.rid) for x in joins.nearest(L, R, "id", "rid", start_km=km).collect()}
+    got = {x.id: (x.distance_km, x.rid) for x in joins.nearest(L, R, "id", "rid").collect()}
     assert got.keys() == best.keys() and all(abs(got[i][0] - best[i][0]) < 1e-6 for i in best)
 
 

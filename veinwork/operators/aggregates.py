@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinwork.functions.columns import CORE_OXIDES, OXIDES, closure, present
+from veinwork.operators.ordered import quantiles, with_quantiles
 
 
 def stage_audit(stages: dict[str, DataFrame]) -> DataFrame:
@@ -73,14 +74,16 @@ def concentration(df: DataFrame, key: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, value: str, keys: list[str], cutoffs: tuple[float, ...] = ()) -> DataFrame:
-    p = F.percentile(value, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99))))
-    d = df.groupBy(*keys).agg(F.count(value).alias("n"), p.alias("p"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), *(F.count_if(F.col(value) > c).alias(f"over_{c:g}") for c in cutoffs))
-    return d.select(*keys, "n", *(F.col("p")[i].alias(x) for i, x in enumerate(("median", "q75", "q90", "q95", "q99"))), "max", "std", *(f"over_{c:g}" for c in cutoffs))
+    names = {"median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
+    d = df.groupBy(*keys).agg(F.count(value).alias("n"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), *(F.count_if(F.col(value) > c).alias(f"over_{c:g}") for c in cutoffs))
+    return with_quantiles(d, keys, quantiles(df, keys, F.col(value), names)).select(*keys, "n", *names, "max", "std", *(f"over_{c:g}" for c in cutoffs))
 
 
 def profile(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row: the low and high quantile of each feature."""
-    return df.agg(*(F.percentile(c, F.lit(q)).alias(f"{s}_{c}") for c in columns for s, q in (("lo", low), ("hi", high))))
+    one = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns))))
+    long = quantiles(one, ["feature"], F.col("value"), {"lo": low, "hi": high})
+    return long.groupBy().agg(*(F.max(F.when(F.col("feature") == c, F.col(s))).alias(f"{s}_{c}") for c in columns for s in ("lo", "hi")))
 
 
 def applicability(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinwork.operators.ordered import numbered, quantiles
+
 
 def draw(*parts: Column | str | int) -> Column:
     """A whole number in [0, 2^32) from the parts."""
@@ -15,15 +19,19 @@ def draw(*parts: Column | str | int) -> Column:
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): the largest group first, each to the lightest fold so far; ties by name. Works on the table of groups."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    one = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(group).alias("g")))).alias("gs"))
-    start = F.struct(F.array(*([F.lit(0).cast("bigint")] * folds)).alias("load"), F.array().cast("array<int>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        f = (F.array_position(a["load"], F.array_min(a["load"])) - 1).cast("int")
-        return F.struct(F.transform(a["load"], lambda v, i: F.when(i == f, v - x["n"]).otherwise(v)).alias("load"), F.concat(a["out"], F.array(f)).alias("out"))
+    def run(frames):
+        load = [(0, k) for k in range(folds)]
+        for x in frames:
+            out = []
+            for n in x["n"]:
+                rows, k = heapq.heappop(load)
+                out.append(k)
+                heapq.heappush(load, (rows + int(n), k))
+            yield x[[group]].assign(fold=out)
 
-    done = one.select("gs", F.aggregate("gs", start, step, lambda a: a["out"]).alias("folds"))
-    return done.select(F.inline(F.arrays_zip("gs", "folds"))).select(F.col("gs.g").alias(group), F.col("folds").alias("fold"))
+    # each group's fold hangs on all before it, so the table of groups (spatial cells: as many as the earth has) goes through one task, row by row
+    return sizes.coalesce(1).sortWithinPartitions(F.desc("n"), group).mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, fold int")
 
 
 def training_rows(df: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
@@ -33,7 +41,7 @@ def training_rows(df: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
 
 def fold_thresholds(df: DataFrame, value: str, folds: int, q: float = 0.75) -> DataFrame:
     """train_fold, threshold: the quantile of the value among the fold's training rows."""
-    return training_rows(df, folds).groupBy("train_fold").agg(F.percentile(value, F.lit(q)).alias("threshold"))
+    return quantiles(training_rows(df, folds), ["train_fold"], F.col(value), {"threshold": q})
 
 
 def fold_labels(df: DataFrame, value: str, folds: int, q: float = 0.75) -> DataFrame:
@@ -52,12 +60,11 @@ def baseline(df: DataFrame, value: str, folds: int) -> DataFrame:
 
 def bootstrap_weights(groups: DataFrame, group: str, replicates: int, seed: str) -> DataFrame:
     """(rep, group, weight): how often each of G groups is drawn in G draws with replacement."""
-    numbered = groups.select(group).distinct().withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)
-    n = numbered.agg(F.count(F.lit(1)).alias("g"))
-    reps = groups.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    draws = reps.join(n, how="inner").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)))
-    draws = draws.withColumn("i", (draw(seed, F.col("rep"), F.col("k")) % F.col("g")).cast("int")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("weight"))
-    return draws.join(numbered, "i").select("rep", group, "weight")
+    some = numbered(groups.select(group).distinct(), [group], "i")
+    n = groups.select(group).distinct().count()
+    draws = groups.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("rep"), (F.col("id") % max(n, 1)).alias("k"))
+    draws = draws.withColumn("i", draw(seed, F.col("rep"), F.col("k")) % max(n, 1)).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("weight"))
+    return draws.join(some, "i").select("rep", group, "weight")
 
 
 def bootstrap_mae(df: DataFrame, group: str, replicates: int = 100, seed: str = "b1", y: str = "y", pred: str = "pred") -> DataFrame:
@@ -79,9 +86,8 @@ def bootstrap_auc(df: DataFrame, group: str, replicates: int = 20, seed: str = "
 
 def group_subset(df: DataFrame, group: str, fraction: float, seed: str, least: int = 3) -> DataFrame:
     """The rows of a nested random subset of groups: a smaller fraction's groups are in a larger one's."""
-    groups = df.select(group).distinct().withColumn("place", F.row_number().over(Window.orderBy(draw(seed, F.col(group)), group)))
-    n = groups.agg(F.greatest(F.lit(least), F.round(F.count(F.lit(1)) * fraction)).alias("most"))
-    return df.join(groups.join(n, how="inner").where("place <= most").select(group), group, "left_semi")
+    groups = numbered(df.select(group).distinct().withColumn("__draw", draw(seed, F.col(group))), ["__draw", group], "place", "groups")
+    return df.join(groups.where(F.col("place") < F.greatest(F.lit(least), F.round(F.col("groups") * fraction))).select(group), group, "left_semi")
 
 
 def site_weights(df: DataFrame, site: str) -> DataFrame:

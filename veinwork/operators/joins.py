@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinwork.functions.columns import EARTH_KM, haversine_km
+from veinwork.sources.scratch import settled
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
 
@@ -83,20 +84,33 @@ def radius_pairs(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
     return joined.withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))).where(F.col("distance_km") <= km)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", start_km: float = 50.0) -> DataFrame:
-    """key, right_key, distance_km of each left row's nearest right row, ties to the smallest right key. Rows not met within the
-    radius go on to a ring four times as wide; a hit within the radius is final. Right rows at one place count once."""
-    sites = right.groupBy(right_lat, right_lon).agg(F.min(right_key).alias(right_key))
-    rest, km, found = left.select(key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()), start_km, None
-    while True:
-        pairs = radius_pairs(rest, sites, km, lat, lon, right_lat, right_lon)
-        hit = pairs.groupBy(key).agg(F.min(F.struct("distance_km", right_key)).alias("m")).select(key, f"m.{right_key}", "m.distance_km")
-        found = hit if found is None else found.unionByName(hit)
-        if km > math.pi * EARTH_KM:
-            return found
-        rest, km = rest.join(hit.select(key), key, "left_anti"), km * 4
-        if rest.limit(1).count() == 0:
-            return found
+#: Widths in degrees of the grids that nearest() walks down; the finest is about a kilometre.
+GRIDS = [45.0 / 4**i for i in range(7)]
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
+    """key, right_key, distance_km of each left row's nearest right row, ties to the smallest right key. Places are looked for from
+    coarse cells that hold right rows down to fine ones: a cell stays while its nearest point may be closer than another cell's
+    farthest one, so every place meets few cells of each grid and few places at the end, however far or dense the right rows are.
+    Rows without coordinates meet nothing; rows at one place count once."""
+    has = lambda df, y, x: df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    at = lambda d, y, x: [F.least(F.floor((F.col(y) + 90) / d), F.lit(int(180 / d) - 1)).cast("int"), F.least(F.floor((F.col(x) + 180) / d), F.lit(int(360 / d) - 1)).cast("int")]
+    cells = lambda d, name: F.array(*at(d, "r_y", "r_x")).alias(name)
+    sites = settled(has(right, right_lat, right_lon).groupBy(F.col(right_lat).alias("r_y"), F.col(right_lon).alias("r_x")).agg(F.min(right_key).alias(right_key)), "nearest-right")
+    met = has(left, lat, lon).select(F.col(lat).alias("y"), F.col(lon).alias("x")).distinct()
+    above = None
+    for d in GRIDS:
+        level = sites.select(*([cells(above, "__up")] if above else []), cells(d, "__cell")).distinct()
+        # the coarsest grid has 32 cells
+        pairs = met.join(level, "__up") if above else met.crossJoin(F.broadcast(level))
+        middle = haversine_km(F.col("y"), F.col("x"), (F.col("__cell")[0] + 0.5) * d - 90, (F.col("__cell")[1] + 0.5) * d - 180)
+        reach = d / 2 * math.sqrt(2) * KM_PER_DEGREE + 1e-6
+        pairs = pairs.select("y", "x", "__cell", middle.alias("__mid"))
+        met = pairs.withColumn("__best", F.min("__mid").over(Window.partitionBy("y", "x"))).where(F.col("__mid") - reach <= F.col("__best") + reach).select("y", "x", F.col("__cell").alias("__up"))
+        above = d
+    km = haversine_km(F.col("y"), F.col("x"), F.col("r_y"), F.col("r_x"))
+    best = met.join(sites.withColumn("__up", F.array(*at(above, "r_y", "r_x"))), "__up").groupBy("y", "x").agg(F.min(F.struct(km.alias("distance_km"), right_key)).alias("m"))
+    return left.join(best, (F.col(lat) == F.col("y")) & (F.col(lon) == F.col("x"))).select(key, f"m.{right_key}", "m.distance_km")
 
 
 def any_within(left: DataFrame, right: DataFrame, key: str, km: float, **columns: str) -> DataFrame:

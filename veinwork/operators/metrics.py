@@ -6,22 +6,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinwork.operators.ordered import quantiles, with_quantiles
+
 BUCKETS = 256
 
 
+def _bucket(score: Column) -> Column:
+    """A bucket that grows with the score: of equal width within 0 to 1, by size of the number outside, so that no range is one bucket."""
+    far = lambda x: (F.floor(F.log2(x) * 8) + 1024 * 8 + 16).cast("int")
+    return F.when(score < 0, -far(-score)).when(score > 1, F.lit(BUCKETS) + far(score)).otherwise(F.floor(score * BUCKETS).cast("int"))
+
+
 def regression(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
     e = F.col(pred) - F.col(y)
     spread = F.var_pop(y)
-    return df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).groupBy(*keys).agg(
+    rows = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
-        F.percentile(F.abs(e), F.lit(0.9)).alias("p90_ae"),
         F.avg(e).alias("bias"),
         F.when(spread > 0, 1 - F.avg(e * e) / spread).alias("r2"),
         F.when(spread > 0, 1 - F.var_pop(e) / spread).alias("explained"),
     )
+    out = with_quantiles(sums, keys, quantiles(rows, keys, F.abs(e), {"median_ae": 0.5, "p90_ae": 0.9}))
+    return out.select(*keys, "n", "rmse", "mae", "median_ae", "p90_ae", "bias", "r2", "explained")
 
 
 def confusion(df: DataFrame, keys: list[str], threshold: Column | float = 0.5, y: str = "y", score: str = "score", zero_division: float | None = 0.0) -> DataFrame:
@@ -43,7 +52,7 @@ def by_score(df: DataFrame, keys: list[str], y: str = "y", score: str = "score",
     d = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("neg")
     )
-    d = d.withColumn("__b", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int"))
+    d = d.withColumn("__b", _bucket(F.col("score")))
     b = d.groupBy(*keys, "__b").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     over, everything = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     zero = lambda x: F.coalesce(x, F.lit(0.0))
@@ -78,7 +87,7 @@ def operating_threshold(df: DataFrame, keys: list[str], y: str = "y", score: str
     scores and the midpoints between neighbours; each one's counts are those of the lowest score at or above it."""
     d = by_score(df, keys, y, score)
     d = d.withColumn("tp", F.col("pos_above") + F.col("pos")).withColumn("fp", F.col("neg_above") + F.col("neg"))
-    buckets = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int")
+    buckets = _bucket(F.col("score"))
     d = d.withColumn("__b", buckets)
     low = d.groupBy(*keys, "__b").agg(F.max("score").alias("__top"))
     low = low.withColumn("__below", F.max("__top").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinwork.operators.ordered import running
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the first in order; null keys equal each other."""
@@ -32,8 +34,7 @@ def change(df: DataFrame, keys: list[str], order: str, value: str, into: str = "
 def average_rank(df: DataFrame, value: str, keys: list[str], into: str = "rank") -> DataFrame:
     """Ranks with ties at their mean: positions come from the distinct values, not from the rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(into, F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2.0).drop("__n")
+    ranks = running(counts, keys, [value], "__n", "__b", "__t").withColumn(into, F.col("__b") + (F.col("__n") + 1) / 2.0).drop("__n", "__b", "__t")
     return df.join(ranks, [*keys, value], "left")
 
 

@@ -9,6 +9,7 @@ from veinwork.functions import columns as c
 from veinwork.operators import aggregates as a
 from veinwork.operators import metrics as m
 from veinwork.operators import windows as w
+from veinwork.operators.ordered import quantiles, with_quantiles
 
 from .registry import query
 
@@ -41,8 +42,8 @@ def c01(oxides):
 
 @query("c02_target_validity", "oxides", "select count(*) as n, quantile_cont(li, 0.25) as q25, quantile_cont(li, 0.5) as q50, quantile_cont(li, 0.99) as q99 from oxides where li is not null")
 def c02(oxides):
-    p = F.percentile("li", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.99)))
-    return oxides.where("li is not null").agg(F.count(F.lit(1)).alias("n"), p[0].alias("q25"), p[1].alias("q50"), p[2].alias("q99"))
+    valid = oxides.where("li is not null")
+    return with_quantiles(valid.agg(F.count(F.lit(1)).alias("n")), [], quantiles(valid, [], F.col("li"), {"q25": 0.25, "q50": 0.5, "q99": 0.99}))
 
 
 @query("c03_whole_rock", "raw", r"""with x as (select case when upper(trim(material)) = 'VOLCANIC GLASS' then 'GL' else nullif(regexp_extract(upper(trim(material)), '^(?:/\s*)?(WR|GL)(?:\s*\[(\d+)\])?$', 1), '') end as code from raw)
@@ -73,7 +74,7 @@ def c07(geo):
 def c08(geo):
     g = geo.withColumn("cell", c.cell("lat", "lon"))
     old = g.where("source = 'purchase'")
-    q = old.agg(F.percentile("li", F.lit(0.75)).alias("q"))
+    q = quantiles(old, [], F.col("li"), {"q": 0.75})
     return g.where("source <> 'purchase' and li <= 400").join(old.select("cell").distinct(), "cell", "left_anti").join(F.broadcast(q), how="inner").select("sample_id", (F.col("li") >= F.col("q")).alias("high"))
 
 
@@ -180,7 +181,7 @@ def e41(reg):
 
 @query("e45_residual_q90", "reg", "select round(quantile_cont(abs(pred - y), 0.9), 6) as q90 from reg")
 def e45(reg):
-    return reg.agg(F.percentile(F.abs(F.col("pred") - F.col("y")), F.lit(0.9)).alias("q90"))
+    return quantiles(reg, [], F.abs(F.col("pred") - F.col("y")), {"q90": 0.9})
 
 
 @query("f19_error_share", "reg", "with s as (select (pred - y) * (pred - y) as e, grp from reg) select t.n::int as top, round((select sum(e) from (select e from s order by e desc, grp limit 1)) / (select sum(e) from s), 6) as share from (select 1 as n) t union all select 10, round((select sum(e) from (select e from s order by e desc, grp limit 10)) / (select sum(e) from s), 6)")
@@ -190,8 +191,7 @@ def f19(reg):
 
 @query("e27_band_metrics", "reg", """with q as (select quantile_cont(y, 0.25) as a, quantile_cont(y, 0.5) as b, quantile_cont(y, 0.75) as c from reg) select case when y <= a then 0 when y <= b then 1 when y <= c then 2 else 3 end as band, count(*) as n, round(avg(abs(pred - y)), 6) as mae from reg, q group by 1""")
 def e27(reg):
-    p = F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    edges = reg.agg(p[0].alias("a"), p[1].alias("b"), p[2].alias("c"))
+    edges = quantiles(reg, [], F.col("y"), {"a": 0.25, "b": 0.5, "c": 0.75})
     band = F.when(F.col("y") <= F.col("a"), 0).when(F.col("y") <= F.col("b"), 1).when(F.col("y") <= F.col("c"), 2).otherwise(3)
     return m.regression(reg.join(F.broadcast(edges), how="inner").withColumn("band", band), ["band"]).select("band", "n", "mae")
 
@@ -273,7 +273,8 @@ def e29(geo):
 
 @query("e30_scenario_summary", "scen", "select campaign, season, count(score) as scored, count(*) - count(score) as abstained, avg(score) as mean, quantile_cont(score, 0.5) as median, stddev_samp(score) as std, quantile_cont(score, 0.9) as p90, max(score) as max from scen group by 1, 2")
 def e30(scen):
-    return scen.groupBy("campaign", "season").agg(F.count("score").alias("scored"), F.count_if(F.col("score").isNull()).alias("abstained"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_samp("score").alias("std"), F.percentile("score", F.lit(0.9)).alias("p90"), F.max("score").alias("max"))
+    g = scen.groupBy("campaign", "season").agg(F.count("score").alias("scored"), F.count_if(F.col("score").isNull()).alias("abstained"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.max("score").alias("max"))
+    return with_quantiles(g, ["campaign", "season"], quantiles(scen, ["campaign", "season"], F.col("score"), {"median": 0.5, "p90": 0.9}))
 
 
 @query("e32_interannual", "scen", "select region, count(*) as years, avg(s) as mean, min(s) as low, max(s) as high, stddev_pop(s) as std, max(s) - min(s) as range from (select region, year, avg(score) as s from scen group by 1, 2) group by region")
@@ -329,7 +330,8 @@ def e44(oof):
 @query("e47_iron_consistency", "oxides", "select count(FeOT) as both, quantile_cont(FeOT * 1.111348 / Fe2O3, 0.5) as median_ratio, count(*) filter (FeOT * 1.111348 < Fe2O3) as below from oxides")
 def e47(oxides):
     r = F.col("FeOT") * c.IRON_FACTOR / F.col("Fe2O3")
-    return oxides.agg(F.count("FeOT").alias("both"), F.median(r).alias("median_ratio"), F.count_if(F.col("FeOT") * c.IRON_FACTOR < F.col("Fe2O3")).alias("below"))
+    g = oxides.agg(F.count("FeOT").alias("both"), F.count_if(F.col("FeOT") * c.IRON_FACTOR < F.col("Fe2O3")).alias("below"))
+    return with_quantiles(g, [], quantiles(oxides, [], r, {"median_ratio": 0.5}))
 
 
 @query("e48_sample_in_cells", "geo", "select publication, count(distinct floor((lat + 90) / 5e0)::int * 1000 + floor((lon + 180) / 5e0)::int) as cells from geo group by publication having count(distinct floor((lat + 90) / 5e0)::int * 1000 + floor((lon + 180) / 5e0)::int) > 1")
@@ -340,9 +342,3 @@ def e48(geo):
 @query("e42_group_medians", "oof", "select fold, cell, quantile_cont(li, 0.5) as median_li, max(fine) as best from oof group by fold, cell")
 def e42(oof):
     return oof.groupBy("fold", "cell").agg(F.median("li").alias("median_li"), F.max("fine").alias("best"))
-
-
-@query("e43_publication_priority", "geo", "select publication, count(*) as n, min(abs(lat + 23.5e0)) as nearest, count(*) / (1 + min(abs(lat + 23.5e0))) as score from geo group by publication order by score desc, publication limit 10")
-def e43(geo):
-    g = geo.groupBy("publication").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs(F.col("lat") + 23.5)).alias("nearest"))
-    return w.top(g.withColumn("score", F.col("n") / (1 + F.col("nearest"))), 10, F.desc("score"), F.col("publication"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veinwork.operators import decisions as d
 from veinwork.operators import metrics as m
 from veinwork.operators import windows as w
+from veinwork.operators.ordered import quantiles
 
 from .registry import query
 
@@ -34,7 +35,8 @@ def f17(scen):
 
 @query("f15_grid_threshold", "oof", "with q as (select unnest(quantile_cont(coarse, [0.05, 0.25, 0.5, 0.75, 0.95])) as t from oof), m as (select t, sum((coarse >= t and y = 1)::int) / sum(y) as r, sum((coarse < t and y = 0)::int) / sum(1 - y) as s from oof, (select distinct t from q) group by t) select t as threshold, round((r + s) / 2, 6) as balanced_accuracy from m order by round((r + s) / 2, 12) desc, t limit 1")
 def f15(oof):
-    grid = oof.agg(F.array_distinct(F.percentile("coarse", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))).alias("ts"))
+    shares = {f"q{i}": q for i, q in enumerate((0.05, 0.25, 0.5, 0.75, 0.95))}
+    grid = quantiles(oof, [], F.col("coarse"), shares).select(F.array_distinct(F.array(*shares)).alias("ts"))
     c = m.confusion(oof.join(F.broadcast(grid), how="inner").withColumn("t", F.explode("ts")), ["t"], F.col("t"), score="coarse")
     return c.orderBy(F.desc(F.round("balanced_accuracy", 12)), "t").limit(1).select(F.col("t").alias("threshold"), "balanced_accuracy")
 

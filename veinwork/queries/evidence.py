@@ -16,6 +16,8 @@ from veinwork.operators import joins as j
 from veinwork.operators import metrics as m
 from veinwork.operators import raster as r
 from veinwork.operators import windows as w
+from veinwork.operators.ordered import quantiles, with_quantiles
+from veinwork.sources import tables as t
 from veinwork.sources.scratch import folder
 
 from .joins import HAV
@@ -288,14 +290,14 @@ _COLS = ("SiO2", "Al2O3", "FeOT", "Rb", "Sr")
 @query("n03_stage_evidence", "oxides", " union all ".join(f"select '{x}' as name, count({x}) filter (li is not null) as with_li, count({x}) filter (li is null) as without_li, quantile_cont({x}, 0.5) as p50 from oxides" for x in _COLS))
 def n03(oxides):
     long = oxides.select("li", F.inline(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).cast("double").alias("v")) for x in _COLS))))
-    return long.groupBy("name").agg(F.count_if(F.col("v").isNotNull() & F.col("li").isNotNull()).alias("with_li"), F.count_if(F.col("v").isNotNull() & F.col("li").isNull()).alias("without_li"), F.median("v").alias("p50"))
+    return long.groupBy("name").agg(F.count_if(F.col("v").isNotNull() & F.col("li").isNotNull()).alias("with_li"), F.count_if(F.col("v").isNotNull() & F.col("li").isNull()).alias("without_li")).transform(lambda g: with_quantiles(g, ["name"], quantiles(long, ["name"], F.col("v"), {"p50": 0.5})))
 
 
 @query("n04_coordinate_suitability", "raw", "with k as (select coalesce(try_cast(lon_a as double), try_cast(lon_b as double)) as lon, try_cast(lat_text as double) as lat from raw) select count(*) as n, count(lon) as readable_lon, count(lat) as readable_lat, count(*) filter (lon is null or lat is null) as discarded, quantile_cont(lon, 0.5) as lon_p50, min(lat) as lat_low, max(lat) as lat_high, count(distinct case when lon is not null and lat is not null then " + CELL + " end) as cells from k")
 def n04(raw):
     k = raw.select(c.first_number("lon_a", "lon_b").alias("lon"), c.number("lat_text").alias("lat"))
     both = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    return k.agg(F.count(F.lit(1)).alias("n"), F.count("lon").alias("readable_lon"), F.count("lat").alias("readable_lat"), F.count_if(~both).alias("discarded"), F.median("lon").alias("lon_p50"), F.min("lat").alias("lat_low"), F.max("lat").alias("lat_high"), F.countDistinct(F.when(both, c.cell("lat", "lon"))).alias("cells"))
+    return k.agg(F.count(F.lit(1)).alias("n"), F.count("lon").alias("readable_lon"), F.count("lat").alias("readable_lat"), F.count_if(~both).alias("discarded"), F.min("lat").alias("lat_low"), F.max("lat").alias("lat_high"), F.countDistinct(F.when(both, c.cell("lat", "lon"))).alias("cells")).transform(lambda g: with_quantiles(g, [], quantiles(k, [], F.col("lon"), {"lon_p50": 0.5})))
 
 
 @query("n05_specimen_audit", "oxides export", """with x as (select cast(id as bigint) as sample_id, count(*) as matches, max(try_cast(SiO2 as double)) as raw_silica, max(try_cast(CaO as double)) as raw_lime, max(material) as material from export group by 1)
@@ -379,7 +381,7 @@ def n13(oof):
 def n14(geo, oof):
     region = c.first_true((F.col("lat") <= -25, "(-30,-25]"), (F.col("lat") <= -20, "(-25,-20]"), default="(-20,-15]")
     rows = oof.join(geo.select("sample_id", "lat"), "sample_id").withColumn("region", region)
-    return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("sites"), F.avg("fine").alias("mean_score"), F.median("fine").alias("median_score"), F.avg("y").alias("rate"))
+    return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("sites"), F.avg("fine").alias("mean_score"), F.avg("y").alias("rate")).transform(lambda g: with_quantiles(g, ["region"], quantiles(rows, ["region"], F.col("fine"), {"median_score": 0.5})))
 
 
 @query("n17_overfit_audit", "oof", "with l as (select 'fine' as arm, fold, ((fine >= 0.5e0)::int = y)::int as hit from oof union all select 'coarse', fold, ((coarse >= 0.5e0)::int = y)::int from oof) select arm, k.f::int as fold, avg(hit) filter (fold <> k.f) as apparent, avg(hit) filter (fold = k.f) as held_out, avg(hit) filter (fold <> k.f) - avg(hit) filter (fold = k.f) > 0.1e0 as overfit from l, range(5) k(f) group by 1, 2")
@@ -438,3 +440,78 @@ def n25(reg):
     stats = lambda df, kind, name, v: df.groupBy(F.lit(kind).alias("artefact"), name.alias("name")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("spread"))
     parts = [stats(reg, "describe", F.lit(x), F.col(x)) for x in ("y", "pred")] + [stats(reg, "fold", F.col("fold").cast("string"), F.col("pred") - F.col("y"))]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("d20_bibliography_complete", "raw", r"with k as (select distinct regexp_extract(citation, '^\[(\d+)\]', 1) as n from raw where age = 'Archean'), i as (select id, unnest(regexp_extract_all(citation, '\[(\d+)\]', 1)) as n from raw) select i.id, count(*) filter (k.n is null) as unresolved, bool_and(k.n is not null) as complete from i left join k on i.n = k.n group by i.id")
+def d20(raw):
+    known = t.bibliography(raw.where("age = 'Archean'"), "citation").select(F.col("id").alias("n")).distinct().withColumn("hit", F.lit(True))
+    ids = raw.select("id", F.explode(c.citation_ids("citation")).alias("n")).join(known, "n", "left")
+    return ids.groupBy("id").agg(F.count_if(F.col("hit").isNull()).alias("unresolved"), F.bool_and(F.col("hit").isNotNull()).alias("complete"))
+
+
+@query("e43_publication_priority", "geo", f"with l as (select * from geo where source <> 'signup'), r as (select distinct lat as r_lat, lon as r_lon from geo where source = 'signup'), s as (select distinct lat, lon from l), t as (select lat, lon, min({HAV}) as km from s, r group by 1, 2) select publication, count(*) as n, min(km) as nearest_km, max(li) as top_li, count(*) * (1 + min(km)) as score from l join t using (lat, lon) group by publication order by score desc, publication limit 10")
+def e43(geo):
+    rows = geo.where("source <> 'signup'")
+    km = j.nearest(rows, geo.where("source = 'signup'").select(F.col("sample_id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "sample_id", "r_id")
+    g = rows.join(km, "sample_id").groupBy("publication").agg(F.count(F.lit(1)).alias("n"), F.min("distance_km").alias("nearest_km"), F.max("li").alias("top_li"))
+    return w.top(g.withColumn("score", F.col("n") * (1 + F.col("nearest_km"))), 10, F.desc(F.round("score", 9)), F.col("publication"))
+
+
+_SIDES = "u as (select case when cohort = 'click' then 'external' else 'training' end as side, * from oof)"
+
+
+@query("e39_train_external_delta", "oof", f"with {_SIDES}, {rank_sql('k', 'side', 'fine', 'u')}, b as (select side, avg((fine - y) * (fine - y)) as brier from u group by 1), v as (select unnest(['auc', 'ap', 'brier']) as metric, unnest([auc, ap, brier]) as v, side from k join b using (side)) select metric, max(v) filter (side = 'training') as training, max(v) filter (side = 'external') as external, max(v) filter (side = 'external') - max(v) filter (side = 'training') as delta from v group by 1")
+def e39(oof):
+    side = F.when(F.col("cohort") == "click", "external").otherwise("training")
+    g = e.score_metrics(oof.withColumn("side", side), ["side"], "fine")
+    long = g.select("side", F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in ("auc", "ap", "brier")))))
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
+    return long.groupBy("metric").agg(of("training").alias("training"), of("external").alias("external")).withColumn("delta", F.col("external") - F.col("training"))
+
+
+@query("e40_external_metrics", "scen oof", "with p as (select campaign, fine, score from scen join oof on sample_id = id where score is not null and year = 2021) select campaign, count(*) as n, sqrt(avg((score - fine) * (score - fine))) as rmse, avg(abs(score - fine)) as mae, avg(score - fine) as bias from p group by campaign having count(*) >= 2")
+def e40(scen, oof):
+    """External cases are one year's; a campaign with fewer than two scored ones has no row."""
+    pairs = scen.where("year = 2021").join(oof.select(F.col("sample_id").alias("id"), "fine"), "id")
+    return m.regression(pairs, ["campaign"], "fine", "score").where("n >= 2").select("campaign", "n", "rmse", "mae", "bias")
+
+
+_C = f"coalesce(measured_total, {' + '.join(c.OXIDES)})"
+
+
+@query("n02_variant_frames", "oxides", f"with q as (select *, {_C} as total from oxides) select 'A' as variant, sample_id, li from q where measured_total between 94 and 102 and li is not null union all select 'B', sample_id, li from q where total between 94 and 102 and li is not null union all select 'all', sample_id, li from q where li is not null")
+def n02(oxides):
+    masked = a.protocol_masks(oxides).where("li is not null")
+    frames: list[DataFrame] = [masked.where(k).select(F.lit(v).alias("variant"), "sample_id", "li") for v, k in (("A", F.col("A_original")), ("B", F.col("B_reconstructed")), ("all", F.lit(True)))]
+    return reduce(DataFrame.unionByName, frames)
+
+
+_MATRIX = ("SiO2", "TiO2", "Al2O3", "MgO", "CaO")
+
+
+@query("n20_matrix_verification", "oxides export", "with x as (select cast(id as bigint) as sample_id, " + ", ".join(f"try_cast({k} as double) as x_{k}" for k in _MATRIX) + " from export) " + " union all ".join(f"select '{k}' as feature, count(*) as rows, max(abs({k} - x_{k})) as worst, count(*) filter (({k} is null) <> (x_{k} is null)) as one_sided, coalesce(max(abs({k} - x_{k})) <= 1e-9, true) and count(*) filter (({k} is null) <> (x_{k} is null)) = 0 as agrees from oxides full join x using (sample_id)" for k in _MATRIX))
+def n20(oxides, export):
+    """The number table against the same features read from text: rows, the largest difference and values that only one side has."""
+    x = export.select(F.col("id").cast("bigint").alias("sample_id"), *(c.number(k).alias(f"x_{k}") for k in _MATRIX))
+    both = oxides.select("sample_id", *_MATRIX).join(x, "sample_id", "full")
+    long = both.select(F.inline(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("p"), F.col(f"x_{k}").alias("q")) for k in _MATRIX))))
+    g = long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p") - F.col("q"))).alias("worst"), F.count_if(F.col("p").isNull() != F.col("q").isNull()).alias("one_sided"))
+    return g.withColumn("agrees", F.coalesce(F.col("worst") <= 1e-9, F.lit(True)) & (F.col("one_sided") == 0))
+
+
+@query("n22_top3_integration", "paired", "with t as (select * from paired qualify row_number() over (partition by grp order by predicted desc, case_id) <= 3), p as (select grp, arg_max(case_id, struct_pack(s := score, k := -case_id)) as chosen, max(score) as chosen_score from t group by 1), o as (select grp, arg_max(case_id, struct_pack(b := balance, k := -case_id)) as observed from paired group by 1) select grp, chosen, chosen_score, observed, chosen = observed as hit from p join o using (grp)")
+def n22(paired):
+    """In every group: the best by the second score among the three best by the first, beside the observed best."""
+    best = lambda df, by, name: df.groupBy("grp").agg(F.max(F.struct(F.col(by).alias("v"), (-F.col("case_id")).alias("k"))).alias("m")).select("grp", (-F.col("m.k")).alias(name), F.col("m.v").alias(f"{name}_score"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("predicted"), "case_id"))
+    top = paired.withColumn("place", place).where("place <= 3")
+    return best(top, "score", "chosen").join(best(paired, "balance", "observed").drop("observed_score"), "grp").withColumn("hit", F.col("chosen") == F.col("observed"))
+
+
+@query("k11_development_gates", "oof", f"with {_PAIR}, er as (select cohort, count(*) filter (fine >= 0.05e0) / count(*) as coverage, avg(abs(fine - y)) / avg(abs(coarse - y)) - 1 as change from oof group by 1), g as (select cohort, coverage, change, auc - reference_auc as auc_gain, ap - reference_ap as ap_gain, brier - reference_brier as brier_loss from ev join er using (cohort)) select *, array_to_string(list_filter([case when coverage < 0.8e0 then 'coverage' end, case when change > -0.05e0 then 'error' end, case when auc_gain < 0.03e0 then 'auc' end, case when ap_gain < 0.02e0 then 'ap' end, case when brier_loss > 0.01e0 then 'brier' end], lambda z: z is not null), ',') as reasons from g")
+def k11(oof):
+    mae = lambda s: F.avg(F.abs(F.col(s) - F.col("y")))
+    er = oof.groupBy("cohort").agg((F.count_if(F.col("fine") >= 0.05) / F.count(F.lit(1))).alias("coverage"), (mae("fine") / mae("coarse") - 1).alias("change"))
+    gain = [(F.col(k) - F.col(f"reference_{k}")).alias(n) for k, n in (("auc", "auc_gain"), ("ap", "ap_gain"), ("brier", "brier_loss"))]
+    g = _evidence(oof).select("cohort", *gain).join(er, "cohort")
+    return g.withColumn("reasons", d.reasons(coverage=F.col("coverage") >= 0.8, error=F.col("change") <= -0.05, auc=F.col("auc_gain") >= 0.03, ap=F.col("ap_gain") >= 0.02, brier=F.col("brier_loss") <= 0.01))

@@ -98,13 +98,6 @@ def d19(oof):
     return arms.select("sample_id", (F.col("fine") - F.col("coarse")).alias("delta"))
 
 
-@query("d20_bibliography_complete", "raw", r"with k as (select distinct id % 20 as n from raw), i as (select id, unnest(regexp_extract_all(citation, '\[(\d+)\]', 1))::int as n from raw) select i.id, count(*) filter (k.n is null) as unresolved, bool_and(k.n is not null) as complete from i left join k on i.n = k.n group by i.id")
-def d20(raw):
-    known = raw.select((F.col("id") % 20).cast("int").alias("n")).distinct().withColumn("hit", F.lit(True))
-    ids = raw.select("id", F.explode(c.citation_ids("citation")).alias("n")).withColumn("n", F.col("n").cast("int")).join(known, "n", "left")
-    return ids.groupBy("id").agg(F.count_if(F.col("hit").isNull()).alias("unresolved"), F.bool_and(F.col("hit").isNotNull()).alias("complete"))
-
-
 @query("d21_coordinate_plan", "geo", "select sample_id, dense_rank() over (order by lat, lon) as plan_id from geo")
 def d21(geo):
     from pyspark.sql import Window

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veinwork.operators import aggregates as a
 from veinwork.operators import decisions as d
 from veinwork.operators import metrics as m
+from veinwork.operators.ordered import quantiles
 from veinwork.plans import modelling as ml
 
 from .registry import query
@@ -105,7 +106,7 @@ _SCORED = f"""{_S}, {_B}, fo as (select k, regr_slope(target, CaO) as b, regr_in
 def _scored(oxides):
     df, stages = _samples(oxides), ml.linear_on(["CaO"], "target")
     oof = ml.out_of_fold(df, "sample_id", "target", stages[:1], stages[1], 3, "regression")
-    q90 = oof.agg(F.percentile(F.abs(F.col("score") - F.col("y")), F.lit(0.9))).first()[0]
+    q90 = quantiles(oof, [], F.abs(F.col("score") - F.col("y")), {"q90": 0.9}).first().q90
     features = ["CaO", "SiO2", "Rb"]
     return ml.batch_score(Pipeline(stages=stages).fit(df), df, "sample_id", q90, a.profile(df, features), features)
 

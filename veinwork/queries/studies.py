@@ -14,6 +14,7 @@ from veinwork.operators import folds as f
 from veinwork.operators import metrics as m
 from veinwork.operators import raster as r
 from veinwork.operators import windows as w
+from veinwork.operators.ordered import quantiles
 
 from .raster import PX, STATS
 from .registry import query
@@ -36,18 +37,6 @@ def e38(oxides):
     return oxides.agg(*(F.corr(*p).alias(f"r{i}") for i, p in enumerate(pairs))).select(F.inline(F.array(*(F.struct(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), F.col(f"r{i}").alias("r")) for i, p in enumerate(pairs)))))
 
 
-@query("e39_train_external_delta", "oof", "with t as (select avg(abs(fine - y)) as mae, avg((fine - y) * (fine - y)) as brier from oof where fold <> 0), e as (select avg(abs(fine - y)) as mae, avg((fine - y) * (fine - y)) as brier from oof where fold = 0) select 'mae' as metric, t.mae as training, e.mae as external, e.mae - t.mae as delta from t, e union all select 'brier', t.brier, e.brier, e.brier - t.brier from t, e")
-def e39(oof):
-    err = F.col("fine") - F.col("y")
-    side = lambda x, s: x.agg(F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("brier")).select(F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias(s)) for k in ("mae", "brier")))))
-    return side(oof.where("fold <> 0"), "training").join(side(oof.where("fold = 0"), "external"), "metric").withColumn("delta", F.col("external") - F.col("training"))
-
-
-@query("e40_external_metrics", "scen", "select campaign, count(*) as n, sqrt(avg((score - 0.5e0) * (score - 0.5e0))) as rmse from scen where score is not null group by campaign having count(*) >= 2")
-def e40(scen):
-    return m.regression(scen.withColumn("y", F.lit(0.5)), ["campaign"], "y", "score").where("n >= 2").select("campaign", "n", "rmse")
-
-
 @query("e49_generalisation_gap", "oof", "with k as (select fold, avg(((coarse >= 0.5e0)::int = y)::int) as test, (select avg(((o.coarse >= 0.5e0)::int = o.y)::int) from oof o where o.fold <> x.fold) as train from oof x group by fold) select fold, train, test, train - test as gap, train - test > 0.1e0 as overfit from k")
 def e49(oof):
     hit = ((F.col("coarse") >= 0.5).cast("int") == F.col("y")).cast("int")
@@ -129,12 +118,6 @@ def k07(oxides):
     return oxides.agg((F.count(F.lit(1)) - F.countDistinct("sample_id")).alias("repeated_ids"), F.count_if(F.col("li") < 0).alias("negative"), F.count_if(F.col("li").isNull()).alias("without_target"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("without_place"))
 
 
-@query("k11_development_gates", "oof", "select fold, avg(abs(coarse - y)) / avg(abs(fine - y)) - 1 as change, avg(abs(coarse - y)) / avg(abs(fine - y)) - 1 <= -0.05e0 as better from oof group by fold")
-def k11(oof):
-    g = oof.groupBy("fold").agg((F.avg(F.abs(F.col("coarse") - F.col("y"))) / F.avg(F.abs(F.col("fine") - F.col("y"))) - 1).alias("change"))
-    return g.withColumn("better", F.col("change") <= -0.05)
-
-
 @query("k13_readiness", "oof", "select cohort, array_to_string(list_filter([case when count(*) < 150 then 'enough_rows' end, case when sum(y) < 40 then 'enough_positives' end, case when count(distinct cell) < 10 then 'enough_cells' end], lambda z: z is not null), ',') as reasons from oof group by cohort")
 def k13(oof):
     g = oof.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.countDistinct("cell").alias("cells"))
@@ -154,28 +137,8 @@ def k15(oof):
     return oof.groupBy("cohort").agg(sq("fine").alias("brier_fine"), sq("coarse").alias("brier_coarse"), F.count_if(hit("fine") & ~hit("coarse")).alias("only_fine"), F.count_if(~hit("fine") & hit("coarse")).alias("only_coarse"))
 
 
-@query("n02_variant_frames", "oxides", "select 'A' as variant, count(*) as n from oxides where measured_total between 94 and 102 union all select 'B', count(*) from oxides where coalesce(measured_total, SiO2 + TiO2 + Al2O3 + Fe2O3 + MnO + MgO + CaO + Na2O + K2O + P2O5) between 94 and 102")
-def n02(oxides):
-    masked = a.protocol_masks(oxides)
-    frames: list[DataFrame] = [masked.where(k).withColumn("variant", F.lit(v)) for v, k in (("A", "A_original"), ("B", "B_reconstructed"))]
-    return reduce(DataFrame.unionByName, frames).groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("n20_matrix_verification", "oxides", "select count(*) as rows, max(abs(CaO - (1 + sample_id % 7))) as worst, count(*) filter (CaO is null) as missing from oxides")
-def n20(oxides):
-    other = oxides.select("sample_id", (1.0 + F.col("sample_id") % 7).alias("other"))
-    j = oxides.select("sample_id", "CaO").join(other, "sample_id", "full")
-    return j.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("CaO") - F.col("other"))).alias("worst"), F.count_if(F.col("CaO").isNull()).alias("missing"))
-
-
-@query("n22_top3_integration", "paired", "with t as (select * from paired order by low_q90 desc nulls last, case_id limit 3) select case_id, score, row_number() over (order by score desc, case_id)::int as place from t")
-def n22(paired):
-    top = w.top(paired, 3, F.desc_nulls_last("low_q90"), F.col("case_id"))
-    return top.select("case_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "case_id")).alias("place"))
-
-
 @query("n28_threshold_study", "oof", "with t as (select k.fold, quantile_cont(o.fine, 0.8) as t from (select distinct fold from oof) k join oof o on o.fold <> k.fold group by k.fold) select fold, avg(((fine >= t)::int = y)::int) as accuracy, avg(((fine >= 0.5e0)::int = y)::int) as at_half from oof join t using (fold) group by fold")
 def n28(oof):
-    t = f.training_rows(oof, 5).groupBy(F.col("train_fold").alias("fold")).agg(F.percentile("fine", F.lit(0.8)).alias("t"))
+    t = f.training_rows(oof, 5).transform(lambda x: quantiles(x, ["train_fold"], F.col("fine"), {"t": 0.8})).withColumnRenamed("train_fold", "fold")
     right = lambda x: F.avg(((F.col("fine") >= x).cast("int") == F.col("y")).cast("int"))
     return oof.join(t, "fold").groupBy("fold").agg(right(F.col("t")).alias("accuracy"), right(F.lit(0.5)).alias("at_half"))
