@@ -143,6 +143,7 @@ def path_id(path: Column | str) -> Column:
     return F.substring(F.sha2(F.lower(F.translate(_c(path), "\\", "/")), 256), 1, 20)
 
 
+#: The labels, and the limits between them.
 def eligibility(verification: Column | str, source: Column | str) -> Column:
     v, s = F.upper(F.trim(F.coalesce(_c(verification), F.lit("")))), F.trim(F.coalesce(_c(source), F.lit("")))
     return (
@@ -159,6 +160,7 @@ def decimals(x: Column | str) -> Column:
     return F.length(F.regexp_extract(F.trim(F.coalesce(_c(x), F.lit(""))), r"^[-+]?\d+\.(\d+)$", 1))
 
 
+#: The labels, and the limits between them.
 def screening_tier(complete: Column, dec_lat: Column, dec_lon: Column, repeated: Column, comment: Column | str, ambiguous: Column | None = None) -> Column:
     note = F.coalesce(_c(comment), F.lit(""))
     weak = ~complete | (dec_lat <= 2) | (dec_lon <= 2) | (repeated >= 4) | (F.lit(False) if ambiguous is None else ambiguous)
@@ -214,6 +216,7 @@ def half_extent_m(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Co
     return F.when((lat_max >= lat_min) & (lon_max >= lon_min) & (F.abs(lat_min) <= 90) & (F.abs(lat_max) <= 90), F.sqrt(dx * dx + dy * dy) / 2)
 
 
+#: The labels, and the limits between them.
 def surface_gate(depth: Column | str, rock: Column | str) -> Column:
     return (
         F.when(number(depth) > 0, "EXCLUDE_BURIED_DRILL_SAMPLE")
@@ -230,10 +233,12 @@ def first_true(*cases: tuple[Column, str], default: str) -> Column:
     return out.otherwise(default)
 
 
+#: The labels, and the limits between them.
 def distance_band(km: Column) -> Column:
     return first_true((km < 50, "EXCLUDE_NEAR_TRAINING"), (km < 100, "HOLD_BUFFER_50_100KM"), default="DISTANT_CANDIDATE")
 
 
+#: The labels, and the limits between them.
 def priority(score: Column) -> Column:
     return first_true((score >= 0.70, "alta"), (score >= 0.40, "media"), default="baja")
 
@@ -244,15 +249,18 @@ def outside_share(values: dict[str, Column], low: dict[str, Column], high: dict[
     return reduce(lambda a, b: a + b, flags) / float(len(flags))
 
 
+#: The labels, and the limits between them.
 def outcome(y: Column, score: Column, threshold: Column | float) -> Column:
     hit = score >= threshold
     return F.when(y == 1, F.when(hit, "VP").otherwise("FN")).otherwise(F.when(hit, "FP").otherwise("VN"))
 
 
+#: The labels, and the limits between them.
 def concordance(high_a: Column, high_b: Column) -> Column:
     return F.when(high_a & high_b, "both_high").when(high_a, "first_high_only").when(high_b, "second_high_only").otherwise("both_low")
 
 
+#: The labels, and the limits between them.
 def strength(r: Column) -> Column:
     a = F.abs(r)
     return F.when(r.isNull(), "not_available").otherwise(first_true((a < 0.2, "very_weak"), (a < 0.4, "weak"), (a < 0.6, "moderate"), (a < 0.8, "strong"), default="very_strong"))

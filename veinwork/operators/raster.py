@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Band names, and sums that count as nothing.
 BANDS = ["red", "green", "blue", "nir", "swir16", "swir22"]
 SMALL = 1e-6
 

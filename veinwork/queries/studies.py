@@ -14,7 +14,7 @@ from veinwork.operators import folds as f
 from veinwork.operators import metrics as m
 from veinwork.operators import raster as r
 from veinwork.operators import windows as w
-from veinwork.operators.ordered import quantiles
+from veinwork.operators.ordered import numbered, quantiles, running
 
 from .raster import PX, STATS
 from .registry import query
@@ -49,16 +49,14 @@ def e49(oof):
 def g05(oof):
     old = oof.where("cohort = 'click'").groupBy("cell").agg(F.min("fold").alias("fold"))
     new = oof.select("cell").distinct().join(old, "cell", "left_anti")
-    # one row per new cell
-    return old.unionByName(new.withColumn("fold", ((F.row_number().over(Window.orderBy("cell")) - 1) % 5).cast("int")))
+    return old.unionByName(numbered(new, ["cell"], "place").select("cell", (F.col("place") % 5).cast("int").alias("fold")))
 
 
 @query("g10_repeated_holdout", "oof", "with k as (select cell, rep, row_number() over (partition by rep order by ('0x' || substr(md5('h|' || rep || '|' || cell), 1, 8))::bigint, cell) as place, count(*) over (partition by rep) as n from (select distinct cell from oof), range(3) t(rep)) select rep::int as rep, cell from k where place <= ceil(n * 0.2e0)")
 def g10(oof):
     cells = oof.select("cell").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    by = Window.partitionBy("rep")
-    k = cells.withColumn("place", F.row_number().over(by.orderBy(f.draw("h", F.col("rep"), F.col("cell")), "cell"))).withColumn("n", F.count(F.lit(1)).over(by))
-    return k.where("place <= ceil(n * 0.2)").select("rep", "cell")
+    drawn = cells.withColumn("draw", f.draw("h", F.col("rep"), F.col("cell"))).withColumn("one", F.lit(1))
+    return running(drawn, ["rep"], ["draw", "cell"], "one", "place", "n").where("place < ceil(n * 0.2)").select("rep", "cell")
 
 
 @query("g11_three_candidates", "oof", """with s as (select fold, cell, quantile_cont(li, 0.5) as li, quantile_cont(fine, 0.5) as score from oof group by 1, 2), p as (select s.*, t.k, row_number() over (partition by fold, k order by ('0x' || substr(md5('t|' || k || '|' || cell), 1, 8))::bigint, cell) as place from s, range(20) t(k)),
