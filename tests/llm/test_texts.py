@@ -187,6 +187,51 @@ def test_restorer_reads_heavy_leet_edges_long_runs_and_joined_words():
     assert restorer.words("the lamp, the door.") == {"the", "lamp", "door"}
 
 
+def every_path(token, model):
+    """The cheapest reading of a token's lattice by trying all of its paths, one after the other."""
+    best, paths = (float("inf"), ""), [(0.0, "", (0, 0, 0))]
+    for unit in toxicity.lattice(token):
+        longer = []
+        for cost, text, h in paths:
+            for letters, more, gap in unit:
+                for edge in (False, True) if gap and text else (False,):
+                    total, said, state = cost + more, text, h
+                    if edge:
+                        total, said, state = total + toxicity.GAP_COST + float(model[(*state, 0)]), said + " ", (0, 0, 0)
+                    elif said and said[-1] == letters:
+                        longer.append((cost + more + toxicity.RUN_COST, text, h))
+                    for x, k in zip(letters, toxicity.codes(letters), strict=True):
+                        total, said = total + float(model[(*state, k)]) - toxicity.LETTER_CREDIT, said + x
+                        state = (*state[1:], k)
+                    longer.append((total, said, state))
+        paths = longer
+    for cost, text, h in paths:
+        best = min(best, (cost + float(model[(*h, 0)]), text))
+    return best
+
+
+def costed(words):
+    four = toxicity.count_grams(Counter({w: 50 for w in words})).reshape([toxicity.ALPHABET] * 4)
+    three, two, one = four.sum(0), four.sum((0, 1)), four.sum((0, 1, 2))
+    p = (one + 1) / (one.sum() + toxicity.ALPHABET)
+    for counts in (two, three, four):
+        p = (counts + toxicity.ALPHABET * p) / (counts.sum(-1, keepdims=True) + toxicity.ALPHABET)
+    return -np.log(p).astype(np.float32)
+
+
+def test_decoding_finds_the_cheapest_of_all_paths():
+    import random
+
+    r, model = random.Random(7), costed("the lamp stood near the door and an idiot said moron or shit to a dumbass then stupid clown ass".split())
+    words = ["idiot", "moron", "stupid", "clown", "lamp", "shit"]
+    back = {"o": "0", "i": "1!", "s": "5$", "t": "7+", "a": "4@", "e": "3", "l": "1|"}
+    for _ in range(150):
+        token = "".join((r.choice(back[x]) if x in back and r.random() < 0.5 else x) * r.choice([1, 1, 1, 2, 5]) for x in r.choice(words))
+        if r.random() < 0.3:
+            token = " ".join(token[:7])
+        assert toxicity.decode(token, model) == every_path(token, model)[1].split(), token
+
+
 def test_rollups_add_revise_delete_and_repeat(spark, tmp_path):
     store = rollups.Store(spark, f"file://{tmp_path}/store")
     rows = "op string, doc_id bigint, source string, lang string, tokenizer string, tokens bigint"

@@ -108,7 +108,10 @@ class Store:
 
     def _commit(self, batch: str, rows: DataFrame, covers: list[str]) -> None:
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/ledger/{batch}")
+        # about as many files as partitions, whatever the number of tasks that made the rows
+        shares = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        share = F.pmod(F.xxhash64("doc_id", "source", "lang", "tokens"), F.lit(shares))
+        rows.withColumn("bucket", bucket).repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/ledger/{batch}")
         written = self.spark.read.schema(LEDGER + ", bucket int").parquet(f"{self.folder}/ledger/{batch}")
         _summed(written, GROUP).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")
         self.spark.createDataFrame([(batch, covers)], "batch string, covers array<string>").coalesce(1).write.mode("overwrite").json(f"{self.folder}/commits/{batch}")
