@@ -85,6 +85,7 @@ def first_alias(columns: list[str], aliases: list[str]) -> str | None:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of each file."""
+    # a digest needs its file in one task, which may have 2 GB at most
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
