@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .alignment import op11_space_anchors
+from .bpe import op12_rank_queue
 from .decontam import op2_spaced_seeds
 from .jaccard import op3_partenum_join
 from .mixing import OP1_SQL, op1_pareto_mix
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_noisy_channel": op9_noisy_channel,
     "op10_token_rollups": op10_token_rollups,
+    "op11_space_anchors": op11_space_anchors,
+    "op12_rank_queue": op12_rank_queue,
 }
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
