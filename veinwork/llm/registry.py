@@ -15,6 +15,7 @@ from .secrets import op4_credential_links
 from .sharding import op5_hash_ring
 from .toxicity import op9_noisy_channel
 from .warc import OP7_SQL, op7_capture_index
+from .whitening import op13_characteristic_polynomial
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_token_rollups": op10_token_rollups,
     "op11_space_anchors": op11_space_anchors,
     "op12_rank_queue": op12_rank_queue,
+    "op13_characteristic_polynomial": op13_characteristic_polynomial,
 }
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
