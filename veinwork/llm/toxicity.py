@@ -1,19 +1,22 @@
 """Toxicity of texts behind a noisy channel.
 
 Writers hide words by leetspeak, by repeating letters and by spacing them out. A suspect token becomes a lattice of
-letters (each character's readings and their costs; runs may shrink; a gap may be a word's end or nothing), and
-Viterbi's algorithm finds its cheapest path under a character 4-gram model of the whole corpus. Texts are then
+letters (each character's readings and their costs; runs may shrink; a gap, which any white space or punctuation makes, may be a
+word's end or nothing; so may any place of a token of more than LONGEST units), and Viterbi's algorithm finds its cheapest path under a character 4-gram model of the whole corpus. Texts are then
 scored by their restored words.
 
 * Language model: 4-gram counts of ALPHABET symbols over the words of all documents, at most ALPHABET ** 4 numbers.
 * Lexicon: words that mark label 1, from a sample of at most SAMPLE labelled rows outside the held-out third
   (crc32 of the id as text, mod 3, is 1); a word enters when its count among toxic texts is improbable by chance
-  (exact binomial tail <= CHANCE) and over half of its texts are toxic; at most LEXICON words.
+  (exact binomial tail <= CHANCE) and over half of its texts are toxic; the sample bounds their number.
 * Score: the log odds of label 1 in texts without such words; in texts with some, those of all texts plus each distinct
   word's smoothed log odds ratio.
 
 Labels, language, source and id are no inputs of a score.
 
+Very long texts are read whole; long tokens and long runs of spaced characters in windows of 2 * LONGEST units, each of which has the
+last half of the one before, so any word of LONGEST units lies in one of them.
+
 Cases: null and empty texts score as texts without marked words; rows with a null id aren't held out; labels without id
 or value are left out, repeated ones count as given; repeated rows score alike; an empty table gives no rows; without
 usable labels every text gets the prior of 0.5 documents of each kind; extra columns are ignored.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import read_table, staged
 from .quality import binomial_tail
 
-SAMPLE, LEXICON, CHANCE, CUT = 20_000, 5_000, 1e-5, 0.7
+SAMPLE, CHANCE, CUT = 20_000, 1e-5, 0.7
 ALPHABET = 28  # word edge, a to z, any other letter
 #: Readings of leet characters.
 LEET = {
@@ -43,15 +46,18 @@ LEET = {
 }
 READ_COST, RUN_COST, PAIR_COST, GAP_COST, OTHER_COST = 0.5, 0.3, 3.0, 1.0, 4.0
 LETTER_CREDIT = 2.0  # about a letter's cost under the model, so that dropping one is no gain in itself
-LONGEST = 24  # tokens of more units (a run is one) are keys, hashes and addresses, not words, and are only looked up as they stand
+LONGEST = 24  # tokens of more units (a run is one) are read in windows, as joined words
 _TRAIL, _LEAD = ".,;:!?\"'`()[]{}<>*_#%&$|~-@/\\=", ".,;:?\"'`()[]{}<>*_#%&~-/\\="
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _FIRM_TRAIL, _FIRM_LEAD = ("".join(c for c in x if c not in LEET) for x in (_TRAIL, _LEAD))
 _LEETY = re.compile("[" + re.escape("".join(LEET)) + "]")
-_SPLIT = re.compile(r"(?<=.)[.\-_*~](?=.)")
+_GAP = r"(?:[^\w" + re.escape("".join(LEET)) + r"]|_)"
+_UNIT = r"(?:[^\W_]|[" + re.escape("".join(LEET)) + r"])"
+_SPLIT = re.compile(r"(?<=.)" + _GAP + r"(?=.)")
 _JOINED = re.compile(r"(?:[^\w\s" + re.escape("".join(LEET)) + r"]|_)+")
-_REPEAT = re.compile(r"(.)\1+")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_REPEAT = re.compile(r"(.)\1*", re.DOTALL)
+_SPACED = re.compile(rf"(?<!{_UNIT}){_UNIT}(?:{_GAP}+{_UNIT}){{2,}}(?!{_UNIT})")
+_GAPS = re.compile(_GAP)
 _CODES = bytes(1 + i - 97 if 97 <= i <= 122 else 27 for i in range(256))
 
 
@@ -84,7 +90,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
             alpha = Counter()
             for w, n in words.items():
                 w = w.strip(_TRAIL)
-                if w.isalpha() and len(w) <= LONGEST:
+                if w.isalpha():
                     alpha[w] += n
             c = count_grams(alpha) if alpha else np.zeros(1)
             at = np.flatnonzero(c)
@@ -110,10 +116,10 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float, bool]]]:
-    """For each unit of a token its readings (letters, cost, may follow a word's end)."""
+def lattice(token: str, gaps: bool | None = None) -> list[list[tuple[str, float, bool]]]:
+    """For each unit of a token its readings (letters, cost, may follow a word's end). gaps: whether every unit may (unset: if it is spaced out)."""
     spaced = bool(_SPACED.fullmatch(token)) or (len(p := _SPLIT.split(token)) >= 3 and all(len(x) <= 2 for x in p))
-    chars = [c for c in token if c != " " and c not in ".-_*~"] if spaced else [c for c in token if c not in ".-_*~"]
+    chars, spaced = _GAPS.sub("", token) if spaced else [c for c in token if c not in ".-_*~"], spaced if gaps is None else gaps
     out, i = [], 0
     while i < len(chars):
         j = i
@@ -129,10 +135,10 @@ def lattice(token: str) -> list[list[tuple[str, float, bool]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> list[str]:
+def decode(token: str, model: np.ndarray, gaps: bool | None = None) -> list[str]:
     """The words of the cheapest path through the token's lattice: Viterbi's, one best history for each state of three letters."""
     paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    for unit in lattice(token):
+    for unit in lattice(token, gaps):
         new: dict[tuple[int, int, int], tuple[float, str]] = {}
         for h, (cost, text) in paths.items():
             for letters, more, gap in unit:
@@ -172,17 +178,28 @@ class Restorer:
         out = (core.lstrip("$@!|"),)
         # leet characters at the edges are letters or punctuation: read with and without
         for form in dict.fromkeys(x.lstrip(lead) for x in (raw.rstrip(_TRAIL), raw.rstrip(_FIRM_TRAIL)) for lead in (_LEAD, _FIRM_LEAD)):
-            parts = _SPLIT.split(form)
-            spaced = len(parts) >= 3 and all(len(x) <= 2 for x in parts)
-            if not any(map(str.isalpha, form)) or not (spaced or _RUN.search(form) or _LEETY.search(form)):
+            parts = [x for x in _SPLIT.split(form) if x]
+            broken = len(parts) >= 3 and all(len(x) <= 3 for x in parts)
+            if broken:
+                out += ("".join(parts),)
+            units = _REPEAT.findall(form) if len(form) > LONGEST else ()
+            if not any(map(str.isalpha, form)) or not (broken or len(units) > LONGEST or _RUN.search(form) or _LEETY.search(form)):
                 continue
-            if spaced:  # in windows, as spaced out texts
-                for at in range(0, len(parts), LONGEST):
-                    out += tuple(decode("-".join(parts[max(0, at - LONGEST // 2) : at + LONGEST]), self.model))
-            elif len(_REPEAT.sub(r"\1", form)) <= LONGEST:
+            if len(units) <= LONGEST and broken:
+                out += tuple(decode("".join(parts), self.model, all(len(x) <= 2 for x in parts)))
+            elif len(units) <= LONGEST:
                 out += tuple(decode(form, self.model))
+            else:
+                out += self.joined(form)
         return out
 
+    def joined(self, form: str) -> tuple[str, ...]:
+        """Words of a long run of characters: each unit may begin one."""
+        runs, out = [m[0] for m in _REPEAT.finditer(_GAPS.sub("", form))], []
+        for at in range(0, max(1, len(runs) - LONGEST), LONGEST):
+            out += decode("".join(runs[at : at + 2 * LONGEST]), self.model, True)
+        return tuple(dict.fromkeys(out))
+
     def words(self, text: str) -> set[str]:
         text, out = text.lower(), set()
         if len(self.known) > 500_000:
@@ -194,15 +211,15 @@ class Restorer:
                 got = known[raw] = self.token(raw)
             out.update(got)
         for m in _SPACED.finditer(text):
-            # long runs of single characters are read in windows, so that the lattice stays short
-            run = m[0]
-            for at in range(0, len(run), 2 * LONGEST):
-                piece = run[max(0, at - LONGEST) // 2 * 2 : at + 2 * LONGEST].strip()
+            run = _GAPS.sub("", m[0])
+            for at in range(0, max(1, len(run) - LONGEST), LONGEST):
+                piece = run[at : at + 2 * LONGEST]
                 letters = sum(map(str.isalpha, piece))
                 if letters >= 2 or letters and _LEETY.search(piece):
-                    if piece not in known:
-                        known[piece] = tuple(decode(piece, self.model))
-                    out.update(known[piece])
+                    key = f" {piece}"
+                    if key not in known:
+                        known[key] = tuple(decode(piece, self.model, True))
+                    out.update(known[key])
         out.discard("")
         return out
 
@@ -232,11 +249,16 @@ def lexicon(docs: DataFrame, labels: DataFrame, model) -> tuple[float, float, di
     rate = k / n
     counts = read.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where("2 * k > n")
     by_chance = binomial_tail(F.col("n") - F.col("k"), F.col("n"), 1 - rate)
-    top = counts.where(by_chance <= CHANCE).orderBy(by_chance, "word").limit(LEXICON).collect()
+    top = counts.where(by_chance <= CHANCE).collect()  # several toxic texts of the sample for each word
     odds = lambda p: math.log(p / (1 - p))
     words = {r.word: odds((r.k + 2 * rate) / (r.n + 2)) - odds(rate) for r in top}
-    free = read.where(~F.arrays_overlap("words", F.array(*map(F.lit, words)))) if words else read
-    m, j = free.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    marked = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0]).filter(pa.array([marked.value.isdisjoint(w) for w in b.column(1).to_pylist()], pa.bool_()))
+
+    m, j = read.select("toxic", "words").mapInArrow(unmarked, "toxic int").agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     return math.log((j + 0.5) / (m - j + 0.5)), odds(rate), words
 
 
