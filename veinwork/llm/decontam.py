@@ -6,7 +6,8 @@ and an item: a stretch of MIN_RUN words or more, equal at both ends, of which MI
 SHORTEST words on, of which MIN_SHARE are equal. The fixed MASKS cover this for items of SPAN words or more: each way to
 substitute a quarter of 12 to 23 words leaves some mask whole at some place (the tests enumerate all), and a longer stretch is
 cut into parts of 12 to 23 words, one of which has no larger share of substitutions. Shorter items have masks for their
-length: it is cut into two parts more than may be substituted, and every two parts make a mask.
+length: it is cut into two parts more than may be substituted, and every two parts make a mask. Items of fewer than SHORTEST words
+occur everywhere; they count where a document is exactly the item, word for word, for which one mask looks at all words.
 
 1. Items become seeds, (hash, item, places). A bitmap of the hashes' top bits, at most 2 ** MOST_BITS of them, goes to all tasks.
 2. One pass over the documents hashes every position under every mask; those that the bitmap lets through leave as
@@ -18,7 +19,8 @@ Texts are shuffled only if the documents with hits are too many for Spark to bro
 share is a skewed key of the join with the seeds, which adaptive execution splits.
 
 Cases: null or blank texts match nothing; rows of equal id and text are found once; null ids are rows like any other, of
-documents and of items; items of equal id and text count once, of fewer than SHORTEST words never (they occur everywhere);
+documents and of items; items of equal id and text count once, without words never;
+very long texts are hashed whole, a few hundred thousand words at once;
 an empty table on either side finds nothing; extra columns are ignored by overlaps() and kept by clean().
 """
 
@@ -75,7 +77,7 @@ def masks_for(n: int) -> list[tuple[int, int, tuple[int, ...]]]:
     if n >= SPAN:
         return [(m, mask[-1] + 1, mask) for m, mask in enumerate(MASKS)]
     if n < SHORTEST:
-        return []
+        return [(100 * n, n, tuple(range(n)))] if n else []
     cut = math.floor(n * (1 - MIN_SHARE)) + 2
     parts = [range(n * i // cut, n * (i + 1) // cut) for i in range(cut)]
     return [(100 * n + j, n, (*a, *b)) for j, (a, b) in enumerate(combinations(parts, 2))]
@@ -104,9 +106,11 @@ DIAGONALS, CUTS = "key bigint, item bigint, n int, diagonals binary", "key bigin
 
 def _runs(h: np.ndarray, *others: np.ndarray) -> Iterator[tuple]:
     """Each distinct value of h with the slices of the others that belong to it."""
+    if not len(h):
+        return
     order = np.argsort(h, kind="stable")
     h, others = h[order], [x[order] for x in others]
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist() if len(h) else []
+    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist()
     for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
         yield h[a], *(x[a:b] for x in others)
 
@@ -152,7 +156,7 @@ def _hits(masks: list, bitmap, bits: int):
         for number, span, mask in masks:
             h = seeds(ids, number, span, mask)
             top = h >> shift
-            pos = np.flatnonzero((bitmap.value[top >> eight] >> (top & low).astype(np.uint8)) & 1 & (left[: len(h)] >= span))
+            pos = np.flatnonzero((bitmap.value[top >> eight] >> (top & low).astype(np.uint8)) & 1 & ((left[: len(h)] >= span) if span >= SHORTEST else (n[owner][: len(h)] == span)))
             for o, p, x in _runs(owner[pos], pos - start[owner[pos]], h[pos]):
                 for value, where in _runs(x, p):
                     rows[0].append(int(keys[o]))
@@ -165,7 +169,7 @@ def _hits(masks: list, bitmap, bits: int):
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = tokens(text.as_py(), cores)
-                if len(w) >= SHORTEST:
+                if len(w):
                     held.append((key, w))
                     size += len(w)
                 if size > AT_ONCE:
@@ -226,7 +230,7 @@ def stretch(same: np.ndarray, least: int) -> tuple[int, int, int]:
 def contaminated(same: np.ndarray, inside: bool) -> tuple[int, int, int]:
     """(length, equal words, start) of what counts along a diagonal, zeros if nothing does. inside: the document holds the whole diagonal."""
     n = len(same)
-    if inside and (equal := int(same.sum())) >= MIN_SHARE * n:
+    if inside and (equal := int(same.sum())) >= (MIN_SHARE if n >= SHORTEST else 1) * n:
         return n, equal, 0
     return stretch(same, MIN_RUN)
 
@@ -257,7 +261,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     keyed = lambda df, i, t: df.select(F.col(i).cast("bigint").alias("id"), F.coalesce(F.col(t), F.lit("")).alias("text")).select(F.xxhash64(F.col("id").isNull(), "id", "text").alias("key"), "id", "text")
     named = keyed(benchmark, item_col, item_text).dropDuplicates(["key"])
-    texts = named.select("key", "text").mapInArrow(_item_words, ITEMS).where(F.col("n") >= SHORTEST)
+    texts = named.select("key", "text").mapInArrow(_item_words, ITEMS).where("n > 0")
     items = staged(texts.join(named.select(F.col("key").alias("item"), F.col("id").alias("item_id")), "item"), "decontam-items")
     marks = staged(items.select("item", "n", "words").mapInArrow(_item_seeds, SEEDS), "decontam-seeds")
     if not (n := marks.count()):
