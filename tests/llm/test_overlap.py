@@ -175,6 +175,16 @@ def test_passages_are_found_through_substitutions(spark, table, docs, no_docs):
     assert decontam.overlaps(no_docs, bench).count() == 0 and decontam.overlaps(docs, bench.where("1 = 0")).count() == 0
 
 
+def test_short_items_count_where_they_are_the_whole_text(spark, table):
+    bench = spark.createDataFrame([(1, "What is the capital of?", "e"), (2, "yes", "e"), (3, "...", "e"), (4, "one two three four five", "e"), (5, "yes", "e"), (6, "What is the capital of France today", "e")], ITEMS)
+    texts = ["what is the capital of", "what is the capital", "What is: the capital OF", "so what is the capital of", "yes", "Yes!", "yes yes", "...", "one two three four", "one two three four six", "one two three four five", None, "what is the capital of france"]
+    d = table([(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, "yes", "en", "s")])
+    got = decontam.overlaps(d, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (2, 1), (4, 2), (4, 5), (5, 2), (5, 5), (10, 4), (None, 2), (None, 5)}
+    assert all((r.doc_word, r.run_words, r.equal_words) == (0, r.item_words, r.item_words) for r in got)
+    assert sorted(r.doc_id for r in decontam.clean(d, bench).collect()) == [1, 3, 6, 7, 8, 9, 11, 12]
+
+
 @pytest.mark.parametrize("size", range(12, 24))
 def test_masks_cover_every_accepted_window(size):
     places = np.array(list(combinations(range(size), size // 4)), np.int64)
@@ -210,6 +220,16 @@ def changed(item, places):
     return [f"q{k}" if k in places else x for k, x in enumerate(item)]
 
 
+def test_the_row_that_stays_of_repeated_ones_is_the_same_in_every_run(spark, table):
+    rows = [(i % 5 if i % 7 else None, words(i % 5, 30) if i % 3 else "", f"l{i}", f"s{i}") for i in range(90)]
+    d = table(rows)
+    first = sorted(map(str, jaccard.one_of_each(d).collect()))
+    assert sorted(map(str, jaccard.one_of_each(d.repartition(7, "lang")).collect())) == first
+    assert sorted(map(str, jaccard.one_of_each(d.orderBy("source").coalesce(1)).collect())) == first
+    wordless = [r[0] for r in rows if not r[1]]
+    assert len(first) == len({i for i in wordless if i is not None}) + wordless.count(None) + len({r[1] for r in rows if r[1]})
+
+
 def test_all_substitutions_that_the_rule_accepts_are_found(spark, table):
     item = words(4711, 15).split()
     docs = {k: ["before", *changed(item, p), "behind"] for k, p in enumerate(p for n in range(5) for p in combinations(range(15), n))}

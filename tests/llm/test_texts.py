@@ -142,6 +142,18 @@ def test_one_value_in_several_layouts_keeps_its_link():
     assert sum(x == y for x, y in zip(one, two, strict=True)) < 120 and pii.Pseudonyms(KEY.encode(), True).text(one + "@x.org")[0] == "a" + long + "@x.org"
 
 
+@pytest.mark.parametrize("length", [128, 129, 3040, 100_000])
+def test_long_values_are_permuted_in_blocks(table, length):
+    names, back = pii.Pseudonyms(KEY.encode()), pii.Pseudonyms(KEY.encode(), True)
+    local = "".join("abcxyz0189AB"[i * i % 12] for i in range(length))
+    new = [names.text(f"x {v}@x.org y")[0] for v in (local, local[:-1] + "q", "q" + local[1:])]
+    assert [back.text(t)[0] for t in new] == [f"x {v}@x.org y" for v in (local, local[:-1] + "q", "q" + local[1:])]
+    for other in new[1:]:
+        assert len(other) == len(new[0]) and sum(x == y for x, y in zip(new[0][2:-8], other[2:-8], strict=True)) < 0.2 * length + 40
+    out = pii.pseudonymize(table([(1, f"{local}@x.org", "en", "s")]), KEY.encode()).first()
+    assert out.n_email == 1 and out.text == new[0][2:-2]
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 1000, 73049])
 def test_permutation_is_one(size):
     p, q = pii.Permutation(b"k"), pii.Permutation(b"k", inverse=True)
@@ -187,6 +199,19 @@ def test_restorer_reads_heavy_leet_edges_long_runs_and_joined_words():
     assert restorer.words("the lamp, the door.") == {"the", "lamp", "door"}
 
 
+def test_restorer_reads_any_spacing_and_long_tokens():
+    restorer = toxicity.Restorer(costed("the lamp stood near the door and an idiot said moron or shit to a dumbass then stupid clown ass".split()))
+    gaps = ["  ", "\t", "\n", "/", " . ", "_", "\u00a0", " - "]
+    cases = {f"{gap.join('idiot')}": {"idiot"} for gap in gaps} | {f"{gap.join('1d10t')}": {"idiot"} for gap in gaps}
+    cases |= {"i d-i o t": {"idiot"}, "s-tu-pid": {"stupid"}, "mo/ro/n": {"moron"}, "st-up-1d": {"stupid"}}
+    long = "stupididiotmoron" * 2
+    cases |= {long: {"stupid", "idiot", "moron"}, "5tup1d1d10tm0r0n5tup1d1d10tm0r0n": {"stupid", "idiot", "moron"}, "lamp" * 40 + "idiot" + "door" * 40: {"idiot"}, "-".join("lampdoor" * 9 + "moron" + "lamp" * 9): {"moron"}}
+    for raw, want in cases.items():
+        assert want <= restorer.words(f"door: {raw}. near"), (raw, restorer.words(f"door: {raw}. near"))
+    assert restorer.words("a\nlamp - the door, 3 of 4") == {"a", "lamp", "the", "door", "3", "of", "4"}
+    assert "idiot" in restorer.words("x" * 100_000 + " idiot") and "moron" in restorer.words("lamp" * 3000 + "moron")
+
+
 def every_path(token, model):
     """The cheapest reading of a token's lattice by trying all of its paths, one after the other."""
     best, paths = (float("inf"), ""), [(0.0, "", (0, 0, 0))]

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged
 from .components import components
+from .mixing import row_hash
 
 #: op3's shingle length and least similarity, NUM / DEN; groups() and one_of_each() take others.
 WORDS, NUM, DEN = 4, 85, 100
@@ -410,9 +411,10 @@ def _of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs with one row of each component, the first by doc_id (nulls last) and text; of repeated rows (equal id and text), one stays.
+    """docs with one row of each component, the first by doc_id (nulls last) and text; of repeated rows (equal id and text), one stays,
+    by a hash of all columns.
     Rows are told apart by id and text, so rows that share an id, or have none, are judged each by its own text. Of texts
-    without words only repeated rows go."""
+    without words only repeated rows that have an id go."""
     out = staged(_grouped(docs, id_col, text_col, words, num, den), "jaccard-groups")
     first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_key") == F.col("at.text_key"))
     kept = _of(docs, staged(out.where((F.col("n") > 0) & ~first).select("doc_id", "text_key").distinct(), "jaccard-drop"), id_col, text_col, "left_anti")
@@ -420,8 +422,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = staged(stays.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "jaccard-repeated")
     if repeated.limit(1).count():
         whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__vw_row")
-        many = _of(kept, repeated, id_col, text_col, "left_semi").select(whole, F.col(id_col).alias("__vw_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__vw_key"))
-        one = many.groupBy("__vw_id", "__vw_key").agg(F.first("__vw_row").alias("__vw_row")).select("__vw_row.*")
+        many = _of(kept, repeated, id_col, text_col, "left_semi").select(whole, F.col(id_col).alias("__vw_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__vw_key"), row_hash(docs.dtypes).alias("__vw_hash"))
+        one = many.groupBy("__vw_id", "__vw_key").agg(F.min_by("__vw_row", "__vw_hash").alias("__vw_row")).select("__vw_row.*")
         kept = _of(kept, repeated, id_col, text_col, "left_anti").unionByName(one)
     return kept
 
