@@ -186,3 +186,13 @@ def patch_quality(px: DataFrame, valid: Column, least: float = 0.95, size: int =
     )
     low = F.col("joint_valid") < least
     return g.withColumn("low_coverage", low).withColumn("integrity", F.when(F.col("joint_valid") == 0, "empty").when(low, "partial").otherwise("complete"))
+
+
+def rate_calibrated(df: DataFrame, folds: int, y: str = "y", score: str = "score", fold: str = "fold") -> DataFrame:
+    """df with each score replaced by its rate of positives in the other folds; a score that they lack takes their overall rate."""
+    counts = df.groupBy(F.col(fold).alias("fold"), F.col(score).alias("__s")).agg(F.sum(y).alias("p"), F.count(F.lit(1)).alias("n"))
+    train = f.training_rows(counts, folds).groupBy(F.col("train_fold").alias("__f"), "__s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    rate = train.select("__f", "__s", (F.col("p") / F.col("n")).alias("__r"))
+    rest = train.groupBy("__f").agg((F.sum("p") / F.sum("n")).alias("__all"))
+    out = df.join(rate, (F.col(fold) == F.col("__f")) & (F.col(score) == F.col("__s")), "left").drop("__f", "__s").join(F.broadcast(rest), F.col(fold) == F.col("__f"))
+    return out.withColumn(score, F.coalesce("__r", "__all")).select(*df.columns)

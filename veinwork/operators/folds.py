@@ -31,7 +31,29 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
             yield x[[group]].assign(fold=out)
 
     # each group's fold hangs on all before it, so the table of groups (spatial cells: as many as the earth has) goes through one task, row by row
-    return sizes.coalesce(1).sortWithinPartitions(F.desc("n"), group).mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, fold int")
+    return sizes.repartition(1).sortWithinPartitions(F.desc("n"), group).mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, fold int")
+
+
+def nested_folds(df: DataFrame, group: str, folds: int, inner: int, fold: str = "fold") -> DataFrame:
+    """(outer, group, inner): the groups of each outer fold's training rows, dealt among themselves as group_folds() deals all."""
+    sizes = df.groupBy(group, fold).agg(F.count(F.lit(1)).alias("n"))
+    outer = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("outer")
+    train = sizes.select("*", outer).where(F.col("outer") != F.col(fold)).groupBy("outer", group).agg(F.sum("n").alias("n"))
+
+    def run(frames):
+        at, load = None, []
+        for x in frames:
+            out = []
+            for k, n in zip(x["outer"], x["n"]):
+                if k != at:
+                    at, load = k, [(0, i) for i in range(inner)]
+                rows, i = heapq.heappop(load)
+                out.append(i)
+                heapq.heappush(load, (rows + int(n), i))
+            yield x[["outer", group]].assign(inner=out)
+
+    # as in group_folds(): a task takes the table of groups of one or more outer folds, row by row
+    return train.repartition(folds, "outer").sortWithinPartitions("outer", F.desc("n"), group).mapInPandas(run, f"outer int, {group} {dict(df.dtypes)[group]}, inner int")
 
 
 def training_rows(df: DataFrame, folds: int, fold: str = "fold") -> DataFrame:

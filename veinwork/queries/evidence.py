@@ -331,7 +331,7 @@ def n08(geo):
     return geo.join(p, "publication").select("sample_id", "n_pub", "top", decision.alias("decision"))
 
 
-def _stored_arms(oof) -> DataFrame:
+def stored_arms(oof) -> DataFrame:
     """Three runs' out-of-fold files, read as one table with the arm from the path; one run lacks a cohort."""
     at = folder(oof.sparkSession, "arms")
     for arm, score, rows in (("fine", F.col("fine"), oof), ("coarse", F.col("coarse"), oof), ("mean", (F.col("fine") + F.col("coarse")) / 2, oof.where("cohort <> 'view'"))):
@@ -346,24 +346,19 @@ _ARMK = f"{_LONG}, {rank_sql('ak', 'arm', 'score', 'lo')}, ab as (select arm, co
 
 @query("n09_multi_run_loader", "oof", f"with {_LONG} select arm, count(*) as n, avg(score) as mean from lo group by 1")
 def n09(oof):
-    return _stored_arms(oof).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
+    return stored_arms(oof).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
 
 
 @query("n11_common_rows_comparison", "oof", f"with {_LONG}, q as (select cohort, avg(abs(score - y)) filter (arm = 'mean') as new_mae, avg(abs(score - y)) filter (arm = 'coarse') as old_mae from lo group by 1) select cohort, new_mae, old_mae, new_mae - old_mae as delta from q")
 def n11(oof):
     err = F.abs(F.col("score") - F.col("y"))
-    q = _stored_arms(oof).groupBy("cohort").agg(F.avg(F.when(F.col("arm") == "mean", err)).alias("new_mae"), F.avg(F.when(F.col("arm") == "coarse", err)).alias("old_mae"))
+    q = stored_arms(oof).groupBy("cohort").agg(F.avg(F.when(F.col("arm") == "mean", err)).alias("new_mae"), F.avg(F.when(F.col("arm") == "coarse", err)).alias("old_mae"))
     return q.withColumn("delta", F.col("new_mae") - F.col("old_mae"))
 
 
-@query("n12_release_closure", "oof", f"with {_ARMK} select ab.*, ak.auc, ak.ap from ab join ak using (arm)")
-def n12(oof):
-    return e.score_metrics(_stored_arms(oof), ["arm"], "score")
-
-
 @query("n21_candidate_batch", "oof", f"with {_ARMK}, x as (select ab.*, ak.auc, ak.ap from ab join ak using (arm)) select n.arm, n.auc - o.auc as auc_gain, o.brier - n.brier as brier_gain, array_to_string(list_filter([case when n.auc < o.auc then 'auc' end, case when n.ap < o.ap then 'ap' end, case when n.brier > o.brier then 'brier' end], lambda z: z is not null), ',') as reasons from x n, x o where o.arm = 'coarse' and n.arm <> 'coarse'")
 def n21(oof):
-    x = e.score_metrics(_stored_arms(oof), ["arm"], "score")
+    x = e.score_metrics(stored_arms(oof), ["arm"], "score")
     active, pending = x.where("arm = 'coarse'").withColumn("k", F.lit(1)), x.where("arm <> 'coarse'").withColumn("k", F.lit(1))
     rows = pending.join(F.broadcast(active.select("k", *(F.col(v).alias(f"o_{v}") for v in ("auc", "ap", "brier")))), "k")
     why = d.reasons(auc=F.col("auc") >= F.col("o_auc"), ap=F.col("ap") >= F.col("o_ap"), brier=F.col("brier") <= F.col("o_brier"))
@@ -384,16 +379,6 @@ def n14(geo, oof):
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("sites"), F.avg("fine").alias("mean_score"), F.avg("y").alias("rate")).transform(lambda g: with_quantiles(g, ["region"], quantiles(rows, ["region"], F.col("fine"), {"median_score": 0.5})))
 
 
-@query("n17_overfit_audit", "oof", "with l as (select 'fine' as arm, fold, ((fine >= 0.5e0)::int = y)::int as hit from oof union all select 'coarse', fold, ((coarse >= 0.5e0)::int = y)::int from oof) select arm, k.f::int as fold, avg(hit) filter (fold <> k.f) as apparent, avg(hit) filter (fold = k.f) as held_out, avg(hit) filter (fold <> k.f) - avg(hit) filter (fold = k.f) > 0.1e0 as overfit from l, range(5) k(f) group by 1, 2")
-def n17(oof):
-    hit = lambda s: ((F.col(s) >= 0.5).cast("int") == F.col("y")).cast("int")
-    long = oof.select("fold", F.inline(F.array(*(F.struct(F.lit(s).alias("arm"), hit(s).alias("hit")) for s in ("fine", "coarse")))))
-    sums = long.groupBy("arm", "fold").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))
-    all_ = Window.partitionBy("arm")
-    g = sums.withColumn("apparent", (F.sum("h").over(all_) - F.col("h")) / (F.sum("n").over(all_) - F.col("n"))).withColumn("held_out", F.col("h") / F.col("n"))
-    return g.select("arm", "fold", "apparent", "held_out", (F.col("apparent") - F.col("held_out") > 0.1).alias("overfit"))
-
-
 @query("n18_nested_calibration", "oof", "with t as (select k.f as fold, coarse, avg(y) as rate from range(5) k(f) join oof on oof.fold <> k.f group by 1, 2) select o.fold, count(*) as n, avg((o.coarse - y) * (o.coarse - y)) as brier, avg((rate - y) * (rate - y)) as calibrated_brier, count(*) filter (rate is null) as uncovered from oof o left join t using (fold, coarse) group by 1")
 def n18(oof):
     """Each score's rate in the other folds, from counts of scores; applied to the fold that was left out."""

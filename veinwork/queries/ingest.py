@@ -266,14 +266,27 @@ def s01(export):
     return spark.read.parquet(f"{at}/out").groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.sum("Li_icpms").alias("li"))
 
 
-@query("s03_idempotent_upsert", "geo", "select count(*) as n, sum(li) as li from (select publication, arg_max(li, sample_id) as li from geo group by publication)")
+@query("s03_idempotent_upsert", "geo", "select publication, max(sample_id) as sample_id, arg_max(li, sample_id) as li from geo group by publication")
 def s03(geo):
-    """Samples of a publication replace its former one; the last batch is sent twice."""
-    at = folder(geo.sparkSession, "upsert")
-    put = stream.upsert(at, ["publication"], order="sample_id")
-    for batch, k in enumerate((0, 1, 2, 2)):
-        put(geo.where(F.col("sample_id") % 3 == k).select("publication", "sample_id", "li"), batch)
-    return stream.upserted(geo.sparkSession, at).agg(F.count(F.lit(1)).alias("n"), F.sum("li").alias("li"))
+    """Samples of a publication replace its former one, in a stream that is stopped and resumed between three lots by time. The second brings rows
+    again that are late by then and would win, the third rows of the second's last month with other values, which the state knows; the
+    last batch is sent twice. None of these changes anything."""
+    spark = geo.sparkSession
+    at, rows = folder(spark, "upsert"), geo.select("publication", "sample_id", "li", F.col("ts").cast("timestamp").alias("ts"))
+    cut = F.percentile_approx(F.col("ts").cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3)))
+    one, two = rows.agg(cut.alias("c")).first().c
+    time = F.col("ts").cast("double")
+    month = 30 * 86400.0
+    late = rows.where(time < one).select("publication", (F.col("sample_id") + 10**9).alias("sample_id"), F.lit(-1.0).alias("li"), (F.col("ts") - F.expr("interval 400 days")).alias("ts"))
+    again = rows.where((time >= one) & (time < two) & (time > two - month)).withColumn("li", F.col("li") + 5000)
+    lots = [rows.where(time < one), rows.where((time >= one) & (time < two)).unionByName(late), rows.where(time >= two).unionByName(again)]
+    for lot in lots:
+        lot.write.mode("append").parquet(f"{at}/in")
+        stream.upserting(spark, f"{at}/in", "publication bigint, sample_id bigint, li double, ts timestamp", "ts", ["publication"], "sample_id", f"{at}/out", f"{at}/checkpoint", "30 days", files_a_batch=10_000).awaitTermination()
+    last = stream.versions(spark, f"{at}/out")[-1][0]
+    stream.upsert(f"{at}/out", ["publication"], "sample_id")(late.drop("ts").withColumn("ts", F.current_timestamp()), last)
+    stream.pruned(spark, f"{at}/out")
+    return stream.upserted(spark, f"{at}/out").select("publication", "sample_id", "li")
 
 
 @query("s04_status_counts", "geo", "select case when li > 100e0 then 'failed' else 'scored' end as status, count(*) as n from geo group by 1")

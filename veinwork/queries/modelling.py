@@ -72,17 +72,6 @@ def j01(oxides):
     return model.transform(oxides).select("sample_id", v[0].alias("SiO2"), v[1].alias("FeOT"))
 
 
-@query("j05_nested_cv", "oxides", f"with {_NESTED} select oo.fold, oo.c as chosen, count(*) as n, sqrt(avg((score - target) ** 2)) as rmse from oo join ch on ch.k = oo.fold and ch.c = oo.c group by 1, 2")
-def j05(oxides):
-    oof = ml.nested_cv(_samples(oxides), "sample_id", "target", {k: ml.linear_on(v, "target") for k, v in _ONE.items()}, 3)
-    return oof.groupBy("fold", "chosen").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("score") - F.col("y")) ** 2)).alias("rmse"))
-
-
-@query("j06_gated_competition", "oxides", f"with {_NESTED}, bl as (select sqrt(avg((m - target) ** 2)) as base from s join (select k, avg(target) as m from range(3) r(k) join s on fold <> k group by 1) on fold = k), q as (select c as algorithm, sqrt(avg((score - target) ** 2)) as rmse from oo group by 1) select algorithm, rmse, 1 - rmse / base as gain, row_number() over (order by rmse, algorithm)::int as place, row_number() over (order by rmse, algorithm) = 1 and 1 - rmse / base >= 0.05e0 as passes from q, bl")
-def j06(oxides):
-    return ml.gated_competition(_samples(oxides), "sample_id", "target", {k: {k: ml.linear_on(v, "target")} for k, v in _ONE.items()}, 3)
-
-
 @query("j07_grid_search", "oxides")
 def j07(oxides):
     df = _samples(oxides)

@@ -37,14 +37,6 @@ def e38(oxides):
     return oxides.agg(*(F.corr(*p).alias(f"r{i}") for i, p in enumerate(pairs))).select(F.inline(F.array(*(F.struct(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), F.col(f"r{i}").alias("r")) for i, p in enumerate(pairs)))))
 
 
-@query("e49_generalisation_gap", "oof", "with k as (select fold, avg(((coarse >= 0.5e0)::int = y)::int) as test, (select avg(((o.coarse >= 0.5e0)::int = o.y)::int) from oof o where o.fold <> x.fold) as train from oof x group by fold) select fold, train, test, train - test as gap, train - test > 0.1e0 as overfit from k")
-def e49(oof):
-    hit = ((F.col("coarse") >= 0.5).cast("int") == F.col("y")).cast("int")
-    test = oof.groupBy("fold").agg(F.avg(hit).alias("test"))
-    train = f.training_rows(oof, 5).groupBy(F.col("train_fold").alias("fold")).agg(F.avg(hit).alias("train"))
-    return train.join(test, "fold").withColumn("gap", F.col("train") - F.col("test")).withColumn("overfit", F.col("gap") > 0.1)
-
-
 @query("g05_anchored_folds", "oof", "with o as (select distinct cell, fold from oof where cohort = 'click'), n as (select distinct cell from oof where cell not in (select cell from o)) select cell, min(fold)::int as fold from o group by cell union all select cell, ((row_number() over (order by cell) - 1) % 5)::int from n")
 def g05(oof):
     old = oof.where("cohort = 'click'").groupBy("cell").agg(F.min("fold").alias("fold"))
@@ -128,13 +120,6 @@ def k14(raw):
     return raw.select("id", action.alias("action")).where("action is not null")
 
 
-@query("k15_paired_diagnostic", "oof", "select cohort, avg((fine - y) * (fine - y)) as brier_fine, avg((coarse - y) * (coarse - y)) as brier_coarse, count(*) filter (((fine >= 0.5e0)::int = y) and ((coarse >= 0.5e0)::int <> y)) as only_fine, count(*) filter (((fine >= 0.5e0)::int <> y) and ((coarse >= 0.5e0)::int = y)) as only_coarse from oof group by cohort")
-def k15(oof):
-    hit = lambda s: (F.col(s) >= 0.5).cast("int") == F.col("y")
-    sq = lambda s: F.avg((F.col(s) - F.col("y")) * (F.col(s) - F.col("y")))
-    return oof.groupBy("cohort").agg(sq("fine").alias("brier_fine"), sq("coarse").alias("brier_coarse"), F.count_if(hit("fine") & ~hit("coarse")).alias("only_fine"), F.count_if(~hit("fine") & hit("coarse")).alias("only_coarse"))
-
-
 @query("n28_threshold_study", "oof", "with t as (select k.fold, quantile_cont(o.fine, 0.8) as t from (select distinct fold from oof) k join oof o on o.fold <> k.fold group by k.fold) select fold, avg(((fine >= t)::int = y)::int) as accuracy, avg(((fine >= 0.5e0)::int = y)::int) as at_half from oof join t using (fold) group by fold")
 def n28(oof):
     t = f.training_rows(oof, 5).transform(lambda x: quantiles(x, ["train_fold"], F.col("fine"), {"t": 0.8})).withColumnRenamed("train_fold", "fold")

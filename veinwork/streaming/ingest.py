@@ -69,3 +69,26 @@ def upserted(spark: SparkSession, target: str, only: list[int] | None = None) ->
 def status_counts(stream: DataFrame, status: str) -> DataFrame:
     """Running counts by status, for update mode."""
     return stream.groupBy(F.coalesce(F.col(status), F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pruned(spark: SparkSession, target: str) -> int:
+    """Delete what no bucket's latest version holds: folders of versions all of whose buckets were written anew since, and their markers but
+    the last (which tells a repeated batch from a new one). Returns how many. For when no batch is being written."""
+    marked = versions(spark, target)
+    latest = {b: v for v, buckets in marked for b in buckets}
+    old = [v for v, _ in marked[:-1] if v not in latest.values()]
+    jvm = spark.sparkContext._jvm
+    for v in old:
+        for path in (f"{target}/version={v}", f"{target}/markers/{v}"):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(old)
+
+
+def upserting(spark: SparkSession, source: str, schema: str, event_time: str, keys: list[str], order: str, target: str, checkpoint: str, delay: str = "1 day", files_a_batch: int = 1, buckets: int = 64) -> StreamingQuery:
+    """Take the files under source that came since the last run, oldest first, into target (upserted() reads it), then stop: rows sent again within the
+    watermark are dropped by state, rows that come later than it are dropped as late, and of what is left the row of a key highest in order stays.
+    The checkpoint holds the state, so a stopped query goes on where it was; a batch that is repeated changes nothing."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("latestFirst", "false").parquet(source)
+    once = deduplicated(rows, [*keys, order], event_time, delay)
+    return once.writeStream.foreachBatch(upsert(target, keys, order, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
