@@ -412,14 +412,6 @@ def n23(df):
     return s.join(base, "image_id").groupBy("scenario").agg(F.count(F.lit(1)).alias("images"), F.avg(d_).alias("shift"), F.max(F.abs(d_)).alias("worst"), F.avg((F.col("top") > 0.6).cast("int")).alias("ood_rate"))
 
 
-@query("n24_feature_assembly", "pixels", f"with {PX}, a as (select image_id, " + ", ".join(f"avg(v) filter (band = '{b}') as {b}_mean" for b in r.BANDS) + " from px group by 1), b as (select image_id, count(*) as n_pixels, avg((v > 0)::int) as valid from px group by 1) select a.*, n_pixels, valid, nir_mean - swir16_mean as gap from a join b using (image_id)")
-def n24(df):
-    px = r.pixels(df, "vec_id", "embedding")
-    base = px.groupBy("image_id").agg(*(F.avg(F.when(F.col("band") == b, F.col("v"))).alias(f"{b}_mean") for b in r.BANDS))
-    added = px.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg((F.col("v") > 0).cast("int")).alias("valid"))
-    return j.one_to_one(base, added, ["image_id"]).withColumn("gap", F.col("nir_mean") - F.col("swir16_mean"))
-
-
 @query("n25_artefact_tables", "reg", "select 'describe' as artefact, 'y' as name, count(*) * 1e0 as n, avg(y) as mean, stddev_samp(y) as spread from reg union all select 'describe', 'pred', count(*), avg(pred), stddev_samp(pred) from reg union all select 'fold', cast(fold as varchar), count(*), avg(pred - y), stddev_samp(pred - y) from reg group by fold")
 def n25(reg):
     stats = lambda df, kind, name, v: df.groupBy(F.lit(kind).alias("artefact"), name.alias("name")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("spread"))

@@ -73,12 +73,6 @@ def g16(oxides):
     return oxides.select("sample_id", F.lit(1.0).alias("weight"), "CaO").unionByName(oxides.select("sample_id", F.lit(0.5).alias("weight"), (F.col("CaO") * gain).alias("CaO")))
 
 
-@query("i05_feature_vector", "pixels", f"with {PX} select image_id, " + ", ".join(f"round(avg(v) filter (band = '{b}'), 6) as {b}_mean, round(quantile_cont(v, 0.5) filter (band = '{b}'), 6) as {b}_p50" for b in r.BANDS) + " from px group by 1")
-def i05(df):
-    s = r.summary(r.pixels(df, "vec_id", "embedding"), ["image_id", "band"])
-    return s.groupBy("image_id").agg(*(F.max(F.when(F.col("band") == b, F.col(k))).alias(f"{b}_{k}") for b in r.BANDS for k in ("mean", "p50")))
-
-
 @query("i14_image_perturbation", "pixels", f"with {PX}, p as (select image_id, band, 'baseline' as scenario, v from px union all select image_id, band, 'bright', v * 1.2e0 from px union all select image_id, band, 'drop_nir', case when band <> 'nir' then v end from px) select image_id, scenario, bool_or(n = 0) as abstain from (select image_id, scenario, band, count(v) as n from p group by 1, 2, 3) group by 1, 2")
 def i14(df):
     px = r.pixels(df, "vec_id", "embedding")
@@ -87,13 +81,6 @@ def i14(df):
     return n.groupBy("image_id", "scenario").agg(F.bool_or(F.col("n") == 0).alias("abstain"))
 
 
-@query("i08_append_features", "pixels", f"with {PX}, s as (select image_id, band, {STATS} from px where band in ('nir', 'swir16') group by 1, 2) select a.image_id, a.mean as nir_mean, b.mean as swir_mean, round(a.mean - b.mean, 5) as gap from s a join s b on a.image_id = b.image_id and a.band = 'nir' and b.band = 'swir16'")
-def i08(df):
-    s = r.summary(r.pixels(df, "vec_id", "embedding").where("band in ('nir', 'swir16')"), ["image_id", "band"])
-    one = lambda b, n: s.where(F.col("band") == b).select("image_id", F.round("mean", 6).alias(n))
-    return one("nir", "nir_mean").join(one("swir16", "swir_mean"), "image_id").withColumn("gap", F.round(F.col("nir_mean") - F.col("swir_mean"), 5))
-
-
 @query("k03_preflight", "oxides", """select 'missing_target' as "check", 'warning' as severity, count(*) filter (li is null) as n from oxides union all select 'bad_coordinates', 'error', count(*) filter (lat not between -90 and 90 or lon not between -180 and 180) from oxides union all select 'repeated_predictors', 'warning', (select count(*) from oxides) - (select count(*) from (select distinct SiO2, CaO, MgO, K2O, li from oxides))""")
 def k03(oxides):
     dup = a.duplicate_rows(oxides, ["SiO2", "CaO", "MgO", "K2O", "li"]).select("duplicates")
