@@ -121,3 +121,72 @@ def test_stream_is_stopped_and_resumed(spark, tmp_path):
     assert ingest.versions(spark, str(tmp_path / "out"))[: len(before)] == before
     ingest.pruned(spark, str(tmp_path / "out"))
     assert {r.k: r.x for r in ingest.upserted(spark, str(tmp_path / "out")).collect()} == {"a": "new", "b": "b1", "c": "c1"}
+
+
+def newton(rows, steps=50):
+    """Logistic fit of drawn-in targets by plain gradient steps' fixed point: Newton on rows, one by one."""
+    import math
+
+    p, q = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    high, low, a, b = (p + 1) / (p + 2), 1 / (q + 2), 0.0, math.log((p + 1) / (q + 1))
+    for _ in range(steps):
+        g0 = g1 = h0 = h1 = h2 = 0.0
+        for s, y in rows:
+            m = 1 / (1 + math.exp(-(a * s + b)))
+            t, w = (high if y else low), m * (1 - m)
+            g0, g1, h0, h1, h2 = g0 + t - m, g1 + (t - m) * s, h0 + w, h1 + w * s, h2 + w * s * s
+        det = h0 * h2 - h1 * h1
+        a, b = a + (h0 * g1 - h1 * g0) / det, b + (h2 * g0 - h1 * g1) / det
+    return a, b
+
+
+def test_sigmoid_fits(spark):
+    from veinwork.operators import calibration
+
+    r = random.Random(5)
+    rows = [(k, round(r.random(), 2), int(r.random() < 0.3 + 0.1 * k)) for k in range(3) for _ in range(200)]
+    rows += [(3, x / 10, int(x >= 5)) for x in range(10)] + [(4, 0.1 * x, 1) for x in range(5)] + [(5, 0.5, x % 2) for x in range(6)] + [(0, None, 1), (0, 0.5, None)]
+    df = spark.createDataFrame(rows, "k int, score double, y int").repartition(3)
+    got = {x.k: x for x in calibration.fit(calibration.score_counts(df, ["k"]), ["k"], 30).collect()}
+    assert set(got) == {0, 1, 2, 3}  # one class, and one score, have no fit
+    for k, x in got.items():
+        want = newton([(s, y) for g, s, y in rows if g == k and s is not None and y is not None])
+        assert x.converged and (x.slope, x.intercept) == pytest.approx(want, rel=1e-6), k
+    one = calibration.fit(calibration.score_counts(df.where("k = 1"), []), []).first()
+    assert (one.slope, one.intercept) == pytest.approx((got[1].slope, got[1].intercept))
+    assert calibration.fit(calibration.score_counts(df.where("1 = 0"), ["k"]), ["k"]).count() == 0
+
+
+def test_nested_calibrators_see_training_rows_alone(spark):
+    df = frame(spark)
+    stages = modelling.linear_on(["x"], "label")
+    got = {r.fold: r for r in validation.nested_calibration(df, "id", "target", stages, 3, "cell").collect()}
+    # other values of x in fold 0's own rows change neither its calibrator nor its threshold
+    changed = df.withColumn("x", F.when(F.col("fold") == 0, -F.col("x")).otherwise(F.col("x")))
+    again = {r.fold: r for r in validation.nested_calibration(changed, "id", "target", stages, 3, "cell").collect()}
+    assert got[0].slope == pytest.approx(again[0].slope) and got[0].threshold == pytest.approx(again[0].threshold) and got[0].raw_brier != pytest.approx(again[0].raw_brier)
+    assert all(r.n == 80 and r.converged and r.calibrated_brier < r.raw_brier for r in got.values())
+
+
+def test_preflight_finds_what_is_seeded_and_nothing_else(spark):
+    from veinwork.operators import preflight
+
+    nan = float("nan")
+    rows = [(i, float(i % 7), float(i % 5), -60.0 + i, -20.0 + i / 10, f"c{i % 4}", float(i)) for i in range(30)]
+    schema = "key bigint, a double, b double, lon double, lat double, cell string, target double"
+    fine = spark.createDataFrame(rows, schema)
+    found = lambda df, columns: {r.check: (r.n, r.names) for r in preflight.preflight(df, "key", "target", columns, "lat", "lon", "cell", 4).collect()}
+    clean = found(fine, ["a", "b"])
+    assert len(clean) == 11 and all(v == (0, "") for v in clean.values())
+    preflight.passed(preflight.preflight(fine, "key", "target", ["a", "b"], "lat", "lon", "cell", 4))
+    bad = fine.withColumn("copy", F.col("target")).withColumn("B ", F.col("a") * 2).withColumn("Source_Sample", F.lit("x")).withColumn("none", F.lit(None).cast("double")).withColumn("twin", F.col("b"))
+    got = found(bad, ["a", "b", "copy", "B ", "Source_Sample", "none", "twin"])
+    assert got["leaking"] == (1, "copy") and got["repeated_names"] == (1, "B ") and got["identifiers"] == (1, "Source_Sample") and got["all_missing"] == (1, "none")
+    assert got["constant"] == (1, "Source_Sample") and got["repeated_content"] == (1, "twin")
+    odd = spark.createDataFrame(rows + [(30, 1.0, 2.0, 190.0, 0.0, "c9", nan), (31, 1.0, 2.0, None, 0.0, "c8", None), (32, *rows[3][1:])], schema)
+    got = found(odd, ["a", "b"])
+    assert got["target_not_finite"][0] == 2 and got["coordinates"][0] == 2 and got["repeated_rows"][0] == 1 and got["repeated_places"][0] == 1 and got["groups"][0] == 0
+    assert found(fine.where("cell < 'c2'"), ["a"])["groups"][0] == 2
+    with pytest.raises(ValueError):
+        preflight.passed(preflight.preflight(odd, "key", "target", ["a"], "lat", "lon", "cell", 4))
+    assert found(fine.where("1 = 0"), ["a"])["all_missing"] == (1, "a")

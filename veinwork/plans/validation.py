@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.operators import calibration
 from veinwork.operators import folds as f
 from veinwork.operators import metrics as m
 from veinwork.sources.scratch import folder, settled
@@ -199,3 +200,34 @@ def competition(df: DataFrame, key: str, label: str, algorithms: dict[str, dict[
     model = kept_model(Pipeline(stages=choices[name]).fit(data), folder(spark, "final-model"))
     final = model.transform(data).agg(rmse("prediction", label).alias("final_rmse")).withColumn("algorithm", F.lit(won.algorithm))
     return board.join(F.broadcast(final), "algorithm", "left")
+
+
+def inner_scores(df: DataFrame, key: str, stages: list, folds: int, group: str, inner: int, label: str, labels: dict[int, Column], fold: str = "fold") -> DataFrame:
+    """fold (the outer one), key, y, score: each outer fold's training rows, scored by models of the other inner folds, under the outer fold's label."""
+    data = settled(with_inner_folds(df, group, folds, inner, fold), "inner")
+
+    def one(job: tuple[int, int]) -> DataFrame:
+        k, i = job
+        rows = data.where(F.col(fold) != k).withColumn(label, labels[k].cast("double"))
+        at = F.col("inner")[k]
+        model = Pipeline(stages=stages).fit(rows.where(at != i))
+        return model.transform(rows.where(at == i)).select(F.lit(k).alias("fold"), key, F.col(label).alias("y"), F.col("prediction").alias("score"))
+
+    return reduce(DataFrame.unionByName, _each(one, [(k, i) for k in range(folds) for i in range(inner)]))
+
+
+def nested_calibration(df: DataFrame, key: str, value: str, stages: list, folds: int, group: str, inner: int = 3, label: str = "label", q: float = 0.75) -> DataFrame:
+    """fold, n, slope, intercept, threshold and, of the fold's rows: Brier score and balanced accuracy at 0.5 as scored and calibrated, and balanced accuracy
+    at the frozen threshold. Calibrator and threshold come from the inner scores of the fold's training rows alone."""
+    limits = {r.train_fold: r.threshold for r in f.fold_thresholds(df, value, folds, q).collect()}  # a row for each fold
+    labels = {k: (F.col(value) >= t) for k, t in limits.items()}
+    within = settled(inner_scores(df, key, stages, folds, group, inner, label, labels), "inner-scores")
+    fits = settled(calibration.fit(calibration.score_counts(within, ["fold"]), ["fold"]), "calibrators")
+    say = lambda rows: rows.join(F.broadcast(fits), "fold").withColumn("calibrated", calibration.applied(F.col("score"), F.col("slope"), F.col("intercept")))
+    frozen = settled(m.operating_threshold(say(within), ["fold"], score="calibrated").select("fold", "threshold"), "thresholds")
+    held = settled(say(FoldModels(df, stages, folds, label, labels).held_out(key)).join(F.broadcast(frozen), "fold"), "held-out")
+    out = fits.join(frozen, "fold")
+    for name, score, at in (("raw", "score", 0.5), ("calibrated", "calibrated", 0.5), ("frozen", "calibrated", F.col("threshold"))):
+        c = m.confusion(held, ["fold"], at, score=score).select("fold", "n", F.col("brier").alias(f"{name}_brier"), F.col("balanced_accuracy").alias(f"{name}_balanced_accuracy"))
+        out = out.join(c if name == "raw" else c.drop("n"), "fold")
+    return out.drop("frozen_brier")

@@ -379,15 +379,6 @@ def n14(geo, oof):
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("sites"), F.avg("fine").alias("mean_score"), F.avg("y").alias("rate")).transform(lambda g: with_quantiles(g, ["region"], quantiles(rows, ["region"], F.col("fine"), {"median_score": 0.5})))
 
 
-@query("n18_nested_calibration", "oof", "with t as (select k.f as fold, coarse, avg(y) as rate from range(5) k(f) join oof on oof.fold <> k.f group by 1, 2) select o.fold, count(*) as n, avg((o.coarse - y) * (o.coarse - y)) as brier, avg((rate - y) * (rate - y)) as calibrated_brier, count(*) filter (rate is null) as uncovered from oof o left join t using (fold, coarse) group by 1")
-def n18(oof):
-    """Each score's rate in the other folds, from counts of scores; applied to the fold that was left out."""
-    counts = oof.groupBy("fold", "coarse").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    rate = f.training_rows(counts, 5).groupBy(F.col("train_fold").alias("fold"), "coarse").agg((F.sum("p") / F.sum("n")).alias("rate"))
-    sq = lambda s: F.avg((F.col(s) - F.col("y")) * (F.col(s) - F.col("y")))
-    return oof.join(rate, ["fold", "coarse"], "left").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), sq("coarse").alias("brier"), sq("rate").alias("calibrated_brier"), F.count_if(F.col("rate").isNull()).alias("uncovered"))
-
-
 @query("n19_evidence_recomputation", "oof", f"with {rank_sql('k', 'fold', 'fine', 'oof')}, g as (select fold, count(*) as n, count(distinct cell) as groups from oof group by 1) select fold, n, groups, auc, n + (fold = 0)::int as recorded_n, fold <> 0 as agrees from g join k using (fold)")
 def n19(oof):
     at = folder(oof.sparkSession, "recorded")

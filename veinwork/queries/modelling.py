@@ -36,14 +36,6 @@ def j03(oxides):
     return ml.leaderboard(folds, "auc", ascending=False)
 
 
-@query("j08_calibration", "oxides")
-def j08(oxides):
-    df = _samples(oxides).withColumn("y", (F.col("target") >= 16).cast("double"))
-    oof = ml.out_of_fold(df, "sample_id", "y", ml.preprocessor(NUMERIC), ml.estimators("classification", "y")["logistic"], 3, "classification")
-    d.assert_complete(df, oof, "sample_id")
-    return m.calibration_error(ml.calibrated(oof, 3), ["fold"])
-
-
 @query("j10_importances", "oxides")
 def j10(oxides):
     return ml.importances(_samples(oxides), "target", NUMERIC, 5)

@@ -81,15 +81,6 @@ def i14(df):
     return n.groupBy("image_id", "scenario").agg(F.bool_or(F.col("n") == 0).alias("abstain"))
 
 
-@query("k03_preflight", "oxides", """select 'missing_target' as "check", 'warning' as severity, count(*) filter (li is null) as n from oxides union all select 'bad_coordinates', 'error', count(*) filter (lat not between -90 and 90 or lon not between -180 and 180) from oxides union all select 'repeated_predictors', 'warning', (select count(*) from oxides) - (select count(*) from (select distinct SiO2, CaO, MgO, K2O, li from oxides))""")
-def k03(oxides):
-    dup = a.duplicate_rows(oxides, ["SiO2", "CaO", "MgO", "K2O", "li"]).select("duplicates")
-    bad = ~(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
-    n = oxides.agg(F.count_if(F.col("li").isNull()).alias("t"), F.count_if(bad).alias("b")).join(dup, how="inner")
-    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.lit(s).alias("severity"), F.col(x).alias("n")) for k, s, x in (("missing_target", "warning", "t"), ("bad_coordinates", "error", "b"), ("repeated_predictors", "warning", "duplicates"))))
-    return n.select(F.inline(rows))
-
-
 @query("k07_sample_contract", "oxides", "select count(*) - count(distinct sample_id) as repeated_ids, count(*) filter (li < 0) as negative, count(*) filter (li is null) as without_target, count(*) filter (lat is null or lon is null) as without_place from oxides")
 def k07(oxides):
     return oxides.agg((F.count(F.lit(1)) - F.countDistinct("sample_id")).alias("repeated_ids"), F.count_if(F.col("li") < 0).alias("negative"), F.count_if(F.col("li").isNull()).alias("without_target"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("without_place"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veinwork.functions import columns as c
+from veinwork.operators import calibration
 from veinwork.operators import evidence as e
 from veinwork.operators import folds as f
 from veinwork.operators import metrics as m
 from veinwork.operators import paired as p
+from veinwork.operators import preflight as pf
 from veinwork.plans import modelling as ml
 from veinwork.plans import validation as v
 from veinwork.sources.scratch import folder, settled
@@ -160,3 +162,67 @@ def n12(oof):
         rows = p.pairs(archived, candidate, "sample_id").withColumn("arm", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return p.bootstrap(out, ["arm"], "cell", REPS, "n12")
+
+
+def newton_sql(name: str, key: str, source: str, steps: int = calibration.STEPS) -> str:
+    """CTEs up to `name`: key, slope, intercept, converged, of a source with key, score and y; each step is a CTE of its own."""
+    n = name
+    out = f"""{n}_c as materialized (select {key}, score, sum(y)::double as pos, (count(*) - sum(y))::double as neg from {source} group by all), {n}_t as (select {key}, (sum(pos) + 1) / (sum(pos) + 2) as high, 1 / (sum(neg) + 2) as low, ln((sum(pos) + 1) / (sum(neg) + 1)) as intercept, 0e0 as slope from {n}_c group by all having sum(pos) > 0 and sum(neg) > 0 and count(distinct score) > 1), {n}_0 as (select *, null::double as moved from {n}_t)"""
+    for i in range(steps):
+        out += f""", {n}_s{i} as materialized (select {key}, high, low, slope, intercept, sum(o) as g0, sum(o * score) as g1, sum(w) as h0, sum(w * score) as h1, sum(w * score * score) as h2 from (select *, pos * high + neg * low - (pos + neg) * p as o, (pos + neg) * p * (1 - p) as w from (select *, 1 / (1 + exp(-(slope * score + intercept))) as p from {n}_c join {n}_{i} using ({key}))) group by all),
+        {n}_{i + 1} as materialized (select {key}, high, low, slope + a as slope, intercept + b as intercept, abs(a) + abs(b) as moved from (select *, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) as a, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) as b from {n}_s{i}))"""
+    return f"{out}, {name} as (select {key}, slope, intercept, moved < 1e-6 as converged from {n}_{steps})"
+
+
+@query("j08_calibration", "oof", f"with l as (select k.f::int as fold, fine as score, y from range(5) k(f) join oof on oof.fold <> k.f), {newton_sql('c', 'fold', 'l')}, a as (select o.fold, y, slope, intercept, converged, fine, 1 / (1 + exp(-(slope * fine + intercept))) as s from oof o join c using (fold)), b as (select fold, least(floor(s * 10), 9) as bin, count(*) as n, abs(avg(y) - avg(s)) as gap from a group by all), e as (select fold, sum(n * gap) / sum(n) as ece from b group by 1) select fold, slope, intercept, converged, count(*) as n, avg((fine - y) ** 2) as raw_brier, avg((s - y) ** 2) as brier, any_value(ece) as ece from a join e using (fold) group by all")
+def j08(oof):
+    """Each fold's scores through a sigmoid fitted on the out-of-fold scores of the others."""
+    others = f.training_rows(calibration.score_counts(oof, ["fold"], "y", "fine"), 5).groupBy(F.col("train_fold").alias("fold"), "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    fits = calibration.fit(others, ["fold"])
+    said = settled(oof.join(F.broadcast(fits), "fold").withColumn("s", calibration.applied(F.col("fine"), F.col("slope"), F.col("intercept"))), "calibrated")
+    sq = lambda c: F.avg((F.col(c) - F.col("y")) ** 2)
+    g = said.groupBy("fold", "slope", "intercept", "converged").agg(F.count(F.lit(1)).alias("n"), sq("fine").alias("raw_brier"), sq("s").alias("brier"))
+    return g.join(m.calibration_error(said, ["fold"], score="s"), "fold")
+
+
+_N18 = f"""{_T}, lo as (select k as fold, sample_id, y, a + b * v as score from l join (select k, c, regr_slope(y, v) as b, regr_intercept(y, v) as a from l where not held group by 1, 2) using (k, c) where held and c = 'lime'),
+    o as (select r.k::int as k, f.* from range({FOLDS}) r(k) join f on f.fold <> r.k), {greedy_sql('h', 'k', 'cell', 'o', 3)}, x as (select o.k, h.fold as i, CaO as v, (target >= t)::int as y from o join th on th.k = o.k join h on h.k = o.k and h.cell = o.cell),
+    xm as (select k, i.i, regr_slope(y, v) as b, regr_intercept(y, v) as a from range(3) i(i) join x on x.i <> i.i group by all), ws as (select k as fold, y, a + b * v as score from x join xm using (k, i)), {newton_sql('c', 'fold', 'ws')},
+    wc as (select ws.fold, y, 1 / (1 + exp(-(slope * score + intercept))) as s from ws join c using (fold)), d as (select fold, s, sum(y) as p, count(*) - sum(y) as q from wc group by all), nx as (select fold, s, lead(s) over (partition by fold order by s) as nx from d), tt as (select distinct fold, t from (select fold, s as t from nx union all select fold, (s + nx) / 2 from nx where nx is not null union all select fold, unnest([0e0, 0.5e0, 1e0]) from c)),
+    tm as (select tt.fold, t, sum(case when s >= t then p else 0 end) as tp, sum(case when s >= t then q else 0 end) as fp, sum(p) as p, sum(q) as q from tt join d using (fold) group by 1, 2), tk as (select fold, t, row_number() over (partition by fold order by round((tp / p + 1 - fp / q) / 2, 12) desc, round(2 * tp / (p + tp + fp), 12) desc, round(tp / p, 12) desc, round(abs(t - 0.5e0), 12), t) as place from tm), fz as (select fold, t as threshold from tk where place = 1),
+    hc as (select lo.fold, lo.y, lo.score as r, 1 / (1 + exp(-(slope * score + intercept))) as s, threshold from lo join c using (fold) join fz using (fold))"""
+
+
+def _ba(hit: str) -> str:
+    return f"((count(*) filter ({hit} and y = 1)) / greatest(sum(y), 1) + (count(*) filter (not ({hit}) and y = 0)) / greatest(count(*) - sum(y), 1)) / 2"
+
+
+@query("n18_nested_calibration", "oxides", f"with {_N18}, r as (select fold, count(*) as n, any_value(threshold) as threshold, avg((r - y) ** 2) as raw_brier, {_ba('r >= 0.5e0')} as raw_balanced_accuracy, avg((s - y) ** 2) as calibrated_brier, {_ba('s >= 0.5e0')} as calibrated_balanced_accuracy, {_ba('s >= threshold')} as frozen_balanced_accuracy from hc group by 1) select r.*, slope, intercept, converged from r join c using (fold)")
+def n18(oxides):
+    """Calibrator and threshold of each outer fold from inner scores of its training cells, frozen, then applied to the fold."""
+    return v.nested_calibration(samples(oxides), "sample_id", "target", _one("label")["lime"], FOLDS, "cell")
+
+
+#: A table with a fault for each check: a copied target, an identifier, a name and a content given twice, an empty and a constant column, targets that aren't
+#: finite, places that aren't ones, rows given twice. One check each finds nothing of these.
+_FAULTY = """fb as (select sample_id as key, SiO2, CaO, MgO, K2O, Rb, Sr, CaO as lime, MgO as "cao ", null::double as blank, li as assay, sample_id as "Sample_ID ", case when sample_id % 40 = 0 then 'nan'::double else li end as target, case when sample_id % 90 = 7 then 95e0 when sample_id % 90 = 8 then null else lat end as lat, lon, 'g_' || floor(coalesce(lat, 0) / 20)::int as cell from oxides), fy as (select * from fb union all select * from fb where key % 50 = 3)"""
+_PREDICTORS = ["SiO2", "CaO", "MgO", "K2O", "Rb", "Sr", "lime", "cao ", "blank", "assay", "Sample_ID "]
+
+
+def faulty(oxides):
+    nan = F.when(F.col("sample_id") % 40 == 0, F.lit(float("nan"))).otherwise(F.col("li"))
+    lat = F.when(F.col("sample_id") % 90 == 7, F.lit(95.0)).when(F.col("sample_id") % 90 != 8, F.col("lat"))
+    cell = F.concat(F.lit("g_"), F.floor(F.coalesce("lat", F.lit(0.0)) / 20).cast("string"))
+    df = oxides.select(F.col("sample_id").alias("key"), "SiO2", "CaO", "MgO", "K2O", "Rb", "Sr", F.col("CaO").alias("lime"), F.col("MgO").alias("cao "), F.lit(None).cast("double").alias("blank"), F.col("li").alias("assay"), F.col("sample_id").alias("Sample_ID "), nan.alias("target"), lat.alias("lat"), "lon", cell.alias("cell"))
+    return df.unionByName(df.where("key % 50 = 3"))
+
+
+_FULL = ", ".join(f'"{c}"' for c in [*_PREDICTORS, "target"])
+
+
+@query("k03_preflight", "oxides", f"""with {_FAULTY}, fn as (select *, not isnan(target) and target is not null as okay, coalesce(lat between -90 and 90 and lon between -180 and 180, false) as place from fy), cl as (select {', '.join(f'count("{c}") as "n_{c}", count(distinct "{c}") as "d_{c}", count(*) filter (okay and "{c}" = target) as "e_{c}", count("{c}") filter (okay) as "b_{c}"' for c in _PREDICTORS)} from fn)
+    select 'leaking' as "check", 'error' as severity, (case when "e_assay" = "b_assay" then 1 else 0 end)::bigint as n, case when "e_assay" = "b_assay" then 'assay' else '' end as names from cl union all select 'identifiers', 'error', 1, 'Sample_ID ' union all select 'repeated_names', 'error', 1, 'cao ' union all select 'repeated_content', 'warning', (select count(*) from (select bool_and(CaO is not distinct from lime) as a from fy) where a) + (select count(*) from (select bool_and(MgO is not distinct from "cao ") as a from fy) where a), 'lime,cao ' union all select 'all_missing', 'error', ("n_blank" = 0)::bigint, 'blank' from cl union all select 'constant', 'warning', ("d_Sr" = 1)::bigint, 'Sr' from cl
+    union all select 'target_not_finite', 'error', count(*) filter (not okay), '' from fn union all select 'coordinates', 'error', count(*) filter (not place), '' from fn union all select 'groups', 'error', greatest(0, 3 - count(distinct cell)), '' from fn where place union all select 'repeated_rows', 'warning', (select count(*) from fy) - (select count(*) from (select distinct {_FULL} from fy)), '' union all select 'repeated_places', 'warning', count(*) - count(distinct lat::varchar || '|' || lon::varchar), '' from fy where lat is not null and lon is not null""")
+def k03(oxides):
+    """All checks on a table that has a fault for each of them."""
+    return pf.preflight(settled(faulty(oxides), "faulty"), "key", "target", _PREDICTORS, "lat", "lon", "cell", FOLDS)
