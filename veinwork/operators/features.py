@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.operators.folds import draw, normal
 from veinwork.operators.raster import BANDS, SMALL
 
 #: The added bands and their two indices.
@@ -132,3 +133,41 @@ def appended(df: DataFrame, width: int, least: float = 0.5) -> DataFrame:
         return np.concatenate([base_features(v[:, : len(BANDS)], height, width), out, coverage[:, None]], 1)
 
     return _mapped(df, len(BANDS) + len(REDEDGE), width, [*BASE_NAMES, *REDEDGE_NAMES, "coverage"], make)
+
+
+#: What is done to images, and how much.
+SCENARIOS = (
+    [("baseline", "baseline", 0.0)] + [(f"missing_pixels_{p:g}", "missing_pixels", p) for p in (0.05, 0.10, 0.25, 0.50, 0.75)] + [(f"noise_{p:g}", "noise", p) for p in (0.01, 0.05, 0.10, 0.25)]
+    + [(f"band_{i}_missing", "band_missing", float(i)) for i in range(6)] + [(f"brightness_{p:g}", "brightness", p) for p in (0.8, 1.2, 1.5)]
+)
+
+
+def perturbed(df: DataFrame, seed: str = "im") -> DataFrame:
+    """image_id, scenario, bands: each image of images() under each of SCENARIOS. Pixels go missing, and noise (in units of the band's deviation) comes, by
+    hashes of seed, scenario, image, band and place, so that any engine draws the same; arrays stay arrays."""
+    catalog = F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("kind"), F.lit(p).alias("p")) for n, k, p in SCENARIOS))
+    real = lambda v: F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    # in steps, so that no sum is made anew for each pixel
+    known = df.select("image_id", "bands", F.transform("bands", real).alias("__v")).withColumn("__m", F.transform("__v", mean))
+    squares = F.transform("__v", lambda v, b: F.transform(v, lambda x: (x - F.get("__m", b)) * (x - F.get("__m", b))))
+    rows = known.withColumn("__s", F.transform(squares, lambda v: F.sqrt(mean(v)))).select("image_id", "bands", "__s", F.inline(catalog))
+
+    def one(v: Column, b: Column) -> Column:
+        place = lambda i: [F.lit(seed), F.col("scenario"), F.col("image_id").cast("string"), b.cast("string"), i.cast("string")]
+        gone = lambda i: draw(*place(i)) / float(1 << 32) < F.col("p")
+        return (
+            F.when(F.col("kind") == "missing_pixels", F.transform(v, lambda x, i: F.when(~gone(i), x)))
+            .when(F.col("kind") == "noise", F.transform(v, lambda x, i: x + normal(*place(i)) * F.get("__s", b) * F.col("p")))
+            .when(F.col("kind") == "band_missing", F.transform(v, lambda x: F.when(b != F.col("p").cast("int"), x)))
+            .when(F.col("kind") == "brightness", F.transform(v, lambda x: x * F.col("p")))
+            .otherwise(v)
+        )
+
+    return rows.select("image_id", "scenario", F.transform("bands", one).alias("bands"))
+
+
+def missing_share(bands: Column) -> Column:
+    """The share of values that aren't finite."""
+    gone = lambda v: F.size(F.filter(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    return F.aggregate(F.transform(bands, gone), F.lit(0), lambda a, x: a + x) / F.aggregate(F.transform(bands, F.size), F.lit(0), lambda a, x: a + x)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def normal(*parts: Column | str | int) -> Column:
+    """A standard normal number from the parts: Box and Muller's transform of two draws of one hash."""
+    h = F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
+    part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("double")
+    return F.sqrt(-2 * F.log((part(1) + 0.5) / float(1 << 32))) * F.cos(part(9) * (2 * math.pi / (1 << 32)))
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): the largest group first, each to the lightest fold so far; ties by name. Works on the table of groups."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))

@@ -231,3 +231,21 @@ def nested_calibration(df: DataFrame, key: str, value: str, stages: list, folds:
         c = m.confusion(held, ["fold"], at, score=score).select("fold", "n", F.col("brier").alias(f"{name}_brier"), F.col("balanced_accuracy").alias(f"{name}_balanced_accuracy"))
         out = out.join(c if name == "raw" else c.drop("n"), "fold")
     return out.drop("frozen_brier")
+
+
+def noise_stress(df: DataFrame, key: str, label: str, feature: str, stages: list, folds: int, shares: tuple[float, ...], seed: str = "g14", fold: str = "fold") -> DataFrame:
+    """fold, share, n, mae, noisy_mae, shift: each fold's model on its rows as they are, and with normal noise on a feature, in shares of the feature's
+    deviation among the training rows; the same draw for all shares of a row."""
+    models = FoldModels(df, stages, folds, label, {})
+    spread = f.training_rows(df, folds, fold).groupBy("train_fold").agg(F.stddev_pop(feature).alias("__s"))
+    limits = {r.train_fold: r["__s"] for r in spread.collect()}  # a row for each fold
+    out = []
+    for k in range(folds):
+        rows = df.where(F.col(fold) == k)
+        noise = f.normal(seed, F.col(key).cast("string")) * F.lit(limits[k])
+        each = F.explode(F.array(*map(F.lit, (0.0, *shares))))
+        told = models.models[k].transform(rows.withColumn("share", each).withColumn(feature, F.col(feature) + noise * F.col("share")))
+        out.append(told.groupBy("share").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col(label))).alias("noisy_mae")).withColumn("fold", F.lit(k)))
+    told = settled(reduce(DataFrame.unionByName, out), "noise")
+    base = told.where("share = 0").select("fold", F.col("noisy_mae").alias("mae"))
+    return told.where("share > 0").join(F.broadcast(base), "fold").select("fold", "share", "n", "mae", "noisy_mae", (F.col("noisy_mae") - F.col("mae")).alias("shift"))

@@ -8,6 +8,7 @@ from veinwork.functions import columns as c
 from veinwork.operators import features as x
 from veinwork.operators import joins as j
 from veinwork.operators.raster import BANDS
+from veinwork.sources.scratch import settled
 
 from .raster import ALL
 from .registry import query
@@ -75,3 +76,25 @@ def i08(pixels):
 def n24(pixels):
     """126 and 44 features of images of ten bands, in one pass."""
     return x.appended(_images(pixels, 10, 0, 10), WIDTH)
+
+
+_H = "md5('im|' || scenario || '|' || image_id || '|' || b || '|' || i)"
+_Z = f"sqrt(-2 * ln((('0x' || substr({_H}, 1, 8))::bigint + 0.5e0) / 4294967296e0)) * cos(('0x' || substr({_H}, 9, 8))::bigint * (2 * pi() / 4294967296e0))"
+_SHAKEN = f"""ip as (select vec_id // 6 as image_id, (vec_id % 6)::int as b, i - 1 as i, embedding[i]::double as v from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from pixels where vec_id // 6 in (select vec_id // 6 from pixels group by 1 having count(distinct vec_id % 6) = 6))),
+    sd as (select image_id, b, stddev_pop(v) as s from ip group by 1, 2), sc(scenario, kind, p) as (values {', '.join(f"('{n}', '{k}', {p}::double)" for n, k, p in x.SCENARIOS)}),
+    sh as (select image_id, scenario, b, i, case kind when 'missing_pixels' then case when ('0x' || substr({_H}, 1, 8))::bigint / 4294967296e0 >= p then v end when 'noise' then v + {_Z} * s * p when 'band_missing' then case when b <> p::int then v end when 'brightness' then v * p else v end as v from ip join sd using (image_id, b), sc),
+    fm as (select image_id, scenario, b, median(v) as m from sh group by all), ff as (select image_id, scenario, b, i, coalesce(v, m, 0) as v from sh join fm using (image_id, scenario, b)), nd as (select image_id, scenario, i, max(v) filter (b = 3) as n, max(v) filter (b = 0) as r from ff group by all),
+    g as (select image_id, scenario, avg(n) as nir_mean, stddev_pop(n) as nir_std, quantile_cont(case when abs(n + r) > 1e-6 then (n - r) / (n + r) else 0 end, 0.5) as ndvi_p50 from nd group by all), h as (select image_id, scenario, avg((v is null)::int) as missing from sh group by all)"""
+
+
+@query("i14_image_perturbation", "pixels", f"with {_SHAKEN} select g.image_id, g.scenario, missing, missing > 0.5e0 as abstain, g.nir_mean, g.nir_std, g.ndvi_p50, g.ndvi_p50 - o.ndvi_p50 as ndvi_shift from g join h using (image_id, scenario) join g o on o.image_id = g.image_id and o.scenario = 'baseline'")
+def i14(pixels):
+    """Features of every image under every scenario, and how far they move."""
+    images = x.images(pixels, F.floor(F.col("vec_id") / 6), F.col("vec_id") % 6, F.col("embedding"), 6)
+    rows = x.perturbed(images).select(F.concat_ws("|", F.col("image_id").cast("string"), "scenario").alias("image_id"), "bands")
+    rows = settled(rows, "perturbed")
+    part = lambda i: F.split("image_id", "[|]")[i]
+    features = x.base_vectors(rows, WIDTH).join(rows.select("image_id", x.missing_share(F.col("bands")).alias("missing")), "image_id")
+    features = settled(features.select(part(0).cast("bigint").alias("image_id"), part(1).alias("scenario"), "missing", (F.col("missing") > 0.5).alias("abstain"), "nir_mean", "nir_std", "ndvi_p50"), "perturbed-features")
+    base = features.where("scenario = 'baseline'").select("image_id", F.col("ndvi_p50").alias("__base"))
+    return features.join(base, "image_id").withColumn("ndvi_shift", F.col("ndvi_p50") - F.col("__base")).drop("__base")

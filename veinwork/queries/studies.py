@@ -60,27 +60,12 @@ def g11(oof):
     return g.where("n = 3 and d = 3 and e = 3").groupBy("fold").agg(F.count(F.lit(1)).alias("triples"), F.avg((F.col("best") == F.col("pick")).cast("int")).alias("top1"))
 
 
-@query("g14_noise_stress", "oof", "with s as (select k.fold, stddev_pop(o.li) as s from (select distinct fold from oof) k join oof o on o.fold <> k.fold group by k.fold) select fold, count(*) as n, avg(abs(0.05e0 * s * (('0x' || substr(md5('n|' || sample_id), 1, 8))::bigint / 2147483648e0 - 1))) as shift from oof join s using (fold) group by fold")
-def g14(oof):
-    s = f.training_rows(oof, 5).groupBy(F.col("train_fold").alias("fold")).agg(F.stddev_pop("li").alias("s"))
-    noise = 0.05 * F.col("s") * (f.draw("n", F.col("sample_id")) / 2147483648.0 - 1)
-    return oof.join(s, "fold").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(noise)).alias("shift"))
-
-
 @query("g16_augmented_union", "oxides", "select sample_id, 1e0 as weight, CaO from oxides union all select sample_id, 0.5e0, CaO * (0.95e0 + 0.1e0 * (('0x' || substr(md5('g|' || sample_id), 1, 8))::bigint / 4294967296e0)) from oxides")
 def g16(oxides):
     gain = 0.95 + 0.1 * (f.draw("g", F.col("sample_id")) / float(1 << 32))
     return oxides.select("sample_id", F.lit(1.0).alias("weight"), "CaO").unionByName(oxides.select("sample_id", F.lit(0.5).alias("weight"), (F.col("CaO") * gain).alias("CaO")))
 
 
-@query("i14_image_perturbation", "pixels", f"with {PX}, p as (select image_id, band, 'baseline' as scenario, v from px union all select image_id, band, 'bright', v * 1.2e0 from px union all select image_id, band, 'drop_nir', case when band <> 'nir' then v end from px) select image_id, scenario, bool_or(n = 0) as abstain from (select image_id, scenario, band, count(v) as n from p group by 1, 2, 3) group by 1, 2")
-def i14(df):
-    px = r.pixels(df, "vec_id", "embedding")
-    s = F.array(F.struct(F.lit("baseline").alias("scenario"), F.col("v").alias("v")), F.struct(F.lit("bright").alias("scenario"), (F.col("v") * 1.2).alias("v")), F.struct(F.lit("drop_nir").alias("scenario"), F.when(F.col("band") != "nir", F.col("v")).alias("v")))
-    n = px.select("image_id", "band", F.inline(s)).groupBy("image_id", "scenario", "band").agg(F.count("v").alias("n"))
-    return n.groupBy("image_id", "scenario").agg(F.bool_or(F.col("n") == 0).alias("abstain"))
-
-
 @query("k07_sample_contract", "oxides", "select count(*) - count(distinct sample_id) as repeated_ids, count(*) filter (li < 0) as negative, count(*) filter (li is null) as without_target, count(*) filter (lat is null or lon is null) as without_place from oxides")
 def k07(oxides):
     return oxides.agg((F.count(F.lit(1)) - F.countDistinct("sample_id")).alias("repeated_ids"), F.count_if(F.col("li") < 0).alias("negative"), F.count_if(F.col("li").isNull()).alias("without_target"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("without_place"))

@@ -226,3 +226,13 @@ _FULL = ", ".join(f'"{c}"' for c in [*_PREDICTORS, "target"])
 def k03(oxides):
     """All checks on a table that has a fault for each of them."""
     return pf.preflight(settled(faulty(oxides), "faulty"), "key", "target", _PREDICTORS, "lat", "lon", "cell", FOLDS)
+
+
+_G14 = "md5('g14|' || sample_id)"
+
+
+@query("g14_noise_stress", "oxides", f"""with {_S}, fo as (select r.k::int as k, regr_slope(target, CaO) as b, regr_intercept(target, CaO) as a, stddev_pop(CaO) as s from range({FOLDS}) r(k) join f on f.fold <> r.k group by r.k), z as (select f.fold, target, CaO, a, b, s, sqrt(-2 * ln((('0x' || substr({_G14}, 1, 8))::bigint + 0.5e0) / 4294967296e0)) * cos(('0x' || substr({_G14}, 9, 8))::bigint * (2 * pi() / 4294967296e0)) as z from f join fo on fo.k = f.fold)
+    select fold, share, count(*) as n, avg(abs(a + b * CaO - target)) as mae, avg(abs(a + b * (CaO + z * s * share) - target)) as noisy_mae, avg(abs(a + b * (CaO + z * s * share) - target)) - avg(abs(a + b * CaO - target)) as shift from z, (values (0.01e0), (0.05e0), (0.1e0), (0.25e0)) q(share) group by 1, 2""")
+def g14(oxides):
+    """How far each fold's error moves when its rows' feature carries noise."""
+    return v.noise_stress(samples(oxides), "sample_id", "target", "CaO", ml.linear_on(["CaO"], "target"), FOLDS, (0.01, 0.05, 0.1, 0.25))
