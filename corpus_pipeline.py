@@ -2,6 +2,11 @@
 
 quality rules -> near-duplicate removal -> benchmark decontamination -> mixing to target weights -> sharding.
 All stages but the last return the columns of documents; the last adds shard and slot.
+
+Cases, stage by stage: null and empty texts fail the base rules of the first stage and go; rows of null or equal ids are judged each by its own
+text; of repeated rows (equal id and text) one stays, chosen by a hash of all columns; ties go by hashes, so reruns agree; very long
+texts are read whole; extra columns, whatever their names, pass through to the end; an empty table gives an empty one, and without labels or
+benchmark items the stages that use them keep all rows.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinwork.functions import columns as c
 from veinwork.operators.joins import assert_empty
 from veinwork.sources.scratch import settled
 
@@ -66,7 +67,7 @@ def preflight(df: DataFrame, key: str, target: str, predictors: list[str], lat:
     ]
     t = F.col(f"`{target}`")
     place = F.coalesce(F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180), F.lit(False))
-    shapes = df.groupBy(*(F.col(f"`{c}`") for c in dict.fromkeys([*predictors, target]))).agg(F.count(F.lit(1)).alias("__n"))
+    shapes = df.groupBy(*(F.col(f"`{x}`") for x in dict.fromkeys([*predictors, target]))).agg(F.count(F.lit(1)).alias("__n"))
     places = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(lat, lon).agg(F.count(F.lit(1)).alias("__n"))
     counted = [
         _counted(df, "target_not_finite", "error", F.count_if(t.isNull() | F.isnan(t) | (F.abs(t) == float("inf")))),
@@ -81,6 +82,28 @@ def preflight(df: DataFrame, key: str, target: str, predictors: list[str], lat:
     return out
 
 
+def contract(df: DataFrame, sample: str, path: str, group: str, lat: str, lon: str, value: str, verification: str, source: str, cut: float) -> DataFrame:
+    """sample, site, patch, status, label, site_labels and problems of every row of a sample manifest; a column that isn't there is an error.
+    problems, comma-joined: no_id, repeated_id (blanks around ids don't count), no_path, no_group, not_finite, out_of_range, negative. label: high where
+    value reaches cut, else low; site_labels: mixed where the site's rows without problems have both labels, else one_label; null for rows with problems."""
+    absent = sorted({sample, path, group, lat, lon, value, verification, source} - set(df.columns))
+    if absent:
+        raise ValueError(f"missing columns: {absent}")
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    whole = finite(lat) & finite(lon) & finite(value)
+    rows = df.withColumn("__id", F.when(~blank(sample), F.trim(F.col(sample).cast("string"))))
+    often = rows.where("__id is not null").groupBy(F.col("__id").alias("__often")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    rows = rows.join(often, F.col("__id") == F.col("__often"), "left")
+    found = {"no_id": F.col("__id").isNull(), "repeated_id": F.col("__often").isNotNull(), "no_path": blank(path), "no_group": blank(group), "not_finite": ~whole,
+             "out_of_range": whole & ((F.abs(lat) > 90) | (F.abs(lon) > 180)), "negative": whole & (F.col(value) < 0)}
+    problems = F.array_join(F.array_compact(F.array(*(F.when(bad, name) for name, bad in found.items()))), ",")
+    out = rows.select(F.col(sample).alias("sample"), F.when(whole, c.site_id(lat, lon)).alias("site"), c.path_id(path).alias("patch"), c.eligibility(verification, source).alias("status"), F.when(whole & (F.col(value) >= cut), "high").when(whole, "low").alias("label"), problems.alias("problems"))
+    out = settled(out, "contract")
+    sites = out.where("problems = ''").groupBy(F.col("site").alias("__site")).agg((F.min("label") != F.max("label")).alias("mixed"))
+    return out.join(sites, F.col("site") == F.col("__site"), "left").select("sample", "site", "patch", "status", "label", F.when((F.col("problems") == "") & F.col("mixed"), "mixed").when(F.col("problems") == "", "one_label").alias("site_labels"), "problems")
+
+
 def passed(checks: DataFrame) -> None:
     """An error unless all checks of that severity found nothing."""
     assert_empty(checks.where("severity = 'error' and n > 0"), "the preflight found errors")

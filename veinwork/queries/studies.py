@@ -66,11 +66,6 @@ def g16(oxides):
     return oxides.select("sample_id", F.lit(1.0).alias("weight"), "CaO").unionByName(oxides.select("sample_id", F.lit(0.5).alias("weight"), (F.col("CaO") * gain).alias("CaO")))
 
 
-@query("k07_sample_contract", "oxides", "select count(*) - count(distinct sample_id) as repeated_ids, count(*) filter (li < 0) as negative, count(*) filter (li is null) as without_target, count(*) filter (lat is null or lon is null) as without_place from oxides")
-def k07(oxides):
-    return oxides.agg((F.count(F.lit(1)) - F.countDistinct("sample_id")).alias("repeated_ids"), F.count_if(F.col("li") < 0).alias("negative"), F.count_if(F.col("li").isNull()).alias("without_target"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("without_place"))
-
-
 @query("k13_readiness", "oof", "select cohort, array_to_string(list_filter([case when count(*) < 150 then 'enough_rows' end, case when sum(y) < 40 then 'enough_positives' end, case when count(distinct cell) < 10 then 'enough_cells' end], lambda z: z is not null), ',') as reasons from oof group by cohort")
 def k13(oof):
     g = oof.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.countDistinct("cell").alias("cells"))

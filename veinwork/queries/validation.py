@@ -236,3 +236,21 @@ _G14 = "md5('g14|' || sample_id)"
 def g14(oxides):
     """How far each fold's error moves when its rows' feature carries noise."""
     return v.noise_stress(samples(oxides), "sample_id", "target", "CaO", ml.linear_on(["CaO"], "target"), FOLDS, (0.01, 0.05, 0.1, 0.25))
+
+
+_MANIFEST = """mf as (select case when id % 97 = 0 then ' ' when id % 89 = 0 then ' S1 ' else 'S' || id end as sample, case when id % 71 = 0 then null else path end as path, 'g_' || (id % 9) as grp, case when id % 61 = 0 then null when id % 67 = 0 then 95e0 else floor(lat / 5) * 5 end as lat,
+    case when id % 59 = 0 then 'inf'::double else floor(lon / 5) * 5 end as lon, case when id % 53 = 0 then -1e0 else coalesce(li, 21.6e0) end as li, verification, dataset from raw join oxides on oxides.sample_id = raw.id)"""
+
+
+@query("k07_sample_contract", "raw oxides", f"""with {_MANIFEST}, w as (select *, case when trim(sample) <> '' then trim(sample) end as tid, coalesce(isfinite(lat) and isfinite(lon) and isfinite(li), false) as whole from mf), n as (select tid from w where tid is not null group by 1 having count(*) > 1),
+    q as (select sample, case when whole then printf('%.5f', lat) || '|' || printf('%.5f', lon) end as site, substr(sha256(lower(replace(path, chr(92), '/'))), 1, 20) as patch, case when upper(verification) in ('FIELD_VERIFIED_SURFACE', 'GPS_AND_SURFACE_VERIFIED') then 'verified' when regexp_matches(upper(verification), 'EXCLUDE|SUBSURFACE|DRILL_CORE|INVALID') then 'excluded' when upper(verification) in ('PRE_SCREENED_NOT_FIELD_VERIFIED', 'PROVISIONAL_SITE_REVIEW') then 'provisional' when dataset like 'GEOROC_B_SURFACE_PROVISIONAL%' then 'provisional' else 'historical' end as status,
+    case when whole and li >= 21.6e0 then 'high' when whole then 'low' end as label, array_to_string(list_filter([case when tid is null then 'no_id' end, case when tid in (select tid from n) then 'repeated_id' end, case when coalesce(trim(path), '') = '' then 'no_path' end, case when not whole then 'not_finite' end, case when whole and (abs(lat) > 90 or abs(lon) > 180) then 'out_of_range' end, case when whole and li < 0 then 'negative' end], lambda z: z is not null), ',') as problems from w),
+    m as (select site, min(label) <> max(label) as mixed from q where problems = '' group by 1) select q.sample, q.site, patch, status, label, case when problems = '' and mixed then 'mixed' when problems = '' then 'one_label' end as site_labels, problems from q left join m on m.site = q.site""")
+def k07(raw, oxides):
+    """A manifest with every fault: sites, patches, eligibility and labels of its rows, sites of both labels, and what is wrong with a row."""
+    k = F.col("id")
+    m = raw.join(oxides.select(F.col("sample_id").alias("id"), "lat", "lon", "li"), "id").select(
+        F.when(k % 97 == 0, " ").when(k % 89 == 0, " S1 ").otherwise(F.concat(F.lit("S"), k.cast("string"))).alias("sample_id"), F.when(k % 71 != 0, F.col("path")).alias("image_path"), F.concat(F.lit("g_"), (k % 9).cast("string")).alias("spatial_group"),
+        F.when(k % 61 == 0, F.lit(None)).when(k % 67 == 0, F.lit(95.0)).otherwise(F.floor(F.col("lat") / 5) * 5.0).alias("lat"), F.when(k % 59 == 0, F.lit(float("inf"))).otherwise(F.floor(F.col("lon") / 5) * 5.0).alias("lon"),
+        F.when(k % 53 == 0, F.lit(-1.0)).otherwise(F.coalesce("li", F.lit(21.6))).alias("li"), "verification", "dataset")
+    return pf.contract(m, "sample_id", "image_path", "spatial_group", "lat", "lon", "li", "verification", "dataset", 21.6)
