@@ -184,16 +184,25 @@ def result(rows):
     return [(x.n_a, x.n_b, x.n_groups, x.n_links, x.n_best, x.count_sum, x.groups) for x in rows]
 
 
-def test_tokens_of_words_are_those_of_whole_texts(sides, points):
-    a, b, _ = sides
+def tokens_of(side, windows, numbers, which):
+    import re
+
+    return [int(x) for n in numbers for g in windows.text[n].split(";") for x in re.split(",", g.split("|")[which])]
+
+
+def test_tokens_of_segments_are_those_of_whole_texts(sides, points):
+    a, b, w = sides
     assert a.apart and b.apart
     r = random.Random(4)
-    for text in ODD + [mixed(r, points, r.randint(1, 60)) for _ in range(1200)] + ["▁" + mixed(r, points[:400], 9) for _ in range(60)]:
+    texts = ODD + [mixed(r, points, r.randint(1, 60)) for _ in range(2500)] + ["▁" + mixed(r, points[:400], 9) for _ in range(60)]
+    texts += ["".join(r.choice([" ", "  ", "\n", "\t ", " a", "b", "'s", ",", "\u3000", "\x1c", "\x85", "é"]) for _ in range(r.randint(1, 25))) for _ in range(2500)]
+    for text, own in zip(texts, w.documents(texts)):
+        assert "".join(alignment.segments(" " + text)) == " " + text
         ids_a, ids_b, bytes_a, bytes_b = libraries(text)
-        for side, ids, parts in ((a, ids_a, bytes_a), (b, ids_b, bytes_b)):
-            got = side.encode(" " + text)
-            assert (got is None) == (b"".join(parts) != (" " + text).encode())
-            assert got is None or got.tolist() == ids, text
+        same = b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode()
+        assert (own is not None) == same
+        if same:
+            assert tokens_of(a, w, own, 0) == ids_a and tokens_of(b, w, own, 1) == ids_b, text
 
 
 @pytest.mark.parametrize("frequent", [1 << 20, 150, 0])
@@ -210,19 +219,28 @@ def test_op11_against_brute_force(spark, docs, table, frequent, tmp_path):
     assert Counter((x.doc_id, *r[:6], digest(r[6])) for x, r in zip(got, result(got))) == Counter((i, *w) for (i, _), w in zip(texts, want))
 
 
-def test_op11_small_memos_and_batches(spark, docs, monkeypatch, sides):
+def test_op11_models_that_are_not_apart(docs, sides, monkeypatch):
     a, b, w = sides
-    monkeypatch.setattr(alignment, "MEMO", 20)
-    texts = [x.text for x in docs.collect() if x.text]
+    texts = [x.text for x in docs.collect()][:40] + ODD
     want = brute(texts)
-    for side in (a, b):
-        side.words.clear()
-    for text, row in zip(texts, want):
-        x, y = a.encode(" " + text), b.encode(" " + text)
-        if row[0]:
-            numbers = w.of(x, y)
-            assert hashlib.sha256(";".join(w.text[n] for n in numbers).encode()).hexdigest() == row[6]
-            assert sum(len(w.links[n]) // 8 for n in numbers) == row[3]
+    for apart in (True, False):
+        monkeypatch.setattr(b, "apart", apart)
+        w.forget()
+        for own, row in zip(w.documents(texts), want):
+            assert (own is not None) == (row[0] > 0)
+            if own is not None:
+                assert hashlib.sha256(";".join(w.text[n] for n in own).encode()).hexdigest() == row[6]
+                assert sum(len(w.links[n]) // 8 for n in own) == row[3]
+    w.forget()
+
+
+def test_windows_are_cut_at_spaces_that_both_have(sides):
+    a, b, w = sides
+    own = w.documents(["some words, and  two spaces"])[0]
+    said = ["".join(a.bytes_of[int(x)].decode() for g in w.text[n].split(";") for x in g.split("|")[0].split(",")) for n in own]
+    assert said == [" some", " words,", " and", "  two", " spaces"] or "".join(said) == " some words, and  two spaces" and len(said) >= 4
+    again = w.documents(["two words, some spaces"])[0]
+    assert set(again) & set(own)
 
 
 def test_op11_empty(spark, no_docs, table):
@@ -237,3 +255,15 @@ def test_op11_query(spark):
     want = dict(zip((x.doc_id for x in docs), brute([x.text for x in docs])))
     got = {x.doc_id: (x.n_a, x.n_b, x.n_groups, x.n_links, x.n_best, x.count_sum, x.groups_sha256) for x in alignment.op11_space_anchors(spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_ranks_of_the_vocabulary_are_its_merges(sides):
+    """Every token's text, and joined ones, by the rank library as by the tokenizer library."""
+    a = sides[0]
+    assert hasattr(a, "encoding")
+    r = random.Random(9)
+    shown = [b.decode() for b in a.bytes_of[:50000] if not any(x >= 128 for x in b)]
+    texts = [" " + t for t in shown[::7]] + [" " + "".join(r.choice(shown) for _ in range(4)) for _ in range(4000)]
+    want = libraries("x") and [e.ids for e in _loaded[0].encode_batch(texts, add_special_tokens=False)]
+    assert a.ids(texts) == want
+

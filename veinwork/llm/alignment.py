@@ -3,11 +3,13 @@
 A byte-level BPE (A) and a sentencepiece model (B) encode every text. Where a token of A and one of B end at one byte and the
 next token of both begins with a space, the document is cut into windows of token ids. A window's alignment - the groups between shared
 ends, and all pairs of overlapping tokens - hangs on its ids alone, so it is kept in a memo by its id tuples; most windows of a
-corpus were seen before. A memo of bounded size is emptied when full and changes no result.
+corpus were seen before. A memo of bounded size, which is emptied when full, changes no result.
 
-Tokens of a text are put together from those of its words where that is the same: A's pattern cuts a text into pre-tokens that are
-encoded each by itself; B's merges can't join a space after another character if no piece has one, which is looked up in the
-model (else whole texts are encoded). A text that holds a word whose token bytes aren't the word's is encoded as a whole and judged by all its bytes.
+A text is tokenised in segments, cut before a single space between visible characters, where that gives the tokens of the whole text:
+A's pattern begins a pre-token there, and B's merges can't join a space after another character if no piece has one, which is
+looked up in the model (else whole texts are tokenised). Such a cut is an anchor by itself once both sides' token bytes are the
+segment's, so a segment's windows are those of the document; what was verified of a segment is remembered with it. A text that
+holds a segment whose token bytes aren't the segment's is tokenised as a whole and judged by all its bytes.
 
 pair_counts() counts in how many documents two ids are linked. Each document lies in one task, so tasks count distinct pairs of their
 documents and only sums are shuffled. scored() looks the counts up: the FREQUENT most common pairs at most travel as a broadcast; the
@@ -22,28 +24,29 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Splitter, parts, splitter, stretches
+from .bpe import parts
 from .common import read_table, staged
 
-MEMO = 1 << 18  # words of either tokenizer; a full memo is emptied
-WINDOWS = 1 << 18
-MEMO_CHARS = 64
+SEGMENTS, SEGMENT_CHARS = 80_000, 6 << 20  # what the memo of segments and windows holds before it is emptied
+CHUNK_BYTES = 1 << 20
 FREQUENT = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
-PENDING = 1 << 21  # pairs that a task holds before it sums them up
+PENDING = 1 << 18  # pairs that a task holds before it sums them up
 SPACE = "▁"
 _GAP = b"\xff\xff\xff\xff"
-_UNITS = regex.compile(r" *[^ ]+| +\Z")
+_CUT = re.compile(r"(?<=[^ ])(?= [^\s])")
 
 
 def default_paths() -> tuple[str, str]:
@@ -60,65 +63,61 @@ def _byte_level() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer: ids() of a text that begins with a space, bytes_of each id, and the split into words encoded each by itself."""
+    """A tokenizer: ids() of texts that begin with a space, bytes_of each id; apart: whether segments() may be tokenised each by itself."""
 
     bytes_of: list[bytes]
+    apart: bool
+    whole = False  # whether any text's tokens have its bytes
 
     def ready(self) -> None:
-        self.words: dict[str, bytes | None] = {}  # ids, 4 bytes each; None where their bytes aren't the word's
         self.lengths = [len(b) for b in self.bytes_of]
         self.length = np.array(self.lengths, np.int64)
         self.spaced = np.array([b[:1] == b" " for b in self.bytes_of])
+        self.space = frozenset(np.flatnonzero(self.spaced).tolist())
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def split(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def exact(self, text: str, ids: list[int]) -> bytes | None:
-        return array("I", ids).tobytes() if b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode() else None
-
-    def encode(self, text: str) -> np.ndarray | None:
-        """Ids of the text, or None where their bytes aren't its bytes."""
-        words, memo, found, long = self.split(text), self.words, [], {}
-        new = set(words).difference(memo)
-        if new:
-            short = [w for w in new if len(w) <= MEMO_CHARS]
-            if len(memo) + len(short) > MEMO:
-                memo.clear()
-                new = set(words)
-                short = [w for w in new if len(w) <= MEMO_CHARS]
-            memo.update(zip(short, map(self.exact, short, self.ids(short))))
-            rest = [w for w in new if len(w) > MEMO_CHARS]
-            if rest:
-                long = dict(zip(rest, map(self.exact, rest, self.ids(rest))))
-        found = [long[w] if w in long else memo[w] for w in words] if long else list(map(memo.__getitem__, words))
-        whole = self.exact(text, self.ids([text])[0]) if None in found else b"".join(found)
-        return None if whole is None else np.frombuffer(whole, np.uint32)
+    def exact(self, text: str, ids: list[int]) -> bool:
+        """Whether the tokens' bytes are the text's."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode()
 
 
 class ByteLevel(Side):
     def __init__(self, raw: bytes):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True
         form, kinds = json.loads(raw), _byte_level()
         pre = form["pre_tokenizer"] or {}
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and form["normalizer"] is None
-        self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes_of[i] = bytes(kinds[c] for c in token) if all(c in kinds for c in token) else token.encode()
-        self.parted: Splitter = splitter()
+        vocab: dict[str, int] = form["model"]["vocab"]
+        self.bytes_of = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in form["added_tokens"])]))
+        for token, i in [*vocab.items(), *((t["content"], t["id"]) for t in form["added_tokens"])]:
+            self.bytes_of[i] = bytes(map(kinds.__getitem__, token)) if all(c in kinds for c in token) else token.encode()
         self.ready()
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def split(self, text: str) -> list[str]:
-        return [w for part in stretches(text) for w in self.parted(part)] if self.apart else [text]
+        ranks = self.ranks(form["model"]) if self.apart else None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ids = lambda texts: list(map(self.encoding.encode_ordinary, texts))
+            self.whole = True  # every byte is a token, and the pattern takes every character
+        else:
+            from tokenizers import Tokenizer
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            self.tokenizer = Tokenizer.from_str(raw.decode())
+            self.tokenizer.encode_special_tokens = True
+            self.ids = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ranks(self, model: dict) -> dict[bytes, int] | None:
+        """The vocabulary as ranks, if it is one: single bytes, then what each merge makes, in the order of merges. The lowest merge first is
+        then the lowest rank first; the rank library is several times quicker on short texts and gives the same ids."""
+        plain = not model.get("ignore_merges") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+        sides = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        made = (x + y for x, y in sides)
+        if not plain or any(model["vocab"].get(t) != 256 + i for i, t in enumerate(made)) or any(len(b) != 1 for b in self.bytes_of[:256]):
+            return None
+        return {self.bytes_of[i]: i for i in range(256 + len(model["merges"]))}
 
 
 class Pieces(Side):
@@ -129,71 +128,118 @@ class Pieces(Side):
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
-        # a word by itself and behind others must be one thing, spaces included; else whole texts are encoded
-        tried = [[" a", "   b", " c", "  "], ["   c", " a"]]
+        # a segment by itself and behind others must be one thing; a model that adds or drops spaces elsewhere fails this
+        tried = [[" a", " b", " c\n", " d"], [" c,  e", " a"]]
         self.apart = not inner and all(self.ids(["".join(t)])[0] == [i for ids in self.ids(t) for i in ids] for t in tried)
         self.ready()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode([t[1:] for t in texts], num_threads=1)  # the model adds the space
 
-    def split(self, text: str) -> list[str]:
-        return _UNITS.findall(text) if self.apart else [text]
+
+def segments(text: str) -> list[str]:
+    return _CUT.split(text)
 
 
 class Windows:
-    """Alignments by id tuples: for window i, its groups as text, their number, and the linked ids of A and B."""
+    """Alignments by id tuples: for window i, its groups as text, their number, the number of A's and B's tokens, and the linked ids."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
         self.forget()
 
     def forget(self) -> None:
+        self.known: dict[str, tuple[int, ...] | None] = {}  # windows of a segment; None where token bytes aren't its
         self.number: dict[bytes, int] = {}
         self.text: list[str] = []
         self.groups: list[int] = []
+        self.size_a: list[int] = []
+        self.size_b: list[int] = []
         self.links: list[bytes] = []
 
-    def aligned(self, a: list[int], b: list[int]) -> tuple[str, int, bytes]:
+    def documents(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Numbers of each text's windows, in order; None for a text without tokens."""
+        apart = self.a.apart and self.b.apart
+        cut = [(segments(" " + t) if apart else [" " + t]) if t else None for t in texts]
+        new = list({x for some in cut if some for x in some}.difference(self.known))
+        whole_a = self.a.whole
+        for k in range(0, len(new), 1 << 14):
+            some = new[k : k + (1 << 14)]
+            for x, a, b in zip(some, self.a.ids(some), self.b.ids(some)):
+                if not (whole_a or self.a.exact(x, a)) or not self.b.exact(x, b):
+                    self.known[x] = None
+                elif x.find(" ", 1) < 0:  # no token but the first may begin with a space
+                    self.known[x] = (self.window(array("I", a), array("I", b)),)
+                else:
+                    self.known[x] = self.of(a, b)
+        out: list[list[int] | None] = []
+        for text, some in zip(texts, cut):
+            if some is None:
+                out.append(None)
+                continue
+            found = list(map(self.known.__getitem__, some))
+            if None in found:
+                found = [self.whole(" " + text)] if apart else [None]
+            out.append(None if found[0] is None else list(chain.from_iterable(found)))
+        return out
+
+    def whole(self, text: str) -> tuple[int, ...] | None:
+        a, b = self.a.ids([text])[0], self.b.ids([text])[0]
+        return self.of(a, b) if self.a.exact(text, a) and self.b.exact(text, b) else None
+
+    def aligned(self, a: array, b: array) -> tuple[str, int, bytes]:
         """Groups as text, their number, and the links as a * 2^32 + b, of two runs of tokens over the same bytes."""
-        size_a, size_b = self.a.lengths, self.b.lengths
-        i = j = from_i = from_j = 0
-        end_a, end_b, text, links = size_a[a[0]], size_b[b[0]], [], []
+        size_a, size_b, last = self.a.lengths, self.b.lengths, len(a) - 1
+        i = j = 0
+        x, y = a[0], b[0]
+        end_a, end_b, text, links, run_a, run_b = size_a[x], size_b[y], [], [], str(x), str(y)
         while True:
-            links.append(a[i] << 32 | b[j])
-            shared = end_a == end_b
-            if shared:
-                text.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                from_i, from_j = i + 1, j + 1
-                if from_i == len(a):
+            links.append(x << 32 | y)
+            if end_a == end_b:
+                text.append(run_a + "|" + run_b)
+                if i == last:
                     return ";".join(text), len(text), array("q", links).tobytes()
-            ahead = end_a > end_b
-            if shared or not ahead:
+                i, j = i + 1, j + 1
+                x, y = a[i], b[j]
+                end_a, end_b, run_a, run_b = end_a + size_a[x], end_b + size_b[y], str(x), str(y)
+            elif end_a < end_b:
                 i += 1
-                end_a += size_a[a[i]]
-            if shared or ahead:
+                x = a[i]
+                end_a += size_a[x]
+                run_a += "," + str(x)
+            else:
                 j += 1
-                end_b += size_b[b[j]]
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """Numbers of the windows of a document."""
+                y = b[j]
+                end_b += size_b[y]
+                run_b += "," + str(y)
+
+    def of(self, a: list[int], b: list[int]) -> tuple[int, ...]:
+        """Numbers of the windows of two runs of tokens over the same bytes."""
+        a, b = array("I", a), array("I", b)
+        if len(a) < 2 or len(b) < 2 or self.a.space.isdisjoint(a[1:]):
+            return (self.window(a, b),)
+        return tuple(self.window(a[i:k], b[j:m]) for (i, j), (k, m) in pairwise([(0, 0), *self.anchors(a, b), (len(a), len(b))]))
+
+    def anchors(self, a: array, b: array) -> list[tuple[int, int]]:
+        """Where a token of A and one of B begin at one byte, both with a space: as many tokens before, of either."""
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
         ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        # ends of A's tokens before a space-marked one that are ends before a space-marked one of B, too
         at_a, at_b = np.flatnonzero(self.a.spaced[a[1:]]), np.flatnonzero(self.b.spaced[b[1:]])
         _, i, j = np.intersect1d(ends_a[at_a], ends_b[at_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = [0, *((at_a[i] + 1) * 4).tolist(), len(a) * 4], [0, *((at_b[j] + 1) * 4).tolist(), len(b) * 4]
-        raw_a, raw_b, number, out = a.tobytes(), b.tobytes(), self.number, []
-        for k in range(len(cut_a) - 1):
-            key = raw_a[cut_a[k] : cut_a[k + 1]] + _GAP + raw_b[cut_b[k] : cut_b[k + 1]]
-            n = number.get(key)
-            if n is None:
-                n = number[key] = len(self.text)
-                text, groups, links = self.aligned(a[cut_a[k] // 4 : cut_a[k + 1] // 4].tolist(), b[cut_b[k] // 4 : cut_b[k + 1] // 4].tolist())
-                self.text.append(text)
-                self.groups.append(groups)
-                self.links.append(links)
-            out.append(n)
-        return out
+        return list(zip((at_a[i] + 1).tolist(), (at_b[j] + 1).tolist()))
+
+    def window(self, a: array, b: array) -> int:
+        key = a.tobytes() + _GAP + b.tobytes()
+        n = self.number.get(key)
+        if n is None:
+            n = self.number[key] = len(self.text)
+            text, groups, links = self.aligned(a, b)
+            self.text.append(text)
+            self.groups.append(groups)
+            self.size_a.append(len(a))
+            self.size_b.append(len(b))
+            self.links.append(links)
+        return n
 
 
 @lru_cache(1)
@@ -202,7 +248,7 @@ def _sides(raw_a: bytes, raw_b: bytes) -> tuple[Side, Side, Windows]:
     return a, b, Windows(a, b)
 
 
-#: A row for about 4 MB of texts: columns of their documents, the windows of all of them in order (codes), and what the distinct windows link.
+#: A row for about 1 MB of texts: columns of their documents, the windows of all of them in order (codes), and what the distinct windows link.
 CHUNK = "row array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups array<string>, n_windows array<bigint>, codes binary, link_counts binary, links binary"
 
 
@@ -215,21 +261,18 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             raw.append(spark.sparkContext.broadcast(f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, windows = _sides(raw[0].value, raw[1].value)
+        windows = _sides(raw[0].value, raw[1].value)[2]
         base, seen = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
-            for part in parts(batch, 1):
+            for part in parts(batch, 1, CHUNK_BYTES):
                 rows, used = [], []
-                for text in part.column(1).to_pylist():
-                    ia = a.encode(" " + text) if text else None
-                    ib = b.encode(" " + text) if ia is not None else None
-                    if ib is None:
+                for own in windows.documents(part.column(1).to_pylist()):
+                    if own is None:
                         rows.append((0, 0, 0, 0, "", 0))
                         continue
-                    own = windows.of(ia, ib)
                     used.append(np.array(own, np.int64))
-                    groups = sum(map(windows.groups.__getitem__, own))
-                    rows.append((len(ia), len(ib), groups, len(ia) + len(ib) - groups, ";".join(map(windows.text.__getitem__, own)), len(own)))
+                    n_a, n_b, groups = (sum(map(x.__getitem__, own)) for x in (windows.size_a, windows.size_b, windows.groups))
+                    rows.append((n_a, n_b, groups, n_a + n_b - groups, ";".join(map(windows.text.__getitem__, own)), len(own)))
                 n_a, n_b, groups, links, text, n = zip(*rows)
                 distinct, codes = np.unique(np.concatenate(used) if used else np.empty(0, np.int64), return_inverse=True)
                 linked = [windows.links[i] for i in distinct.tolist()]
@@ -239,8 +282,9 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 arrays = [pa.array([list(v)], t) for v, t in zip(values, types)] + [pa.array([x], pa.binary()) for x in blobs]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups", "n_windows", "codes", "link_counts", "links"])
                 seen += len(rows)
-                if len(windows.text) >= WINDOWS:
+                if len(windows.known) >= SEGMENTS or sum(map(len, windows.known)) > SEGMENT_CHARS:
                     windows.forget()
+        windows.forget()
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, f"doc_id array<{slim.schema['doc_id'].dataType.simpleString()}>, {CHUNK}")
@@ -267,6 +311,27 @@ def _distinct(doc: np.ndarray, code: np.ndarray, counts: np.ndarray, links: np.n
     return doc, pair, total, pairs
 
 
+def _by_document(of_link: np.ndarray, counts: np.ndarray, code: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums over the links of each document's windows, exactly; begin: where each document's windows begin, and the end."""
+    at = np.concatenate([[0], np.cumsum(of_link.astype(np.int64))])
+    ends = np.cumsum(counts)
+    of_window = at[ends] - at[ends - counts]
+    total = np.concatenate([[0], np.cumsum(of_window[code])])
+    return total[begin[1:]] - total[begin[:-1]]
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 4) -> Iterator[None]:
+    """What runs meanwhile passes so many rows to Python at once: a chunk has some 2 MB, and a file's thousands of rows would be one batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pair_counts(chunks: DataFrame) -> DataFrame:
     """a, b, docs (how many documents have them linked), best (docs is a's highest; ties included)."""
 
@@ -295,7 +360,8 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
 
     counted = chunks.select("n_windows", "codes", "link_counts", "links").mapInArrow(run, "pair bigint, docs bigint")
     counted = counted.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32).cast("int"))
-    counted = staged(counted, "alignment-pairs")
+    with few_rows(chunks.sparkSession):
+        counted = staged(counted, "alignment-pairs")
     most = counted.groupBy("a").agg(F.max("docs").alias("most"))  # a row for each id of a vocabulary
     return counted.join(most, "a").select("a", F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
@@ -321,17 +387,18 @@ def scored(chunks: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> Da
         for batch in batches:
             for i in range(batch.num_rows):
                 n_windows, doc, code, n, links = _pairs_of(batch, i)
-                doc, pair, times, pairs = _distinct(doc, code, n, links)
-                at = np.searchsorted(pair_of, pairs)
+                at = np.searchsorted(pair_of, links)
                 at[at == len(pair_of)] = 0
-                found = pair_of[at] == pairs if len(pair_of) else np.zeros(len(pairs), bool)
-                docs, best = (np.where(found, x[at], 0) if len(pair_of) else np.zeros(len(pairs), np.int64) for x in (docs_of, best_of))
-                size = len(n_windows)
-                sums, bests = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                np.add.at(sums, doc, times * docs[pair])
-                np.add.at(bests, doc, times * best[pair])
-                rest = ~found[pair]
-                ends = np.searchsorted(doc[rest], np.arange(size + 1)).astype(np.int32)
+                found = pair_of[at] == links if len(pair_of) else np.zeros(len(links), bool)
+                begin = np.concatenate([[0], np.cumsum(n_windows)])
+                sums, bests = (_by_document(np.where(found, x[at], 0) if len(pair_of) else np.zeros(len(links), np.int64), n, code, begin) for x in (docs_of, best_of))
+                # what wasn't sent leaves as pairs, of the windows that have such
+                lacks = np.zeros(len(n), bool)
+                lacks[np.repeat(np.arange(len(n)), n)[~found]] = True
+                some = lacks[code]
+                doc, pair, times, pairs = _distinct(doc[some], code[some], n, links)
+                rest = ~np.isin(pairs, links[found])[pair] if len(pairs) else np.zeros(0, bool)
+                ends = np.searchsorted(doc[rest], np.arange(len(n_windows) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (pairs[pair[rest]], times[rest])]
                 columns = [batch.column(batch.schema.get_field_index(c))[i].values for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(bests), pa.array(sums), *lists], names=[*kept, "n_best", "count_sum", "rest", "times"])
@@ -339,9 +406,10 @@ def scored(chunks: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> Da
     types = {f.name: f.dataType.elementType.simpleString() for f in chunks.schema if f.name in kept}
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", n_best bigint, count_sum bigint, rest array<bigint>, times array<bigint>"
     rows = chunks.select(*kept, "n_windows", "codes", "link_counts", "links").mapInArrow(run, schema)
+    with few_rows(spark):
+        rows = staged(rows, "alignment-scores")
     if room >= 0:
         return rows.drop("rest", "times")  # all pairs were sent: nothing is left to join
-    rows = staged(rows, "alignment-scores")
     one = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("pair"), F.col("x.times").alias("times"))
     more = one.join(counts.select("pair", "docs", "best"), "pair").groupBy("row")
     more = more.agg(F.sum(F.col("times") * F.col("best").cast("bigint")).alias("more_best"), F.sum(F.col("times") * F.col("docs")).alias("more_sum"))

@@ -251,12 +251,12 @@ def _schema(rows: DataFrame, names: tuple[str, ...]) -> str:
     return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
 
 
-def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch with about BATCH_BYTES of that column."""
+def parts(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch with about so many bytes of that column."""
     begin = size = 0
     for i, n in enumerate(_lengths(batch.column(column))):
         size += n
-        if size >= BATCH_BYTES:
+        if size >= most:
             yield batch.slice(begin, i + 1 - begin)
             begin, size = i + 1, 0
     if begin < batch.num_rows:
