@@ -321,7 +321,7 @@ def _by_document(of_link: np.ndarray, counts: np.ndarray, code: np.ndarray, begi
 
 
 @contextmanager
-def few_rows(spark: SparkSession, rows: int = 4) -> Iterator[None]:
+def few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
     """What runs meanwhile passes so many rows to Python at once: a chunk has some 2 MB, and a file's thousands of rows would be one batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
