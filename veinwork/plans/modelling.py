@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -14,11 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.operators import metrics
+from veinwork.operators.ordered import quantiles
+
+
+class MedianImputer(Estimator):
+    """Exact medians, the mean of the middle two, in place of nulls and NaN: column c becomes c__i. A column without numbers stays null."""
+
+    def __init__(self, columns: list[str]):
+        super().__init__()
+        self.columns = columns
+
+    def _fit(self, df: DataFrame) -> SQLTransformer:
+        number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+        long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in self.columns))))
+        medians = {r.column: r.median for r in quantiles(long, ["column"], F.col("v"), {"median": 0.5}).collect()}  # a row per column
+        filled = (f"coalesce(nanvl(cast(`{c}` as double), null), {f"double('{medians[c]!r}')" if c in medians else "cast(null as double)"}) as `{c}__i`" for c in self.columns)
+        return SQLTransformer(statement=f"select *, {', '.join(filled)} from __THIS__")
 
 
 def preprocessor(numeric: list[str], categories: list[str] = (), scale: bool = False) -> list:
     """Pipeline stages: medians for missing numbers, unknown categories kept apart, one vector column `features`."""
-    stages: list = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric])] if numeric else []
+    stages: list = [MedianImputer(numeric)] if numeric else []
     if categories:
         stages += [StringIndexer(inputCols=list(categories), outputCols=[f"{c}__x" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__x" for c in categories], outputCols=[f"{c}__h" for c in categories], handleInvalid="keep")]
     stages.append(VectorAssembler(inputCols=[f"{c}__i" for c in numeric] + [f"{c}__h" for c in categories], outputCol="raw" if scale else "features", handleInvalid="keep"))

@@ -61,7 +61,7 @@ def j01(oxides):
     """The numbers of the feature vector that the preprocessing stages make: medians in place of missing values."""
     model = Pipeline(stages=ml.preprocessor(["SiO2", "FeOT"], ["source"])).fit(oxides)
     v = ml.vector_to_array("features")
-    return model.transform(oxides).select("sample_id", v[0].alias("SiO2"), v[1].alias("FeOT"))
+    return model.transform(oxides).select("sample_id", *(F.nanvl(v[i], F.lit(None)).alias(c) for i, c in enumerate(("SiO2", "FeOT"))))
 
 
 @query("j07_grid_search", "oxides")
