@@ -156,3 +156,13 @@ def test_radius_meets_over_the_date_line(spark):
     left = spark.createDataFrame([(1, 55.0, -180.0), (2, 45.0, -180.0)], "a int, lat double, lon double")
     right = spark.createDataFrame([(1, 55.0, 179.962), (2, 45.0, 179.963)], "b int, r_lat double, r_lon double")
     assert sorted((r.a, r.b) for r in joins.radius_pairs(left, right, 3.0).collect()) == [(1, 1), (2, 2)]
+
+
+def test_distinct_counts_keep_no_sketch_by_pair(spark):
+    from veinwork.queries import evidence
+
+    df = spark.createDataFrame([("a", i % 7) for i in range(50)] + [("b", None), ("b", None), (None, 1), (None, None)], "source string, publication bigint")
+    got = evidence.e51(df)
+    assert {r.source: (r.publications, r.approximation_near) for r in got.collect()} == {"a": (7, True), "b": (0, True), None: (1, True)}
+    sketches = [x for x in got._jdf.queryExecution().sparkPlan().toString().split("\n") if "hyperloglog" in x.lower() or "approx_count" in x.lower()]
+    assert sketches and not any("keys=[source" in x and "publication" in x.split("functions=")[0] for x in sketches)
