@@ -25,3 +25,17 @@ def test_j01_of_an_even_number_of_rows(spark, tmp_path):
     want = sorted(con.execute(entry.oracle_sql()["j01_preprocessor"]).fetchall())
     got = sorted(map(tuple, entry.queries()["j01_preprocessor"](spark, str(tmp_path)).collect()))
     assert got == want and any(r[1] == 48.5 for r in want)
+
+
+def test_fits_deal_their_rows(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(modelling, "FIT_ROWS", 50)
+    fitted = []
+    for kind in (modelling.RandomForestRegressor, modelling.GBTRegressor, modelling.LinearRegression):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, params=None, f=kind.fit: fitted.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]) or f(self, rows))
+    df = spark.range(0, 600, 1, 1).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 17 * 2.0).alias("target"))
+    got = modelling.competition(df, "id", "target", modelling.preprocessor(["x"]), 3, "regression").collect()
+    assert len(got) == 9 and all(r.n == 200 and r.rmse < 5 for r in got)
+    assert [r.importance for r in modelling.importances(df, "id", "target", ["x"]).collect()] == [1.0]
+    assert len(fitted) == 10 and all(sum(parts) in (400, 600) and max(parts) < 90 for parts in fitted)

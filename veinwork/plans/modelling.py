@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -15,6 +16,16 @@ from pyspark.sql import functions as F
 
 from veinwork.operators import metrics
 from veinwork.operators.ordered import quantiles
+from veinwork.sources.scratch import settled
+
+
+#: What a task of a fit holds: trees keep their rows in memory, some 300 bytes each, and read them whole at every level.
+FIT_ROWS = 50_000
+
+
+def even(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into parts of about FIT_ROWS, each in the keys' order: a small file may hold millions of rows, and trees draw rows by their place."""
+    return df.repartition(max(1, math.ceil(df.count() / FIT_ROWS)), *keys).sortWithinPartitions(*keys)
 
 
 class MedianImputer(Estimator):
@@ -65,21 +76,27 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 def out_of_fold(df: DataFrame, key: str, label: str, stages: list, estimator, folds: int, task: str, fold: str = "fold") -> DataFrame:
     """key, fold, y, score: each row scored once, by the model that trained without its fold."""
-    parts = []
+    return out_of_folds(df, key, label, stages, {"": estimator}, folds, task, fold)[""]
+
+
+def out_of_folds(df: DataFrame, key: str, label: str, stages: list, estimators: dict, folds: int, task: str, fold: str = "fold") -> dict[str, DataFrame]:
+    """out_of_fold() of several estimators over the same stages, which are fitted once a fold."""
+    data, parts = settled(even(df, key), "fit-rows"), {name: [] for name in estimators}
+    score = vector_to_array("probability")[1] if task == "classification" else F.col("prediction")
     for k in range(folds):
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        model = Pipeline(stages=[*stages, estimator]).fit(balanced(train, label) if task == "classification" else train)
-        scored = model.transform(test)
-        score = vector_to_array("probability")[1] if task == "classification" else F.col("prediction")
-        parts.append(scored.select(key, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), score.alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+        train, test = even(data.where(F.col(fold) != k), key), data.where(F.col(fold) == k)
+        prepared = Pipeline(stages=stages).fit(train)
+        rows = prepared.transform(balanced(train, label) if task == "classification" else train)
+        for name, estimator in estimators.items():
+            scored = estimator.fit(rows).transform(prepared.transform(test))
+            parts[name].append(scored.select(key, F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"), score.alias("score")))
+    return {name: reduce(DataFrame.unionByName, some) for name, some in parts.items()}
 
 
 def competition(df: DataFrame, key: str, label: str, stages: list, folds: int, task: str, seed: int = 7) -> DataFrame:
     """algorithm, fold, the task's metrics; out-of-fold scores of every algorithm."""
     out = []
-    for name, est in estimators(task, label, seed).items():
-        oof = out_of_fold(df, key, label, stages, est, folds, task)
+    for name, oof in out_of_folds(df, key, label, stages, estimators(task, label, seed), folds, task).items():
         m = metrics.regression(oof, ["fold"], "y", "score") if task == "regression" else metrics.ranking(oof, ["fold"]).join(metrics.confusion(oof, ["fold"]).select("fold", "n", "brier"), "fold")
         out.append(m.withColumn("algorithm", F.lit(name)))
     return reduce(DataFrame.unionByName, out)
@@ -103,8 +120,9 @@ def calibrated(oof: DataFrame, folds: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def importances(df: DataFrame, label: str, numeric: list[str], n: int = 10, seed: int = 7) -> DataFrame:
-    model = Pipeline(stages=[*preprocessor(numeric), RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=5, seed=seed)]).fit(df)
+def importances(df: DataFrame, key: str, label: str, numeric: list[str], n: int = 10, seed: int = 7) -> DataFrame:
+    rows = even(df.select(key, label, *numeric), key)
+    model = Pipeline(stages=[*preprocessor(numeric), RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=5, seed=seed)]).fit(rows)
     rows = [(c, float(v)) for c, v in zip(numeric, model.stages[-1].featureImportances.toArray(), strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
@@ -158,7 +176,7 @@ def nested_cv(df: DataFrame, key: str, label: str, choices: dict[str, list], fol
     alone, fitted again on all of them. The fold column holds groups together, inside as outside."""
     parts = []
     for k in range(folds):
-        train, losses = df.where(F.col(fold) != k).cache(), {}
+        train, losses = even(df.where(F.col(fold) != k), key).cache(), {}
         for name, stages in choices.items():
             each = [_loss(Pipeline(stages=stages).fit(train.where(F.col(fold) != i)).transform(train.where(F.col(fold) == i)), label, task) for i in range(folds) if i != k]
             losses[name] = sum(each) / len(each)

@@ -38,7 +38,7 @@ def j03(oxides):
 
 @query("j10_importances", "oxides")
 def j10(oxides):
-    return ml.importances(_samples(oxides), "target", NUMERIC, 5)
+    return ml.importances(_samples(oxides), "sample_id", "target", NUMERIC, 5)
 
 
 @query("j11_f_statistics", "oxides", """with l as (select (CaO >= 4)::int as y, unnest([{'f': 'MgO', 'v': MgO}, {'f': 'K2O', 'v': K2O}, {'f': 'SiO2', 'v': SiO2}]) as x from oxides), g as (select x.f as feature, y, count(*) as n, avg(x.v) as m, var_pop(x.v) as s from l where x.v is not null group by 1, 2)
