@@ -166,3 +166,20 @@ def test_distinct_counts_keep_no_sketch_by_pair(spark):
     assert {r.source: (r.publications, r.approximation_near) for r in got.collect()} == {"a": (7, True), "b": (0, True), None: (1, True)}
     sketches = [x for x in got._jdf.queryExecution().sparkPlan().toString().split("\n") if "hyperloglog" in x.lower() or "approx_count" in x.lower()]
     assert sketches and not any("keys=[source" in x and "publication" in x.split("functions=")[0] for x in sketches)
+
+
+def test_arms_multiply_no_rows_before_joins(spark):
+    import random
+
+    from veinwork.operators import evidence
+
+    r = random.Random(5)
+    rows = [(i, r.randrange(4), r.choice(["s1", "s2", "s3", None, f"t{i}"]), f"p{i % 9}", r.choice([0, 1, None]) if i % 9 < 5 else 1, None if i % 9 == 8 else float(i % 9), float(i % 9) * 0.04, i / 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, fold int, scene string, site string, label int, lat double, lon double, li double").repartition(3)
+    arms = evidence.arm_rows(df, 4, "id", "scene", "site", "label", arms=("all", "no_shared_scenes", "no_mixed_sites"), keep=("li",))
+    train = [(t, x) for t in range(4) for x in rows if x[1] != t]
+    labels = {(t, s): {x[4] for k, x in train if k == t and x[3] == s} - {None} for t in range(4) for s in {x[3] for x in rows}}
+    want = {("all", t, x[0], x[7]) for t, x in train}
+    want |= {("no_shared_scenes", t, x[0], x[7]) for t, x in train if x[2] is None or all(z[2] != x[2] for z in rows if z[1] == t)}
+    want |= {("no_mixed_sites", t, x[0], x[7]) for t, x in train if len(labels[t, x[3]]) < 2}
+    assert sorted(map(tuple, arms.collect())) == sorted(want)

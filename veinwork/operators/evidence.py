@@ -84,22 +84,33 @@ def frozen_thresholds(df: DataFrame, folds: int, y: str = "y", score: str = "sco
 ARMS = ("all", "no_shared_scenes", "no_mixed_sites", "buffer_5km", "buffer_10km")
 
 
-def arm_rows(df: DataFrame, folds: int, key: str, scene: str, site: str, label: str, fold: str = "fold", arms: tuple[str, ...] = ARMS) -> DataFrame:
-    """(arm, train_fold, key): the training rows of every declared arm. Only training rows, scenes and places of test rows decide."""
-    train = settled(f.training_rows(df, folds, fold), "arm-train")
-    out = [train.select(F.lit("all").alias("arm"), "train_fold", key)] if "all" in arms else []
+def arm_rows(df: DataFrame, folds: int, key: str, scene: str, site: str, label: str, fold: str = "fold", arms: tuple[str, ...] = ARMS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(arm, train_fold, key, keep): the training rows of every declared arm. Only training rows, scenes and places of test rows decide.
+    What a row must not train is a list of folds by scene, site or place; rows are joined once each and multiplied last."""
+    rows = settled(df.select(*dict.fromkeys([key, fold, scene, site, label, "lat", "lon", *keep])), "arm-rows")
+    every = F.array(*map(F.lit, range(folds)))
+    others = F.array_except(every, F.array(F.col(fold).cast("int")))
+
+    def arm(name: str, barred: DataFrame | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+        with_barred = rows.join(barred, list(on), "left") if barred is not None else rows.withColumn("__barred", F.lit(None))
+        left = F.array_except(others, F.coalesce(F.col("__barred"), F.array().cast("array<int>")))
+        return with_barred.select(F.lit(name).alias("arm"), F.explode(left).alias("train_fold"), key, *keep)
+
+    out = [arm("all")] if "all" in arms else []
     if "no_shared_scenes" in arms:
-        seen = df.where(F.col(scene).isNotNull()).select(scene, F.col(fold).alias("train_fold")).distinct()
-        out.append(train.join(seen, [scene, "train_fold"], "left_anti").select(F.lit("no_shared_scenes").alias("arm"), "train_fold", key))
+        out.append(arm("no_shared_scenes", rows.where(F.col(scene).isNotNull()).groupBy(scene).agg(F.collect_set(F.col(fold).cast("int")).alias("__barred")), (scene,)))
     if "no_mixed_sites" in arms:
-        mixed = train.groupBy("train_fold", site).agg(F.countDistinct(label).alias("labels")).where("labels > 1")
-        out.append(train.join(mixed, ["train_fold", site], "left_anti").select(F.lit("no_mixed_sites").alias("arm"), "train_fold", key))
-    places = df.select("lat", "lon").distinct()
-    tests = df.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col(fold).alias("train_fold")).distinct()
-    for arm, km in (("buffer_5km", 5.0), ("buffer_10km", 10.0)):
-        if arm in arms:
-            near = j.radius_pairs(places, tests, km).select("lat", "lon", "train_fold").distinct()
-            out.append(train.join(near, ["lat", "lon", "train_fold"], "left_anti").select(F.lit(arm).alias("arm"), "train_fold", key))
+        # a site's labels differ among the rows outside a fold: from the least and the greatest label of each of its folds
+        spans = rows.groupBy(site, fold).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).groupBy(site).agg(F.collect_list(F.struct(fold, "lo", "hi")).alias("__spans"))
+        outside = lambda t: F.filter("__spans", lambda x: x[fold] != t)
+        mixed = F.filter(every, lambda t: F.array_min(F.transform(outside(t), lambda x: x["lo"])) != F.array_max(F.transform(outside(t), lambda x: x["hi"])))
+        out.append(arm("no_mixed_sites", spans.select(site, mixed.alias("__barred")), (site,)))
+    places = rows.select("lat", "lon").distinct()
+    tests = rows.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col(fold).cast("int").alias("train_fold")).distinct()
+    for name, km in (("buffer_5km", 5.0), ("buffer_10km", 10.0)):
+        if name in arms:
+            near = j.radius_pairs(places, tests, km).groupBy("lat", "lon").agg(F.collect_set("train_fold").alias("__barred"))
+            out.append(arm(name, near, ("lat", "lon")))
     return reduce(DataFrame.unionByName, out)
 
 

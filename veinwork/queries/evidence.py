@@ -206,7 +206,7 @@ _ARMS = f"""g as (select *, {_FOLD}::int as fold, publication || '_' || strftime
 def _arms(geo) -> tuple[DataFrame, DataFrame]:
     fold = (F.floor((F.col("sample_id") * 37 % 1000) / 50.0) % 5).cast("int")
     g = geo.withColumn("fold", fold).withColumn("scene", F.concat_ws("_", "publication", F.date_format("ts", "yyyy-MM-dd"))).withColumn("site", c.site_id("lat", "lon")).withColumn("label", (F.col("li") >= 50).cast("int"))
-    return g, e.arm_rows(g, 5, "sample_id", "scene", "site", "label")
+    return g, e.arm_rows(g, 5, "sample_id", "scene", "site", "label", keep=("li",))
 
 
 @query("g07_ablation_arms", "geo", f"with {_ARMS} select arm, train_fold, count(*) as n, sum(sample_id) as ids from ar group by 1, 2")
@@ -218,9 +218,9 @@ def g07(geo):
 def n16(geo):
     """Each arm's training mean as the model; the same test rows for all arms."""
     g, arms = _arms(geo)
-    model = arms.join(g.select("sample_id", "li"), "sample_id").groupBy("arm", F.col("train_fold").alias("fold")).agg(F.avg("li").alias("pred"))
+    model = arms.groupBy("arm", F.col("train_fold").alias("fold")).agg(F.avg("li").alias("pred"))
     err = F.col("li") - F.col("pred")
-    return g.join(model, "fold").groupBy("arm", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    return g.join(F.broadcast(model), "fold").groupBy("arm", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
 
 
 _FA = f"""g as (select *, {_FOLD}::int as fold, {CELL} as cell from geo), st as (select lat, lon, fold from g group by all), nr as (select a.lat, a.lon, a.fold, min({HAV}) as km from st a, (select lat as r_lat, lon as r_lon, fold as r_fold from st) b where a.fold <> b.r_fold group by all),
