@@ -190,3 +190,14 @@ def test_preflight_finds_what_is_seeded_and_nothing_else(spark):
     with pytest.raises(ValueError):
         preflight.passed(preflight.preflight(odd, "key", "target", ["a"], "lat", "lon", "cell", 4))
     assert found(fine.where("1 = 0"), ["a"])["all_missing"] == (1, "a")
+
+
+def test_draws_weigh_counts_side_by_side(spark, monkeypatch):
+    """Blocks of replicates give what a row for each replicate gives, the last block short."""
+    monkeypatch.setattr(paired, "BLOCK", 8)
+    r = random.Random(4)
+    counts = spark.createDataFrame([(k, f"g{r.randrange(9)}", r.randrange(2), r.choice(["reference", "candidate"]), r.randrange(5) / 4, float(r.randint(1, 3))) for k in "ab" for _ in range(80)], "k string, cell string, y int, __arm string, score double, n double")
+    weights = paired.group_draws(counts.select("k", "cell").distinct(), ["k"], "cell", 21, "s")
+    plain = counts.join(weights, ["k", "cell"]).groupBy("k", "rep", "__arm", "y", "score").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
+    got = paired._drawn(counts, weights, ["k"], "cell", 21).select(*plain.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.select("rep").distinct().count() == 21

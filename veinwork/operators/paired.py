@@ -14,6 +14,8 @@ from veinwork.sources.scratch import settled
 #: What an interval needs at least.
 LEAST_GROUPS, LEAST_DRAWS = 5, 20
 METRICS = ("auc", "ap", "brier")
+#: Replicates whose weights lie side by side in a row.
+BLOCK = 40
 
 
 def pairs(reference: DataFrame, candidate: DataFrame, key: str, y: str = "y", score: str = "score") -> DataFrame:
@@ -45,6 +47,17 @@ def _arms(df: DataFrame, keep: list[str], y: str) -> DataFrame:
     return df.select(*keep, F.col(y).alias("y"), arms).groupBy(*keep, "y", "__arm", "score").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
+def _drawn(counts: DataFrame, weights: DataFrame, keys: list[str], group: str, replicates: int) -> DataFrame:
+    """keys, rep, __arm, y, score, n: counts summed under each replicate's weights. A count meets the weights of BLOCK replicates at once, as
+    columns, so rows aren't multiplied by replicates until they are summed by score."""
+    size = min(BLOCK, replicates)
+    of = lambda i: F.coalesce(F.sum(F.when(F.col("rep") % size == i, F.col("weight"))), F.lit(0)).cast("double").alias(f"__w{i}")
+    wide = weights.groupBy(*keys, group, F.floor(F.col("rep") / size).cast("int").alias("__block")).agg(*map(of, range(size)))
+    sums = counts.join(wide, [*keys, group]).groupBy(*keys, "__block", "__arm", "y", "score").agg(*(F.sum(F.col("n") * F.col(f"__w{i}")).alias(f"__w{i}") for i in range(size)))
+    each = F.inline(F.array(*(F.struct((F.col("__block") * size + i).alias("rep"), F.col(f"__w{i}").alias("n")) for i in range(size))))
+    return sums.select(*keys, "__arm", "y", "score", each).where("n > 0")
+
+
 def _measures(counts: DataFrame, keys: list[str], weight: Column) -> DataFrame:
     """keys, metric, reference, candidate, of weighted counts; null where there is one class."""
     by = [*keys, "__arm"]
@@ -73,8 +86,8 @@ def bootstrap(df: DataFrame, keys: list[str], group: str, replicates: int = 500,
     point = _measures(counts.groupBy(*keys, "__arm", "y", "score").agg(F.sum("n").alias("n")), keys, F.lit(1.0))
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(group).alias("groups"))
     weights = group_draws(counts.select(*keys, group).distinct(), keys, group, replicates, seed)
-    drawn = counts.join(weights, [*keys, group]).groupBy(*keys, "rep", "__arm", "y", "score").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
-    deltas = _measures(settled(drawn, "paired-draws"), [*keys, "rep"], F.lit(1.0)).withColumn("delta", _change())
+    drawn = settled(_drawn(counts, weights, keys, group, replicates), "paired-draws")
+    deltas = _measures(drawn, [*keys, "rep"], F.lit(1.0)).withColumn("delta", _change())
     p = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
     spread = deltas.groupBy(*keys, "metric").agg(F.count("delta").alias("draws"), p[0].alias("low"), p[1].alias("high"))
     joined = point.join(spread, [*keys, "metric"])
