@@ -267,3 +267,30 @@ def test_ranks_of_the_vocabulary_are_its_merges(sides):
     want = libraries("x") and [e.ids for e in _loaded[0].encode_batch(texts, add_special_tokens=False)]
     assert a.ids(texts) == want
 
+
+
+def test_op11_memo_keeps_what_came_again(sides, monkeypatch):
+    a, b, w = sides
+    monkeypatch.setattr(alignment, "SEGMENTS", 60)
+    w.forget()
+    often, texts = "these words come in every chunk, and  these", []
+    for i in range(8):
+        texts = [often, " ".join(f"x{i}y{k}" for k in range(25)), None, "", "▁x " + often]
+        known = len(w.known)
+        own = w.documents(texts)
+        for text, n in zip(texts, own):
+            ids_a, ids_b, *said = libraries(text) if text else ([], [], [], [])
+            assert (n is not None) == bool(text and b"".join(said[0]) == b"".join(said[1]) == (" " + text).encode())
+            assert n is None or (tokens_of(a, w, n, 0), tokens_of(b, w, n, 1)) == (ids_a, ids_b)
+        assert i == 0 or len(w.known) - known <= 25 or known == 0  # only what is new was looked up
+        w.trim()
+        assert len(w.known) < 60 and (i < 2 or " words" in w.known)
+        assert len(w.text) == len(w.links) == len(w.number) == len(w.size_a) == len(w.size_b) == len(w.groups)
+    w.forget()
+
+
+def test_op11_passes_few_documents_at_once(spark, monkeypatch):
+    seen, stage = {}, alignment.staged
+    monkeypatch.setattr(alignment, "staged", lambda df, tag: seen.update({tag: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}) or stage(df, tag))
+    assert alignment.op11_space_anchors(spark, "/root/testdata/sf0.001").count() == 200
+    assert seen["alignment-chunks"] == str(alignment.BATCH_ROWS) and seen["alignment-scores"] == "1"

@@ -3,7 +3,8 @@
 A byte-level BPE (A) and a sentencepiece model (B) encode every text. Where a token of A and one of B end at one byte and the
 next token of both begins with a space, the document is cut into windows of token ids. A window's alignment - the groups between shared
 ends, and all pairs of overlapping tokens - hangs on its ids alone, so it is kept in a memo by its id tuples; most windows of a
-corpus were seen before. A memo of bounded size, which is emptied when full, changes no result.
+corpus were seen before. New windows are aligned many at once, as arrays. A memo of bounded size changes no result; when it is full, what several
+chunks had stays.
 
 A text is tokenised in segments, cut before a single space between visible characters, where that gives the tokens of the whole text:
 A's pattern begins a pre-token there, and B's merges can't join a space after another character if no piece has one, which is
@@ -25,11 +26,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from .bpe import parts
 from .common import read_table, staged
 
-SEGMENTS, SEGMENT_CHARS = 80_000, 6 << 20  # what the memo of segments and windows holds before it is emptied
+SEGMENTS, SEGMENT_CHARS = 80_000, 6 << 20  # what the memo of segments and windows holds before it is cleared
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1 << 10  # documents that go to Python at once
 FREQUENT = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
 PENDING = 1 << 18  # pairs that a task holds before it sums them up
 SPACE = "▁"
@@ -70,17 +71,29 @@ class Side:
     whole = False  # whether any text's tokens have its bytes
 
     def ready(self) -> None:
-        self.lengths = [len(b) for b in self.bytes_of]
-        self.length = np.array(self.lengths, np.int64)
+        self.length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.spaced = np.array([b[:1] == b" " for b in self.bytes_of])
-        self.space = frozenset(np.flatnonzero(self.spaced).tolist())
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def exact(self, text: str, ids: list[int]) -> bool:
-        """Whether the tokens' bytes are the text's."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode()
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        lists = self.ids(texts)
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+    def exact(self, texts: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the tokens' bytes are the text's, of each text; n: how many tokens it has."""
+        size, ends = np.fromiter(map(len, texts), np.int64, len(texts)), np.cumsum(n)
+        before = np.concatenate([[0], np.cumsum(self.length[ids])])
+        ok = before[ends] - before[ends - n] == size
+        own, said = b"".join(compress(texts, ok.tolist())), b"".join(map(self.bytes_of.__getitem__, ids[np.repeat(ok, n)].tolist()))
+        if own != said:
+            differ = np.concatenate([[0], np.cumsum(np.frombuffer(own, np.uint8) != np.frombuffer(said, np.uint8))])
+            ends = np.cumsum(size[ok])
+            ok[np.flatnonzero(ok)] = differ[ends] == differ[ends - size[ok]]
+        return ok
 
 
 class ByteLevel(Side):
@@ -109,6 +122,17 @@ class ByteLevel(Side):
             self.tokenizer.encode_special_tokens = True
             self.ids = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts between which a longer text would be cut are encoded as one: they have the tokens there that each has by itself."""
+        if not self.whole:
+            return super().tokens(texts)
+        blocks: list[str] = []
+        for joins, some in groupby(texts, lambda t: len(t) > 1 and not t[1].isspace() and not t[-1].isspace()):
+            blocks += ["".join(some)] if joins else some
+        ids = np.concatenate([self.encoding.encode_to_numpy(x, disallowed_special=()) for x in blocks])
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.length[ids]), ends) + 1, prepend=0)
+
     def ranks(self, model: dict) -> dict[bytes, int] | None:
         """The vocabulary as ranks, if it is one: single bytes, then what each merge makes, in the order of merges. The lowest merge first is
         then the lowest rank first; the rank library is several times quicker on short texts and gives the same ids."""
@@ -146,100 +170,118 @@ class Windows:
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
+        names = list(map(str, range(max(len(a.bytes_of), len(b.bytes_of)))))
+        self.digits = np.array(names, f"S{len(names[-1])}").view(np.uint8).reshape(len(names), -1)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, tuple[int, ...] | None] = {}  # windows of a segment; None where token bytes aren't its
-        self.number: dict[bytes, int] = {}
+        self.again: set[str] = set()  # segments that were known when a later chunk had them
+        self.number: dict[bytes, int] = {}  # in the order of numbers
         self.text: list[str] = []
         self.groups: list[int] = []
         self.size_a: list[int] = []
         self.size_b: list[int] = []
         self.links: list[bytes] = []
 
+    def trim(self) -> None:
+        """Clears a full memo: what came again stays, if that is at most half of what the memo holds. Numbers change."""
+        if len(self.known) < SEGMENTS and sum(map(len, self.known)) <= SEGMENT_CHARS:
+            return
+        if len(self.again) > SEGMENTS // 2 or sum(map(len, self.again)) > SEGMENT_CHARS // 2:
+            self.forget()
+            return
+        known = {x: self.known[x] for x in self.again}
+        used = sorted({n for own in known.values() if own for n in own})
+        place, keys = {n: i for i, n in enumerate(used)}, list(self.number)
+        kept = [[x[n] for n in used] for x in (self.text, self.groups, self.size_a, self.size_b, self.links)]
+        self.known = {x: own and tuple(map(place.__getitem__, own)) for x, own in known.items()}
+        self.again, self.number = set(), {keys[n]: i for n, i in place.items()}
+        self.text, self.groups, self.size_a, self.size_b, self.links = kept
+
     def documents(self, texts: list[str | None]) -> list[list[int] | None]:
         """Numbers of each text's windows, in order; None for a text without tokens."""
         apart = self.a.apart and self.b.apart
         cut = [(segments(" " + t) if apart else [" " + t]) if t else None for t in texts]
-        new = list({x for some in cut if some for x in some}.difference(self.known))
-        whole_a = self.a.whole
+        distinct = set(chain.from_iterable(filter(None, cut)))
+        new = list(distinct.difference(self.known))
+        self.again |= distinct.difference(new)
         for k in range(0, len(new), 1 << 14):
             some = new[k : k + (1 << 14)]
-            for x, a, b in zip(some, self.a.ids(some), self.b.ids(some)):
-                if not (whole_a or self.a.exact(x, a)) or not self.b.exact(x, b):
-                    self.known[x] = None
-                elif x.find(" ", 1) < 0:  # no token but the first may begin with a space
-                    self.known[x] = (self.window(array("I", a), array("I", b)),)
-                else:
-                    self.known[x] = self.of(a, b)
+            self.known.update(zip(some, self.of(some)))
         out: list[list[int] | None] = []
-        for text, some in zip(texts, cut):
-            if some is None:
+        odd = []
+        for some in cut:
+            try:
+                out.append(some and list(chain.from_iterable(map(self.known.__getitem__, some))))
+            except TypeError:  # a segment's None isn't a tuple
+                if apart:
+                    odd.append(len(out))
                 out.append(None)
-                continue
-            found = list(map(self.known.__getitem__, some))
-            if None in found:
-                found = [self.whole(" " + text)] if apart else [None]
-            out.append(None if found[0] is None else list(chain.from_iterable(found)))
+        for i, own in zip(odd, self.of([" " + texts[i] for i in odd])):
+            out[i] = None if own is None else list(own)
         return out
 
-    def whole(self, text: str) -> tuple[int, ...] | None:
-        a, b = self.a.ids([text])[0], self.b.ids([text])[0]
-        return self.of(a, b) if self.a.exact(text, a) and self.b.exact(text, b) else None
-
-    def aligned(self, a: array, b: array) -> tuple[str, int, bytes]:
-        """Groups as text, their number, and the links as a * 2^32 + b, of two runs of tokens over the same bytes."""
-        size_a, size_b, last = self.a.lengths, self.b.lengths, len(a) - 1
-        i = j = 0
-        x, y = a[0], b[0]
-        end_a, end_b, text, links, run_a, run_b = size_a[x], size_b[y], [], [], str(x), str(y)
-        while True:
-            links.append(x << 32 | y)
-            if end_a == end_b:
-                text.append(run_a + "|" + run_b)
-                if i == last:
-                    return ";".join(text), len(text), array("q", links).tobytes()
-                i, j = i + 1, j + 1
-                x, y = a[i], b[j]
-                end_a, end_b, run_a, run_b = end_a + size_a[x], end_b + size_b[y], str(x), str(y)
-            elif end_a < end_b:
-                i += 1
-                x = a[i]
-                end_a += size_a[x]
-                run_a += "," + str(x)
-            else:
-                j += 1
-                y = b[j]
-                end_b += size_b[y]
-                run_b += "," + str(y)
-
-    def of(self, a: list[int], b: list[int]) -> tuple[int, ...]:
-        """Numbers of the windows of two runs of tokens over the same bytes."""
-        a, b = array("I", a), array("I", b)
-        if len(a) < 2 or len(b) < 2 or self.a.space.isdisjoint(a[1:]):
-            return (self.window(a, b),)
-        return tuple(self.window(a[i:k], b[j:m]) for (i, j), (k, m) in pairwise([(0, 0), *self.anchors(a, b), (len(a), len(b))]))
-
-    def anchors(self, a: array, b: array) -> list[tuple[int, int]]:
-        """Where a token of A and one of B begin at one byte, both with a space: as many tokens before, of either."""
-        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    def of(self, texts: list[str]) -> list[tuple[int, ...] | None]:
+        """Numbers of the windows of each text; None where token bytes aren't its."""
+        if not texts:
+            return []
+        (a, n_a), (b, n_b), said = self.a.tokens(texts), self.b.tokens(texts), [t.encode() for t in texts]
+        ok = np.ones(len(texts), bool)
+        for side, ids, n in ((self.a, a, n_a), (self.b, b, n_b)):
+            if not side.whole:
+                ok &= side.exact(said, ids, n)
+        size = np.fromiter(map(len, said), np.int64, len(said))[ok]
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        first = np.cumsum(size) - size
+        numbers, begins = self.windows(a, b, first)
+        at = np.append(np.searchsorted(begins, first), len(begins))
+        of_good = list(zip(map(numbers.__getitem__, at[:-1].tolist())))
+        for i in np.flatnonzero(np.diff(at) > 1).tolist():
+            of_good[i] = tuple(numbers[at[i] : at[i + 1]])
+        if ok.all():
+            return of_good
+        left = iter(of_good)
+        return [next(left) if good else None for good in ok.tolist()]
+
+    def windows(self, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Numbers of the windows of two runs of tokens over the same bytes, and where each begins: at a text's first byte, or where a token of A
+        and one of B begin, both with a space."""
+        starts_a, starts_b = (np.cumsum(side.length[x]) - side.length[x] for side, x in ((self.a, a), (self.b, b)))
+        anchors = np.intersect1d(starts_a[self.a.spaced[a]], starts_b[self.b.spaced[b]], assume_unique=True)
+        begins = np.union1d(anchors, first)
+        at_a, at_b = (np.append(np.searchsorted(x, begins), len(x)) for x in (starts_a, starts_b))
+        raw_a, raw_b, number, known = a.tobytes(), b.tobytes(), self.number, len(self.number)
+        i, j = ((4 * x).tolist() for x in (at_a, at_b))
+        numbers = [number.setdefault(raw_a[i0:i1] + _GAP + raw_b[j0:j1], len(number)) for i0, i1, j0, j1 in zip(i, i[1:], j, j[1:])]
+        if len(number) > known:
+            new = np.diff(np.maximum.accumulate(np.array([known - 1, *numbers]))) > 0  # where a number comes first
+            size_a, size_b = np.diff(at_a), np.diff(at_b)
+            self.align(a[np.repeat(new, size_a)], b[np.repeat(new, size_b)], size_a[new], size_b[new])
+        return numbers, begins
+
+    def align(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> None:
+        """Adds windows, whose tokens follow one another: groups as text and their number, and the links as a * 2^32 + b."""
         ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        at_a, at_b = np.flatnonzero(self.a.spaced[a[1:]]), np.flatnonzero(self.b.spaced[b[1:]])
-        _, i, j = np.intersect1d(ends_a[at_a], ends_b[at_b], assume_unique=True, return_indices=True)
-        return list(zip((at_a[i] + 1).tolist(), (at_b[j] + 1).tolist()))
-
-    def window(self, a: array, b: array) -> int:
-        key = a.tobytes() + _GAP + b.tobytes()
-        n = self.number.get(key)
-        if n is None:
-            n = self.number[key] = len(self.text)
-            text, groups, links = self.aligned(a, b)
-            self.text.append(text)
-            self.groups.append(groups)
-            self.size_a.append(len(a))
-            self.size_b.append(len(b))
-            self.links.append(links)
-        return n
+        at_a, at_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
+        shared_a, shared_b = ends_b[at_a] == ends_a, ends_a[at_b] == ends_b
+        group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
+        # between two ends, of either side, lies what one link shares: the place of a token's end among all is that of its last link
+        last_a, last_b = np.arange(len(a)) + at_a - group_a, np.arange(len(b)) + at_b - group_b
+        links = np.repeat(a.astype(np.int64), np.diff(last_a, prepend=-1)) << 32 | np.repeat(b.astype(np.int64), np.diff(last_b, prepend=-1))
+        # the text: a group's tokens of A, then those of B; a separator behind each
+        in_a, in_b = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
+        place_a, place_b = np.arange(len(a)) + (in_b - np.bincount(group_b))[group_a], np.arange(len(b)) + in_a[group_b]
+        last, width = np.cumsum(size_b) - 1, self.digits.shape[1]
+        said = np.full((len(a) + len(b), width + 1), ord(","), np.uint8)
+        said[place_a, :width], said[place_b, :width] = self.digits[a], self.digits[b]
+        said[place_a[shared_a], width], said[place_b[shared_b], width], said[place_b[last], width] = ord("|"), ord(";"), ord("\n")
+        self.text += said.tobytes().translate(None, b"\0").decode().split("\n")[:-1]
+        self.groups += np.diff(group_b[last] + 1, prepend=0).tolist()
+        self.size_a += size_a.tolist()
+        self.size_b += size_b.tolist()
+        raw, ends = links.tobytes(), (8 * (last_b[last] + 1)).tolist()
+        self.links += [raw[i:k] for i, k in zip([0, *ends], ends)]
 
 
 @lru_cache(1)
@@ -265,25 +307,22 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         base, seen = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             for part in parts(batch, 1, CHUNK_BYTES):
-                rows, used = [], []
-                for own in windows.documents(part.column(1).to_pylist()):
-                    if own is None:
-                        rows.append((0, 0, 0, 0, "", 0))
-                        continue
-                    used.append(np.array(own, np.int64))
-                    n_a, n_b, groups = (sum(map(x.__getitem__, own)) for x in (windows.size_a, windows.size_b, windows.groups))
-                    rows.append((n_a, n_b, groups, n_a + n_b - groups, ";".join(map(windows.text.__getitem__, own)), len(own)))
-                n_a, n_b, groups, links, text, n = zip(*rows)
-                distinct, codes = np.unique(np.concatenate(used) if used else np.empty(0, np.int64), return_inverse=True)
+                owns = [own or () for own in windows.documents(part.column(1).to_pylist())]
+                n = np.fromiter(map(len, owns), np.int64, len(owns))
+                used = np.fromiter(chain.from_iterable(owns), np.int64, int(n.sum()))
+                distinct, codes = np.unique(used, return_inverse=True)
+                ends = np.cumsum(n)
+                n_a, n_b, groups = (np.concatenate([[0], np.cumsum(np.array(x, np.int64)[used])]) for x in (windows.size_a, windows.size_b, windows.groups))
+                n_a, n_b, groups = (x[ends] - x[ends - n] for x in (n_a, n_b, groups))
+                text = [";".join(map(windows.text.__getitem__, own)) for own in owns]
                 linked = [windows.links[i] for i in distinct.tolist()]
-                values = [part.column(0).to_pylist(), list(range(base + seen, base + seen + len(rows))), n_a, n_b, groups, links, text, n]
+                values = [part.column(0).to_pylist(), np.arange(base + seen, base + seen + len(owns)), n_a, n_b, groups, n_a + n_b - groups, text, n]
                 blobs = [codes.astype("<u4").tobytes(), np.array([len(x) // 8 for x in linked], "<u4").tobytes(), b"".join(linked)]
                 types = [pa.list_(part.schema.field(0).type), *[pa.list_(t) for t in [pa.int64()] * 5 + [pa.string(), pa.int64()]]]
-                arrays = [pa.array([list(v)], t) for v, t in zip(values, types)] + [pa.array([x], pa.binary()) for x in blobs]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(owns)], pa.int32()), pa.array(v, t.value_type)) for v, t in zip(values, types)] + [pa.array([x], pa.binary()) for x in blobs]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups", "n_windows", "codes", "link_counts", "links"])
-                seen += len(rows)
-                if len(windows.known) >= SEGMENTS or sum(map(len, windows.known)) > SEGMENT_CHARS:
-                    windows.forget()
+                seen += len(owns)
+                windows.trim()
         windows.forget()
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -421,6 +460,7 @@ def op11_space_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of every document's tokens, its digest, and how its links stand in the corpus."""
     chunks = aligned(read_table(spark, sf_dir, "documents"))
     digest = F.transform("groups", lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
-    chunks = staged(chunks.withColumn("groups", digest), "alignment-chunks")
+    with few_rows(spark, BATCH_ROWS):
+        chunks = staged(chunks.withColumn("groups", digest), "alignment-chunks")
     counts = staged(pair_counts(chunks), "alignment-counts")
     return scored(chunks, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
