@@ -291,6 +291,17 @@ def test_op11_memo_keeps_what_came_again(sides, monkeypatch):
 
 def test_op11_passes_few_documents_at_once(spark, monkeypatch):
     seen, stage = {}, alignment.staged
-    monkeypatch.setattr(alignment, "staged", lambda df, tag: seen.update({tag: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}) or stage(df, tag))
+    monkeypatch.setattr(alignment, "staged", lambda df, tag, **options: seen.update({tag: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}) or stage(df, tag, **options))
     assert alignment.op11_space_anchors(spark, "/root/testdata/sf0.001").count() == 200
     assert seen["alignment-chunks"] == str(alignment.BATCH_ROWS) and seen["alignment-scores"] == "1"
+
+
+def test_chunks_are_written_in_small_row_groups(spark, tmp_path):
+    """Ten rows of 4 MB: a row group each has about as many bytes as WIDE says, not all of them."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    wide = spark.range(0, 10, 1, 1).select("id", F.expr("cast(array_join(transform(sequence(1, 65536), i -> sha2(concat(id, '/', i), 256)), '') as binary)").alias("links"))
+    path = alignment.staged(wide, "t-wide", **alignment.WIDE).inputFiles()[0].removeprefix("file://")
+    of = pq.ParquetFile(path).metadata
+    assert of.num_rows == 10 and max(of.row_group(i).num_rows for i in range(of.num_row_groups)) <= 3

@@ -46,6 +46,8 @@ BATCH_ROWS = 1 << 10  # documents that go to Python at once
 FREQUENT = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
 PENDING = 1 << 18  # pairs that a task holds before it sums them up
 SPACE = "▁"
+#: How chunks are written: a row has megabytes, and Parquet by itself looks at sizes every 100 rows only, so that a file was one page and one row group.
+WIDE = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _GAP = b"\xff\xff\xff\xff"
 _CUT = re.compile(r"(?<=[^ ])(?= [^\s])")
 
@@ -361,14 +363,17 @@ def _by_document(of_link: np.ndarray, counts: np.ndarray, code: np.ndarray, begi
 
 @contextmanager
 def few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
-    """What runs meanwhile passes so many rows to Python at once: a chunk has some 2 MB, and a file's thousands of rows would be one batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """What runs meanwhile passes so many rows to Python and reads so many from Parquet at once: a chunk has some 2 MB, and a file's thousands of
+    rows would be one batch."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: spark.conf.get(key) for key in keys}
+    for key in keys:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key in keys:
+            spark.conf.set(key, before[key])
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -461,6 +466,6 @@ def op11_space_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = aligned(read_table(spark, sf_dir, "documents"))
     digest = F.transform("groups", lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
     with few_rows(spark, BATCH_ROWS):
-        chunks = staged(chunks.withColumn("groups", digest), "alignment-chunks")
+        chunks = staged(chunks.withColumn("groups", digest), "alignment-chunks", **WIDE)
     counts = staged(pair_counts(chunks), "alignment-counts")
     return scored(chunks, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))

@@ -43,10 +43,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/veinwork-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it from there: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write df once as Parquet (with these options) in the shared folder and read it from there: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
