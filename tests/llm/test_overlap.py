@@ -143,6 +143,45 @@ def test_similar_sets_share_a_signature_at_four_fifths(size):
             assert set(signer.signatures(s).tolist()) & set(signer.signatures(t).tolist())
 
 
+def test_rows_behind_in_parts(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 5)
+    count = np.array([0, 3, 9, 0, 1, 1, 0, 0, 2, 1, 0, 0])
+    parts = [np.stack(p, 1).tolist() for p in jaccard._behind(count)]
+    assert sum(parts, []) == [[a, a + k] for a, c in enumerate(count) for k in range(1, c + 1)]
+    assert max(map(len, parts)) == 9 and list(jaccard._behind(count[:0])) == []
+
+
+@pytest.mark.parametrize(("blocks", "batch"), [(1, 10000), (1, 7), (3, 10000), (3, 7)])
+def test_many_small_buckets_are_taken_together(spark, monkeypatch, blocks, batch):
+    """The pairs across components that sizes and bins allow, no bound of which is worked out bucket by bucket."""
+    r = np.random.default_rng(blocks)
+    base = [r.integers(0, 2**63, 40 + 8 * k, dtype=np.uint64) for k in range(12)]
+    sets = {k: np.unique(np.concatenate([base[k % 12][k % 13 :], r.integers(0, 2**63, k % 17, dtype=np.uint64)])) for k in range(240)}
+    bins = {k: np.bincount(s.astype(np.uint8), minlength=256) for k, s in sets.items()}
+    members = {b: r.choice([k for k in sets if k % 12 in (b % 12, (b + 1) % 12)], r.integers(1, 14), replace=False).tolist() for b in range(500)}
+    members |= {1000: list(sets)}
+    rows = [(b, k, k // 60, len(sets[k]), bytearray(jaccard._histogram(sets[k])), blocks) for b, m in members.items() for k in m]
+    want, calls, close = set(), spark.sparkContext.accumulator(0), jaccard._close
+    for m in members.values():
+        for a, b in combinations(sorted(m), 2):
+            if a // 60 != b // 60 and 185 * abs(bins[a] - bins[b]).sum() <= 15 * (len(sets[a]) + len(sets[b])):
+                want.add((a, b))
+
+    def counted(*args):
+        calls.add(1)
+        return close(*args)
+
+    monkeypatch.setattr(jaccard, "_close", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        dirty = spark.createDataFrame(rows, "bucket bigint, node bigint, comp bigint, n bigint, hist binary, blocks int")
+        got = [(x.a, x.b) for x in jaccard._across(dirty, 85, 100).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert batch == 7 or 0 < calls.value < len(members)
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(path).collect()}

@@ -43,6 +43,8 @@ from .mixing import row_hash
 #: op3's shingle length and least similarity, NUM / DEN; groups() and one_of_each() take others.
 WORDS, NUM, DEN = 4, 85, 100
 BINS, BLOCK, ROUNDS = 256, 2000, 3
+#: Pairs of a block that are looked at together, and of them, those whose counts are.
+PAIRS, HISTOGRAMS = 200_000, 10_000
 #: Bytes of text to a partition of signatures, which take about as many.
 PART_BYTES = 48 << 20
 #: Candidate texts up to this many are marked by a broadcast of their keys, beyond it by a shuffle join.
@@ -299,28 +301,63 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _behind(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): every row a with each of the count[a] rows right behind it; about PAIRS at once."""
+    done = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+        a = np.repeat(np.arange(at, to), count[at:to])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(done[at:to] - done[at], count[at:to])
+        at = to
+
+
 def _across(dirty: DataFrame, num: int, den: int) -> DataFrame:
-    """dirty: (bucket, node, comp, n, hist, blocks). Pairs across components of a bucket that sizes and bins allow."""
+    """dirty: (bucket, node, comp, n, hist, blocks). Pairs across components of a bucket that sizes and bins allow. Most buckets are small and
+    there are many, so those of an Arrow batch are taken together, each in order of size."""
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = dirty.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = f.lo.iloc[0], f.hi.iloc[0]
-        h = np.frombuffer(b"".join(f["hist"]), np.uint8).reshape(-1, BINS).astype(np.int16)
-        node, comp, n, own = f.node.to_numpy(), f.comp.to_numpy(), f.n.to_numpy(), f.own.to_numpy()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        out = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if lo == hi else True)]
-            j = j[_close(n[i], n[j], np.abs(n[i] - n[j]), num, den)]
-            if len(j):
-                j = j[_close(n[i], n[j], np.abs(h[j] - h[i]).sum(1), num, den)]
-                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
-
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "hist")
+
+    def group(t: pa.Table) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.any([x[1:] != x[:-1] for x in (t[c].to_numpy() for c in ("bucket", "lo", "hi"))], axis=0))])
+
+    def allowed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """t: whole groups."""
+        lo, hi, own, node, comp, n = (t[c].to_numpy() for c in ("lo", "hi", "own", "node", "comp", "n"))
+        h = np.frombuffer(b"".join(t["hist"].to_pylist()), np.uint8).reshape(-1, BINS)
+        odd = np.packbits(h & 1, axis=1).view(np.uint64)
+        # sizes of a group follow one another, so those that allow a link with a row lie right behind it
+        base = group(t) << 40
+        last = np.searchsorted(base + n, base + n * den // num, "right")
+        for a, b in _behind(last - np.arange(len(n)) - 1):
+            some = (comp[a] != comp[b]) & ((lo[a] == hi[a]) | (own[a] != own[b]))
+            a, b = a[some], b[some]
+            # bins of unlike parity differ by one at least: a weaker bound than that of the counts, but a cheap one
+            some = _close(n[a], n[b], np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64), num, den)
+            a, b = a[some], b[some]
+            for at in range(0, len(a), HISTOGRAMS):
+                x, y = a[at : at + HISTOGRAMS], b[at : at + HISTOGRAMS]
+                some = _close(n[x], n[y], np.abs(h[x].astype(np.int16) - h[y]).sum(1), num, den)
+                x, y = node[x[some]], node[y[some]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        for b in batches:
+            if b.num_rows:
+                t = pa.concat_tables([*rest, pa.Table.from_batches([b])])
+                g = group(t)
+                begun = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+                rest = [t.slice(begun)]
+                if begun:
+                    yield from allowed(t.slice(0, begun))
+        if rest:
+            yield from allowed(rest[0])
+
+    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
