@@ -182,6 +182,45 @@ def test_many_small_buckets_are_taken_together(spark, monkeypatch, blocks, batch
     assert batch == 7 or 0 < calls.value < len(members)
 
 
+def test_few_rows_go_to_python_at_once(spark, monkeypatch):
+    """Texts and packed signatures: batches of thousands took hundreds of MB in the JVM and in each worker."""
+    sign, buckets, most = jaccard._sign, jaccard._buckets, 512
+
+    def held(run):
+        def checked(batches):
+            def each():
+                for b in batches:
+                    assert b.num_rows <= most, f"{b.num_rows} rows at once"
+                    yield b
+
+            return run(each())
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_sign", lambda *a: held(sign(*a)))
+    monkeypatch.setattr(jaccard, "_buckets", held(buckets))
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t u v w x{i // 2}") for i in range(3000)]
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(i, 21, 0) for i in range(3000)]  # 20 of 22 shingles are common to any two
+
+
+def test_signatures_travel_as_five_bytes():
+    sig = np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64)
+    assert len(jaccard._short(sig)) == 2500 and (jaccard._long(jaccard._short(sig)) == sig >> np.uint64(24) << np.uint64(24)).all()
+
+
+def test_fine_bins_never_exceed_the_difference():
+    r = np.random.default_rng(2)
+    for n in (1, 5, 255, 257, 1000, 1025, 5000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        for out, more in ((0, 0), (n // 10, n // 8), (n // 2, n)):
+            b = np.unique(np.concatenate([a[out:], r.integers(0, 2**64, more, dtype=np.uint64)]))
+            got, want = jaccard._apart(*(np.frombuffer(jaccard._fine(s), np.uint8) for s in (a, b))), len(np.setxor1d(a, b))
+            assert got <= want and (want == 0 or got > 0)
+    x = np.arange(1, 2000, dtype=np.uint64) << np.uint64(32)  # all in one bin, held at 255
+    assert jaccard._apart(*(np.frombuffer(jaccard._fine(s), np.uint8) for s in (x, x[:300]))) <= len(x) - 300
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(path).collect()}

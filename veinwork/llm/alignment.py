@@ -27,7 +27,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, compress, groupby
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import parts
-from .common import read_table, staged
+from .common import few_rows, read_table, staged
 
 SEGMENTS, SEGMENT_CHARS = 80_000, 6 << 20  # what the memo of segments and windows holds before it is cleared
 CHUNK_BYTES = 1 << 20
@@ -361,21 +360,6 @@ def _by_document(of_link: np.ndarray, counts: np.ndarray, code: np.ndarray, begi
     return total[begin[1:]] - total[begin[:-1]]
 
 
-@contextmanager
-def few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
-    """What runs meanwhile passes so many rows to Python and reads so many from Parquet at once: a chunk has some 2 MB, and a file's thousands of
-    rows would be one batch."""
-    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
-    before = {key: spark.conf.get(key) for key in keys}
-    for key in keys:
-        spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        for key in keys:
-            spark.conf.set(key, before[key])
-
-
 def pair_counts(chunks: DataFrame) -> DataFrame:
     """a, b, docs (how many documents have them linked), best (docs is a's highest; ties included)."""
 

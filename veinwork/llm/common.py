@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,21 @@ def staged(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
+    """What runs meanwhile passes so many rows to Python and reads so many from Parquet at once: where rows are long, a file's thousands of
+    rows would be one batch."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: spark.conf.get(key) for key in keys}
+    for key in keys:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        for key in keys:
+            spark.conf.set(key, before[key])
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df (a settled table of short rows) with the hint to broadcast it, if it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

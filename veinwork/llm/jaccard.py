@@ -12,7 +12,8 @@ and the next one.
    partition, shuffled once and sorted there; equal signatures make a bucket.
 2. Every bucket's hubs, the sets in most buckets (of two components, once there are components), are paired with its
    others: linear, however large a group of copies. Counts in BINS hashed bins bound the difference from below and drop
-   most false pairs; the rest is verified on the sets. Links make components; ROUNDS times.
+   most false pairs, counts in about as many bins as a set has features most others; the rest is verified on the sets.
+   Links make components; up to ROUNDS times, fewer if that leaves few pairs or adds little.
 3. Buckets that still hold several components get their remaining pairs across components, in blocks of
    BLOCK sets, under the same bound; survivors are verified. Pairs within a component can't change the result.
 
@@ -33,20 +34,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import few_rows, read_table, staged
 from .components import components
 from .mixing import row_hash
 
 #: op3's shingle length and least similarity, NUM / DEN; groups() and one_of_each() take others.
 WORDS, NUM, DEN = 4, 85, 100
 BINS, BLOCK, ROUNDS = 256, 2000, 3
+#: Open buckets that leave so few pairs to a member, or a round that adds less than one in ENOUGH to the links, end the rounds.
+FEW, ENOUGH = 128, 20
 #: Pairs of a block that are looked at together, and of them, those whose counts are.
 PAIRS, HISTOGRAMS = 200_000, 10_000
 #: Bytes of text to a partition of signatures, which take about as many.
 PART_BYTES = 48 << 20
+#: Rows with texts or sets that go to Python at once, and signatures that a task holds before it packs them.
+ROWS, HELD = 512, 250_000
 #: Candidate texts up to this many are marked by a broadcast of their keys, beyond it by a shuffle join.
 BROADCAST_KEYS = 1_000_000
 _A, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -179,6 +185,17 @@ def _histogram(s: np.ndarray) -> bytes:
 FOUND = "part int, doc_id bigint, text_key bigint, n bigint, node bigint, hist binary, nodes binary, sigs binary"
 
 
+def _short(sig: np.ndarray) -> bytes:
+    """The upper five bytes of each. A partition tells apart by its number what they don't; equal ones only make a bucket, never a link."""
+    return np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _long(sig: bytes) -> np.ndarray:
+    out = np.zeros((len(sig) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(sig, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _sign(parts: int, length: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer, seen = Words(), Signer(num, den), set()
@@ -193,7 +210,7 @@ def _sign(parts: int, length: int, num: int, den: int):
             has = np.flatnonzero(np.diff(cut))
             rows = [order[cut[p] : cut[p + 1]] for p in has]
             none = [None] * len(has)
-            return _batch(has.tolist(), none, none, none, none, none, [node[r].tobytes() for r in rows], [sig[r].tobytes() for r in rows])
+            return _batch(has.tolist(), none, none, none, none, none, [node[r].tobytes() for r in rows], [_short(sig[r]) for r in rows])
 
         for b in batches:
             ids, keys, n, node, hist = b.column(0).to_pylist(), b.column(2).to_pylist(), [], [], []
@@ -214,7 +231,7 @@ def _sign(parts: int, length: int, num: int, den: int):
             # documents are dealt in turn, from another partition on in every task; only signatures must meet
             turn = (turn or words[str(ids).encode()]) + len(ids)
             yield _batch([(turn + i) % parts for i in range(len(ids))], ids, keys, n, node, hist, none, none)
-            if size > 1_000_000:
+            if size > HELD:
                 yield packed()
                 held, size = ([], []), 0
         if size:
@@ -229,15 +246,15 @@ def _batch(*columns: list) -> pa.RecordBatch:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents pass through; the packed signatures of the partition become bucket members: part -1, node, n: the
-    bucket's key. A bucket is named by its members, so it leaves once."""
+    """Documents pass through; the packed signatures of the partition become bucket members: part -1, doc_id: their
+    number, node, n: the bucket's key. A bucket is named by its members, so it leaves once."""
     sigs, nodes = [], []
     for b in batches:
         packed = b.column(7).is_valid().to_numpy(zero_copy_only=False)
         if not packed.all():
             yield b.filter(pa.array(~packed))
         for i in np.flatnonzero(packed):
-            sigs.append(np.frombuffer(b.column(7)[i].as_py(), np.uint64))
+            sigs.append(_long(b.column(7)[i].as_py()))
             nodes.append(np.frombuffer(b.column(6)[i].as_py(), np.int64))
     if not sigs:
         return
@@ -261,7 +278,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = member[lo : lo + 200_000]
             owner = np.repeat(np.arange(len(r)), count[r])[lo : lo + 200_000]
             none = pa.nulls(len(m), pa.binary())
-            cols = [pa.array(np.full(len(m), -1, np.int32)), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.int64()), pa.array(key[r].view(np.int64)[owner]), pa.array(node[m]), none, none, none]
+            cols = [pa.array(np.full(len(m), -1, np.int32)), pa.array(count[r][owner]), pa.nulls(len(m), pa.int64()), pa.array(key[r].view(np.int64)[owner]), pa.array(node[m]), none, none, none]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -360,8 +377,21 @@ def _across(dirty: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _fine(s: np.ndarray) -> bytes:
+    """Counts in bins by the low bits, about as many bins as the set has features; held at 255."""
+    bins = max(BINS, 1 << (len(s) - 1).bit_length()) if len(s) else BINS
+    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """What two sets differ in at least, by their bins; of more bins, those that fewer ones hold together are added up."""
+    bins = min(len(x), len(y))
+    x, y = (h.reshape(-1, bins).sum(0, dtype=np.int64) for h in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(node, features) of the wanted nodes, from one document of each."""
+    """(node, part, n, fine, features) of the wanted nodes, from one document of each; of repeated rows, once from each task that has them."""
     keys = nodes.join(wanted, "node", "left_semi").select("at.doc_id", "at.text_key").distinct()
     keys = staged(keys.select(F.col("doc_id").alias("__vw_id"), F.col("text_key").alias("__vw_key")), "jaccard-keys")
     if keys.count() <= BROADCAST_KEYS:
@@ -369,33 +399,64 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, length: int) ->
     chosen = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__vw_id")) & (F.col("text_key") == F.col("__vw_key")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, seen, part = Words(), set(), TaskContext.get().partitionId()
         for b in batches:
-            sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words, length) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "features"])
+            new = {}
+            for t in b.column(0):
+                s = shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words, length)
+                if (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    new[key] = s
+            columns = [pa.array(list(new), pa.int64()), pa.array([part] * len(new), pa.int32()), pa.array([len(s) for s in new.values()], pa.int64())]
+            columns += [pa.array([f(s) for s in new.values()], pa.binary()) for f in (_fine, np.ndarray.tobytes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "part", "n", "fine", "features"])
 
-    return staged(chosen.mapInArrow(run, "node bigint, features binary").dropDuplicates(["node"]), "jaccard-sets")
+    return staged(chosen.mapInArrow(run, "node bigint, part int, n bigint, fine binary, features binary"), "jaccard-sets")
+
+
+def _both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with these columns of rows (by node) for a and for b."""
+    for x in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in columns)), x)
+    return pairs
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, length: int, num: int, den: int) -> DataFrame:
-    """The (a, b) of pairs that are links."""
+    """The (a, b) of pairs that are links. Sets travel with those pairs only that finer bins allow."""
     pairs = staged(pairs, "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes, ends, length)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
+    if not pairs.limit(1).count():
+        return pairs
+    ends = lambda df: df.select(F.col("a").alias("node")).unionByName(df.select(F.col("b").alias("node"))).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            na, nb = t["na"].to_numpy(), t["nb"].to_numpy()
+            apart = [_apart(*(np.frombuffer(x.as_buffer(), np.uint8) for x in xy)) for xy in zip(t["finea"], t["fineb"], strict=True)]
+            t = t.select(["a", "b"]).filter(pa.array(_close(na, nb, np.array(apart, np.int64), num, den), pa.bool_()))
+            yield from t.to_batches()
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
             ok = []
-            for x, y in zip(t["fa"], t["fb"], strict=True):
+            for x, y in zip(t["featuresa"], t["featuresb"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * same >= num * (len(x) + len(y) - same))
             t = t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
             yield from t.to_batches()
 
-    return staged(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    with few_rows(docs.sparkSession, ROWS):
+        sets = _sets(docs, nodes, ends(pairs), length)
+        one = sets.groupBy("node").agg(F.min(F.struct("part", "n", "fine")).alias("x")).select("node", "x.n", "x.fine")
+        near = staged(_both(pairs, one, ["n", "fine"]).mapInArrow(allowed, "a bigint, b bigint"), "jaccard-near")
+        first = sets.groupBy("node").agg(F.min("part").alias("part"))
+        wanted = staged(first.join(ends(near), "node", "left_semi"), "jaccard-wanted")
+        if wanted.count() <= BROADCAST_KEYS:
+            wanted = F.broadcast(wanted)
+        sets = sets.join(wanted, ["node", "part"], "left_semi")
+        return staged(_both(near, sets, ["features"]).mapInArrow(linked, "a bigint, b bigint"), "jaccard-links")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
@@ -406,25 +467,34 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
-    found = staged(docs.mapInArrow(_sign(parts, words, num, den), FOUND).repartitionById(parts, F.col("part")).mapInArrow(_buckets, FOUND), "jaccard")
+    with few_rows(spark, ROWS):
+        found = staged(docs.mapInArrow(_sign(parts, words, num, den), FOUND).repartitionById(parts, F.col("part")).mapInArrow(_buckets, FOUND), "jaccard")
     rows = found.where("part >= 0").select("doc_id", "text_key", "n", "node", "hist")
     nodes = staged(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-nodes")
-    members = staged(found.where("part = -1").select(F.col("n").alias("bucket"), "node").distinct(), "jaccard-members")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(sizes, "bucket")
+    sized = staged(found.where("part = -1").select(F.col("n").alias("bucket"), "node", F.col("doc_id").alias("size")).distinct(), "jaccard-members")
     # the set in the largest and most buckets is the least changed copy of a group
     score = sized.groupBy("node").agg(F.sum("size").alias("score"))
     sized = staged(sized.join(score, "node").select("bucket", "node", "size", F.struct("score", "node").alias("rank")), "jaccard-sized")
 
-    links, tested, comps = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "node bigint, root bigint")
-    for turn in range(ROUNDS):
-        star = staged(_stars(_open(sized, comps) if turn else sized.withColumn("comp", F.col("node"))), "jaccard-stars")
-        new = star.join(tested, ["a", "b"], "left_anti") if turn else star
-        links = links.unionByName(_verified(docs, nodes, _possible(new, nodes, num, den), words, num, den))
-        tested, comps = tested.unionByName(star).distinct(), components(links)
-    dirty = _open(sized, comps).join(nodes.select("node", "n", "hist"), "node").drop("rank")
+    tested, comps = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "node bigint, root bigint")
+    dirty = sized.withColumn("comp", F.col("node"))
+    known = 0
+    for _ in range(ROUNDS):
+        star = staged(_stars(dirty), "jaccard-stars")
+        more = _verified(docs, nodes, _possible(star.join(tested, ["a", "b"], "left_anti"), nodes, num, den), words, num, den)
+        tested = tested.unionByName(star).distinct()
+        if not (new := more.count()):  # the next hubs would be the same
+            break
+        comps = components(comps.toDF("a", "b").unionByName(more))
+        dirty = _open(sized, comps)
+        if new * ENOUGH < known or (dirty.agg(F.avg("size")).first()[0] or 0) <= 2 * FEW:
+            break
+        known += new
+    dirty = dirty.join(nodes.select("node", "n", "hist"), "node").drop("rank")
     more = _across(dirty.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), num, den).join(tested, ["a", "b"], "left_anti")
-    comps = components(links.unionByName(_verified(docs, nodes, more, words, num, den)))
+    last = _verified(docs, nodes, more, words, num, den)
+    if last.limit(1).count():
+        comps = components(comps.toDF("a", "b").unionByName(last))
 
     # one row per set: its component's first row
     named = nodes.select("node", "at").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
