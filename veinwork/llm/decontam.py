@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
-from .jaccard import Words, mix
+from .common import few_rows, read_table, staged
+from .jaccard import ROWS, Words, mix
 
 SPAN = 12
 #: The looked-at positions of each mask, from 0 to less than SPAN; found by search over all patterns.
@@ -286,8 +286,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The rows of docs without contamination, with their own columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("__vw_key", F.xxhash64(F.col(id_col), text))
-    hit = overlaps(keyed.select("__vw_key", F.col(text_col).alias("__vw_text")), benchmark, "__vw_key", "__vw_text")
-    hit = staged(hit.select(F.col("doc_id").alias("__vw_hit")).distinct(), "decontam")
+    with few_rows(docs.sparkSession, ROWS):
+        hit = overlaps(keyed.select("__vw_key", F.col(text_col).alias("__vw_text")), benchmark, "__vw_key", "__vw_text")
+        hit = staged(hit.select(F.col("doc_id").alias("__vw_hit")).distinct(), "decontam")
     return keyed.join(hit, F.col("__vw_key") == F.col("__vw_hit"), "left_anti").drop("__vw_key")
 
 
