@@ -342,6 +342,19 @@ def test_null_and_repeated_items_and_repeated_words(spark, table):
     assert sorted(str(r.doc_id) for r in decontam.clean(table(rows), bench).collect()) == ["4"]
 
 
+def test_hits_of_many_documents_are_not_broadcast(spark, table):
+    """Hits that documents share take next to nothing as Parquet: 400 documents of 100 items each have megabytes of them, their keys a few kilobytes."""
+    items = [words(700 + k, 12) for k in range(100)]
+    bench = spark.createDataFrame([(k, t, "e") for k, t in enumerate(items)], ITEMS)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # the least that Spark takes for any table is about 1 MB
+    try:
+        got = decontam.overlaps(table([(k, " ".join(items), "en", "s") for k in range(400)]), bench)
+        found = {(r.doc_id, r.item_id): (r.doc_word, r.run_words, r.equal_words) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert found == {(d, k): (12 * k, 12, 12) for d in range(400) for k in range(100)}
+
+
 def test_longest_stretch():
     same = np.array([0] * 5 + [1] * 6 + [0] + [1] * 6 + [0] * 20 + [1] * 3, bool)
     assert decontam.stretch(same, 12) == (13, 12, 5)

@@ -15,8 +15,9 @@ occur everywhere; they count where a document is exactly the item, word for word
 3. Documents with hits are read again; the words around each group of neighbouring diagonals are joined with the
    item's words and compared along every diagonal.
 
-Texts are shuffled only if the documents with hits are too many for Spark to broadcast their keys. A hash that many documents
-share is a skewed key of the join with the seeds, which adaptive execution splits.
+Only texts of documents with hits are shuffled, to meet their hits; all texts are if there are more than FEW_KEYS such documents and too
+many for Spark to broadcast their keys. Hits are never broadcast: Parquet keeps what documents share once, so its size, by which Spark
+chooses, says little of theirs. A hash that many documents share is a skewed key of the join with the seeds, which adaptive execution splits.
 
 Cases: null or blank texts match nothing; rows of equal id and text are found once; null ids are rows like any other, of
 documents and of items; items of equal id and text count once, without words never;
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, read_table, staged
+from .common import few_rows, read_table, small, staged
 from .jaccard import ROWS, Words, mix
 
 SPAN = 12
@@ -50,6 +51,8 @@ MIN_RUN, MIN_SHARE, SHORTEST = 12, 0.75, 6
 MOST_BITS = 27
 #: Words hashed at once, and comparisons made at once, in a task.
 AT_ONCE = 400_000
+#: So many keys of documents with hits are broadcast, whatever Spark's limit: less than 100 bytes each in memory.
+FEW_KEYS = 500_000
 _EDGE = "\"'`.,;:!?()[]{}<>*_#|~-–—‘’“”«»…¡¿"
 _MULT = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -273,8 +276,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = keyed(docs, id_col, text_col)
     hits = rows.select("key", "text").mapInArrow(_hits([m for k in sorted(lengths) for m in masks_for(k)], bitmap, bits), HITS)
     met = hits.join(marks, "hash").select("key", "item", "n", "pos", "at").mapInArrow(_diagonals, DIAGONALS)
-    met = staged(met.groupBy("key").agg(F.collect_list(F.struct("item", "n", "diagonals")).alias("hits")), "decontam-hits")
-    cuts = rows.join(met, "key").select("key", F.col("id").alias("doc_id"), "text", "hits").mapInArrow(_cuts, CUTS)
+    met = staged(met.groupBy("key").agg(F.collect_set(F.struct("item", "n", "diagonals")).alias("hits")), "decontam-hits")
+    keys = small(staged(met.select("key"), "decontam-keys"), FEW_KEYS)
+    held = rows.join(keys, "key", "left_semi").join(met.hint("merge"), "key")
+    cuts = held.select("key", F.col("id").alias("doc_id"), "text", "hits").mapInArrow(_cuts, CUTS)
     both = cuts.join(items, "item").select("key", "doc_id", "item", "base", "near", "diagonals", "item_id", "words")
     found = both.mapInArrow(_verified, "key bigint, item bigint, " + FOUND)
     best = F.max(F.struct("run_words", "equal_words", (-F.col("doc_word")).alias("first"))).alias("best")
